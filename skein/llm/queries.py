@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact, sharding
+from . import exact, packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op2_best_fit_packing": packing.query,
     "op8_exact_dedup": exact.query,
 }
 ORACLES = {"op8_exact_dedup": exact.ORACLE}
