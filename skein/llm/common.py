@@ -86,3 +86,12 @@ def task_write(uri_dir: str, name: str, chunks) -> int:
             written += len(chunk)
     store.move(part, final)
     return written
+
+
+#: Rows of one or two numbers that a broadcast may have (some 16 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (stored, narrow) marked for broadcast if its counted rows are few; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

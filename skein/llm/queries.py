@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, packing, sharding
+from . import exact, neardup, packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_best_fit_packing": packing.query,
     "op8_exact_dedup": exact.query,
+    "op10_minhash_near_dedup": neardup.query,
 }
-ORACLES = {"op8_exact_dedup": exact.ORACLE}
+ORACLES = {"op8_exact_dedup": exact.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE}
