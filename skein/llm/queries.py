@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, neardup, packing, sharding
+from . import exact, neardup, packing, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_best_fit_packing": packing.query,
+    "op4_quality_knn": quality.query,
     "op8_exact_dedup": exact.query,
     "op10_minhash_near_dedup": neardup.query,
 }
