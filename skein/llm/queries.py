@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact, neardup, packing, quality, sharding
+from . import bpe, exact, neardup, packing, quality, sharding, tokenfiles
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_best_fit_packing": packing.query,
     "op4_quality_knn": quality.query,
+    "op6_byte_bpe": bpe.query,
+    "op7_token_files": tokenfiles.query,
     "op8_exact_dedup": exact.query,
     "op10_minhash_near_dedup": neardup.query,
 }
