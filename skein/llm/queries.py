@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, neardup, neighbours, packing, quality, sharding, tokenfiles
+from . import bpe, exact, neardup, neighbours, packing, quality, sharding, tokenfiles, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_best_fit_packing": packing.query,
     "op3_block_neighbours": neighbours.query,
     "op4_quality_knn": quality.query,
+    "op5_warc": warc.query,
     "op6_byte_bpe": bpe.query,
     "op7_token_files": tokenfiles.query,
     "op8_exact_dedup": exact.query,
     "op10_minhash_near_dedup": neardup.query,
 }
-ORACLES = {"op3_block_neighbours": neighbours.ORACLE, "op8_exact_dedup": exact.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE}
+ORACLES = {"op5_warc": warc.ORACLE, "op3_block_neighbours": neighbours.ORACLE, "op8_exact_dedup": exact.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE}
