@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, neardup, neighbours, packing, quality, sharding, tokenfiles, warc
+from . import bpe, exact, html, neardup, neighbours, packing, quality, sharding, tokenfiles, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_byte_bpe": bpe.query,
     "op7_token_files": tokenfiles.query,
     "op8_exact_dedup": exact.query,
+    "op9_html_text": html.query,
     "op10_minhash_near_dedup": neardup.query,
 }
 ORACLES = {"op5_warc": warc.ORACLE, "op3_block_neighbours": neighbours.ORACLE, "op8_exact_dedup": exact.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE}
