@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,9 +21,9 @@ GENERATION, LONGEST = 300_000, 48
 #: Texts are taken in lots of about so many characters.
 LOT_CHARS = 1 << 20
 
-#: Cuts before a single space between two other characters.  Byte-level pre-tokenising
+#: Cuts before a single space or line end between two other characters.  Byte-level pre-tokenising
 #: has a boundary there always, and what stands on either side cannot see across it.
-_AT_SPACES = re.compile(r"\s*\S+(?:(?! \S)\s+\S+)*(?:\s+\Z)?|\s+\Z")
+_AT_SPACES = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S+)*(?:\s+\Z)?|\s+\Z")
 
 
 def resolve(name: str) -> str:
@@ -47,6 +48,10 @@ def spaced(text: str) -> list[str]:
     return _AT_SPACES.findall(text)
 
 
+#: Marks at the end of a piece: there is a pre-token boundary before them, so word and marks are looked up apart.
+_MARKS = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)", re.DOTALL)
+
+
 class _Pieces(dict):
     """Piece -> id bytes; what is missing is encoded.  Two generations bound it: pieces in use move to the younger."""
 
@@ -56,6 +61,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
+            if apart := _MARKS.fullmatch(piece):
+                return self[apart[1]] + self[apart[2]]
             ids = self.encode(piece)
         if len(piece) <= LONGEST:
             if len(self) >= GENERATION:
@@ -70,7 +77,13 @@ class CachedEncoder:
 
     def __init__(self, split, encode_piece, dtype: str = "<u4"):
         self.split = split
-        self.pieces = _Pieces(lambda piece: np.array(encode_piece(piece), dtype).tobytes())
+        code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+
+        def as_bytes(piece: str) -> bytes:
+            ids = encode_piece(piece)
+            return struct.pack(f"<{len(ids)}{code}", *ids)
+
+        self.pieces = _Pieces(as_bytes)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
