@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-# fixed values: event groups by id range, and names by id
+from ..sources.wire_format import BODIES
+
+# fixed values: event groups by id range
 GROUPS = {
     "core": (0, 0),
     "status": (10, 13),
@@ -16,20 +18,7 @@ GROUPS = {
     "segments": (160, 178),
     "preimages": (190, 199),
 }
-TYPES = {
-    0: "Dropped",
-    10: "Status", 11: "BestBlockChanged", 12: "FinalizedBlockChanged", 13: "SyncStatusChanged",
-    20: "ConnectionRefused", 21: "ConnectingIn", 22: "ConnectInFailed", 23: "ConnectedIn", 24: "ConnectingOut", 25: "ConnectOutFailed", 26: "ConnectedOut", 27: "Disconnected", 28: "PeerMisbehaved",
-    40: "Authoring", 41: "AuthoringFailed", 42: "Authored", 43: "Importing", 44: "BlockVerificationFailed", 45: "BlockVerified", 46: "BlockExecutionFailed", 47: "BlockExecuted",
-    60: "BlockAnnouncementStreamOpened", 61: "BlockAnnouncementStreamClosed", 62: "BlockAnnounced", 63: "SendingBlockRequest", 64: "ReceivingBlockRequest", 65: "BlockRequestFailed", 66: "BlockRequestSent", 67: "BlockRequestReceived", 68: "BlockTransferred",
-    80: "GeneratingTickets", 81: "TicketGenerationFailed", 82: "TicketsGenerated", 83: "TicketTransferFailed", 84: "TicketTransferred",
-    90: "WorkPackageSubmission", 91: "WorkPackageBeingShared", 92: "WorkPackageFailed", 93: "DuplicateWorkPackage", 94: "WorkPackageReceived", 95: "Authorized", 96: "ExtrinsicDataReceived", 97: "ImportsReceived", 98: "SharingWorkPackage", 99: "WorkPackageSharingFailed", 100: "BundleSent", 101: "Refined", 102: "WorkReportBuilt", 103: "WorkReportSignatureSent", 104: "WorkReportSignatureReceived",
-    105: "GuaranteeBuilt", 106: "SendingGuarantee", 107: "GuaranteeSendFailed", 108: "GuaranteeSent", 109: "GuaranteesDistributed", 110: "ReceivingGuarantee", 111: "GuaranteeReceiveFailed", 112: "GuaranteeReceived", 113: "GuaranteeDiscarded",
-    120: "SendingShardRequest", 121: "ReceivingShardRequest", 122: "ShardRequestFailed", 123: "ShardRequestSent", 124: "ShardRequestReceived", 125: "ShardsTransferred", 126: "DistributingAssurance", 127: "AssuranceSendFailed", 128: "AssuranceSent", 129: "AssuranceDistributed", 130: "AssuranceReceiveFailed", 131: "AssuranceReceived",
-    140: "SendingBundleShardRequest", 141: "ReceivingBundleShardRequest", 142: "BundleShardRequestFailed", 143: "BundleShardRequestSent", 144: "BundleShardRequestReceived", 145: "BundleShardTransferred", 146: "ReconstructingBundle", 147: "BundleReconstructed", 148: "SendingBundleRequest", 149: "ReceivingBundleRequest", 150: "BundleRequestFailed", 151: "BundleRequestSent", 152: "BundleRequestReceived", 153: "BundleTransferred",
-    160: "WorkPackageHashMapped", 161: "SegmentsRootMapped", 162: "SendingSegmentShardRequest", 163: "ReceivingSegmentShardRequest", 164: "SegmentShardRequestFailed", 165: "SegmentShardRequestSent", 166: "SegmentShardRequestReceived", 167: "SegmentShardsTransferred", 168: "ReconstructingSegments", 169: "SegmentReconstructionFailed", 170: "SegmentsReconstructed", 171: "SegmentVerificationFailed", 172: "SegmentsVerified", 173: "SendingSegmentRequest", 174: "ReceivingSegmentRequest", 175: "SegmentRequestFailed", 176: "SegmentRequestSent", 177: "SegmentRequestReceived", 178: "SegmentsTransferred",
-    190: "PreimageAnnouncementFailed", 191: "PreimageAnnounced", 192: "AnnouncedPreimageForgotten", 193: "SendingPreimageRequest", 194: "ReceivingPreimageRequest", 195: "PreimageRequestFailed", 196: "PreimageRequestSent", 197: "PreimageRequestReceived", 198: "PreimageTransferred", 199: "PreimageDiscarded",
-}
+TYPES = {i: name for i, (name, _) in BODIES.items()}
 
 # fixed values: sets of event ids that queries treat alike; four notions of failure exist side by side
 FAILURES_ANALYTICS = (41, 44, 46, 81, 83, 92, 99, 107, 111, 122, 127, 130)

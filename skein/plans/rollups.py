@@ -60,3 +60,12 @@ def first_refresh(t):
     """The first refresh of an empty table, over a window that the sparse test data fill."""
     empty = t.stats_1m.where(F.lit(False))
     return refresh(t.events, empty, t.as_of, timedelta(days=10), timedelta(days=2))
+
+
+@query("stm9_rate_limit")
+def rate_limited(t):
+    """Events that pass a budget of two a day, each day opened by the first event after the last one's end."""
+    from ..functions.columns import micros
+    from ..streaming.stateful import rate_limit
+
+    return rate_limit(t.events.select("node_id", "event_id", micros(F.col("timestamp")).alias("arrival_us")), budget=2, window=86_400_000_000)

@@ -30,7 +30,7 @@ LINE_STAGES = (94, 95, 101, 102, 105, 109, 92)
 
 @dataclass
 class Telemetry:
-    """The DataFrames that plans read, and the moment as of which they are asked."""
+    """The DataFrames that plans read, and the moments as of which they are asked."""
 
     events: DataFrame
     packages: DataFrame
@@ -38,8 +38,15 @@ class Telemetry:
     shards: DataFrame
     dims: DataFrame
     services: DataFrame
-    as_of: datetime
-    packages_as_of: datetime
+
+    @cached_property
+    def as_of(self) -> datetime:
+        """The newest event's time, unless one is set: assign the attribute to ask as of another moment."""
+        return self.events.agg(F.max("timestamp")).first()[0]
+
+    @cached_property
+    def packages_as_of(self) -> datetime:
+        return self.packages.agg(F.max("timestamp")).first()[0]
 
     def within(self, minutes: float, column: str = "timestamp") -> Column:
         """The trailing window: after as_of - minutes (exclusive), up to as_of."""
@@ -93,8 +100,6 @@ def envelope(raw: DataFrame) -> DataFrame:
 def load(spark: SparkSession, sf_dir: str) -> Telemetry:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     raw, lines, orders = read("events"), read("lineitem"), read("orders")
-    as_of = raw.agg(F.max("ts")).first()[0]
-    packages_as_of = lines.agg(F.max("l_shipdate")).first()[0]
     stage = F.get(F.array(*map(F.lit, LINE_STAGES)), F.col("l_linenumber") - 1)
     joined = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     packages = joined.select(
@@ -118,7 +123,7 @@ def load(spark: SparkSession, sf_dir: str) -> Telemetry:
     shards = lines.where((F.col("l_linestatus") == "F") & (F.col("l_linenumber") <= 2)).select(F.col("l_orderkey").alias("package"), (F.col("l_shipdate") + F.expr("INTERVAL '1' DAY")).alias("timestamp"))
     nations = read("nation").join(F.broadcast(read("region").withColumnRenamed("r_regionkey", "n_regionkey")), "n_regionkey")
     dims = nations.select(F.col("n_nationkey").cast("int").alias("dim"), F.col("n_name").alias("implementation"), F.col("r_name").alias("region"))
-    return Telemetry(envelope(raw), packages, chain, shards, dims, read("supplier").select(F.col("s_acctbal").alias("balance")), as_of, packages_as_of)
+    return Telemetry(envelope(raw), packages, chain, shards, dims, read("supplier").select(F.col("s_acctbal").alias("balance")))
 
 
 def event_types(spark: SparkSession) -> DataFrame:
