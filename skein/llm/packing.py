@@ -5,9 +5,10 @@ pieces are dealt by a hash of a stored row number to partitions of at most about
 ``PART_ITEMS`` pieces.  Each partition is packed by best-fit decreasing, and lower
 bounds from dual feasible functions (the volume bound, the threshold functions and
 the rounding functions) certify its number of sequences.  Partitions whose number
-exceeds the bound exchange their documents among each other under a new hash and
-are packed again; the better of old and new stays.  Only sums of bin counts reach
-the driver.
+exceeds the bound (all, where only the sum exceeds the bound of the whole table) exchange
+their documents among each other under a new hash, over half as many partitions, as more documents leave smaller gaps, and are packed again;
+the better of old and new stays.  After ``ROUNDS`` rounds a task has had ``2 ** ROUNDS``
+times ``PART_ITEMS`` numbers at most.  Only sums of bin counts reach the driver.
 
 Defined cases: a null text is empty and has the end id alone; an empty table packs
 into nothing; repeated rows are packed each on its own; pieces of full length are a
@@ -61,7 +62,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The largest bound that the dual feasible functions give on the number of bins."""
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """The same from the number of items of each length, 0 to ``capacity``."""
     sizes = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((counts * sizes).sum()) // capacity)
     n_from = np.cumsum(counts[::-1])[::-1]  # items of a size or more
@@ -124,22 +129,23 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_items: int = P
     parts = max(1, -(-n // part_items))
     deal = lambda r, k: F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(k)) + F.lit(r << 32)
     best = materialise(_packed(short.withColumn("part", deal(0, parts)), capacity), "packed")
-    done: list[DataFrame] = []
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, many in short.groupBy("length").count().collect():  # a row a length: capacity rows at most
+        counts[length] = many
+    least = bound_of_counts(counts, capacity)
     for r in range(1, rounds + 1):
         n_parts, n_gaps, bins, _ = _totals(best)
-        if n_gaps < 2:  # nobody to exchange with
+        if n_parts < 2 or bins <= least:
             break
-        gap = F.col("bins") > F.col("bound")
-        again = materialise(_packed(best.where(gap).withColumn("part", deal(r, n_gaps)), capacity), "packed")
-        before = _totals(best.where(gap))[2]
-        if _totals(again)[2] >= before:
+        # partitions that are certified each may still not be so together: then all exchange
+        gap = F.col("bins") > F.col("bound") if n_gaps > 1 else F.lit(True)
+        k = n_gaps if n_gaps > 1 else n_parts
+        again = materialise(_packed(best.where(gap).withColumn("part", deal(r, -(-k // 2))), capacity), "packed")
+        if _totals(again)[2] < _totals(best.where(gap))[2]:
+            best = best.where(~gap).unionByName(again)
+        else:
             discard(again)
-            break
-        done.append(best.where(~gap))
-        best = again
     placed = best
-    for d in done:
-        placed = placed.unionByName(d)
     sequence = F.col("part") * F.lit(1 << 20) + F.col("bin")
     placed = placed.select("uid", sequence.alias("sequence_id"), "offset")
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -F.col("uid") - 1, "offset": F.lit(0).cast("long")})
