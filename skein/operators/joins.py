@@ -8,22 +8,31 @@ from pyspark.sql import functions as F
 from ..functions.columns import micros
 
 
-def asof_forward(left: DataFrame, right: DataFrame, key: str, ts: str, take: list[str]) -> DataFrame:
-    """``left`` with the columns ``take`` of the nearest strictly later row of ``right`` with the same key.
-
-    Both sides go through one window over their union, so the work is one shuffle and one
+def _asof(left: DataFrame, right: DataFrame, key: str, ts: str, take: list[str], forward: bool) -> DataFrame:
+    """Both sides go through one window over their union, so the work is one shuffle and one
     sort, however many right rows a key has.  Of right rows at the same time the one with the
-    smallest ``take`` counts.
-    """
+    smallest ``take`` counts."""
     r = right.groupBy(key, ts).agg(F.min(F.struct(*take)).alias("_take"))
     columns = left.columns
     both = left.withColumns({"_take": F.lit(None).cast(r.schema["_take"].dataType), "_side": F.lit(0)}).unionByName(r.select(key, ts, "_take", F.lit(1).alias("_side")), allowMissingColumns=True)
-    later = Window.partitionBy(key).orderBy(F.desc(ts), "_side").rowsBetween(Window.unboundedPreceding, -1)
-    # newest first; at equal times left rows come before right rows, so they do not see them
-    found = both.withColumn("_take", F.when(F.col("_side") == 0, F.last("_take", ignorenulls=True).over(later)).otherwise(F.col("_take")))
+    # forward: newest first, at equal times left before right, so that left rows see later rows only;
+    # backward: oldest first, at equal times right before left, so that they see rows up to their own time
+    order = [F.desc(ts), F.asc("_side")] if forward else [F.asc(ts), F.desc("_side")]
+    seen = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_take", F.when(F.col("_side") == 0, F.last("_take", ignorenulls=True).over(seen)).otherwise(F.col("_take")))
     return found.where("_side = 0").select(*columns, *(F.col(f"_take.{c}").alias(c) for c in take))
 
 
+def asof_forward(left: DataFrame, right: DataFrame, key: str, ts: str, take: list[str]) -> DataFrame:
+    """``left`` with the columns ``take`` of the nearest strictly later row of ``right`` with the same key."""
+    return _asof(left, right, key, ts, take, forward=True)
+
+
+def asof_backward(left: DataFrame, right: DataFrame, key: str, ts: str, take: list[str]) -> DataFrame:
+    """``left`` with the columns ``take`` of the latest row of ``right`` with the same key up to its own time."""
+    return _asof(left, right, key, ts, take, forward=False)
+
+
 def range_join(left: DataFrame, right: DataFrame, key: str, ts: str, seconds: int, right_columns: dict[str, str]) -> DataFrame:
     """All pairs of equal key with left.ts < right.ts < left.ts + seconds.
 
