@@ -53,10 +53,7 @@ def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns.
-
-    The kept ids are joined back by id, so no text moves in that join.
-    """
+    """The rows of ``docs`` that stay, with their own columns: a semi-join by id, in which no key is hot."""
     keep = exact_classes(docs, id_col, text_col).select(F.col("keep_id").alias(id_col)).where(F.col(id_col).isNotNull())
     return docs.join(keep, id_col, "left_semi").select(*docs.columns)
 
