@@ -41,6 +41,8 @@ from .tokens import CachedEncoder, arrow_rows, resolve
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a chunk, of an overlap, and before a chunk's end in which its boundaries don't count.
 CHUNK, OVERLAP, MARGIN = 16_384, 512, 64
+#: Pre-tokens in a generation of the cache; merging one anew is cheap, so few are kept.
+GENERATION = 80_000
 #: All runs of the pattern have a boundary before this space.
 _HARD = re.compile(r"\S \S")
 
@@ -67,7 +69,7 @@ def piece_encoder(name: str, dtype: str = "<u4") -> CachedEncoder:
 
     encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(name), special_tokens={})
     single = encoding._core_bpe.encode_single_piece if hasattr(encoding._core_bpe, "encode_single_piece") else encoding._encode_single_piece
-    return CachedEncoder(list, lambda piece: single(piece.encode("utf-8")), dtype)
+    return CachedEncoder(list, lambda piece: single(piece.encode("utf-8")), dtype, GENERATION)
 
 
 def pre_tokens(text: str) -> list[str]:

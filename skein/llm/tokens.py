@@ -55,8 +55,8 @@ _MARKS = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)", re.DOTALL)
 class _Pieces(dict):
     """Piece -> id bytes; what is missing is encoded.  Two generations bound it: pieces in use move to the younger."""
 
-    def __init__(self, encode):
-        self.encode, self.old = encode, {}
+    def __init__(self, encode, generation: int):
+        self.encode, self.generation, self.old = encode, generation, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -65,7 +65,7 @@ class _Pieces(dict):
                 return self[apart[1]] + self[apart[2]]
             ids = self.encode(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= GENERATION:
+            if len(self) >= self.generation:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids
@@ -75,7 +75,7 @@ class _Pieces(dict):
 class CachedEncoder:
     """Texts -> ids as little-endian bytes of ``dtype``; ``encode_piece`` gives the ids of one piece."""
 
-    def __init__(self, split, encode_piece, dtype: str = "<u4"):
+    def __init__(self, split, encode_piece, dtype: str = "<u4", generation: int = GENERATION):
         self.split = split
         code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
 
@@ -83,7 +83,7 @@ class CachedEncoder:
             ids = encode_piece(piece)
             return struct.pack(f"<{len(ids)}{code}", *ids)
 
-        self.pieces = _Pieces(as_bytes)
+        self.pieces = _Pieces(as_bytes, generation)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
