@@ -40,6 +40,7 @@ _ROLES = frozenset(
     "comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations search toolbar skip complementary contentinfo".split()
 )
+_COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _ROLE_WORDS = re.compile(r"[a-z]+")
 #: A start tag ends these open elements, up to the elements that bound the search.
 _ENDS = {tag: ("p",) for tag in _BLOCKS - {"body", "html"}} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -60,8 +61,10 @@ class _Element:
 class _Tree(HTMLParser):
     """The elements that may hold article text."""
 
-    def __init__(self):
+    def __init__(self, roles: bool = True):
         super().__init__(convert_charrefs=True)
+        self.roles = roles  # whether classes, ids and roles are heeded
+        self.by_role = self.swallowed = False  # within an element left out by its role; an article was in one
         self.root = self.at = _Element("html", None)
         self.open: Counter = Counter()
         self.skipping: list[str] = []  # open elements within one that is left out
@@ -75,6 +78,7 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if self.skipping:
+            self.swallowed |= self.by_role and tag in _ARTICLES
             if tag not in _VOID and (tag == self.skipping[0] or len(self.skipping) < 64):
                 self.skipping.append(tag)
             return
@@ -102,13 +106,17 @@ class _Tree(HTMLParser):
         self.open[tag] += 1
 
     def _left_out(self, tag: str, attrs) -> bool:
+        self.by_role = False
         if tag in _NEVER or tag == "header" and not (self.open["article"] or self.open["main"]):
             return True
         for key, value in attrs:
             if key in ("hidden",) or key == "aria-hidden" and value == "true":
                 return True
-            if value and key in ("class", "id", "role") and tag not in _ARTICLES and not _ROLES.isdisjoint(_ROLE_WORDS.findall(value.lower())):
-                return True
+            if self.roles and value and key in ("class", "id", "role") and tag not in _ARTICLES:
+                found = _ROLES.intersection(_ROLE_WORDS.findall(value.lower()))
+                if found:
+                    self.by_role = found.isdisjoint(_COMMENTS)
+                    return True
         return False
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -194,13 +202,20 @@ def _text(roots: list[_Element]) -> str:
     return "\n\n".join(blocks)
 
 
+def _parsed(html: str, roles: bool = True) -> _Tree:
+    tree = _Tree(roles)
+    tree.feed(html)
+    tree.close()
+    return tree
+
+
 def main_text(html: str | None) -> str:
     """The article's text, its blocks joined by an empty line."""
     if not html:
         return ""
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    tree = _parsed(html)
+    if tree.swallowed:  # a wrapper is named after what it holds besides the article
+        tree = _parsed(html, roles=False)
     order = _measure(tree.root)
     if not tree.root.chars:
         return ""

@@ -288,6 +288,8 @@ def test_equal_hashes_with_other_bytes_stay_apart(cases, monkeypatch):
         ("<body><nav><a>m</a></nav><article><h1>T &amp; t</h1><p>one <b>two</b><br>three</p></article><footer>f</footer>", "T & t\n\none two three"),
         ("<div class='sidebar'>s</div><div id=main><p>" + "long text " * 20 + "</p><p>end</p></div><div class='ad'>x</div><form>q<input></form>", "long text " * 19 + "long text\n\nend"),
         ("<main><p>kept</p><div class='comments'><p>said</p></div><aside>side</aside></main>", "kept"),
+        ("<div class='with-sidebar'><nav>m</nav><article><p>kept</p></article></div>", "kept"),
+        ("<article></article><div class='ad'>x</div>", ""),
         ("<article><p>a &lt;b&gt; &#233;&nbsp;x</p><ul><li>i<li>j</ul></article>", "a <b> é x\n\ni\n\nj"),
     ],
 )
