@@ -70,7 +70,7 @@ class _Pieces(dict):
                 left, _, right = piece.partition("\n")
                 return self[left] + self.lines["\n"] + self.lines[right]
             word = piece.rstrip(_MARKS)
-            if word and word != piece and word[-1].isalnum():
+            if word and word != piece and word[-1].lower()[-1].isalnum():  # some letters gain a combining mark in lower case
                 return self[word] + self.lines_or_self[piece[len(word) :]]
             ids = self.encode(piece)
         if len(piece) <= LONGEST:
