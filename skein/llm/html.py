@@ -1,7 +1,10 @@
 """Main-text extraction by composite text density.
 
 A tolerant parser builds the page's element tree.  Elements that are never article text
-(by name, or by a role that a class or id names) are left out.  For every other element
+(by name, or by a role that a class or id names) are left out; they stand in the tree too, so
+they end where any element ends.  One that is left out by its role, or as a page part such as
+a form, but holds most of the page's text outside links is a wrapper: it is opened, and what
+is left out within it is judged likewise.  For every other element
 with C characters, T tags, LC characters and LT tags of links, its density is the
 characters per tag, weighed down by its share of links (page-wide links set the base of
 the logarithm).  An element's density sum adds up its children's densities.  The element
@@ -33,7 +36,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
-_NEVER = frozenset("applet aside audio button canvas datalist dialog embed footer form frame frameset head iframe input map menu nav noscript object option script search select style svg template textarea title video".split())
+_PARTS = frozenset("aside dialog footer form header menu nav search".split())  # of a page; may be wrappers
+_NEVER = frozenset("applet audio button canvas datalist embed frame frameset head iframe input map noscript object option script select style svg template textarea title video".split())
 #: Words of a class, id or role that tell what an element is for.
 _ROLES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar aside widget footer masthead "
@@ -42,48 +46,78 @@ _ROLES = frozenset(
 )
 _COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _ROLE_WORDS = re.compile(r"[a-z]+")
+#: Names that tell what a wrapper has, or the state it is in, not what it is for.
+_MODIFIED = re.compile(r"(?<![a-z])(?:has|with|without|no)[-_]+[a-z]+|(?<![a-z])[a-z]+[-_]+(?:open|closed)(?![a-z])")
+#: Why an element is left out: for good, as a page part or by its role, as comments.
+_GONE, _PART, _SAID = 1, 2, 3
+#: A wrapper without article element that has fewer characters outside links is not opened.
+_LEAST = 80
 #: A start tag ends these open elements, up to the elements that bound the search.
-_ENDS = {tag: ("p",) for tag in _BLOCKS - {"body", "html"}} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_BOUNDS = frozenset("article aside blockquote body div dl html main nav ol section table ul".split())
+_ENDS = {tag: ("p",) for tag in _BLOCKS - {"body", "html"}} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "a": ("a",), "button": ("button",)}
+_BOUNDS = frozenset("applet article aside blockquote body button dialog div dl footer form head header html main nav object ol search section select svg table template ul".split())
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Start tags that end an open svg, and elements that no end tag of an outer element ends.
+_NOT_SVG = frozenset("b big blockquote center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li menu ol p pre small span strong sub sup table u ul".split())
+_SHUT = frozenset("applet object template".split())
 _ARTICLES = ("article", "main")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "parts", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "out")
 
-    def __init__(self, tag: str, parent: _Element | None, named: bool = False):
-        self.tag, self.parent, self.named = tag, parent, named
+    def __init__(self, tag: str, parent: _Element | None, named: bool = False, out: int = 0):
+        self.tag, self.parent, self.named, self.out = tag, parent, named, out
         self.parts: list = []  # strings and elements
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
 class _Tree(HTMLParser):
-    """The elements that may hold article text."""
+    """The page's elements; those that are left out say so."""
 
-    def __init__(self, roles: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.roles = roles  # whether classes, ids and roles are heeded
-        self.by_role = self.swallowed = False  # within an element left out by its role; an article was in one
         self.root = self.at = _Element("html", None)
-        self.open: Counter = Counter()
-        self.skipping: list[str] = []  # open elements within one that is left out
+        self.open: Counter = Counter()  # open elements that any end tag may end
+        self.reach: Counter = Counter()  # open elements that a block's end tag may end
+        self.scopes: list[tuple[_Element, Counter, Counter]] = []  # blocks left out, and the counters around them
+
+    def _push(self, element: _Element) -> None:
+        self.at.parts.append(element)
+        self.at = element
+        self.open[element.tag] += 1
+        self.reach[element.tag] += 1
+        if element.out and (element.tag in _BLOCKS or element.tag in _NEVER or element.tag in ("td", "th", "caption")):
+            self.scopes.append((element, self.open, self.reach))
+            self.open = Counter()
+            if element.tag in _SHUT:
+                self.reach = Counter()
 
     def _close(self, tag: str) -> None:
         while self.at.parent is not None:
             done, self.at = self.at, self.at.parent
+            if self.scopes and self.scopes[-1][0] is done:
+                _, self.open, self.reach = self.scopes.pop()
             self.open[done.tag] -= 1
+            self.reach[done.tag] -= 1
             if done.tag == tag:
                 return
 
+    def _open(self, tag: str) -> bool:
+        """Whether an end tag ends an open element: an inline one none outside the block left out that it is in."""
+        if self.open[tag] > 0:
+            return True
+        if not self.scopes:
+            return False
+        return self.scopes[-1][0].tag == tag or (tag in _BLOCKS or tag in ("td", "th", "caption")) and self.reach[tag] > 0
+
     def handle_starttag(self, tag: str, attrs) -> None:
-        if self.skipping:
-            self.swallowed |= self.by_role and tag in _ARTICLES
-            if tag not in _VOID and (tag == self.skipping[0] or len(self.skipping) < 64):
-                self.skipping.append(tag)
-            return
+        if self.at.tag == "head" and tag not in _HEAD:
+            self._close("head")
+        if tag in _NOT_SVG and self.reach["svg"] and not self.reach["foreignobject"]:
+            self._close("svg")
         for other in _ENDS.get(tag, ()):
-            if self.open[other]:
+            if self.reach[other]:
                 node = self.at
                 while node.parent is not None and node.tag != other and node.tag not in _BOUNDS:
                     node = node.parent
@@ -95,47 +129,80 @@ class _Tree(HTMLParser):
             if tag in ("br", "hr", "wbr"):
                 self.at.parts.append(_Element(tag, self.at))
             return
-        if self._left_out(tag, attrs):
-            if tag not in ("input", "frame", "embed"):
-                self.skipping.append(tag)
-            self.at.parts.append(_Element("br", self.at))
-            return
-        element = _Element(tag, self.at, tag in _ARTICLES or any(k == "role" and v == "main" for k, v in attrs))
-        self.at.parts.append(element)
-        self.at = element
-        self.open[tag] += 1
-
-    def _left_out(self, tag: str, attrs) -> bool:
-        self.by_role = False
-        if tag in _NEVER or tag == "header" and not (self.open["article"] or self.open["main"]):
-            return True
+        out = self._left_out(tag, attrs)
+        if tag != "frame":
+            self._push(_Element(tag, self.at, tag in _ARTICLES or any(k == "role" and v == "main" for k, v in attrs), out))
+
+    def _left_out(self, tag: str, attrs) -> int:
+        if tag in _NEVER:
+            return _GONE
+        out = _PART if tag in _PARTS and (tag != "header" or not (self.reach["article"] or self.reach["main"])) else 0
         for key, value in attrs:
             if key in ("hidden",) or key == "aria-hidden" and value == "true":
-                return True
-            if self.roles and value and key in ("class", "id", "role") and tag not in _ARTICLES:
-                found = _ROLES.intersection(_ROLE_WORDS.findall(value.lower()))
+                return _GONE
+            if value and key in ("class", "id", "role") and tag not in _ARTICLES:
+                found = _ROLES.intersection(_ROLE_WORDS.findall(_MODIFIED.sub(" ", value.lower())))
                 if found:
-                    self.by_role = found.isdisjoint(_COMMENTS)
-                    return True
-        return False
+                    out = max(out, _PART if found.isdisjoint(_COMMENTS) else _SAID)
+        return out
 
     def handle_startendtag(self, tag: str, attrs) -> None:
+        drawn = self.reach["svg"]
         self.handle_starttag(tag, attrs)
-        if tag == "svg":
+        if tag not in _VOID and (tag == "svg" or drawn and self.reach["svg"]):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skipping:
-            if tag in self.skipping:
-                while self.skipping.pop() != tag:
-                    pass
-            return
-        if self.open[tag] > 0:
+        if self._open(tag):
             self._close(tag)
 
     def handle_data(self, data: str) -> None:
-        if not self.skipping:
-            self.at.parts.append(data)
+        if self.at.tag == "head" and not data.isspace():
+            self._close("head")
+        self.at.parts.append(data)
+
+
+def _open_wrappers(root: _Element) -> None:
+    """Keep the elements left out that are wrappers: they hold most of the page's text outside links."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [p for p in node.parts if isinstance(p, _Element) and p.out != _GONE]
+    if not any(n.out for n in order):
+        return
+    plain: Counter = Counter()  # characters outside links; those of comments count for the comments alone
+    articles = set()
+    for node in reversed(order):
+        if node.tag == "a":
+            plain[id(node)] = 0
+        else:
+            plain[id(node)] += sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        if (node.tag in _ARTICLES or id(node) in articles) and node.out != _SAID:
+            articles.update((id(node), id(node.parent)))
+        if node.parent is not None and node.out != _SAID:
+            plain[id(node.parent)] += plain[id(node)]
+    page, at, named = plain[id(root)], root, False
+    while True:
+        left, todo = [], [at]
+        while todo:
+            node = todo.pop()
+            if node.out:
+                left.append(node)
+                continue
+            named |= node.named
+            todo += [p for p in node.parts if isinstance(p, _Element) and p.out != _GONE]
+        if at is root and not page:  # all of the page's text is within what is named after comments
+            found = [n for n in left if plain[id(n)] >= _LEAST]
+        else:
+            # where the page names an article outside, what is left out must hold nearly all text
+            found = [n for n in left if n.out == _PART and plain[id(n)] > page * (0.9 if named else 0.5) and (plain[id(n)] >= _LEAST or id(n) in articles)]
+        if not found:
+            return
+        at = max(found, key=lambda n: plain[id(n)])
+        if at.out == _SAID:
+            page = plain[id(at)]
+        at.out = 0
 
 
 def _measure(root: _Element) -> list[_Element]:
@@ -144,7 +211,7 @@ def _measure(root: _Element) -> list[_Element]:
     while todo:
         node = todo.pop()
         order.append(node)
-        todo += [p for p in reversed(node.parts) if isinstance(p, _Element)]
+        todo += [p for p in reversed(node.parts) if isinstance(p, _Element) and not p.out]
     for node in reversed(order):
         node.chars += sum(len(p.strip()) for p in node.parts if isinstance(p, str))
         if node.tag == "a":
@@ -191,6 +258,8 @@ def _text(roots: list[_Element]) -> str:
                 end()
             elif isinstance(part, str):
                 line.append(part)
+            elif part.out:
+                line.append(" ")
             else:
                 if part.tag in ("br", "td", "th"):
                     line.append(" ")
@@ -202,8 +271,8 @@ def _text(roots: list[_Element]) -> str:
     return "\n\n".join(blocks)
 
 
-def _parsed(html: str, roles: bool = True) -> _Tree:
-    tree = _Tree(roles)
+def _parsed(html: str) -> _Tree:
+    tree = _Tree()
     tree.feed(html)
     tree.close()
     return tree
@@ -214,8 +283,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _parsed(html)
-    if tree.swallowed:  # a wrapper is named after what it holds besides the article
-        tree = _parsed(html, roles=False)
+    _open_wrappers(tree.root)
     order = _measure(tree.root)
     if not tree.root.chars:
         return ""
@@ -230,7 +298,7 @@ def main_text(html: str | None) -> str:
     # beside the path: what is as dense as the path's thinnest element and holds no links
     chosen = [best]
     for above in path[1:]:
-        chosen += [p for p in above.parts if isinstance(p, _Element) and id(p) not in on_path and p.chars and p.density >= threshold and not p.link_tags and p.tag in _BLOCKS]
+        chosen += [p for p in above.parts if isinstance(p, _Element) and id(p) not in on_path and not p.out and p.chars and p.density >= threshold and not p.link_tags and p.tag in _BLOCKS]
     wanted, place = set(map(id, chosen)), {id(n): i for i, n in enumerate(order)}
     return _text(sorted((n for n in chosen if id(n) in wanted), key=lambda n: place[id(n)]))
 

@@ -297,6 +297,31 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "A sentence of the article that tells what it is about. " * 2
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div><p class='ad'>Buy<p>One</p><p>Two</p></div>", "One\n\nTwo"),
+        ("<ul><li class='ad'>Buy<li>One<li>Two</ul>", "One\n\nTwo"),
+        ("<div><nav><a>m</a></div><p>One", "One"),
+        ("<div><form>q</div><p>One", "One"),
+        ("<head><title>t</title><p>One", "One"),
+        ("<table><tr><td class='ad'>x<td>One</table>", "One"),
+        ("<b><nav>m</b>n</nav>One", "One"),
+        ("<div class='content has-sidebar'><div class='post'><p>One</p></div><div class='sidebar'>s</div></div>", "One"),
+        (f"<div class='widget'><div class='post'><p>{LONG}<p>{LONG}</div><div class='sidebar'>s</div></div><div class='ad'>x</div>", LONG.strip() + "\n\n" + LONG.strip()),
+        (f"<form id='page'><nav>m</nav><div><p>{LONG}</p></div></form>", LONG.strip()),
+        (f"<div class='related'><article>Teaser</article></div><div class='post'><p>{LONG}</p></div>", LONG.strip()),
+        (f"<article>{LONG}</article><div class='widget'>{LONG * 2}</div>", LONG.strip()),
+        (f"<p>kept</p><div class='comments'><p>{LONG}</p></div>", "kept"),
+    ],
+)
+def test_elements_left_out_swallow_no_article(page, text):
+    assert html.main_text(page) == text
+
+
 def test_deep_and_broken_pages_end():
     assert html.main_text("<div>" * 50_000 + "deep") == "deep"
     assert html.main_text("</p></b>" * 50_000 + "<p>x") == "x"
