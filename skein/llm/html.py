@@ -9,8 +9,11 @@ with C characters, T tags, LC characters and LT tags of links, its density is th
 characters per tag, weighed down by its share of links (page-wide links set the base of
 the logarithm).  An element's density sum adds up its children's densities.  The element
 with the largest sum holds the article; the lowest density on the path from the body to
-it is the threshold that elements beside it must reach, without links, to count as part
-of the article too, where the page does not name its article itself.
+it is the threshold that elements and bare text beside it must reach to count as part of
+the article too, where the page does not name its article itself.  The article is then all
+of the nearest element around them, headings, short blocks and links included (but for link
+menus at a level of the path that holds more of them than of anything else), and the headings
+before it.
 
 Defined cases: null or empty html and pages without text give an empty text; repeated
 rows are rows of their own; unclosed, misnested and very deep tags are read as far as they go.
@@ -60,6 +63,7 @@ _HEAD = frozenset("base basefont bgsound link meta noframes noscript script styl
 _NOT_SVG = frozenset("b big blockquote center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li menu ol p pre small span strong sub sup table u ul".split())
 _SHUT = frozenset("applet object template".split())
 _ARTICLES = ("article", "main")
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup")
 
 
 class _Element:
@@ -294,13 +298,57 @@ def main_text(html: str | None) -> str:
     if named := [n for n in path if n.named]:
         return _text([named[-1]])
     threshold = min(n.density for n in path)
-    on_path = set(map(id, path))
-    # beside the path: what is as dense as the path's thinnest element and holds no links
-    chosen = [best]
-    for above in path[1:]:
-        chosen += [p for p in above.parts if isinstance(p, _Element) and id(p) not in on_path and not p.out and p.chars and p.density >= threshold and not p.link_tags and p.tag in _BLOCKS]
-    wanted, place = set(map(id, chosen)), {id(n): i for i, n in enumerate(order)}
-    return _text(sorted((n for n in chosen if id(n) in wanted), key=lambda n: place[id(n)]))
+    # the article reaches up to the last element of the path that holds something as dense as the path's
+    # thinnest, or has a heading over the path, beside it
+    heads = [[] if i == 0 else _headings(path[i], path[i - 1]) for i in range(len(path))]
+    menus = [i > 0 and _menus(path[i], path[i - 1]) for i in range(len(path))]
+    top = max((i for i in range(1, len(path)) if heads[i] and not menus[i] and path[i].parent or _dense_beside(path[i], path[i - 1], threshold)), default=0)
+    for i in range(1, top + 1):
+        for p in path[i].parts if menus[i] else ():
+            if isinstance(p, _Element) and p is not path[i - 1] and p.link_chars * 2 > p.chars and p.density < threshold and p.tag not in _HEADINGS:
+                p.out = _PART
+    return _text([*(h for found in reversed(heads[top + 1 :]) for h in found), path[top]])
+
+
+def _headings(above: _Element, on_path: _Element) -> list[_Element]:
+    """Headings before the path that are not mostly links."""
+    found = []
+    for p in above.parts:
+        if p is on_path:
+            break
+        if isinstance(p, _Element) and not p.out and p.tag in _HEADINGS and p.chars > 2 * p.link_chars:
+            found.append(p)
+    return found
+
+
+def _menus(above: _Element, on_path: _Element) -> bool:
+    """Whether more than half of what is beside the path is links."""
+    chars = links = 0
+    for p in above.parts:
+        if isinstance(p, str):
+            chars += len(p.strip())
+        elif p is not on_path and not p.out:
+            chars, links = chars + p.chars, links + p.link_chars
+    return links * 2 > chars
+
+
+def _dense_beside(above: _Element, on_path: _Element, threshold: float) -> bool:
+    """Whether a block, or a run of bare text and inline elements, beside the path reaches the threshold."""
+    chars = tags = 0
+    for p in above.parts:
+        if isinstance(p, str):
+            chars += len(p.strip())
+        elif p.out:
+            continue
+        elif p is on_path or p.tag in _BLOCKS:
+            chars = tags = 0
+            if p is not on_path and p.density >= threshold and p.density > 0:
+                return True
+        else:
+            chars, tags = chars + p.chars - p.link_chars, tags + p.tags + 1
+        if chars and chars >= threshold * max(tags, 1):
+            return True
+    return False
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

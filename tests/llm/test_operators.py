@@ -322,6 +322,23 @@ def test_elements_left_out_swallow_no_article(page, text):
     assert html.main_text(page) == text
 
 
+PARA, MENU = f"<p>{LONG}</p>", "<ul>" + "<li><a href='x'>Somewhere else</a></li>" * 12 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<div class='entry'><h2>Head</h2><section>{PARA * 5}</section><section>{PARA * 4}<p>{LONG}<a href='x'>ref</a></p></section></div>", ["Head", *[LONG] * 9, LONG + "ref"]),
+        (f"{MENU}<div><h2>Head</h2><section>{PARA * 5}</section>Bare<p>Short</p><b>bold</b><section>{PARA * 5}</section></div><div>{MENU}</div>", ["Head", *[LONG] * 5, "Bare", "Short", "bold", *[LONG] * 5]),
+        (f"{MENU}<div>{LONG}<br>{LONG}<div>{PARA * 3}</div></div>{MENU}", [LONG + LONG, *[LONG] * 3]),
+        (f"{MENU}<div><h1>Title</h1><p>By one</p><div>{PARA * 5}</div><p>End</p></div>{MENU}", ["Title", "By one", *[LONG] * 5, "End"]),
+        (f"{MENU}<div><section>{PARA * 5}</section><section>{PARA * 5}</section></div><div>{LONG}</div>{MENU}", [LONG] * 11),
+    ],
+)
+def test_article_in_sections(page, text):
+    assert html.main_text(page) == "\n\n".join(t.strip() for t in text)
+
+
 def test_deep_and_broken_pages_end():
     assert html.main_text("<div>" * 50_000 + "deep") == "deep"
     assert html.main_text("</p></b>" * 50_000 + "<p>x") == "x"
