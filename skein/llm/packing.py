@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, table
-from .tokens import arrow_rows, lots, word_encoder
+from .tokens import arrow_rows, lots, word_document_encoder
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Pieces that one task packs, and how often partitions with gaps exchange documents.
@@ -88,7 +88,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, e
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = word_document_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 36
         step = 4 * capacity
         for lot in lots(arrow_rows(batches, "i", "t"), lambda r: len(r[1] or "")):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, open_store, scratch_path, table, task_write
-from .tokens import arrow_rows, byte_encoder
+from .tokens import arrow_rows, byte_document_encoder
 
 TOKENIZER, END_ID, DTYPE = "byte_bpe_50k.json", 2, "<u2"
 #: Text bytes of a shard, about; bits a key on each level of the hash, and its most levels.
@@ -163,7 +163,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = byte_encoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
+        encoder, end = byte_document_encoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
         width = len(end)
         name = f"shard-{TaskContext.get().partitionId():06d}"
         keys, sizes = [], []

@@ -4,6 +4,7 @@ A text is cut only where the tokenizer's own splitting cuts it in any case, so t
 ids of the pieces, joined, are those of the whole text.  Every distinct piece is
 encoded by the tokenizer library once and its ids are kept as bytes in a bounded cache;
 natural text repeats its words so often that this saves most of the encoding.
+Added tokens in a text are cut out before that (``AddedTokens``).
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ def _plain_byte(piece: str) -> list[str] | None:
 
 
 def _library(name: str, plain):
-    """Ids of a piece by the stages of a tokenizer of the tokenizers library; special tokens are ordinary text."""
+    """Ids of a piece by the stages of a tokenizer of the tokenizers library; added tokens are ordinary text here."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -183,6 +184,43 @@ def byte_encoder(name: str, dtype: str = "<u4") -> SpacedEncoder:
     return SpacedEncoder(_library(name, _plain_byte), dtype)
 
 
+class AddedTokens:
+    """Texts -> ids as the tokenizers library gives them by default, without special tokens of its own adding.
+
+    A tokenizer's added tokens (an end marker, say) that stand in a text have their own ids; ``encoder``
+    encodes what is between them, each stretch as a text of its own, as the library does.
+    """
+
+    def __init__(self, name: str, encoder: CachedEncoder, dtype: str):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(resolve(name))
+        added = tok.get_added_tokens_decoder()
+        self.encoder, self.dtype = encoder, dtype
+        self.ids = {t.content: np.array([i], dtype).tobytes() for i, t in added.items() if t.content}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) + ")")
+        # tokens that take white space in, stand as whole words or are sought in normalised text: the library's own work
+        odd = any(t.lstrip or t.rstrip or t.single_word or t.normalized and tok.normalizer for t in added.values())
+        self.library = tok if odd else None
+
+    def encode(self, text: str) -> bytes:
+        if self.library:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        if not any(map(text.__contains__, self.ids)):
+            return self.encoder.encode(text)
+        return b"".join(self.ids[part] if i % 2 else self.encoder.encode(part) for i, part in enumerate(self.cut.split(text)) if part)
+
+
+@lru_cache(maxsize=4)
+def word_document_encoder(name: str) -> AddedTokens:
+    return AddedTokens(name, word_encoder(name), "<u4")
+
+
+@lru_cache(maxsize=4)
+def byte_document_encoder(name: str, dtype: str = "<u4") -> AddedTokens:
+    return AddedTokens(name, byte_encoder(name, dtype), dtype)
+
+
 def lots(rows: Iterable[tuple], size) -> Iterator[list[tuple]]:
     """Lists of rows whose sizes add up to about ``LOT_CHARS``."""
     lot, total = [], 0
