@@ -10,7 +10,7 @@ characters per tag, weighed down by its share of links (page-wide links set the
 the logarithm).  An element's density sum adds up its children's densities.  The element
 with the largest sum holds the article; the lowest density on the path from the body to
 it is the threshold that elements and bare text beside it must reach to count as part of
-the article too, where the page does not name its article itself.  The article is then all
+the article too; the names ``article`` and ``main`` choose nothing.  The article is then all
 of the nearest element around them, headings, short blocks and links included (but for link
 menus at a level of the path that holds more of them than of anything else), and the headings
 before it.
@@ -50,7 +50,7 @@ _ROLES = frozenset(
 _COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _ROLE_WORDS = re.compile(r"[a-z]+")
 #: Names that tell what a wrapper has, or the state it is in, not what it is for.
-_MODIFIED = re.compile(r"(?<![a-z])(?:has|with|without|no)[-_]+[a-z]+|(?<![a-z])[a-z]+[-_]+(?:open|closed)(?![a-z])")
+_MODIFIED = re.compile(r"(?<![a-z])(?:has|with|without|no)[-_]+[a-z]+|(?<![a-z])[a-z]+[-_]+(?:open|closed|enabled|disabled|free|ready)(?![a-z])")
 #: Why an element is left out: for good, as a page part or by its role, as comments.
 _GONE, _PART, _SAID = 1, 2, 3
 #: A wrapper without article element that has fewer characters outside links is not opened.
@@ -196,11 +196,11 @@ def _open_wrappers(root: _Element) -> None:
                 continue
             named |= node.named
             todo += [p for p in node.parts if isinstance(p, _Element) and p.out != _GONE]
-        if at is root and not page:  # all of the page's text is within what is named after comments
-            found = [n for n in left if plain[id(n)] >= _LEAST]
-        else:
-            # where the page names an article outside, what is left out must hold nearly all text
-            found = [n for n in left if n.out == _PART and plain[id(n)] > page * (0.9 if named else 0.5) and (plain[id(n)] >= _LEAST or id(n) in articles)]
+        # where the page names an article outside, what is left out must hold nearly all text
+        found = [n for n in left if n.out == _PART and plain[id(n)] > page * (0.9 if named else 0.5) and (plain[id(n)] >= _LEAST or id(n) in articles)]
+        if not found and at is root and page == sum(plain[id(n)] for n in left if n.out == _PART):
+            # all of the page's text but some parts is within what is named after comments
+            found = [n for n in left if n.out == _SAID and plain[id(n)] >= _LEAST]
         if not found:
             return
         at = max(found, key=lambda n: plain[id(n)])
@@ -295,8 +295,6 @@ def main_text(html: str | None) -> str:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    if named := [n for n in path if n.named]:
-        return _text([named[-1]])
     threshold = min(n.density for n in path)
     # the article reaches up to the last element of the path that holds something as dense as the path's
     # thinnest, or has a heading over the path, beside it

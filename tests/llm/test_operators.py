@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import random
+import re
 import zlib
 
 import numpy as np
@@ -339,6 +340,47 @@ def test_article_in_sections(page, text):
     assert html.main_text(page) == "\n\n".join(t.strip() for t in text)
 
 
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar content", "content widget-free", "post ad-free", "post reply-enabled", "entry share-enabled", "search-page", "post comments-closed"])
+@pytest.mark.parametrize("key", ["class", "id"])
+def test_a_role_word_never_empties_a_page(name, key):
+    page = f"<nav><a href='x'>m</a></nav><div {key}='{name}'><h1>Title</h1>{PARA * 5}</div><footer>Copyright</footer>"
+    assert html.main_text(page) == "\n\n".join(["Title", *[LONG.strip()] * 5])
+
+
+def brute_densities(node, share):
+    """(chars, tags, link chars, link tags, density, density sum) by the definition, element by element."""
+    import math
+
+    chars, tags, lc, lt, total = sum(len(p.strip()) for p in node.parts if isinstance(p, str)), 0, 0, 0, 0.0
+    for p in node.parts:
+        if not isinstance(p, str) and not p.out:
+            c, t, a, b, d, _ = brute_densities(p, share)
+            chars, tags, lc, lt, total = chars + c, tags + t + 1, lc + a, lt + b, total + d
+    if node.tag == "a":
+        lc, lt = chars, lt + 1
+    density = chars / max(tags, 1)
+    if chars and share:
+        base = math.log(chars / max(chars - lc, 1) * lc + share * chars + math.e)
+        density *= max(math.log(chars / max(lc, 1) * max(tags, 1) / max(lt, 1)) / max(math.log(base), 0.05), 0)
+    return chars, tags, lc, lt, density, total
+
+
+def test_density_sums_equal_brute_force_and_choose_the_text(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(40).collect() if r["html"]]
+    # without the names that a page may give its article, the densities find the same text
+    bare = lambda p: re.sub(r"(</?)(?:article|main)\b", r"\1div", re.sub(r" role=.main.", "", p))
+    for page in [*pages, *map(bare, pages)]:
+        tree = html._parsed(page)
+        html._open_wrappers(tree.root)
+        order = html._measure(tree.root)
+        share = tree.root.link_chars / max(tree.root.chars, 1)
+        for node in order:
+            chars, tags, lc, lt, density, total = brute_densities(node, share)
+            assert (node.chars, node.tags, node.link_chars, node.link_tags) == (chars, tags, lc, lt)
+            assert abs(node.density - density) < 1e-9 * max(density, 1) and abs(node.total - total) < 1e-9 * max(total, 1)
+    assert sum(html.main_text(p) == html.main_text(bare(p)) for p in pages) >= 0.95 * len(pages)
+
+
 def test_deep_and_broken_pages_end():
     assert html.main_text("<div>" * 50_000 + "deep") == "deep"
     assert html.main_text("</p></b>" * 50_000 + "<p>x") == "x"
