@@ -24,6 +24,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("skein.local.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("skein.local.scratch", root)
     return root.rstrip("/")
@@ -92,6 +94,6 @@ def task_write(uri_dir: str, name: str, chunks) -> int:
 BROADCAST_ROWS = 1_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (stored, narrow) marked for broadcast if its counted rows are few; else it is joined by a shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,8 +1,9 @@
 """MinHash near-deduplication with sequential Bayesian verification.
 
 1. One pass over the texts makes each document's shingle set, its 128-bit digest, a
-   MinHash signature and an odd sketch.  Documents with equal sets form a class; from
-   here on only one representative of a class takes part.
+   MinHash signature and an odd sketch.  Documents with equal digests form a class, and
+   each one's full set is compared with its representative's (``refuted``); from here on
+   only the representative takes part.
 2. Signatures are cut into bands; representatives that share a band share a bucket.
    With ``BANDS`` bands of ``BAND_ROWS`` rows a pair of similarity 0.8 is missed with
    probability 1.5e-5, more similar pairs far less.
@@ -10,7 +11,8 @@
    near copies costs as many pairs as it has members.  The links give components.
 4. Then, in buckets that still hold several components, every member outside the
    largest one is compared with all members of other components.  No pair of a bucket
-   whose documents are not connected already is left out.
+   whose documents are not connected already is left out; a bucket of many members is cut
+   into a grid of cells of at most about ``CELL`` by ``CELL`` of them.
 5. Candidates must pass what set sizes and odd sketches prove (both bounds are exact:
    no pair over the threshold fails them).  Then their signatures are compared batch by
    batch; a pair goes as soon as the posterior probability that it reaches the threshold
@@ -18,9 +20,11 @@
 
 Defined cases: null and empty texts have no shingles, are linked with nothing and are
 kept; fewer than ``k`` words form one shingle; ties do not arise, as components are
-named by their least id; rows with a null id get the component of their equals that
-have ids (null if there are none) and are not kept; rows that share an id count as one
-document; an empty table gives an empty result.
+named by their least id; in ``near_components`` rows with a null id get the component of
+their equals that have ids (null if there are none) and rows that share an id count as one
+document, while ``drop_near`` decides for each row apart; an empty table gives an empty
+result.  Set sizes count 64-bit hashes of shingles: in a set of n two of them collide with
+a chance of n * n / 2^65, which is 3e-8 for a million shingles.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, small, table
+from .common import BROADCAST_ROWS, discard, materialise, small, table
 from .components import connected_components
 from .shingles import MinHash, exact_shingles, odd_sketch, shingle_set
 from .tokens import arrow_rows
@@ -45,11 +49,17 @@ BATCH, MISS = 28, 1e-6
 #: 64-bit words of an odd sketch.
 SKETCH = 16
 
-_BASE = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("odd", pa.list_(pa.int64()))])
+#: Members of a class that one task compares with the class's representative, and of a bucket that one cell of its grid holds.
+CLASS_LOT, CELL = 2000, 2000
+
+_ROW = "_near_row"
+
+_BASE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("odd", pa.list_(pa.int64()))])
+_BASE_SQL = "doc_id long, th long, n long, digest binary, sig binary, odd array<long>"
 
 
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), digest, sig and odd of every document; digest, sig and odd are null for empty sets."""
+    """doc_id, th (a hash of the text), n (set size), digest, sig and odd of every document; digest, sig and odd are null for empty sets."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(BANDS * BAND_ROWS)
@@ -60,19 +70,62 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
             out.clear()
             return batch
 
-        for doc_id, text in arrow_rows(batches, "i", "t"):
+        for doc_id, th, text in arrow_rows(batches, "i", "th", "t"):
             found = shingle_set(text, k)
             if len(found):
-                out.append((doc_id, len(found), xxhash.xxh3_128_digest(found.tobytes()), minhash(found).tobytes(), odd_sketch(found, SKETCH)))
+                out.append((doc_id, th, len(found), xxhash.xxh3_128_digest(found.tobytes()), minhash(found).tobytes(), odd_sketch(found, SKETCH)))
             else:
-                out.append((doc_id, 0, None, None, None))
+                out.append((doc_id, th, 0, None, None, None))
             if len(out) >= 1000:
                 yield flush()
         if out:
             yield flush()
 
-    columns = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return columns.mapInArrow(run, "doc_id long, n int, digest binary, sig binary, odd array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, _BASE_SQL)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("th"), text.alias("t"))
+
+
+def refuted(base: DataFrame, docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest) of documents whose full shingle set is not that of their class's representative.
+
+    A class of equal digests is one of equal sets unless hashes collide, so this is all but always empty.
+    Every member's text moves once; it meets the representative's in lots, so no class is one task.
+    """
+    keyed = base.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).select("digest", "doc_id", "th")
+    classes = keyed.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # a member is asked for once, its class's representative once a lot
+    several = materialise(classes.select("digest", "rep", F.ceil(F.col("size") / CLASS_LOT).cast("int").alias("lots")), "classes-of-several")
+    is_rep = F.struct("doc_id", "th") == F.col("rep")
+    lot = F.when(is_rep, F.sequence(F.lit(0), F.col("lots") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "th"), F.col("lots")).cast("int")))
+    asked = materialise(keyed.join(small(several, BROADCAST_ROWS // 10), "digest").select(F.col("doc_id").alias("i"), "th", "digest", (~is_rep).alias("member"), lot.alias("lot")).distinct(), "class-members")
+    met = _texts(docs, id_col, text_col).join(small(asked, BROADCAST_ROWS // 10), ["i", "th"]).withColumn("lot", F.explode("lot"))
+    met = met.repartition("digest", "lot").sortWithinPartitions("digest", "lot", "member", "th")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        at, first, first_set, last, same = None, None, None, None, True
+        for batch in batches:
+            out: list[tuple] = []
+            for i, digest, lot, member, text in arrow_rows([batch], "i", "digest", "lot", "member", "t"):
+                if not member and at != (digest, lot):
+                    at, first, first_set, last, same = (digest, lot), text, None, text, True
+                elif text != last:  # copies of one text, which are neighbours, are compared once
+                    if text == first:
+                        last, same = text, True
+                    else:
+                        first_set = exact_shingles(first, k) if first_set is None else first_set
+                        last, same = text, exact_shingles(text, k) == first_set
+                if not same:
+                    out.append((i, digest))
+            columns = zip(*out, strict=True) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()), strict=True)], names=["doc_id", "digest"])
+
+    found = materialise(met.select("i", "digest", "lot", "member", "t").mapInArrow(run, "doc_id long, digest binary"), "refuted")
+    discard(several, asked)
+    return found.distinct()
 
 
 def _tail(matches: int, n: int, threshold: float) -> float:
@@ -142,6 +195,11 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """doc_id, n_shingles and component_id of every row of ``docs``: documents are linked from a
     similarity of ``percent`` of their ``k``-word shingle sets on, and a component holds all that links reach."""
     base = materialise(sketches(docs, k, id_col, text_col), "sketches")
+    wrong = refuted(base, docs, k, id_col, text_col)
+    if not wrong.isEmpty():  # a class of its own for each; what links them is verified like any other link
+        own = wrong.withColumn("own", F.concat("digest", F.encode(F.col("doc_id").cast("string"), "utf-8")))
+        marked = base.join(small(materialise(own, "refuted")), ["doc_id", "digest"], "left")
+        base = materialise(marked.select("doc_id", "th", "n", F.coalesce("own", "digest").alias("digest"), "sig", "odd"), "sketches")
     classes = base.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest")
     reps = materialise(classes.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd")), "classes")
 
@@ -167,9 +225,15 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     placed = materialise(placed, "placed")
     counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    apart = materialise(placed.join(largest, "bucket").join(facts, "rep"), "apart")
-    l, r = apart.where("comp <> main").alias("l"), apart.alias("r")
-    across = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") != F.col("r.comp")) & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
+    # a bucket of many members is a grid of cells, each of which pairs some left with some right members
+    cells = F.ceil(F.col("members") / CELL).cast("int")
+    sizes = counts.groupBy("bucket").agg(F.sum("size").alias("members"))
+    apart = materialise(placed.join(largest, "bucket").join(sizes, "bucket").join(facts, "rep").withColumns({"cells": cells, "cell": F.pmod(F.xxhash64("rep"), cells).cast("int")}).drop("members"), "apart")
+    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    l = apart.where("comp <> main").withColumnRenamed("cell", "i").withColumn("j", every).alias("l")
+    r = apart.withColumnRenamed("cell", "j").withColumn("i", every).alias("r")
+    same_cell = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+    across = same_cell & (F.col("l.comp") != F.col("r.comp")) & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
     pairs = l.join(r, across & _possible("l", "r", percent)).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
     pairs = materialise(pairs.distinct(), "across")
     if not pairs.isEmpty():
@@ -183,9 +247,16 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def drop_near(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with their own columns."""
-    keep = near_components(docs, k, percent, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi").select(*docs.columns)
+    """One row of each component of rows, with its own columns: the one with the least id (null ids last).
+
+    Rows are told apart by a number that is given once and stored, so rows without id, or with one that
+    others share, are compared and kept like any other.
+    """
+    numbered = materialise(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    found = near_components(numbered.select(_ROW, text_col), k, percent, _ROW, text_col)
+    placed = found.select(F.col("doc_id").alias(_ROW), "component_id").join(numbered.select(_ROW, F.col(id_col).alias("_i")), _ROW)
+    keep = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_i").isNull(), "_i", _ROW))[_ROW].alias(_ROW))
+    return numbered.join(keep, _ROW, "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -210,6 +281,6 @@ WITH RECURSIVE w AS (
 ), m AS (
   SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a
 )
-SELECT w.doc_id, coalesce(n.n, 0)::INTEGER AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
 """

@@ -444,6 +444,51 @@ def test_near_components_equal_brute_force(spark, k):
     assert sorted(map(tuple, got), key=key) == sorted(expected, key=key)
 
 
+def test_equal_digests_with_other_sets_stay_apart(spark, monkeypatch):
+    class Colliding:  # a digest that tells sets apart by their size only
+        xxh3_64_intdigest = staticmethod(neardup.xxhash.xxh3_64_intdigest)
+
+        @staticmethod
+        def xxh3_128_digest(data):
+            return len(data).to_bytes(16, "big")
+
+    monkeypatch.setattr(neardup, "CLASS_LOT", 2)
+    monkeypatch.setattr(neardup, "xxhash", Colliding)
+    rows = [(i, f"{i % 3} one two three four five six") for i in range(30)] + [(30, "0 one two three four five SIX")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_components(df, 7, 80).collect()}
+    assert got == {i: i % 3 for i in range(30)} | {30: 0}
+
+
+def test_a_bucket_of_many_members_is_a_grid(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    base = rng.choices(words, k=120)
+    texts = family(rng, words, base, 60, 9)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(neardup, "CELL", 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, neardup.near_components(df, 4, 80).collect()))
+    assert got == sorted(brute_components(rows, 4, 80))
+
+
+def test_near_and_exact_filters_decide_for_rows(spark):
+    """Rows without id or with a shared one are neither lost nor kept for another's sake."""
+    copy = "one two three four five six seven eight nine ten"
+    rows = [(None, "alone without an id", 1), (None, copy, 2), (7, copy, 3), (7, copy, 4), (7, "another text of the id seven", 5), (3, copy.upper(), 6), (8, None, 7), (9, "", 8), (None, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, comp int").repartition(2)
+    kept = lambda got: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    near = neardup.drop_near(df)
+    assert near.columns == df.columns
+    assert kept(near) == sorted([(True, 0, "alone without an id"), (False, 7, "another text of the id seven"), (False, 3, copy.upper()), (False, 8, ""), (False, 9, ""), (True, 0, "")])
+    single = exact.drop_exact(df)
+    assert single.schema == df.schema
+    assert kept(single) == sorted([(True, 0, "alone without an id"), (False, 7, copy), (False, 7, "another text of the id seven"), (False, 3, copy.upper()), (False, 8, "")])
+    assert next(r["text"] for r in single.collect() if r["doc_id"] == 8) is None
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
 def test_near_cases(spark, none, docs):
     assert neardup.near_components(none).count() == 0
     kept = neardup.drop_near(docs)
