@@ -53,9 +53,17 @@ def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns: a semi-join by id, in which no key is hot."""
-    keep = exact_classes(docs, id_col, text_col).select(F.col("keep_id").alias(id_col)).where(F.col(id_col).isNotNull())
-    return docs.join(keep, id_col, "left_semi").select(*docs.columns)
+    """One row of each group of equal texts, with its own columns: the one with the least id (null ids last).
+
+    Whole rows are aggregated, so rows without id, or with one that others share, are decided each for itself.
+    A text that is normal already travels once, as the group's key.
+    """
+    text, norm = F.col(text_col), normalised(text_col)
+    rows = docs.select(norm.alias("_t"), F.struct(F.col(id_col).isNull().alias("_0"), F.col(id_col).alias("_1"), F.xxhash64(text).alias("_2")).alias("_order"),
+                       F.struct(F.when(~text.cast("string").eqNullSafe(norm), text).alias("_own"), text.isNull().alias("_null"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns) if c != text_col)).alias("_row"))
+    kept = rows.groupBy(F.unhex(F.md5("_t")).alias("_h"), "_t").agg(F.min_by("_row", "_order").alias("_row"))
+    own = F.when(~F.col("_row._null"), F.coalesce(F.col("_row._own"), F.col("_t").cast(docs.schema[text_col].dataType)))
+    return kept.select(*(own.alias(c) if c == text_col else F.col(f"_row._c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
