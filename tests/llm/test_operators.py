@@ -168,11 +168,27 @@ def test_neighbours_equal_brute_force(spark):
         best = sorted((-s, i) for i, s in enumerate(score.tolist()) if i != q)[:20]
         part = part.sort_values("rank")
         assert part["vec_id"].tolist() == [i for _, i in best] and part["score"].tolist() == [-s for s, _ in best] and part["rank"].tolist() == list(range(1, 21))
+    twice = df.where("vec_id in (0, 20)").unionByName(df.where("vec_id = 0")).unionByName(df.where("vec_id = 200").withColumn("vec_id", F.lit(20).cast("long")))
+    again = neighbours.nearest(clashing(df, name=1, s="x", v=2), clashing(twice, id=3), k=20).toPandas()
+    one = got[got["query_id"] == 0].sort_values("rank")["vec_id"].tolist()
+    assert again[again["query_id"] == 0].sort_values("rank")["vec_id"].tolist() == one and (again["query_id"] == 20).sum() == 40
     few = df.where("vec_id < 5")
     assert neighbours.nearest(few, few.where("vec_id = 0")).count() == 4
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e-200, 1e-12, 1e12, 1e150])
+def test_neighbours_of_any_size(spark, size):
+    rng = np.random.default_rng(5)
+    data = rng.standard_normal((300, 6)) * size * 10.0 ** rng.integers(-3, 3, (300, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours.nearest(df, df.where("vec_id % 50 = 0"), k=7).toPandas()
+    for q, part in got.groupby("query_id"):
+        score = neighbours.exact_products(np.repeat(data[[q]], 300, 0), data)
+        best = sorted((-s, i) for i, s in enumerate(score.tolist()) if i != q)[:7]
+        assert part.sort_values("rank")["vec_id"].tolist() == [i for _, i in best]
+
+
 # 4 quality
 def test_quality_held_out_accuracy_and_cases(spark, cases, none):
     sf = "/root/testdata/sf0.01"
