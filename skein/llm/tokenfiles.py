@@ -5,9 +5,11 @@ another, in ascending order of their keys, as little-endian integers of 16 bits
 the vocabulary allows it, else 32.  ``shard-00000.idx`` holds, as little-endian arrays
 behind a fixed head (``HEAD``): the bit levels of the hash, for each of its values a
 32-bit fingerprint of the key and the document's number, each document's key and the
-token offset at which it starts (one more at the end).  A lookup reads a few bits, one
-fingerprint and two offsets, however many documents there are; a key that is not there
-is told by its fingerprint but for one in 2^32.
+token offset at which it starts (one more at the end).  A lookup (``Shard.get``; ``lookup``
+for a table of keys over all shards) computes the hash from the bits, a few a key, which
+opening a shard reads, and seeks to one fingerprint, one number and two offsets, however
+many documents there are; a key that is not there is told by its fingerprint, and by the
+stored key itself where two fingerprints agree.
 
 The hash has levels of bits.  On each, the keys that remain hash to twice as many bits;
 those alone on their bit are placed, and their value is the number of bits set before it.
@@ -111,54 +113,77 @@ def index_bytes(keys: np.ndarray, n_null: int, offsets: np.ndarray, id_bytes: in
 
 
 class Shard:
-    """A shard's index and, behind it, the ids of its documents by key or by number."""
+    """A shard's index and, behind it, the ids of its documents by key.
+
+    Opening reads the head and the bits of the hash; a lookup then seeks to one fingerprint, one number
+    and two offsets.  ``table`` gives a whole array of the index, for jobs that go through all of them.
+    """
 
     def __init__(self, folder: str, name: str):
         self.store, base = open_store(folder)
         self.path = f"{base}/{name}"
-        with self.store.open_input_file(f"{self.path}.idx") as f:
-            data = f.read()
-        magic, n_levels, n_keys, self.n_docs, self.n_null, self.id_bytes, n_rest = HEAD.unpack_from(data)
+        self.idx, self.payload = (self.store.open_input_file(f"{self.path}.{end}") for end in ("idx", "ids"))
+        magic, n_levels, self.n_keys, self.n_docs, self.n_null, self.id_bytes, n_rest = HEAD.unpack(self.idx.read(HEAD.size))
         if magic != MAGIC:
             raise ValueError(f"{self.path}.idx is not an index of this format")
-        at = HEAD.size
-
-        def take(dtype: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, dtype, n, at)
-            at += out.nbytes
-            return out
-
-        sizes = take("<u8", n_levels).tolist()
-        levels = [take("u1", n) for n in sizes]
-        self.hash = PerfectHash(levels, take("<u8", n_rest))
-        self.marks, self.numbers = take("<u4", n_keys), take("<u4", n_keys)
-        self.keys, self.offsets = take("<i8", self.n_docs), take("<u8", self.n_docs + 1).astype(np.int64)
+        sizes = np.frombuffer(self.idx.read(8 * n_levels), "<u8").tolist()
+        levels = [np.frombuffer(self.idx.read(n), "u1") for n in sizes]
+        self.hash = PerfectHash(levels, np.frombuffer(self.idx.read(8 * n_rest), "<u8"))
+        self.window = (0, b"")  # of the payload: where it starts, and its bytes
+        self.at, at = {}, self.idx.tell()
+        for column, dtype, n in (("marks", "<u4", self.n_keys), ("numbers", "<u4", self.n_keys), ("keys", "<i8", self.n_docs), ("offsets", "<u8", self.n_docs + 1)):
+            self.at[column] = (at, np.dtype(dtype), n)
+            at += n * np.dtype(dtype).itemsize
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.idx.close(), self.payload.close()
+
+    def table(self, column: str, start: int = 0, n: int | None = None) -> np.ndarray:
+        at, dtype, size = self.at[column]
+        self.idx.seek(at + start * dtype.itemsize)
+        return np.frombuffer(self.idx.read((size if n is None else n) * dtype.itemsize), dtype)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of the first document of each key; -1 where there is none."""
-        slot = self.hash(np.ascontiguousarray(keys, "<i8"))
-        known = (slot >= 0) & (len(self.marks) > 0)
+        keys = np.ascontiguousarray(keys, "<i8")
         out = np.full(len(keys), -1, np.int64)
-        hit = np.flatnonzero(known)
-        hit = hit[self.marks[slot[hit]] == fingerprint(np.ascontiguousarray(keys, "<i8"))[hit]]
-        out[hit] = self.numbers[slot[hit]]
+        if not self.n_keys:
+            return out
+        slot, prints = self.hash(keys), fingerprint(keys)
+        few = len(keys) * 64 < self.n_keys  # fewer seeks than the arrays have pages
+        marks, numbers = (None, None) if few else (self.table("marks"), self.table("numbers"))
+        for i in np.flatnonzero(slot >= 0).tolist():
+            at = int(slot[i])
+            if (self.table("marks", at, 1)[0] if few else marks[at]) == prints[i]:
+                out[i] = self.table("numbers", at, 1)[0] if few else numbers[at]
         return out
 
-    def ids(self, numbers) -> Iterator[np.ndarray]:
-        """The ids of documents by number, read one document at a time."""
-        with self.store.open_input_file(f"{self.path}.ids") as f:
-            for i in numbers:
-                start, end = self.offsets[i], self.offsets[i + 1]
-                f.seek(int(start) * self.id_bytes)
-                yield np.frombuffer(f.read(int(end - start) * self.id_bytes), f"<u{self.id_bytes}")
+    def ids(self, start: int, end: int, ahead: int = 0) -> np.ndarray:
+        """The ids between two token offsets; ``ahead`` bytes at least are read at once, for those that go on from there."""
+        start, end = int(start) * self.id_bytes, int(end) * self.id_bytes
+        at, data = self.window
+        if start < at or end > at + len(data):
+            self.payload.seek(start)
+            at, data = self.window = start, self.payload.read(max(end - start, ahead))
+        return np.frombuffer(data[start - at : end - at], f"<u{self.id_bytes}")
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of every document of ``key``, none if it is not there: repeated keys follow the one found."""
+        (number,), out = self.find(np.array([key])), []
+        while 0 <= number < self.n_docs and self.table("keys", number, 1)[0] == key:
+            out.append(self.ids(*self.table("offsets", number, 2).tolist()))
+            number += 1
+        return out
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, dtype: str = DTYPE, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards to ``folder``; returns their stored manifest: shard, name, n_docs, n_tokens, first_token."""
+    """Write the shards to ``folder``; returns their stored manifest: shard, name, n_docs, n_tokens, first_token, first_key and last_key."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     n_shards = max(1, -(-int(total) // shard_bytes))
-    schema = pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+    schema = pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -185,39 +210,90 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
         n_null = sum(k is None for k in keys)
         offsets = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
         task_write(folder, f"{name}.idx", [index_bytes(np.array([k or 0 for k in keys], np.int64), n_null, offsets, width)])
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((int(name[6:]), name, len(keys), int(offsets[-1])), schema, strict=True)], schema=schema)
+        ends = (keys[n_null], keys[-1]) if n_null < len(keys) else (None, None)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((int(name[6:]), name, len(keys), int(offsets[-1]), *ends), schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     ordered = rows.repartitionByRange(n_shards, F.col("i").asc_nulls_first()).sortWithinPartitions(F.col("i").asc_nulls_first(), "t")
-    manifest = materialise(ordered.mapInArrow(run, "shard int, name string, n_docs long, n_tokens long"), "manifest")
+    manifest = materialise(ordered.mapInArrow(run, "shard int, name string, n_docs long, n_tokens long, first_key long, last_key long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return materialise(manifest.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """Every document from the files, each keyed one found through the hash: doc_id, start, n_tokens, ids_crc32 (of 32-bit ids)."""
+    """Every document from the files: doc_id, start, n_tokens, ids_crc32 (of 32-bit ids).
+
+    A key leads to its documents through the hash: value, fingerprint, number, offsets, ids.  Documents
+    without key, which nothing leads to, are read by number, and repeated keys after the one found.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for name, first in arrow_rows(batches, "name", "first_token"):
-            shard = Shard(folder, name)
-            numbers = np.arange(shard.n_docs)
-            found = shard.find(shard.keys[shard.n_null :])
-            here = numbers[shard.n_null :]
-            if not ((found >= 0) & (found <= here) & (shard.keys[found] == shard.keys[here])).all():
-                raise ValueError(f"{shard.path}: the index does not lead to every document")
-            lot: list[tuple] = []
-            for i, ids in zip(numbers.tolist(), shard.ids(numbers.tolist()), strict=True):
-                key = None if i < shard.n_null else int(shard.keys[i])
-                lot.append((key, first + int(shard.offsets[i]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                if len(lot) == 4096 or i + 1 == shard.n_docs:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*lot, strict=True), schema, strict=True)], schema=schema)
-                    lot = []
+            with Shard(folder, name) as shard:
+                keys, offsets = shard.table("keys"), shard.table("offsets").astype(np.int64)
+                asked, copies = np.unique(keys[shard.n_null :], return_counts=True)
+                found = shard.find(asked)
+                if (found < 0).any():
+                    raise ValueError(f"{shard.path}: the index does not lead to every document")
+                # the numbers that each found one and its copies have
+                numbers = np.repeat(found - np.cumsum(copies) + copies, copies) + np.arange(copies.sum())
+                lot: list[tuple] = []
+                for i, key in zip([*range(shard.n_null), *numbers.tolist()], [*[None] * shard.n_null, *np.repeat(asked, copies).tolist()], strict=True):
+                    start, end = int(offsets[i]), int(offsets[i + 1])
+                    lot.append((key, first + start, end - start, zlib.crc32(shard.ids(start, end, 1 << 20).astype("<u4").tobytes())))
+                    if len(lot) == 4096:
+                        yield _batch(lot, schema)
+                if lot:
+                    yield _batch(lot, schema)
 
     n = max(1, manifest.count())
     return manifest.select("name", "first_token").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _batch(lot: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*lot, strict=True), schema, strict=True)], schema=schema)
+    lot.clear()
+    return made
+
+
+def lookup(manifest: DataFrame, folder: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+    """``keys`` (a column of them) with the ids of their documents: key, shard, ids; no row for a key that is not there.
+
+    Which shard holds a key follows from the shards' first keys, which every task gets (8 bytes and a name
+    for each 24 MB of text); a task then seeks in its shards for the keys that it was dealt.
+    """
+    # shards are ranges of keys; one without keys has no first key
+    shards = manifest.where(F.col("first_key").isNotNull()).orderBy("first_key").select("first_key", "name").toArrow()
+    firsts, names = shards["first_key"].to_numpy(), shards["name"].to_pylist()
+
+    def place(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(firsts, batch.column(0).to_numpy(zero_copy_only=False), side="right") - 1
+            here = np.flatnonzero(at >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(here)), pa.array([names[i] for i in at[here]], pa.string())], names=["key", "shard"])
+
+    schema = pa.schema([("key", pa.int64()), ("shard", pa.string()), ("ids", pa.list_(pa.int64()))])
+
+    def read(batches) -> Iterator[pa.RecordBatch]:
+        shard, name = None, None
+        for key, of in arrow_rows(batches, "key", "shard"):
+            if of != name:
+                if shard:
+                    shard.__exit__()
+                shard, name = Shard(folder, of), of
+            if found := [(key, of, ids.tolist()) for ids in shard.get(key)]:
+                yield _batch(found, schema)
+        if shard:
+            shard.__exit__()
+
+    asked = keys.select(F.col(key_col).cast("long").alias("key")).where("key is not null").distinct()
+    placed = asked.mapInArrow(place, "key long, shard string")
+    # a few keys' lookups are dealt by shard and key: no shard's keys are all one task's
+    dealt = placed.repartition("shard", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("shard", "key")
+    return dealt.mapInArrow(read, "key long, shard string, ids array<long>")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), folder), folder)

@@ -120,7 +120,6 @@ def test_packed_documents(spark, docs, cases, none):
     from skein.llm.tokens import resolve
 
     tok = Tokenizer.from_file(resolve(packing.TOKENIZER))
-    tok.encode_special_tokens = True
     for df in (docs.limit(60), clashing(cases, piece=1, offset="x")):
         rows = packing.pack_documents(df).collect()
         expected = []
@@ -252,7 +251,6 @@ def test_token_files(spark, docs, cases, none):
     from skein.llm.tokens import resolve
 
     tok = Tokenizer.from_file(resolve(tokenfiles.TOKENIZER))
-    tok.encode_special_tokens = True
     for df in (docs.limit(80), clashing(cases, i=1, t="x")):
         folder = scratch_path(spark, "t")
         manifest = tokenfiles.write_token_files(df, folder, shard_bytes=20_000)
@@ -267,10 +265,20 @@ def test_token_files(spark, docs, cases, none):
         for r in manifest.collect():
             shard = tokenfiles.Shard(folder, r["name"])
             assert (shard.find(np.arange(10_000_000, 10_000_500)) == -1).all()
-            for i, ids in zip(shard.find(shard.keys[shard.n_null :]), shard.ids(range(shard.n_null, shard.n_docs)), strict=True):
-                assert i >= 0 and ids[-1] == 2
+            keys, offsets = shard.table("keys"), shard.table("offsets").tolist()
+            assert (r["first_key"], r["last_key"]) == ((keys[shard.n_null], keys[-1]) if shard.n_null < len(keys) else (None, None))
+            for i, key in enumerate(keys[shard.n_null :].tolist(), shard.n_null):
+                assert shard.ids(*offsets[i : i + 2]).tolist() in [x.tolist() for x in shard.get(key)] and shard.find(np.array([key]))[0] <= i
+            assert shard.get(10_000_001) == []
+        # random lookups over all shards, absent and repeated keys among them
+        asked = [1, 3, 6, 6, 10_000_001, -5, 10, None]
+        expected = sorted((r["doc_id"], [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in df.collect() if r["doc_id"] in asked and r["doc_id"] is not None)
+        found = tokenfiles.lookup(manifest, folder, spark.createDataFrame([(a, "s") for a in asked], "doc_id long, shard string"))
+        assert sorted((r["key"], r["ids"]) for r in found.collect()) == expected
     folder = scratch_path(spark, "t")
-    assert tokenfiles.read_token_files(tokenfiles.write_token_files(none, folder), folder).count() == 0
+    empty = tokenfiles.write_token_files(none, folder)
+    assert tokenfiles.read_token_files(empty, folder).count() == 0
+    assert tokenfiles.lookup(empty, folder, cases).count() == 0
 
 
 # 8 exact
