@@ -6,9 +6,10 @@ pieces are dealt by a hash of a stored row number to partitions of at most about
 bounds from dual feasible functions (the volume bound, the threshold functions and
 the rounding functions) certify its number of sequences.  Partitions whose number
 exceeds the bound (all, where only the sum exceeds the bound of the whole table) exchange
-their documents among each other under a new hash, over half as many partitions, as more documents leave smaller gaps, and are packed again;
-the better of old and new stays.  After ``ROUNDS`` rounds a task has had ``2 ** ROUNDS``
-times ``PART_ITEMS`` numbers at most.  Only sums of bin counts reach the driver.
+their documents among each other under a new hash, and are packed again; the better of old
+and new stays.  More documents leave smaller gaps, so a round deals them over half as many
+partitions, down to ``MOST_ITEMS`` pieces each, which bounds a task.  Rounds go on until the
+count meets the bound or a round gains nothing.  Only sums of bin counts reach the driver.
 
 Defined cases: a null text is empty and has the end id alone; an empty table packs
 into nothing; repeated rows are packed each on its own; pieces of full length are a
@@ -29,8 +30,8 @@ from .common import discard, materialise, table
 from .tokens import arrow_rows, lots, word_document_encoder
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
-#: Pieces that one task packs, and how often partitions with gaps exchange documents.
-PART_ITEMS, ROUNDS = 50_000, 3
+#: Pieces that one task packs at first, and that exchanges bring together in one, about.
+PART_ITEMS, MOST_ITEMS = 50_000, 400_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("uid", pa.int64())])
 _PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
@@ -122,32 +123,35 @@ def _totals(packed: DataFrame) -> tuple[int, int, int, int]:
     return tuple(by_part.agg(F.count(F.lit(1)), z(F.sum((F.col("bins") > F.col("bound")).cast("long"))), z(F.sum("bins")), z(F.sum("bound"))).first())
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, most_items: int = MOST_ITEMS) -> DataFrame:
     """``pieces`` (stored; unique uid, length <= capacity) with sequence_id and offset."""
     short = pieces.where(F.col("length") < capacity)
-    n = short.count()
-    parts = max(1, -(-n // part_items))
-    deal = lambda r, k: F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(k)) + F.lit(r << 32)
-    best = materialise(_packed(short.withColumn("part", deal(0, parts)), capacity), "packed")
     counts = np.zeros(capacity + 1, np.int64)
     for length, many in short.groupBy("length").count().collect():  # a row a length: capacity rows at most
         counts[length] = many
-    least = bound_of_counts(counts, capacity)
-    for r in range(1, rounds + 1):
+    least, n = bound_of_counts(counts, capacity), int(counts.sum())
+    deal = lambda r, k: F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(k)) + F.lit(r << 32)
+    best = materialise(_packed(short.withColumn("part", deal(0, max(1, -(-n // part_items)))), capacity), "packed")
+    r = 0
+    while True:
         n_parts, n_gaps, bins, _ = _totals(best)
         if n_parts < 2 or bins <= least:
             break
         # partitions that are certified each may still not be so together: then all exchange
         gap = F.col("bins") > F.col("bound") if n_gaps > 1 else F.lit(True)
-        k = n_gaps if n_gaps > 1 else n_parts
-        again = materialise(_packed(best.where(gap).withColumn("part", deal(r, -(-k // 2))), capacity), "packed")
-        if _totals(again)[2] < _totals(best.where(gap))[2]:
-            best = best.where(~gap).unionByName(again)
-        else:
-            discard(again)
-    placed = best
+        apart, r = best.where(gap), r + 1
+        before, items = _totals(apart)[2], apart.count()
+        k = max(-(-(n_gaps if n_gaps > 1 else n_parts) // 2), -(-items // most_items))
+        again = materialise(_packed(apart.withColumn("part", deal(r, k)), capacity), "packed")
+        gained = _totals(again)[2] < before
+        if gained:
+            old, best = best, materialise(best.where(~gap).unionByName(again), "packed")
+            discard(old)
+        discard(again)
+        if not gained:
+            break
     sequence = F.col("part") * F.lit(1 << 20) + F.col("bin")
-    placed = placed.select("uid", sequence.alias("sequence_id"), "offset")
+    placed = best.select("uid", sequence.alias("sequence_id"), "offset")
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -F.col("uid") - 1, "offset": F.lit(0).cast("long")})
     return short.join(placed, "uid").unionByName(full)
 

@@ -147,7 +147,11 @@ def test_exchange_between_partitions(spark):
     got = packing.pack_pieces(pieces, part_items=1000).toPandas()
     assert sorted(got["uid"]) == list(range(3000))
     sums = got.groupby("sequence_id")["length"].sum()
-    assert sums.max() <= 2048 and len(sums) <= 1.02 * packing.lower_bound(np.array([r[3] for r in rows]), 2048)
+    least, whole = packing.lower_bound(np.array([r[3] for r in rows]), 2048), brute_bfd([r[3] for r in rows], 2048)
+    assert sums.max() <= 2048 and least <= len(sums) <= 1.02 * least
+    # exchanges end where the bound is met, where one partition holds all, or where a round gains nothing
+    sums = packing.pack_pieces(pieces, part_items=100, most_items=3000).toPandas().groupby("sequence_id")["length"].sum()
+    assert sums.max() <= 2048 and len(sums) <= 1.02 * whole
 
 
 # 3 neighbours
