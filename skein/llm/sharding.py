@@ -1,13 +1,20 @@
 """Sharding by longest-processing-time scheduling of groups that must stay together.
 
-Groups (here: equal texts) are sized in Spark.  The law is that shards get nearly
-equal bytes.  Scheduling every group on the driver would grow with the corpus, so
-only what can unbalance a shard is scheduled alone: groups above
-``total / (n_shards * grain)`` bytes, of which there are at most ``n_shards * grain``.
-The others are dealt by hash into ``n_shards * grain`` bundles whose sizes Spark
-adds up.  Heavy groups and bundles, sorted by size, then go one after another to
-the least-loaded shard through a heap; at most ``2 * n_shards * grain`` numbers reach
-the driver, and so many the broadcast tables hold, whatever the input's size.
+Groups (here: equal texts) are sized in Spark.  The law is that shards get nearly equal
+bytes.  Every group is scheduled by size, in two layers, since a heap over all groups of
+a corpus would be one task:
+
+1. Groups are dealt by hash to cells.  In each cell they go, sorted by size, one after
+   another to the least-loaded of the cell's bins through a heap.  A task holds the heap
+   only; Spark sorts.  All cells together have ``BINS`` bins for each shard.
+2. The bins, sorted by size, go one after another to the least-loaded shard through a
+   heap on the driver: ``n_shards * BINS`` numbers, whatever the input's size.
+
+A group that is larger than the rest of its cell's share has its bin to itself, so large
+groups are scheduled as they are; small inputs have fewer groups than bins, and then the
+schedule is that of the groups themselves.  Two shards differ by no more than the bin that
+was placed last on the larger one; unless a group is larger, that is one part in ``BINS``
+of a fair share, about.
 
 A row's slot is its place in its shard.  Shards are numbered in sub-buckets (hash of
 the id) whose counts give the offsets, so one shard's rows are never in one task.
@@ -20,14 +27,17 @@ fair share fills its shard alone, since groups stay together.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table, text_or_empty
+from .tokens import arrow_rows
 
-#: Scheduled items per shard: the balance is within one part in so many of a fair share.
-GRAIN = 256
+#: Bins that the driver schedules for each shard, the groups of a cell, about, and the most cells, each with a bin a shard at least.
+BINS, CELL_GROUPS, MAX_CELLS = 256, 50_000, 256
 #: Rows that one sub-bucket should number, and the most sub-buckets of a shard.
 SLOT_ROWS, MAX_SUBS = 50_000, 4096
 
@@ -43,40 +53,64 @@ def longest_first(sizes: dict, n_shards: int) -> dict:
     return out
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", grain: int = GRAIN) -> DataFrame:
+def bins_of_groups(groups: DataFrame, cells: int, bins: int) -> DataFrame:
+    """``groups`` (_group, bytes) with _cell and _bin: each cell's groups by falling size (ties: by group) to its least-loaded bin (ties: the lower)."""
+    schema = pa.schema([("_group", pa.binary()), ("bytes", pa.int64()), ("_cell", pa.int32()), ("_bin", pa.int32())])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        cell, heap = None, []
+        for batch in batches:
+            placed = []
+            for of, size in arrow_rows([batch], "_cell", "bytes"):
+                if of != cell:
+                    cell, heap = of, [(0, b) for b in range(bins)]
+                load, b = heap[0]
+                heapq.heapreplace(heap, (load + size, b))
+                placed.append(b)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("_group", "bytes", "_cell")), pa.array(placed, pa.int32())], schema=schema)
+
+    dealt = groups.select("_group", "bytes", F.pmod(F.xxhash64("_group"), F.lit(cells)).cast("int").alias("_cell"))
+    dealt = dealt.repartition("_cell").sortWithinPartitions("_cell", F.desc("bytes"), "_group")
+    return dealt.mapInArrow(run, "_group binary, bytes long, _cell int, _bin int")
+
+
+_MADE = ("_size", "_crc32", "_group", "shard", "slot")
+
+
+def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with _size, _crc32 and _group of their texts."""
+    text = text_or_empty(text_col)
+    return docs.select(*(c for c in docs.columns if c not in _MADE), (F.octet_length(text).cast("long") + 16).alias("_size"), F.crc32(text).alias("_crc32"), F.unhex(F.md5(text)).alias("_group"))
+
+
+def assign_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, cell_groups: int = CELL_GROUPS) -> DataFrame:
     """``docs`` with _size, _crc32, _group, shard and slot."""
-    if n_shards < 1 or grain < 1:
-        raise ValueError("n_shards and grain must be at least 1")
-    spark = docs.sparkSession
-    carried = [c for c in docs.columns if c not in ("shard", "slot", "_size", "_crc32", "_group")]
-    rows = docs.select(
-        *carried,
-        (F.octet_length(text_or_empty(text_col)).cast("long") + 16).alias("_size"),
-        F.crc32(text_or_empty(text_col)).alias("_crc32"),
-        F.unhex(F.md5(text_or_empty(text_col))).alias("_group"),
-    )
-    groups = materialise(rows.groupBy("_group").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-groups")
-    total, n_rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-
-    n_bundles = n_shards * grain
-    heavy = F.col("bytes") * n_bundles > F.lit(total)
-    bundle = F.pmod(F.xxhash64("_group"), F.lit(n_bundles)).cast("int")
-    sizes: dict = {("g", bytes(r["_group"])): r["bytes"] for r in groups.where(heavy).select("_group", "bytes").toLocalIterator()}
-    light = groups.where(~heavy).groupBy(bundle.alias("b")).agg(F.sum("bytes").alias("bytes"))
-    sizes |= {("b", r["b"].to_bytes(4, "big")): r["bytes"] for r in light.toLocalIterator()}
-    placed = longest_first(sizes, n_shards)
-    of_group = spark.createDataFrame([(bytearray(k), s) for (kind, k), s in placed.items() if kind == "g"], "_group binary, _sg int")
-    of_bundle = spark.createDataFrame([(int.from_bytes(k, "big"), s) for (kind, k), s in placed.items() if kind == "b"], "_b int, _sb int")
+    return place(sized(docs, text_col), n_shards, id_col, bins, cell_groups)
 
+
+def place(rows: DataFrame, n_shards: int = 40, id_col: str = "doc_id", bins: int = BINS, cell_groups: int = CELL_GROUPS) -> DataFrame:
+    """Sized ``rows`` with shard and slot."""
+    if n_shards < 1 or bins < 1 or cell_groups < 1:
+        raise ValueError("n_shards, bins and cell_groups must be at least 1")
+    spark = rows.sparkSession
+    groups = materialise(rows.groupBy("_group").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-groups")
+    n_groups, n_rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    cells = max(1, min(MAX_CELLS, -(-n_groups // cell_groups)))
+    binned = materialise(bins_of_groups(groups, cells, max(n_shards, n_shards * bins // cells)), "shard-bins")
+    # n_shards * max(BINS, MAX_CELLS) rows at most, here and in what is broadcast
+    sizes = {(r["_cell"], r["_bin"]): r["bytes"] for r in binned.groupBy("_cell", "_bin").agg(F.sum("bytes").alias("bytes")).collect()}
+    shard_of = spark.createDataFrame([(*b, s) for b, s in longest_first(sizes, n_shards).items()], "_cell int, _bin int, shard int")
+    sharded_groups = binned.join(F.broadcast(shard_of), ["_cell", "_bin"]).select("_group", "shard")
+    # groups of many rows, at most n_shards * BINS, are broadcast: the others have no hot key
+    hot = groups.where(F.col("n") * n_shards * bins > n_rows).select("_group")
+    hot_shards = materialise(sharded_groups.join(F.broadcast(hot), "_group", "left_semi"), "shard-hot-groups")
+    marked = rows.join(F.broadcast(hot_shards), "_group", "left")
+    first = marked.where("shard is not null")
+    rest = marked.where("shard is null").drop("shard").join(sharded_groups.join(F.broadcast(hot), "_group", "left_anti"), "_group")
+    columns = [*rows.columns, "shard"]
     subs = int(min(MAX_SUBS, max(4, n_rows // (n_shards * SLOT_ROWS) + 1)))
-    sharded = (
-        rows.withColumn("_b", bundle)
-        .join(F.broadcast(of_group), "_group", "left")
-        .join(F.broadcast(of_bundle), "_b", "left")
-        .withColumn("shard", F.coalesce("_sg", "_sb"))
-        .withColumn("_sub", F.pmod(F.xxhash64(id_col, "_group"), F.lit(subs)).cast("int"))
-        .drop("_b", "_sg", "_sb")
-    )
+    sharded = first.select(*columns).unionByName(rest.select(*columns)).withColumn("_sub", F.pmod(F.xxhash64(id_col, "_group"), F.lit(subs)).cast("int"))
     # n_shards * MAX_SUBS rows at most
     counts = sharded.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +120,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", t
         sharded.withColumn("_rank", F.row_number().over(within))
         .join(F.broadcast(offsets), ["shard", "_sub"])
         .withColumn("slot", (F.col("_offset") + F.col("_rank") - 1).cast("long"))
-        .select(*carried, "_size", "_crc32", "_group", "shard", "slot")
+        .select(*rows.columns, "shard", "slot")
     )
 
 
@@ -97,8 +131,8 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 40, id_col: str = "
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # ids, sizes and hashes are numbered; the texts stay where they are
-    sharded = assign_shards(docs, 40)
+    # the texts are read once; ids, sizes and hashes are placed and numbered
+    sharded = place(materialise(sized(docs).drop("text"), "shard-rows"), 40)
     return sharded.select(
         "doc_id",
         F.col("_size").alias("size"),

@@ -49,9 +49,10 @@ def test_longest_first_is_the_greedy_schedule():
         loads[j] += s
 
 
-def test_shards(docs, cases, none):
+@pytest.mark.parametrize("cell_groups", [50_000, 40])
+def test_shards(docs, cases, none, cell_groups):
     for df in (docs, clashing(cases, shard=1, slot=2, _size=3)):
-        rows = sharding.assign_shards(df, 5).collect()
+        rows = sharding.assign_shards(df, 5, cell_groups=cell_groups).collect()
         assert len(rows) == df.count()
         by_text, slots, loads = {}, {}, [0] * 5
         for r in rows:
@@ -61,10 +62,21 @@ def test_shards(docs, cases, none):
             loads[r["shard"]] += r["_size"]
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.assign_shards(none, 5).count() == 0
-    balanced = sharding.assign_shards(docs, 5).groupBy("shard").agg(F.sum("_size").alias("b")).toPandas()["b"]
+    balanced = sharding.assign_shards(docs, 5, cell_groups=cell_groups).groupBy("shard").agg(F.sum("_size").alias("b")).toPandas()["b"]
     assert balanced.max() - balanced.min() <= 0.02 * balanced.sum()
 
 
+@pytest.mark.parametrize("cells, bins", [(1, 400), (1, 30), (4, 30)])
+def test_every_group_goes_largest_first_to_the_least_loaded_bin(spark, cells, bins):
+    rng = random.Random(3)
+    rows = [(bytearray(i.to_bytes(16, "big")), rng.choice([rng.randrange(20, 60), rng.randrange(20, 40_000)])) for i in range(300)]
+    got = sharding.bins_of_groups(spark.createDataFrame(rows, "_group binary, bytes long").repartition(3), cells, bins).collect()
+    assert sorted((bytes(r["_group"]), r["bytes"]) for r in got) == sorted((bytes(g), s) for g, s in rows)
+    for cell in {r["_cell"] for r in got}:
+        mine = {bytes(r["_group"]): (r["bytes"], r["_bin"]) for r in got if r["_cell"] == cell}
+        assert {g: b for g, (_, b) in mine.items()} == sharding.longest_first({g: s for g, (s, _) in mine.items()}, bins)
+
+
 # 2 packing
 def brute_bfd(lengths, capacity):
     rooms = []
