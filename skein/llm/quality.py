@@ -1,13 +1,13 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms are byte-shape trigrams: every byte becomes one of sixteen classes (lower case,
-upper case, digit, space, line end, a few marks, the rest), and a text is the counts of
-its class trigrams, plus one term for words that repeat the word before them.  These say
-how a text is built, whatever its language.  A truncated SVD of the weighted counts of a
-bounded sample of labelled texts gives the latent space; the sample's vectors are
-broadcast (``SAMPLE * DIMS`` numbers at most), and every document's cosine with every
-one of them is computed in blocks.  The ``NEIGHBOURS`` nearest vote with their labels,
-weighted by a power of their similarity.
+A text's terms are of four kinds: its words, lower-cased and hashed; its byte trigrams,
+hashed; the trigrams of its bytes' shapes (lower and upper case, digits, white space, kinds
+of marks, other scripts); and how often a word is the one before it again, as one of a few
+steps.  Counts are weighted by log(1 + count) and by the inverse document frequency, and each
+kind has an equal share of a text's vector.  A truncated SVD of a bounded sample of labelled
+texts gives the latent space; the sample's vectors are broadcast (``SAMPLE * DIMS`` numbers
+at most), and every document's cosine with every one of them is computed in blocks.  The
+``NEIGHBOURS`` nearest vote with their labels, weighted by a power of their similarity.
 
 The fit reads labels of training rows only: crc32 of the id as text, mod 4, is not 2.
 It takes the ``SAMPLE`` rows with the smallest hash of their id; that bound is a parameter.
@@ -15,7 +15,7 @@ It takes the ``SAMPLE`` rows with the smallest hash of their id; that bound is a
 Defined cases: a null or empty text, and any text without a positive cosine, gets the
 share of good labels in the sample; without any training label the score is 0.5; ids with
 several label rows count with their mean label; null labels are ignored; rows with a null
-id are scored and are not held out.
+id are scored and are not held out; other columns, of whatever name, are carried along.
 """
 
 from __future__ import annotations
@@ -24,39 +24,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
+from .shingles import KEPT_WORDS
 from .tokens import arrow_rows
 
 SAMPLE, DIMS, NEIGHBOURS, POWER, THRESHOLD = 4000, 64, 15, 8, 0.7
 #: Documents whose cosines are one block.
 BLOCK = 256
-#: Weight of the repeated-word term, whose count is per 200 words.
-REPEATS, REPEAT_WEIGHT = 200, 4.0
-_TERMS = 4097
+#: Places for words, byte trigrams, shape trigrams (16 shapes) and steps of repetition.
+_PLACES = (2048, 2048, 4096, 16)
+_ENDS = np.cumsum((0, *_PLACES))
+_SHAPES = ("\n\r", " ", "0123456789", ".!?", ",;:", "'\"`", "()[]{}<>", "-_/\\|", "#$%&*+=@^~")
 
 
-def _classes() -> np.ndarray:
-    named = {" ": 4, "\n": 5, "\r": 5, ".": 6, ",": 7, "!": 8, "|": 9, "*": 10, "$": 11, "%": 11, "#": 12, "&": 12}
-    kind = lambda b: 13 if b >= 128 else named.get(ch := chr(b)) or (1 if ch.islower() else 2 if ch.isupper() else 3 if ch.isdigit() else 14 if b > 32 else 15)
-    return np.array([kind(b) for b in range(256)], np.int32)
+def _shapes() -> np.ndarray:
+    kind = lambda ch: next((i for i, some in enumerate(_SHAPES) if ch in some), 9 if ch.islower() else 10 if ch.isupper() else 11)
+    return np.array([kind(chr(b)) if b < 128 else 12 for b in range(256)], np.int32)
 
 
-_CLASSES = _classes()
+_SHAPE = _shapes()
+
+
+class _Words(dict):
+    """Word -> place; beyond ``KEPT_WORDS`` the cache starts anew."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        place = self[word] = xxhash.xxh3_64_intdigest(word) % _PLACES[0]
+        return place
+
+
+_WORDS = _Words()
 
 
 def term_counts(text: str) -> np.ndarray:
-    """Counts of the text's class trigrams; the last place has its rate of repeated words."""
-    out = np.zeros(_TERMS, np.float32)
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    for at in range(0, max(0, len(data) - 2), 1 << 20):
-        c = _CLASSES[data[at : at + (1 << 20) + 2]]
-        out[:-1] += np.bincount(c[:-2] * 256 + c[1:-1] * 16 + c[2:], minlength=_TERMS - 1)
-    found = text.split()
+    """Counts of the text's terms, kind after kind."""
+    out = np.zeros(_ENDS[-1], np.float32)
+    words, trigrams, shapes, steps = (out[a:b] for a, b in zip(_ENDS, _ENDS[1:], strict=False))
+    data = text.encode("utf-8", "surrogatepass")
+    found = data.lower().split()
+    if found:
+        words += np.bincount(np.fromiter(map(_WORDS.__getitem__, found), np.int64, len(found)), minlength=len(words))
     if len(found) > 1:
-        out[-1] = REPEATS * sum(map(str.__eq__, found[1:], found)) / len(found)
+        again = sum(map(bytes.__eq__, found[1:], found)) / (len(found) - 1)
+        steps[round(again * (len(steps) - 1))] = 1
+    some = np.frombuffer(data, np.uint8)
+    for at in range(0, max(0, len(some) - 2), 1 << 20):
+        b = some[at : at + (1 << 20) + 2].astype(np.uint32)
+        trigrams += np.bincount((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1) >> np.uint32(21), minlength=len(trigrams))
+        c = _SHAPE[b]
+        shapes += np.bincount(c[:-2] * 256 + c[1:-1] * 16 + c[2:], minlength=len(shapes))
     return out
 
 
@@ -69,10 +91,9 @@ class Model:
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, dims: int = DIMS):
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        self.columns = np.flatnonzero((counts > 0).sum(axis=0) >= 2) if len(labels) else np.empty(0, np.int64)
-        seen = (counts[:, self.columns] > 0).sum(axis=0)
+        seen = (counts > 0).sum(axis=0)
+        self.columns = np.flatnonzero(seen >= 2) if len(labels) else np.empty(0, np.int64)
         self.weight = (np.log((1 + len(labels)) / (1 + seen)) + 1).astype(np.float32)
-        self.weight[self.columns == _TERMS - 1] *= REPEAT_WEIGHT
         rows = self._weighted(counts)
         dims = min(dims, *rows.shape) if rows.size else 0
         basis = np.random.default_rng(0).standard_normal((rows.shape[1], min(rows.shape[1], dims + 16))).astype(np.float32)
@@ -85,7 +106,11 @@ class Model:
         self.vectors, self.labels = self._unit(rows @ self.basis), labels.astype(np.float32)
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
-        return self._unit(np.log1p(counts[:, self.columns]) * self.weight)
+        x = np.log1p(counts)
+        x *= self.weight
+        for a, b in zip(_ENDS, _ENDS[1:], strict=False):  # each kind of term has the same length
+            x[:, a:b] /= np.maximum(np.linalg.norm(x[:, a:b], axis=1, keepdims=True), 1e-9)
+        return self._unit(x[:, self.columns])
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -118,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     found = texts.select("_id", "_y", "_t").mapInArrow(run, "_id long, _y double, at array<int>, n array<float>")
     found = found.dropDuplicates(["_id"]).orderBy("_id").toArrow()
-    counts = np.zeros((found.num_rows, _TERMS), np.float32)
+    counts = np.zeros((found.num_rows, _ENDS[-1]), np.float32)
     for i, (at, n) in enumerate(zip(found["at"], found["n"], strict=True)):
         counts[i, at.values.to_numpy()] = n.values.to_numpy()
     return Model(counts, found["_y"].to_numpy())

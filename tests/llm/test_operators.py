@@ -224,6 +224,34 @@ def test_quality_held_out_accuracy_and_cases(spark, cases, none):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_votes_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    texts = [r["text"] or "" for r in docs.limit(50).collect()] + ["", "one", "Ж 中 ! 1", "again again again"]
+    got = model.score(np.stack([quality.term_counts(t) for t in texts]))
+    for text, score in zip(texts, got, strict=True):
+        v = model._weighted(quality.term_counts(text)[None])[0].astype(np.float64) @ model.basis.astype(np.float64)
+        v /= max(np.linalg.norm(v), 1e-9)
+        near = sorted(((max(float(v @ u), 0.0), float(y)) for u, y in zip(model.vectors.astype(np.float64), model.labels, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        total = sum(c**quality.POWER for c, _ in near)
+        assert abs(score - (sum(c**quality.POWER * y for c, y in near) / total if total else model.prior)) < 2e-3
+
+
+def test_terms_by_definition():
+    text = "Ab ab 1,\nÉ é é " * 3
+    counts = quality.term_counts(text)
+    words, trigrams, shapes, steps = np.split(counts, quality._ENDS[1:-1])
+    data = text.encode()
+    assert words.sum() == len(data.lower().split()) and trigrams.sum() == shapes.sum() == len(data) - 2 and steps.sum() == 1
+    kind = lambda b: 12 if b >= 128 else {"\n": 0, " ": 1, "1": 2, ",": 4}.get(chr(b), 9 if chr(b).islower() else 10)
+    for x in range(len(data) - 2):
+        shapes[kind(data[x]) * 256 + kind(data[x + 1]) * 16 + kind(data[x + 2])] -= 1
+    assert not shapes.any()
+    found = data.lower().split()
+    assert steps[round(15 * sum(a == b for a, b in zip(found, found[1:])) / (len(found) - 1))] == 1
+
+
 # 5 WARC
 def test_warc_round_trip_and_cases(spark):
     big = "<p>" + "é" * 2000
