@@ -50,7 +50,7 @@ BATCH, MISS = 28, 1e-6
 SKETCH = 16
 
 #: Members of a class that one task compares with the class's representative, and of a bucket that one cell of its grid holds.
-CLASS_LOT, CELL = 2000, 2000
+CLASS_LOT, CELL = 200, 2000
 
 _ROW = "_near_row"
 
