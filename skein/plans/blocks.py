@@ -24,12 +24,15 @@ def stats(t, minutes: int = WEEK):
     )
 
 
-_COUNTS = {"authoring": 40, "authoring_failed": 41, "authored": 42, "importing": 43, "verification_failed": 44, "verified": 45, "execution_failed": 46, "executed": 47, "announced": 62, "transferred": 68}
+# fixed values
+_COUNTS = {"authoring": 40, "authoring_failed": 41, "authored": 42, "importing": 43, "verification_failed": 44, "verified": 45, "execution_failed": 46, "executed": 47, "best_block_changes": 11, "finalized_block_changes": 12}
 
 
 @query(
     "q10_block_stats",
-    "SELECT " + ", ".join(f"coalesce(CAST(sum(event_count) FILTER (event_type = {i}) AS BIGINT), 0) AS {n}" for n, i in _COUNTS.items()) + " FROM st, a WHERE bucket > t - INTERVAL 7 DAY",
+    """, c AS (SELECT event_type, CAST(sum(event_count) AS BIGINT) AS n FROM st, a WHERE bucket > t - INTERVAL 7 DAY GROUP BY 1), v AS (SELECT coalesce(max(n), 0) AS n, y FROM (VALUES (40), (41), (42), (43), (44), (45), (46), (47), (11), (12)) z(y) LEFT JOIN c ON event_type = y GROUP BY y)
+SELECT max(n) FILTER (y = 40) AS authoring, max(n) FILTER (y = 41) AS authoring_failed, max(n) FILTER (y = 42) AS authored, max(n) FILTER (y = 43) AS importing, max(n) FILTER (y = 44) AS verification_failed,
+  max(n) FILTER (y = 45) AS verified, max(n) FILTER (y = 46) AS execution_failed, max(n) FILTER (y = 47) AS executed, max(n) FILTER (y = 11) AS best_block_changes, max(n) FILTER (y = 12) AS finalized_block_changes FROM v""",
 )
 def block_stats(t, minutes: int = WEEK):
     """Counts from the one-minute aggregate."""

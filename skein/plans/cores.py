@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, ms_between, one_of
+from ..functions.columns import count_if, ms_between, one_of, ratio
 from ..operators.joins import either_key_join
 from .registry import query
 
@@ -81,7 +81,7 @@ def tickets_per_epoch(t):
 
 def _participants(t, core: int) -> DataFrame:
     """Events of a core's packages, found by whichever id an event carries."""
-    keyed = t.packages.select("node_id", "timestamp", "event_type", "gas", F.when(F.col("event_type").isin(94, 95), F.col("package")).alias("submission_id"), F.when(~F.col("event_type").isin(94, 95), F.col("package")).alias("share_id"))
+    keyed = t.packages.select("node_id", "timestamp", "event_type", "gas", "part", F.when(F.col("event_type").isin(94, 95), F.col("package")).alias("submission_id"), F.when(~F.col("event_type").isin(94, 95), F.col("package")).alias("share_id"))
     own = t.packages.where((F.col("event_type") == 94) & (F.col("core") == core)).select(F.col("package").alias("id")).distinct()
     return either_key_join(keyed, ["submission_id", "share_id"], own, "id")
 
@@ -135,19 +135,39 @@ def core_metrics(t, core: int = 3, most_ms: float = 86_400_000_000):
 
 @query(
     "q47_core_bottlenecks",
-    """, g AS (SELECT node_id, event_type, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY node_id ORDER BY timestamp, event_id))) / 1000.0 AS ms FROM ev WHERE event_type BETWEEN 90 AND 109),
-n AS (SELECT node_id, count(ms) AS gaps, avg(ms) AS avg_ms, count(*) FILTER (event_type IN (92, 99, 107)) / count(*)::DOUBLE AS failure_share FROM g GROUP BY node_id HAVING count(ms) > 5), w AS (SELECT avg(ms) AS network FROM g)
-SELECT node_id, gaps, round(avg_ms, 3) AS avg_ms, round(failure_share, 6) AS failure_share, avg_ms > 1.5 * network OR failure_share > 0.1 AS is_bottleneck FROM n, w WHERE avg_ms > 1.2 * network OR failure_share > 0.05""",
+    _PARTICIPANTS
+    + """, g AS (SELECT node_id, event_type, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY node_id ORDER BY timestamp, package, event_type, part, gas))) / 1000.0 AS ms FROM pe WHERE event_type IN (94, 95, 101, 102, 105, 109, 92)),
+n AS (SELECT node_id, count(*) AS event_count, count(*) FILTER (event_type = 92) AS failure_count, avg(ms) AS avg_ms FROM g WHERE ms IS NOT NULL GROUP BY node_id HAVING count(*) > 5), w AS (SELECT avg(avg_ms) AS network FROM n)
+SELECT node_id, round(avg_ms, 3) AS avg_ms, event_count, failure_count, round(CAST(CAST(failure_count AS DECIMAL(38, 10)) / event_count AS DOUBLE), 3) AS failure_rate, round(avg_ms / nullif(network, 0), 2) AS slowdown,
+  avg_ms > 1.5 * network OR failure_count / event_count::DOUBLE > 0.1 AS is_bottleneck FROM n, w WHERE avg_ms > 1.2 * network OR failure_count / event_count::DOUBLE > 0.05 ORDER BY n.avg_ms DESC, node_id LIMIT 10""",
+)
+def core_bottlenecks(t, core: int = 3, least: int = 5, limit: int = 10):
+    """Nodes of a core whose gaps between package events are long against the mean node's, or that fail often."""
+    order = Window.partitionBy("node_id").orderBy("timestamp", F.coalesce("submission_id", "share_id"), "event_type", "part", "gas")
+    gaps = _participants(t, core).where(_kind(94, 95, 101, 102, 105, 109, 92)).withColumn("ms", ms_between(F.col("timestamp"), F.lag("timestamp").over(order)))
+    by = gaps.where("ms IS NOT NULL").groupBy("node_id").agg(F.count(F.lit(1)).alias("event_count"), count_if(_kind(92)).alias("failure_count"), F.avg("ms").alias("avg_ms")).where(F.col("event_count") > least)
+    joined = by.crossJoin(F.broadcast(by.agg(F.avg("avg_ms").alias("network"))))  # one row
+    share = F.col("failure_count") / F.col("event_count")
+    over = lambda times, most: (F.col("avg_ms") > times * F.col("network")) | (share > most)
+    slowest = joined.where(over(1.2, 0.05)).orderBy(F.desc("avg_ms"), "node_id").limit(limit)
+    return slowest.select(
+        "node_id",
+        F.round("avg_ms", 3).alias("avg_ms"),
+        "event_count",
+        "failure_count",
+        ratio(F.col("failure_count"), F.col("event_count"), 3).alias("failure_rate"),
+        F.round(F.col("avg_ms") / F.nullif("network", F.lit(0.0)), 2).alias("slowdown"),
+        over(1.5, 0.1).alias("is_bottleneck"),
+    )
+
+
+@query(
+    "q47_bottleneck_totals",
+    _PARTICIPANTS + " SELECT count(*) AS total_events, count(*) FILTER (event_type = 92) AS total_failures, count(DISTINCT node_id) AS validators FROM pe WHERE event_type IN (94, 95, 101, 102, 105, 109, 92)",
 )
-def core_bottlenecks(t):
-    """Nodes whose gaps between package events are long against the network's, or that fail often."""
-    order = Window.partitionBy("node_id").orderBy("timestamp", "event_id")
-    gaps = t.events.where(F.col("event_type").between(90, 109)).withColumn("ms", ms_between(F.col("timestamp"), F.lag("timestamp").over(order)))
-    by = gaps.groupBy("node_id").agg(F.count("ms").alias("gaps"), F.avg("ms").alias("avg_ms"), F.sum("ms").alias("sum_ms"), (count_if(_kind(92, 99, 107)) / F.count(F.lit(1))).alias("failure_share"))
-    network = by.agg((F.sum("sum_ms") / F.sum("gaps")).alias("network"))
-    joined = by.where("gaps > 5").crossJoin(F.broadcast(network))  # one row
-    over = lambda times, share: (F.col("avg_ms") > times * F.col("network")) | (F.col("failure_share") > share)
-    return joined.where(over(1.2, 0.05)).select("node_id", "gaps", F.round("avg_ms", 3).alias("avg_ms"), F.round("failure_share", 6).alias("failure_share"), over(1.5, 0.1).alias("is_bottleneck"))
+def bottleneck_totals(t, core: int = 3):
+    own = _participants(t, core).where(_kind(94, 95, 101, 102, 105, 109, 92))
+    return own.agg(F.count(F.lit(1)).alias("total_events"), count_if(_kind(92)).alias("total_failures"), F.count_distinct("node_id").alias("validators"))
 
 
 @query(

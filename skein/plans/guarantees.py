@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, ms_between, one_of, ratio
@@ -41,14 +40,15 @@ def preimage_counts(t):
     return t.events.where(F.col("event_type").between(190, 199)).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("node_id").alias("nodes"))
 
 
-_G = {"built": 105, "sending": 106, "send_failed": 107, "sent": 108, "distributed": 109, "received": 112, "discarded": 113}
+# fixed values
+_G = {"built": 105, "sending": 106, "send_failed": 107, "sent": 108, "distributed": 109, "receiving": 110, "receive_failed": 111, "received": 112, "discarded": 113}
 
 
 @query(
     "q19_guarantee_stats",
-    "SELECT "
-    + ", ".join(f"count(*) FILTER (event_type = {i}) AS {n}" for n, i in _G.items())
-    + """, CASE WHEN count(*) FILTER (event_type IN (107, 108)) = 0 THEN '100.00%' ELSE printf('%.2f%%', 100.0 * count(*) FILTER (event_type = 108) / count(*) FILTER (event_type IN (107, 108))) END AS success_rate
+    """SELECT count(*) FILTER (event_type = 105) AS built, count(*) FILTER (event_type = 106) AS sending, count(*) FILTER (event_type = 107) AS send_failed, count(*) FILTER (event_type = 108) AS sent,
+  count(*) FILTER (event_type = 109) AS distributed, count(*) FILTER (event_type = 110) AS receiving, count(*) FILTER (event_type = 111) AS receive_failed, count(*) FILTER (event_type = 112) AS received,
+  count(*) FILTER (event_type = 113) AS discarded, CASE WHEN count(*) FILTER (event_type IN (107, 108)) = 0 THEN '100.00%' ELSE printf('%.2f%%', 100.0 * count(*) FILTER (event_type = 108) / count(*) FILTER (event_type IN (107, 108))) END AS success_rate
 FROM ev, a WHERE timestamp > t - INTERVAL 7 DAY""",
 )
 def guarantee_stats(t, minutes: int = 7 * 1440):
@@ -63,37 +63,38 @@ def guarantees_by_node(t, minutes: int = 7 * 1440, limit: int = 50):
     return by.orderBy(F.desc("guarantees"), "node_id").limit(limit)
 
 
-@query("q19_recent_guarantees", "SELECT timestamp, node_id, event_id, event_type, core FROM ev WHERE event_type BETWEEN 105 AND 113 ORDER BY timestamp DESC, event_id DESC LIMIT 50")
+@query("q19_recent_guarantees", "SELECT timestamp, node_id, event_id, event_type, core FROM ev WHERE event_type IN (105, 112, 113) ORDER BY timestamp DESC, event_id DESC LIMIT 50")
 def recent_guarantees(t, limit: int = 50):
-    return t.events.where(F.col("event_type").between(105, 113)).select("timestamp", "node_id", "event_id", "event_type", "core").orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
+    return t.events.where(_kind(105, 112, 113)).select("timestamp", "node_id", "event_id", "event_type", "core").orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
 
 
 _BY_GUARANTOR = """, g AS (
-  SELECT node_id, count(*) FILTER (event_type = 105) AS built, count(*) FILTER (event_type = 108) AS sent, count(*) FILTER (event_type = 107) AS failed, count(DISTINCT core) FILTER (event_type = 105) AS cores
-  FROM ev, a WHERE event_type IN (105, 107, 108) AND timestamp > t - INTERVAL 30 DAY GROUP BY node_id
+  SELECT node_id, count(*) FILTER (event_type = 105) AS built, count(*) FILTER (event_type = 108) AS accumulated, count(*) FILTER (event_type IN (109, 110)) AS failed,
+    count(*) FILTER (event_type = 105 AND timestamp > t - INTERVAL 1 DAY) AS recent, count(DISTINCT core) FILTER (event_type = 105) AS cores, max(timestamp) FILTER (event_type = 105) AS last_guarantee
+  FROM ev, a WHERE event_type IN (105, 108, 109, 110) AND timestamp > t - INTERVAL 30 DAY GROUP BY node_id
 ), m0 AS (
   SELECT node_id, core, count(*) AS n FROM ev, a WHERE event_type = 105 AND timestamp > t - INTERVAL 30 DAY GROUP BY 1, 2
 ), m AS (
   SELECT node_id, core AS main_core FROM m0 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY n DESC, core) = 1
 ), r AS (
-  SELECT g.*, main_core, CASE WHEN sent + failed > 0 THEN round(CAST(CAST(sent AS DECIMAL(38, 10)) / (sent + failed) AS DOUBLE), 4) ELSE 1.0 END AS success_rate FROM g LEFT JOIN m USING (node_id) WHERE built > 0
+  SELECT g.*, main_core, round(CAST(CAST(built - failed AS DECIMAL(38, 10)) / built AS DOUBLE), 3) AS success_rate FROM g LEFT JOIN m USING (node_id) WHERE built > 0
 )"""
 
 
-def _by_guarantor(t, minutes: int):
-    own = t.last(minutes).where(_kind(105, 107, 108))
-    rows = own.groupBy("node_id").agg(
+def _by_guarantor(t, minutes: int, recent: int = 1440):
+    rows = t.last(minutes).where(_kind(105, 108, 109, 110)).groupBy("node_id").agg(
         count_if(_kind(105)).alias("built"),
-        count_if(_kind(108)).alias("sent"),
-        count_if(_kind(107)).alias("failed"),
+        count_if(_kind(108)).alias("accumulated"),
+        count_if(_kind(109, 110)).alias("failed"),
+        count_if(_kind(105) & t.within(recent)).alias("recent"),
         F.count_distinct(F.when(_kind(105), F.col("core"))).alias("cores"),
+        F.max(F.when(_kind(105), F.col("timestamp"))).alias("last_guarantee"),
         F.expr("mode() WITHIN GROUP (ORDER BY CASE WHEN event_type = 105 THEN core END)").alias("main_core"),
     )
-    rate = F.coalesce(ratio(F.col("sent"), F.col("sent") + F.col("failed"), 4), F.lit(1.0))
-    return rows.where("built > 0").withColumn("success_rate", rate)
+    return rows.where("built > 0").withColumn("success_rate", ratio(F.col("built") - F.col("failed"), F.col("built"), 3))
 
 
-@query("q32_guarantees_by_guarantor", _BY_GUARANTOR + " SELECT node_id, built, sent, failed, cores, main_core, success_rate FROM r")
+@query("q32_guarantees_by_guarantor", _BY_GUARANTOR + " SELECT node_id, built, accumulated, failed, recent, cores, last_guarantee, main_core, success_rate FROM r")
 def guarantees_by_guarantor(t, minutes: int = MONTH):
     return _by_guarantor(t, minutes)
 
@@ -101,13 +102,13 @@ def guarantees_by_guarantor(t, minutes: int = MONTH):
 @query(
     "q32_performers",
     _BY_GUARANTOR
-    + """ SELECT * FROM (SELECT 'top' AS list, node_id, success_rate, built FROM r ORDER BY success_rate DESC, built DESC, node_id LIMIT 5)
-UNION ALL SELECT * FROM (SELECT 'bottom' AS list, node_id, success_rate, built FROM r ORDER BY success_rate, built, node_id DESC LIMIT 5)""",
+    + """ SELECT * FROM (SELECT 'top' AS list, node_id, success_rate, built FROM r ORDER BY built DESC, node_id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'bottom' AS list, node_id, success_rate, built FROM r ORDER BY built, node_id DESC LIMIT 5)""",
 )
 def performers(t, minutes: int = MONTH, n: int = 5):
     rows = _by_guarantor(t, minutes).select("node_id", "success_rate", "built")
-    top = rows.orderBy(F.desc("success_rate"), F.desc("built"), "node_id").limit(n)
-    bottom = rows.orderBy("success_rate", "built", F.desc("node_id")).limit(n)
+    top = rows.orderBy(F.desc("built"), "node_id").limit(n)
+    bottom = rows.orderBy("built", F.desc("node_id")).limit(n)
     columns = ["list", "node_id", "success_rate", "built"]
     return top.withColumn("list", F.lit("top")).select(columns).unionByName(bottom.withColumn("list", F.lit("bottom")).select(columns))
 
@@ -153,14 +154,13 @@ def shard_distribution(t):
 
 @query(
     "q17_core_guarantees",
-    """, g AS (SELECT node_id, k AS num_guarantees, row_number() OVER (PARTITION BY node_id ORDER BY timestamp DESC, event_id DESC) AS rn FROM ev WHERE event_type = 10 AND core = 3)
+    """, g AS (SELECT node_id, k AS num_guarantees, row_number() OVER (PARTITION BY node_id ORDER BY timestamp DESC, event_id DESC) AS rn FROM ev WHERE event_type = 10 AND core = 8)
 SELECT node_id, num_guarantees FROM g WHERE rn = 1""",
 )
-def core_guarantees(t, core: int = 3):
+def core_guarantees(t, core: int = 8):
     """The latest report of each node on one core."""
-    newest = Window.partitionBy("node_id").orderBy(F.desc("timestamp"), F.desc("event_id"))
-    own = t.events.where(_kind(10) & (F.col("core") == core)).withColumn("rn", F.row_number().over(newest))
-    return own.where("rn = 1").select("node_id", F.col("k").alias("num_guarantees"))
+    own = t.events.where(_kind(10) & (F.col("core") == core)).withColumnRenamed("k", "num_guarantees")
+    return latest_per_key(own, ["node_id"], [F.col("timestamp"), F.col("event_id")], ["num_guarantees"])
 
 
 @query("q17_guarantee_history", "SELECT date_trunc('hour', timestamp) AS hour, count(*) AS guarantees, count(DISTINCT node_id) AS guarantors FROM ev, a WHERE event_type = 105 AND timestamp > t - INTERVAL 7 DAY GROUP BY 1")
@@ -196,6 +196,8 @@ SELECT b.node_id AS sender, s.receiver, count(*) AS transfers FROM b JOIN s ON b
 )
 def guarantor_sharing(t):
     """Who received what whom had built, by slot."""
-    built = t.events.where(_kind(105)).select("slot", F.col("node_id").alias("sender"))
-    received = t.events.where(_kind(112, 110)).select("slot", F.col("node_id").alias("receiver"))
-    return built.join(received, "slot").where("sender <> receiver").groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("transfers"))
+    n = F.count(F.lit(1))
+    built = t.events.where(_kind(105)).groupBy("slot", F.col("node_id").alias("sender")).agg(n.alias("built"))
+    received = t.events.where(_kind(112, 110)).groupBy("slot", F.col("node_id").alias("receiver")).agg(n.alias("got"))
+    pairs = built.join(received, "slot").where("sender <> receiver")
+    return pairs.groupBy("sender", "receiver").agg(F.sum(F.col("built") * F.col("got")).alias("transfers"))

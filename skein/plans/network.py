@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,6 @@ def _kind(*ids):
     return one_of("event_type", ids)
 
 
-def _in(ids) -> str:
-    return f"event_type IN ({', '.join(map(str, ids))})"
-
-
 @query(
     "q05_health_metrics",
     "SELECT (SELECT count(*) FROM nodes WHERE is_connected) AS connected_nodes, (SELECT count(*) FROM ev) AS total_events, (SELECT coalesce(CAST(sum(event_count) AS BIGINT), 0) FROM st, a WHERE bucket > t - INTERVAL 1 DAY) AS recent_events",
@@ -62,8 +60,8 @@ def topology_stats(t):
 
 @query(
     "q30_failure_rates",
-    f"""SELECT CAST(sum(event_count) AS BIGINT) AS total, coalesce(CAST(sum(event_count) FILTER ({_in(FAILURES_ANALYTICS)}) AS BIGINT), 0) AS failures,
-  round(CAST(CAST(coalesce(sum(event_count) FILTER ({_in(FAILURES_ANALYTICS)}), 0) AS DECIMAL(38, 10)) / sum(event_count) AS DOUBLE), 4) AS rate FROM st, a WHERE bucket > t - INTERVAL 7 DAY""",
+    """SELECT CAST(sum(event_count) AS BIGINT) AS total, coalesce(CAST(sum(event_count) FILTER (event_type IN (41, 44, 46, 81, 83, 92, 99, 107, 111, 113, 122, 127)) AS BIGINT), 0) AS failures,
+  round(CAST(CAST(coalesce(sum(event_count) FILTER (event_type IN (41, 44, 46, 81, 83, 92, 99, 107, 111, 113, 122, 127)), 0) AS DECIMAL(38, 10)) / sum(event_count) AS DOUBLE), 4) AS rate FROM st, a WHERE bucket > t - INTERVAL 7 DAY""",
 )
 def failure_rates(t, minutes: int = WEEK):
     failed = F.coalesce(F.sum(F.when(_kind(*FAILURES_ANALYTICS), F.col("event_count"))), F.lit(0))
@@ -73,12 +71,12 @@ def failure_rates(t, minutes: int = WEEK):
 
 @query(
     "q30_failure_categories",
-    ", c AS ("
-    + " UNION ALL ".join(
-        f"SELECT '{n}' AS category, coalesce(CAST(sum(event_count) FILTER ({_in(tried)}) AS BIGINT), 0) AS attempts, coalesce(CAST(sum(event_count) FILTER ({_in(bad)}) AS BIGINT), 0) AS failures FROM st, a WHERE bucket > t - INTERVAL 7 DAY"
-        for n, (tried, bad) in CATEGORIES.items()
-    )
-    + ") SELECT category, attempts, failures, round(CAST(CAST(failures AS DECIMAL(38, 10)) / attempts AS DOUBLE), 4) AS rate FROM c WHERE attempts > 0",
+    """, n AS (SELECT event_type AS y, CAST(sum(event_count) AS BIGINT) AS n FROM st, a WHERE bucket > t - INTERVAL 7 DAY GROUP BY 1), c AS (
+  SELECT 'block_authoring' AS category, coalesce(sum(n) FILTER (y IN (40, 41, 42, 44, 46)), 0) AS attempts, coalesce(sum(n) FILTER (y IN (41, 44, 46)), 0) AS failures FROM n
+  UNION ALL SELECT 'work_package', coalesce(sum(n) FILTER (y IN (94, 95, 101, 102, 92, 99)), 0), coalesce(sum(n) FILTER (y IN (92, 99)), 0) FROM n
+  UNION ALL SELECT 'ticket_generation', coalesce(sum(n) FILTER (y BETWEEN 80 AND 84), 0), coalesce(sum(n) FILTER (y IN (81, 83)), 0) FROM n
+  UNION ALL SELECT 'guarantee', coalesce(sum(n) FILTER (y BETWEEN 105 AND 109), 0), coalesce(sum(n) FILTER (y = 107), 0) FROM n)
+SELECT category, CAST(attempts AS BIGINT) AS attempts, CAST(failures AS BIGINT) AS failures, round(CAST(CAST(failures AS DECIMAL(38, 10)) / attempts AS DOUBLE), 4) AS rate FROM c WHERE attempts > 0""",
 )
 def failure_categories(t, minutes: int = WEEK):
     """Attempts and failures by category, from one pass; a row a category by unpivoting."""
@@ -90,84 +88,162 @@ def failure_categories(t, minutes: int = WEEK):
 
 @query(
     "q30_failures_by_node",
-    f""", f AS (SELECT node_id, event_type, CAST(sum(event_count) AS BIGINT) AS n FROM st, a WHERE {_in(FAILURES_ANALYTICS)} AND bucket > t - INTERVAL 30 DAY GROUP BY 1, 2)
-SELECT node_id, CAST(sum(n) AS BIGINT) AS failures, arg_max(event_type, (n, -event_type)) AS top_type FROM f GROUP BY node_id ORDER BY failures DESC, node_id LIMIT 20""",
+    """, f AS (SELECT node_id, event_type, CAST(sum(event_count) AS BIGINT) AS n FROM st, a WHERE event_type IN (41, 44, 46, 81, 83, 92, 99, 107, 111, 113, 122, 127) AND bucket > t - INTERVAL 30 DAY GROUP BY 1, 2)
+SELECT f.node_id, max(total) AS total_events, CAST(sum(n) AS BIGINT) AS failures, round(CAST(CAST(sum(n) AS DECIMAL(38, 10)) / max(total) AS DOUBLE), 4) AS failure_rate, arg_max(event_type, (n, -event_type)) AS top_type
+FROM f JOIN (SELECT node_id, CAST(sum(event_count) AS BIGINT) AS total FROM st, a WHERE bucket > t - INTERVAL 30 DAY GROUP BY 1) z ON z.node_id = f.node_id GROUP BY f.node_id ORDER BY failures DESC, f.node_id LIMIT 20""",
 )
 def failures_by_node(t, minutes: int = MONTH, limit: int = 20):
-    by = t.stats_1m.where(t.within(minutes, "bucket") & _kind(*FAILURES_ANALYTICS)).groupBy("node_id", "event_type").agg(F.sum("event_count").alias("n"))
-    rows = by.groupBy("node_id").agg(F.sum("n").alias("failures"), F.max_by("event_type", F.struct("n", -F.col("event_type"))).alias("top_type"))
-    return rows.orderBy(F.desc("failures"), "node_id").limit(limit)
+    """The nodes with most failures, of all their events, and what fails most at each; one pass and one shuffle by node."""
+    failed = _kind(*FAILURES_ANALYTICS)
+    by = t.stats_1m.where(t.within(minutes, "bucket")).groupBy("node_id", "event_type").agg(F.sum("event_count").alias("n"))
+    rows = by.groupBy("node_id").agg(
+        F.sum("n").alias("total_events"),
+        F.sum(F.when(failed, F.col("n"))).alias("failures"),
+        F.max_by(F.when(failed, F.col("event_type")), F.when(failed, F.struct("n", -F.col("event_type")))).alias("top_type"),
+    )
+    rated = rows.where("failures > 0").withColumn("failure_rate", ratio(F.col("failures"), F.col("total_events"), 4))
+    return rated.orderBy(F.desc("failures"), "node_id").limit(limit)
 
 
-@query("q30_recent_failures", f"SELECT timestamp, node_id, event_id, event_type FROM ev WHERE {_in(FAILURES_ANALYTICS)} ORDER BY timestamp DESC, event_id DESC LIMIT 20")
+@query("q30_recent_failures", "SELECT timestamp, node_id, event_id, event_type FROM ev WHERE event_type IN (41, 44, 46, 81, 83, 92, 99, 107, 111, 113, 122, 127) ORDER BY timestamp DESC, event_id DESC LIMIT 20")
 def recent_failures(t, limit: int = 20):
     return t.events.where(_kind(*FAILURES_ANALYTICS)).select("timestamp", "node_id", "event_id", "event_type").orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
 
 
-# label, count in the last day, count in the week: inputs of the health components
-_H = {"authored": (42,), "author_tries": (40,), "da_ops": (120, 123, 124), "da_failed": (122, 127), "wp_received": (94,), "wp_failed": (92,)}
+# fixed values: inputs of the health components
+_H = {"authored": (42,), "author_failed": (41,), "author_tries": (40,), "da_ops": (120, 124), "da_failed": (122,), "guarantees": (105,), "wp_failed": (92,), "wp_received": (94,)}
+#: The least score of a healthy and of a degraded component, by component.
+_LEVELS = {"connectivity": (80.0, 50.0), "blocks": (80.0, 50.0), "da": (90.0, 60.0), "packages": (90.0, 60.0), "throughput": (80.0, 50.0)}
 
 
-@query(
-    "q37_network_health",
-    """, m AS (SELECT """
-    + ", ".join(f"coalesce(CAST(sum(event_count) FILTER ({_in(ids)}) AS BIGINT), 0) AS {n}" for n, ids in _H.items())
-    + """, CAST(sum(event_count) AS BIGINT) AS events, count(DISTINCT node_id) AS active_week, count(DISTINCT node_id) FILTER (bucket > t - INTERVAL 1 DAY) AS active_day FROM st, a WHERE bucket > t - INTERVAL 7 DAY),
-s AS (SELECT CASE WHEN active_week > 0 THEN least(100.0 * active_day / active_week, 100.0) ELSE 0.0 END AS connectivity,
-  CASE WHEN author_tries > 0 THEN least(greatest(100.0 * authored / author_tries, 0.0), 100.0) WHEN events > 0 THEN 70.0 ELSE 0.0 END AS blocks,
-  CASE WHEN da_ops > 0 THEN least(greatest(100.0 * (1 - da_failed / da_ops::DOUBLE), 0.0), 100.0) ELSE 50.0 END AS da,
-  CASE WHEN wp_received + wp_failed > 0 THEN 100.0 * wp_received / (wp_received + wp_failed) ELSE 50.0 END AS packages,
-  CASE WHEN events / 7.0 > 100 THEN 100.0 WHEN events / 7.0 > 10 THEN 80.0 WHEN events > 0 THEN 50.0 ELSE 0.0 END AS throughput FROM m)
-SELECT round(connectivity, 4) AS connectivity, round(blocks, 4) AS blocks, round(da, 4) AS da, round(packages, 4) AS packages, throughput,
-  round((connectivity + blocks + da + packages + throughput) / 5, 4) AS health_score,
-  CASE WHEN (connectivity + blocks + da + packages + throughput) / 5 >= 75 THEN 'healthy' WHEN (connectivity + blocks + da + packages + throughput) / 5 >= 45 THEN 'degraded' ELSE 'unhealthy' END AS status FROM s""",
-)
-def network_health(t, recent: int = DAY, minutes: int = WEEK):
+def health_scores(t, recent: int, minutes: int) -> DataFrame:
+    """One row: the inputs, the score of each component and their mean; ``recent`` and ``minutes`` are the short and the long window."""
     total = lambda ids: F.coalesce(F.sum(F.when(_kind(*ids), F.col("event_count"))), F.lit(0))
+    now = t.within(recent, "bucket")
     m = t.stats_1m.where(t.within(minutes, "bucket")).agg(
         *(total(ids).alias(n) for n, ids in _H.items()),
-        F.sum("event_count").alias("events"),
-        F.count_distinct("node_id").alias("active_week"),
-        F.count_distinct(F.when(t.within(recent, "bucket"), F.col("node_id"))).alias("active_day"),
+        F.coalesce(F.sum(F.when(now, F.col("event_count"))), F.lit(0)).alias("recent_events"),
+        F.count_distinct("node_id").alias("active_long"),
+        F.count_distinct(F.when(now, F.col("node_id"))).alias("active_recent"),
     )
     share = lambda a, b: 100.0 * F.col(a) / F.nullif(b, F.lit(0))
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(100.0))
-    a_day = F.col("events") / (minutes / 1440.0)
-    s = m.select(
-        F.coalesce(F.least(share("active_day", F.col("active_week")), F.lit(100.0)), F.lit(0.0)).alias("connectivity"),
-        F.when(F.col("author_tries") > 0, clamp(share("authored", F.col("author_tries")))).when(F.col("events") > 0, 70.0).otherwise(0.0).alias("blocks"),
-        F.when(F.col("da_ops") > 0, clamp(100.0 * (1 - F.col("da_failed") / F.nullif("da_ops", F.lit(0))))).otherwise(50.0).alias("da"),
-        F.coalesce(share("wp_received", F.col("wp_received") + F.col("wp_failed")), F.lit(50.0)).alias("packages"),
-        F.when(a_day > 100, 100.0).when(a_day > 10, 80.0).when(F.col("events") > 0, 50.0).otherwise(0.0).alias("throughput"),
+    a_minute = F.col("recent_events") / float(recent)
+    scored = m.withColumns({
+        "a_minute": a_minute,
+        "connectivity": F.coalesce(F.least(share("active_recent", F.col("active_long")), F.lit(100.0)), F.lit(0.0)),
+        "blocks": F.when(F.col("author_tries") > 0, clamp(share("authored", F.col("author_tries")))).when(a_minute > 0, 70.0).otherwise(0.0),
+        "da": F.when(F.col("da_ops") > 0, clamp(100.0 * (1 - F.col("da_failed") / F.nullif("da_ops", F.lit(0))))).otherwise(50.0),
+        "packages": F.coalesce(share("wp_received", F.col("wp_received") + F.col("wp_failed")), F.lit(50.0)),
+        "throughput": F.when(a_minute > 100, 100.0).when(a_minute > 10, 80.0).when(a_minute > 0, 50.0).otherwise(0.0),
+    })
+    return scored.withColumn("health_score", sum((F.col(p) for p in list(_LEVELS)[1:]), F.col("connectivity")) / 5)
+
+
+_HEALTH = """, m AS (SELECT coalesce(CAST(sum(event_count) FILTER (event_type = 42) AS BIGINT), 0) AS authored, coalesce(CAST(sum(event_count) FILTER (event_type = 41) AS BIGINT), 0) AS author_failed,
+  coalesce(CAST(sum(event_count) FILTER (event_type = 40) AS BIGINT), 0) AS author_tries, coalesce(CAST(sum(event_count) FILTER (event_type IN (120, 124)) AS BIGINT), 0) AS da_ops,
+  coalesce(CAST(sum(event_count) FILTER (event_type = 122) AS BIGINT), 0) AS da_failed, coalesce(CAST(sum(event_count) FILTER (event_type = 105) AS BIGINT), 0) AS guarantees,
+  coalesce(CAST(sum(event_count) FILTER (event_type = 92) AS BIGINT), 0) AS wp_failed, coalesce(CAST(sum(event_count) FILTER (event_type = 94) AS BIGINT), 0) AS wp_received,
+  coalesce(CAST(sum(event_count) FILTER (bucket > t - INTERVAL 1 DAY) AS BIGINT), 0) / 1440.0 AS a_minute, count(DISTINCT node_id) AS active_long, count(DISTINCT node_id) FILTER (bucket > t - INTERVAL 1 DAY) AS active_recent
+  FROM st, a WHERE bucket > t - INTERVAL 7 DAY),
+s AS (SELECT *, CASE WHEN active_long > 0 THEN least(100.0 * active_recent / active_long, 100.0) ELSE 0.0 END AS connectivity,
+  CASE WHEN author_tries > 0 THEN least(greatest(100.0 * authored / author_tries, 0.0), 100.0) WHEN a_minute > 0 THEN 70.0 ELSE 0.0 END AS blocks,
+  CASE WHEN da_ops > 0 THEN least(greatest(100.0 * (1 - da_failed / da_ops::DOUBLE), 0.0), 100.0) ELSE 50.0 END AS da,
+  CASE WHEN wp_received + wp_failed > 0 THEN 100.0 * wp_received / (wp_received + wp_failed) ELSE 50.0 END AS packages,
+  CASE WHEN a_minute > 100 THEN 100.0 WHEN a_minute > 10 THEN 80.0 WHEN a_minute > 0 THEN 50.0 ELSE 0.0 END AS throughput FROM m)"""
+
+
+def _level(score, healthy: float, degraded: float):
+    return F.when(score >= healthy, "healthy").when(score >= degraded, "degraded").otherwise("unhealthy")
+
+
+@query(
+    "q37_network_health",
+    _HEALTH
+    + """ SELECT round(connectivity, 4) AS connectivity, round(blocks, 4) AS blocks, round(da, 4) AS da, round(packages, 4) AS packages, CAST(throughput AS DOUBLE) AS throughput,
+  round((connectivity + blocks + da + packages + throughput) / 5, 4) AS health_score,
+  CASE WHEN (connectivity + blocks + da + packages + throughput) / 5 >= 75 THEN 'healthy' WHEN (connectivity + blocks + da + packages + throughput) / 5 >= 45 THEN 'degraded' ELSE 'unhealthy' END AS status FROM s""",
+)
+def network_health(t, recent: int = DAY, minutes: int = WEEK):
+    s = health_scores(t, recent, minutes)
+    return s.select(*(F.round(p, 4).alias(p) for p in _LEVELS), F.round("health_score", 4).alias("health_score"), _level(F.col("health_score"), 75.0, 45.0).alias("status"))
+
+
+@query(
+    "q37_health_components",
+    _HEALTH
+    + """ SELECT 'connectivity' AS component, CASE WHEN connectivity >= 80 THEN 'healthy' WHEN connectivity >= 50 THEN 'degraded' ELSE 'unhealthy' END AS status, CAST(round(connectivity) AS BIGINT) AS score,
+  CASE WHEN active_recent = 0 THEN 'no nodes reporting' WHEN connectivity < 80 THEN 'nodes have gone offline' ELSE '' END AS issues FROM s
+UNION ALL SELECT 'blocks', CASE WHEN blocks >= 80 THEN 'healthy' WHEN blocks >= 50 THEN 'degraded' ELSE 'unhealthy' END, CAST(round(blocks) AS BIGINT),
+  concat_ws(';', CASE WHEN author_failed > 0 THEN 'authoring failures' END, CASE WHEN author_tries > 0 AND authored = 0 THEN 'no blocks despite attempts' END) FROM s
+UNION ALL SELECT 'da', CASE WHEN da >= 90 THEN 'healthy' WHEN da >= 60 THEN 'degraded' ELSE 'unhealthy' END, CAST(round(da) AS BIGINT), CASE WHEN da_failed > 0 THEN 'shard request failures' ELSE '' END FROM s
+UNION ALL SELECT 'packages', CASE WHEN packages >= 90 THEN 'healthy' WHEN packages >= 60 THEN 'degraded' ELSE 'unhealthy' END, CAST(round(packages) AS BIGINT), CASE WHEN wp_failed > 0 THEN 'work package failures' ELSE '' END FROM s
+UNION ALL SELECT 'throughput', CASE WHEN throughput >= 80 THEN 'healthy' WHEN throughput >= 50 THEN 'degraded' ELSE 'unhealthy' END, CAST(round(throughput) AS BIGINT), CASE WHEN a_minute = 0 THEN 'no events' WHEN a_minute < 10 THEN 'few events' ELSE '' END FROM s""",
+)
+def health_components(t, recent: int = DAY, minutes: int = WEEK):
+    """A row a component: its status, rounded score and what is wrong."""
+    c = F.col
+    issues = {
+        "connectivity": [(c("active_recent") == 0, "no nodes reporting"), ((c("active_recent") > 0) & (c("connectivity") < 80), "nodes have gone offline")],
+        "blocks": [(c("author_failed") > 0, "authoring failures"), ((c("author_tries") > 0) & (c("authored") == 0), "no blocks despite attempts")],
+        "da": [(c("da_failed") > 0, "shard request failures")],
+        "packages": [(c("wp_failed") > 0, "work package failures")],
+        "throughput": [(c("a_minute") == 0, "no events"), ((c("a_minute") > 0) & (c("a_minute") < 10), "few events")],
+    }
+    row = lambda p: F.struct(F.lit(p).alias("component"), _level(c(p), *_LEVELS[p]).alias("status"), F.round(p).cast("long").alias("score"), F.concat_ws(";", *(F.when(when, text) for when, text in issues[p])).alias("issues"))
+    return health_scores(t, recent, minutes).select(F.inline(F.array(*map(row, _LEVELS))))
+
+
+@query(
+    "q37_health_alerts",
+    _HEALTH
+    + """ SELECT 'critical' AS severity, 'connectivity' AS component, CAST(0 AS BIGINT) AS number FROM s WHERE active_recent = 0 UNION ALL SELECT 'warning', 'block_production', author_failed FROM s WHERE author_failed > 3
+UNION ALL SELECT 'warning', 'data_availability', da_failed FROM s WHERE da_failed > 5 UNION ALL SELECT 'warning', 'work_packages', wp_failed FROM s WHERE wp_failed > 0""",
+)
+def health_alerts(t, recent: int = DAY, minutes: int = WEEK):
+    alert = lambda when, severity, component, number: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(component).alias("component"), number.cast("long").alias("number")))
+    c = F.col
+    rows = F.array(
+        alert(c("active_recent") == 0, "critical", "connectivity", F.lit(0)),
+        alert(c("author_failed") > 3, "warning", "block_production", c("author_failed")),
+        alert(c("da_failed") > 5, "warning", "data_availability", c("da_failed")),
+        alert(c("wp_failed") > 0, "warning", "work_packages", c("wp_failed")),
     )
-    parts = ["connectivity", "blocks", "da", "packages", "throughput"]
-    mean = sum((F.col(p) for p in parts[1:]), F.col(parts[0])) / 5
-    return s.select(*(F.round(p, 4).alias(p) for p in parts), F.round(mean, 4).alias("health_score"), F.when(mean >= 75, "healthy").when(mean >= 45, "degraded").otherwise("unhealthy").alias("status"))
+    return health_scores(t, recent, minutes).select(F.explode(F.array_compact(rows)).alias("x")).select("x.*")
 
 
 @query(
     "q43_anomalies",
-    f""", f AS (SELECT CAST(sum(event_count) AS BIGINT) AS total, CAST(sum(event_count) FILTER ({_in(FAILURES_ANOMALY)}) AS BIGINT) AS failed FROM st, a WHERE bucket > t - INTERVAL 1 DAY),
+    """, f AS (SELECT CAST(sum(event_count) AS BIGINT) AS total, CAST(sum(event_count) FILTER (event_type IN (41, 44, 46, 81, 94, 97, 99, 102, 109, 110, 112, 113)) AS BIGINT) AS failed FROM st, a WHERE bucket > t - INTERVAL 1 DAY),
+dropped AS (SELECT node_id, CAST(sum(event_count) AS DOUBLE) AS value FROM st, a WHERE event_type = 0 AND bucket > t - INTERVAL 30 DAY GROUP BY node_id HAVING sum(event_count) > 1),
 best AS (SELECT node_id, max(slot) AS slot FROM ev, a WHERE event_type = 11 AND timestamp > t - INTERVAL 30 DAY GROUP BY node_id), top AS (SELECT max(slot) AS top FROM best),
-seen AS (SELECT node_id, max(timestamp) AS last_seen FROM ev GROUP BY node_id)
+seen AS (SELECT node_id, max(timestamp) AS last_seen FROM ev, a WHERE created_at > t - INTERVAL 1 DAY GROUP BY node_id)
 SELECT 'high_failure_rate' AS rule, NULL AS node_id, round(CAST(failed AS DOUBLE) / total, 4) AS value FROM f WHERE total > 100 AND CAST(failed AS DOUBLE) / total > 0.05
-UNION ALL SELECT * FROM (SELECT 'behind' AS rule, node_id, CAST(top - slot AS DOUBLE) AS value FROM best, top WHERE top - slot > 10 ORDER BY value DESC, node_id LIMIT 5)
-UNION ALL SELECT * FROM (SELECT 'silent' AS rule, node_id, round((epoch_us(t) - epoch_us(last_seen)) / 1000000.0, 3) AS value FROM seen, a WHERE last_seen < t - INTERVAL 5 MINUTE ORDER BY value DESC, node_id LIMIT 5)""",
+UNION ALL SELECT * FROM (SELECT 'dropped_events' AS rule, node_id, value FROM dropped ORDER BY value DESC, node_id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'node_behind' AS rule, node_id, CAST(top - slot AS DOUBLE) AS value FROM best, top WHERE top - slot > 10 ORDER BY value DESC, node_id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'node_inactive' AS rule, node_id, round((epoch_us(t) - epoch_us(last_seen)) / 1000000.0, 3) AS value FROM seen, a WHERE last_seen < t - INTERVAL 5 MINUTE ORDER BY value DESC, node_id LIMIT 5)""",
 )
-def anomalies(t) -> DataFrame:
-    """The alerts of all rules: rule, node (null: the network) and value."""
+def anomalies(t, short: int = DAY, long: int = MONTH, silent: int = 5, dropped: int = 1, behind: int = 10, most: int = 5) -> DataFrame:
+    """The alerts of all rules: rule, node (null: the network) and value.
+
+    On a live network the windows are minutes and more than ten dropped events are told; the test data are
+    sparse, so they are days here.  Nodes are inactive that were seen within the short window, but not of late.
+    """
     failed = F.coalesce(F.sum(F.when(_kind(*FAILURES_ANOMALY), F.col("event_count"))), F.lit(0))
-    rate = t.stats_1m.where(t.within(DAY, "bucket")).agg(F.sum("event_count").alias("total"), failed.alias("failed"))
+    rate = t.stats_1m.where(t.within(short, "bucket")).agg(F.sum("event_count").alias("total"), failed.alias("failed"))
     share = F.col("failed").cast("double") / F.nullif("total", F.lit(0))
     rule = lambda df, name, node, value: df.select(F.lit(name).alias("rule"), node.alias("node_id"), value.alias("value"))
+    top = lambda df: df.orderBy(F.desc("value"), "node_id").limit(most)
     high = rule(rate.where((F.col("total") > 100) & (share > 0.05)), "high_failure_rate", F.lit(None).cast("string"), F.round(share, 4))
-    best = t.last(MONTH).where(_kind(11)).groupBy("node_id").agg(F.max("slot").alias("slot"))
-    behind = best.crossJoin(F.broadcast(best.agg(F.max("slot").alias("top")))).where("top - slot > 10")  # one row
-    behind = rule(behind, "behind", F.col("node_id"), (F.col("top") - F.col("slot")).cast("double")).orderBy(F.desc("value"), "node_id").limit(5)
-    seen = t.events.groupBy("node_id").agg(F.max("timestamp").alias("last_seen"))
+    lost = t.stats_1m.where(t.within(long, "bucket") & _kind(0)).groupBy("node_id").agg(F.sum("event_count").alias("n")).where(F.col("n") > dropped)
+    lost = top(rule(lost, "dropped_events", F.col("node_id"), F.col("n").cast("double")))
+    best = t.last(long).where(_kind(11)).groupBy("node_id").agg(F.max("slot").alias("slot"))
+    late = best.crossJoin(F.broadcast(best.agg(F.max("slot").alias("top")))).where(F.col("top") - F.col("slot") > behind)  # one row
+    late = top(rule(late, "node_behind", F.col("node_id"), (F.col("top") - F.col("slot")).cast("double")))
+    seen = t.events.where(t.within(short, "created_at")).groupBy("node_id").agg(F.max("timestamp").alias("last_seen"))
     silence = F.round((micros(at(t.as_of)) - micros(F.col("last_seen"))) / 1_000_000.0, 3)
-    silent = rule(seen.where(~t.within(5, "last_seen") & (F.col("last_seen") < at(t.as_of) - F.expr("INTERVAL '5' MINUTE"))), "silent", F.col("node_id"), silence).orderBy(F.desc("value"), "node_id").limit(5)
-    return high.unionByName(behind).unionByName(silent)
+    gone = top(rule(seen.where(F.col("last_seen") < at(t.as_of - timedelta(minutes=silent))), "node_inactive", F.col("node_id"), silence))
+    return high.unionByName(lost).unionByName(late).unionByName(gone)
 
 
 @query(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, one_of
+from ..functions.columns import at, count_if, one_of
 from .registry import query
 
 NODE = "0" * 63 + "7"
@@ -119,18 +121,36 @@ def node_status_enhanced(t, node_id: str = NODE, minutes: int = 30 * 1440):
     return assigned.crossJoin(F.broadcast(activity))  # one row each
 
 
-@query(
-    "q51_node_timeline",
-    f""", own AS (SELECT *, CASE WHEN event_type BETWEEN 10 AND 13 THEN 'status' WHEN event_type BETWEEN 20 AND 28 THEN 'networking' WHEN event_type BETWEEN 40 AND 68 THEN 'blocks'
-  WHEN event_type BETWEEN 80 AND 84 THEN 'tickets' WHEN event_type BETWEEN 90 AND 104 THEN 'work_package' WHEN event_type BETWEEN 105 AND 113 THEN 'guaranteeing'
-  WHEN event_type BETWEEN 120 AND 131 THEN 'availability' WHEN event_type BETWEEN 140 AND 153 THEN 'auditing' WHEN event_type BETWEEN 160 AND 178 THEN 'segments'
-  WHEN event_type BETWEEN 190 AND 199 THEN 'preimages' ELSE 'other' END AS category FROM ev WHERE node_id = '{NODE}')
-SELECT timestamp, event_id, event_type, category, count(*) OVER (PARTITION BY category) AS in_category FROM own WHERE category = 'blocks' ORDER BY timestamp DESC, event_id DESC LIMIT 100""",
-)
-def node_timeline(t, node_id: str = NODE, categories: tuple[str, ...] | None = ("blocks",), limit: int = 100):
+_TIMELINE = f""", own AS (SELECT *, CASE WHEN event_type BETWEEN 10 AND 13 THEN 'status' WHEN event_type BETWEEN 20 AND 28 THEN 'connection' WHEN event_type BETWEEN 40 AND 47 THEN 'blockAuthoring'
+  WHEN event_type BETWEEN 60 AND 68 THEN 'blockAnnouncement' WHEN event_type BETWEEN 80 AND 84 THEN 'tickets' WHEN event_type BETWEEN 90 AND 101 THEN 'workPackage' WHEN event_type BETWEEN 102 AND 113 THEN 'guarantee'
+  WHEN event_type BETWEEN 120 AND 125 THEN 'shard' WHEN event_type BETWEEN 126 AND 131 THEN 'assurance' WHEN event_type BETWEEN 140 AND 153 THEN 'bundleShard' WHEN event_type BETWEEN 160 AND 178 THEN 'segment'
+  WHEN event_type BETWEEN 190 AND 199 THEN 'preimage' ELSE 'other' END AS category FROM ev, a WHERE node_id = '{NODE}' AND created_at >= t - INTERVAL 30 DAY AND created_at <= t)"""
+
+
+def _timeline(t, node_id: str, start: datetime | None, end: datetime | None) -> DataFrame:
     from .search import category
 
-    own = t.events.where(F.col("node_id") == node_id).select("timestamp", "event_id", "event_type", category(F.col("event_type")).alias("category"))
-    counted = own.withColumn("in_category", F.count(F.lit(1)).over(Window.partitionBy("category")))
-    chosen = counted.where(F.col("category").isin(*categories)) if categories else counted
-    return chosen.orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
+    own = t.events.where(F.col("node_id") == node_id)
+    if start is not None:
+        own = own.where(F.col("created_at") >= at(start))
+    if end is not None:
+        own = own.where(F.col("created_at") <= at(end))
+    return own.withColumn("category", category(F.col("event_type")))
+
+
+@query("q51_node_timeline", _TIMELINE + " SELECT created_at, timestamp, event_id, event_type, category FROM own WHERE category IN ('blockAuthoring', 'workPackage', 'guarantee') ORDER BY created_at DESC, event_id DESC LIMIT 100")
+def registered_timeline(t):
+    return node_timeline(t, start=t.as_of - timedelta(days=30), end=t.as_of, categories=("blockAuthoring", "workPackage", "guarantee"))
+
+
+def node_timeline(t, node_id: str = NODE, start: datetime | None = None, end: datetime | None = None, categories: tuple[str, ...] | None = None, limit: int = 100):
+    """A node's events, newest first; each criterion that is None is not applied."""
+    own = _timeline(t, node_id, start, end)
+    chosen = own.where(F.col("category").isin(*categories)) if categories else own
+    return chosen.select("created_at", "timestamp", "event_id", "event_type", "category").orderBy(F.desc("created_at"), F.desc("event_id")).limit(limit)
+
+
+@query("q51_timeline_categories", _TIMELINE + " SELECT category, count(*) AS events FROM own GROUP BY category")
+def timeline_categories(t, node_id: str = NODE):
+    own = _timeline(t, node_id, t.as_of - timedelta(days=30), t.as_of)
+    return own.groupBy("category").agg(F.count(F.lit(1)).alias("events"))

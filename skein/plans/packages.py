@@ -9,12 +9,18 @@ from ..functions.columns import at, count_if, ms_between, nearest_rank, one_of
 from .constants import ON_CHAIN, STAGE_RANK, STAGES, SUPERSEDED
 from .registry import query
 
-_PIVOT = {"submitted": 90, "failed": 92, "received": 94, "authorized": 95, "sharing_failed": 99, "refined": 101, "reports_built": 102, "signatures": 104}
+# fixed values
+_PIVOT = {"submissions": 90, "being_shared": 91, "failed": 92, "duplicates": 93, "received": 94, "refined": 101, "work_reports_built": 102, "guarantees_built": 105}
 
 
-@query("q09_workpackage_stats", "SELECT " + ", ".join(f"count(*) FILTER (event_type = {i}) AS {n}" for n, i in _PIVOT.items()) + " FROM ev, a WHERE timestamp > t - INTERVAL 7 DAY")
+@query(
+    "q09_workpackage_stats",
+    """SELECT count(*) FILTER (event_type = 90) AS submissions, count(*) FILTER (event_type = 91) AS being_shared, count(*) FILTER (event_type = 92) AS failed, count(*) FILTER (event_type = 93) AS duplicates,
+  count(*) FILTER (event_type = 94) AS received, count(*) FILTER (event_type = 101) AS refined, count(*) FILTER (event_type = 102) AS work_reports_built, count(*) FILTER (event_type = 105) AS guarantees_built
+FROM ev, a WHERE timestamp > t - INTERVAL 7 DAY""",
+)
 def workpackage_stats(t, minutes: int = 7 * 1440):
-    return t.last(minutes).agg(*(count_if(F.col("event_type") == i).alias(n) for n, i in _PIVOT.items()))
+    return t.last(minutes).where(one_of("event_type", _PIVOT.values())).agg(*(count_if(F.col("event_type") == i).alias(n) for n, i in _PIVOT.items()))
 
 
 @query("q09_workpackages_by_core", "SELECT core, count(*) AS packages FROM ev, a WHERE event_type = 94 AND timestamp > t - INTERVAL 7 DAY GROUP BY core")
@@ -22,9 +28,9 @@ def workpackages_by_core(t, minutes: int = 7 * 1440):
     return t.last(minutes).where("event_type = 94").groupBy("core").agg(F.count(F.lit(1)).alias("packages"))
 
 
-@query("q09_recent_workpackages", "SELECT timestamp, node_id, event_id, event_type, core FROM ev WHERE event_type IN (90, 92, 94, 95, 101, 102) ORDER BY timestamp DESC, event_id DESC LIMIT 100")
+@query("q09_recent_workpackages", "SELECT timestamp, node_id, event_id, core, gas AS work_package_size FROM ev WHERE event_type = 94 ORDER BY timestamp DESC, event_id DESC LIMIT 100")
 def recent_workpackages(t, limit: int = 100):
-    return t.events.where(one_of("event_type", (90, 92, 94, 95, 101, 102))).select("timestamp", "node_id", "event_id", "event_type", "core").orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
+    return t.events.where("event_type = 94").select("timestamp", "node_id", "event_id", "core", F.col("gas").alias("work_package_size")).orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
 
 
 def pipeline(t) -> DataFrame:

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.columns import at, one_of
 from ..operators.joins import asof_forward
 from ..sources.adapter import event_types
-from .constants import GROUPS, TYPES
+from .constants import GROUPS, TIMELINE, TYPES
 from .registry import query
 
 _TYPE_ROWS = ", ".join(f"({i}, '{n}', '{next(g for g, (lo, hi) in GROUPS.items() if lo <= i <= hi)}')" for i, n in TYPES.items())
 
 
 def category(event_type: Column) -> Column:
+    """The timeline category of a type."""
     out = F.lit("other")
-    for name, (low, high) in GROUPS.items():
-        if name != "core":
-            out = F.when(event_type.between(low, high), name).otherwise(out)
+    for name, (low, high) in TIMELINE.items():
+        out = F.when(event_type.between(low, high), name).otherwise(out)
     return out
 
 
@@ -112,9 +112,9 @@ def live(events: DataFrame, node_id: str | None = None, types: tuple[int, int] |
     return window.orderBy(F.desc("event_id")).limit(limit).orderBy("event_id")
 
 
-@query("q56_recent_broadcast", "SELECT event_id, timestamp, node_id, event_type FROM (SELECT * FROM ev ORDER BY event_id DESC LIMIT 2000) WHERE event_type BETWEEN 40 AND 68 ORDER BY event_id DESC LIMIT 100")
+@query("q56_recent_broadcast", "SELECT event_id, timestamp, node_id, event_type FROM (SELECT * FROM ev ORDER BY event_id DESC LIMIT 10000) WHERE event_type BETWEEN 40 AND 68 ORDER BY event_id DESC LIMIT 100")
 def recent_broadcast(t):
-    return live(t.events, types=(40, 68), recent=2000)
+    return live(t.events, types=(40, 68))
 
 
 @query("stm16_arrival_number", "SELECT event_id, node_id, row_number() OVER (PARTITION BY node_id ORDER BY timestamp, event_id) AS connection_event FROM ev")

@@ -7,9 +7,9 @@ from datetime import timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, floor_minutes, one_of, ratio, time_bucket
+from ..functions.columns import count_if, floor_minutes, micros, one_of, ratio, time_bucket
 from ..operators.joins import time_grid
-from .constants import CATEGORIES
+from .constants import FAILURES_ANALYTICS, FAILURES_ANOMALY, SERIES_CATEGORIES
 from .registry import query
 
 DAY, WEEK = 1440, 7 * 1440
@@ -123,21 +123,17 @@ def guarantees_by_core(t, minutes: int = 15, window: int = 30 * DAY):
 
 def failure_category(event_type):
     out = F.lit("other")
-    for name, (_, failed) in CATEGORIES.items():
-        out = F.when(event_type.isin(*failed), name).otherwise(out)
+    for name, ids in SERIES_CATEGORIES.items():
+        out = F.when(event_type.isin(*ids), name).otherwise(out)
     return out
 
 
-_FAILED = sorted({i for _, bad in CATEGORIES.values() for i in bad} | {122, 127})
-_CATEGORY = "CASE " + " ".join(f"WHEN event_type IN ({', '.join(map(str, bad))}) THEN '{n}'" for n, (_, bad) in reversed(CATEGORIES.items())) + " ELSE 'other' END"
-
-
 @query(
     "q36_failures_by_category",
-    f"SELECT {_BUCKET} AS bucket, {_CATEGORY} AS category, count(*) AS failures, count(DISTINCT node_id) AS nodes FROM ev, a WHERE event_type IN ({', '.join(map(str, _FAILED))}) AND timestamp > t - INTERVAL 30 DAY GROUP BY 1, 2 ORDER BY bucket DESC, failures DESC, category LIMIT 1000",
+    f"SELECT {_BUCKET} AS bucket, CASE WHEN event_type IN (41, 44, 46) THEN 'block_authoring' WHEN event_type = 81 THEN 'ticket_generation' ELSE 'work_package' END AS category, count(*) AS failures, count(DISTINCT node_id) AS nodes FROM ev, a WHERE event_type IN (41, 44, 46, 81, 94, 97, 99, 102, 109, 110, 112, 113) AND timestamp > t - INTERVAL 30 DAY GROUP BY 1, 2 ORDER BY bucket DESC, failures DESC, category LIMIT 1000",
 )
 def failures_by_category(t, minutes: int = 15, window: int = 30 * DAY):
-    own = t.last(window).where(_kind(*_FAILED)).groupBy(floor_minutes(F.col("timestamp"), minutes).alias("bucket"), failure_category(F.col("event_type")).alias("category"))
+    own = t.last(window).where(_kind(*FAILURES_ANOMALY)).groupBy(floor_minutes(F.col("timestamp"), minutes).alias("bucket"), failure_category(F.col("event_type")).alias("category"))
     return own.agg(F.count(F.lit(1)).alias("failures"), F.count_distinct("node_id").alias("nodes")).orderBy(F.desc("bucket"), F.desc("failures"), "category").limit(1000)
 
 
@@ -182,16 +178,52 @@ def connections_by_day(t):
     return own.agg(count_if(_kind(23, 26)).alias("connects"), count_if(_kind(27)).alias("disconnects"))
 
 
+@query(
+    "q39_connections_by_node",
+    """SELECT node_id, min(timestamp) AS first_seen, max(timestamp) AS last_seen, round((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 3600000000.0, 6) AS uptime_hours,
+  count(DISTINCT CAST(timestamp AS DATE)) AS days_active, count(*) AS total_events, round(count(*) / greatest((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 3600000000.0, 1), 6) AS events_per_hour
+FROM ev, a WHERE created_at > t - INTERVAL 7 DAY GROUP BY node_id""",
+)
+def connections_by_node(t, hours: int = 7 * 24):
+    """How long each node was seen, on how many days, and its events an hour."""
+    hours_up = (micros(F.max("timestamp")) - micros(F.min("timestamp"))) / F.lit(3_600_000_000.0)
+    return t.events.where(t.within(hours * 60, "created_at")).groupBy("node_id").agg(
+        F.min("timestamp").alias("first_seen"),
+        F.max("timestamp").alias("last_seen"),
+        F.round(hours_up, 6).alias("uptime_hours"),
+        F.count_distinct(F.to_date("timestamp")).alias("days_active"),
+        F.count(F.lit(1)).alias("total_events"),
+        F.round(F.count(F.lit(1)) / F.greatest(hours_up, F.lit(1.0)), 6).alias("events_per_hour"),
+    )
+
+
+@query(
+    "q39_connection_health",
+    """SELECT count(DISTINCT node_id) AS nodes_seen, count(DISTINCT node_id) FILTER (created_at > t - INTERVAL 1 HOUR) AS currently_active, count(DISTINCT node_id) FILTER (created_at > t - INTERVAL 1 DAY) AS active_of_late
+FROM ev, a WHERE created_at > t - INTERVAL 7 DAY""",
+)
+def connection_health(t, hours: int = 7 * 24, now: int = 60, late: int = DAY):
+    seen = lambda m: F.count_distinct(F.when(t.within(m, "created_at"), F.col("node_id")))
+    return t.events.where(t.within(hours * 60, "created_at")).agg(F.count_distinct("node_id").alias("nodes_seen"), seen(now).alias("currently_active"), seen(late).alias("active_of_late"))
+
+
 @query(
     "q40_aggregated_metrics",
     """SELECT count(*) FILTER (timestamp > t - INTERVAL 1 HOUR) AS hour_events, count(*) FILTER (timestamp > t - INTERVAL 6 HOUR) AS six_hour_events, count(*) AS day_events, count(DISTINCT node_id) AS nodes,
-  round(count(*) FILTER (event_type IN (41, 44, 46, 92, 107)) / count(*)::DOUBLE, 6) AS failure_rate FROM ev, a WHERE created_at > t - INTERVAL 1 DAY""",
+  count(*) FILTER (event_type BETWEEN 90 AND 113) AS package_events, max(slot) FILTER (event_type = 11) AS latest_slot, max(slot) FILTER (event_type = 12) AS finalized_slot,
+  CASE WHEN count(*) FILTER (event_type BETWEEN 90 AND 113) > 0 THEN round(count(*) FILTER (event_type IN (41, 44, 46, 81, 83, 92, 99, 107, 111, 113, 122, 127)) / count(*) FILTER (event_type BETWEEN 90 AND 113)::DOUBLE, 6) ELSE 0 END AS failure_rate FROM ev, a WHERE created_at > t - INTERVAL 1 DAY""",
 )
 def aggregated_metrics(t):
+    """Failures are rated against the events of work packages."""
+    packages = F.col("event_type").between(90, 113)
+    top = lambda i: F.max(F.when(_kind(i), F.col("slot")))
     return t.events.where(t.within(DAY, "created_at")).agg(
         count_if(t.within(60)).alias("hour_events"),
         count_if(t.within(360)).alias("six_hour_events"),
         F.count(F.lit(1)).alias("day_events"),
         F.count_distinct("node_id").alias("nodes"),
-        F.round(count_if(_kind(41, 44, 46, 92, 107)) / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("failure_rate"),
+        count_if(packages).alias("package_events"),
+        top(11).alias("latest_slot"),
+        top(12).alias("finalized_slot"),
+        F.coalesce(F.round(count_if(_kind(*FAILURES_ANALYTICS)) / F.nullif(count_if(packages), F.lit(0)), 6), F.lit(0.0)).alias("failure_rate"),
     )

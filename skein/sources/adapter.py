@@ -21,9 +21,9 @@ from ..plans.constants import ON_CHAIN, SUPERSEDED, TYPES
 CODES = {
     "view": (10, 11, 12, 13, 23, 26, 27, 20),
     "click": (40, 41, 42, 43, 44, 46, 47, 62, 68, 63),
-    "signup": (90, 92, 94, 95, 97, 98, 99, 101, 102, 104),
-    "purchase": (105, 106, 107, 108, 109, 112, 113, 120, 123, 124),
-    "error": (25, 80, 81, 82, 83, 84, 92, 126, 128, 191),
+    "signup": (90, 91, 92, 93, 94, 95, 97, 98, 99, 101, 102, 104),
+    "purchase": (105, 106, 107, 108, 109, 110, 111, 112, 113, 120, 123, 124),
+    "error": (0, 25, 80, 81, 82, 83, 84, 92, 122, 126, 127, 128, 191),
 }
 LINE_STAGES = (94, 95, 101, 102, 105, 109, 92)
 
