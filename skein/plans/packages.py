@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import at, count_if, ms_between, nearest_rank, one_of
-from .constants import ON_CHAIN, STAGE_RANK, STAGES, SUPERSEDED
+from ..functions.columns import bytes_to_hex, count_if, ms_between, one_of
+from ..operators.joins import latest_per_key
+from ..sources.payload import accumulate_costs, telemetry, with_hash
+from .constants import BATCH_STAGES, BATCH_STATUS, DETAILED_STAGES, DETAILED_STATUS, FAILURES_BATCH, ON_CHAIN, STAGE_RANK, STAGES, SUPERSEDED
 from .registry import query
 
 # fixed values
@@ -33,6 +35,12 @@ def recent_workpackages(t, limit: int = 100):
     return t.events.where("event_type = 94").select("timestamp", "node_id", "event_id", "core", F.col("gas").alias("work_package_size")).orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
 
 
+#: the stages whose first time the pipeline tells, by event
+_TIMED = {94: "received", 95: "authorized", 101: "refined", 102: "report_built", 105: "guarantee_built", 109: "distributed"}
+#: From the least to the most telling one: of the stages that a package has reached, the last of these is its current one.
+_LADDER = ("submitted", "received", "authorized", "refined", "report_built", "guarantee_built", "distributed", "failed", "guarantee_received", "discarded", "included", "available")
+
+
 def pipeline(t) -> DataFrame:
     """One row a package: first time of each stage, chain and availability, current stage, elapsed time."""
     first = lambda *cond: F.min(F.when(cond[0], F.col("timestamp")))
@@ -41,8 +49,8 @@ def pipeline(t) -> DataFrame:
     lines = t.packages.groupBy("package").agg(
         F.min("node_id").alias("node_id"),
         F.coalesce(F.max(F.when(kind(94), F.col("core"))), F.max("core")).alias("core"),
-        F.min("submitted").alias("submitted_at"),
-        *(first(kind(i)).alias(f"{name}_at") for i, name in STAGES.items() if i != 92),
+        F.coalesce(F.min("submitted"), F.min("timestamp")).alias("submitted_at"),
+        *(first(kind(i)).alias(f"{name}_at") for i, name in _TIMED.items()),
         first(kind(92) & ~superseded).alias("failed_at"),
         count_if(superseded).alias("superseded_count"),
         F.max("timestamp").alias("last_event"),
@@ -55,36 +63,35 @@ def pipeline(t) -> DataFrame:
     available = t.shards.groupBy("package").agg(F.min("timestamp").alias("available_at"))
     joined = lines.join(chain, "package", "left").join(available, "package", "left")
     has = lambda c: F.col(f"{c}_at").isNotNull()
-    stage = F.lit("submitted")
-    for name in ("received", "authorized", "refined", "report_built", "guarantee_built", "distributed"):
-        stage = F.when(has(name), name).otherwise(stage)
-    progressed = has("distributed") | has("guarantee_built") | has("report_built") | has("refined")
-    stage = F.when((F.col("superseded_count") > 0) & ~progressed, "superseded").otherwise(stage)
-    for name in ("failed", "guarantee_received", "discarded", "included"):
-        stage = F.when(has(name), name).otherwise(stage)
-    stage = F.when((stage == "included") & has("available"), "available").otherwise(stage)
+    holds = {"submitted": F.lit(True), "available": has("included") & has("available")}
+    reached = F.array_compact(F.array(*(F.when(holds.get(name, has(name)), F.lit(name)) for name in _LADDER)))
+    furthest = F.element_at(reached, -1)
+    # another guarantor was quicker: told only of packages that got no further than their authorization here
+    stage = F.when((F.col("superseded_count") > 0) & furthest.isin("submitted", "received", "authorized"), "superseded").otherwise(furthest)
     last = F.greatest("last_event", "guarantee_received_at", "included_at", "discarded_at", F.when(stage == "available", F.col("available_at")))
     return joined.withColumn("current_stage", stage).withColumn("elapsed_ms", ms_between(last, F.coalesce("submitted_at", "last_event")))
 
 
 _PIPELINE = f""", pl0 AS (
-  SELECT package, min(node_id) AS node_id, coalesce(max(core) FILTER (event_type = 94), max(core)) AS core, min(submitted) AS submitted_at,
+  SELECT package, min(node_id) AS node_id, coalesce(max(core) FILTER (event_type = 94), max(core)) AS core, coalesce(min(submitted), min(timestamp)) AS submitted_at,
     min(timestamp) FILTER (event_type = 94) AS received_at, min(timestamp) FILTER (event_type = 95) AS authorized_at, min(timestamp) FILTER (event_type = 101) AS refined_at,
     min(timestamp) FILTER (event_type = 102) AS report_built_at, min(timestamp) FILTER (event_type = 105) AS guarantee_built_at, min(timestamp) FILTER (event_type = 109) AS distributed_at,
     min(timestamp) FILTER (event_type = 92 AND reason <> '{SUPERSEDED}') AS failed_at, count(*) FILTER (event_type = 92 AND reason = '{SUPERSEDED}') AS superseded_count, max(timestamp) AS last_event
   FROM pk GROUP BY package
+), ch AS (
+  SELECT package, min(timestamp) FILTER (event_type = 112) AS guarantee_received_at, min(timestamp) FILTER (event_type = 113 AND reason = '{ON_CHAIN}') AS included_at,
+    min(timestamp) FILTER (event_type = 113 AND reason <> '{ON_CHAIN}') AS discarded_at FROM chain GROUP BY package
+), av AS (
+  SELECT package, min(timestamp) AS available_at FROM shards GROUP BY package
 ), pl1 AS (
-  SELECT pl0.*, c.guarantee_received_at, c.included_at, c.discarded_at, s.available_at,
-    CASE WHEN included_at IS NOT NULL THEN CASE WHEN available_at IS NOT NULL THEN 'available' ELSE 'included' END WHEN discarded_at IS NOT NULL THEN 'discarded' WHEN guarantee_received_at IS NOT NULL THEN 'guarantee_received'
-      WHEN failed_at IS NOT NULL THEN 'failed'
-      WHEN superseded_count > 0 AND distributed_at IS NULL AND guarantee_built_at IS NULL AND report_built_at IS NULL AND refined_at IS NULL THEN 'superseded'
-      WHEN distributed_at IS NOT NULL THEN 'distributed' WHEN guarantee_built_at IS NOT NULL THEN 'guarantee_built' WHEN report_built_at IS NOT NULL THEN 'report_built'
-      WHEN refined_at IS NOT NULL THEN 'refined' WHEN authorized_at IS NOT NULL THEN 'authorized' WHEN received_at IS NOT NULL THEN 'received' ELSE 'submitted' END AS current_stage
-  FROM pl0 LEFT JOIN (SELECT package, min(timestamp) FILTER (event_type = 112) AS guarantee_received_at, min(timestamp) FILTER (event_type = 113 AND reason = '{ON_CHAIN}') AS included_at,
-      min(timestamp) FILTER (event_type = 113 AND reason <> '{ON_CHAIN}') AS discarded_at FROM chain GROUP BY package) c USING (package)
-    LEFT JOIN (SELECT package, min(timestamp) AS available_at FROM shards GROUP BY package) s USING (package)
+  SELECT pl0.*, guarantee_received_at, included_at, discarded_at, available_at FROM pl0 LEFT JOIN ch USING (package) LEFT JOIN av USING (package)
+), pl2 AS (
+  SELECT *, CASE WHEN superseded_count > 0 AND step < 3 THEN 'superseded'
+    ELSE (['submitted', 'received', 'authorized', 'refined', 'report_built', 'guarantee_built', 'distributed', 'failed', 'guarantee_received', 'discarded', 'included', 'available'])[step + 1] END AS current_stage
+  FROM (SELECT *, greatest(0, if(received_at IS NULL, 0, 1), if(authorized_at IS NULL, 0, 2), if(refined_at IS NULL, 0, 3), if(report_built_at IS NULL, 0, 4), if(guarantee_built_at IS NULL, 0, 5),
+    if(distributed_at IS NULL, 0, 6), if(failed_at IS NULL, 0, 7), if(guarantee_received_at IS NULL, 0, 8), if(discarded_at IS NULL, 0, 9), if(included_at IS NULL, 0, if(available_at IS NULL, 10, 11))) AS step FROM pl1)
 ), pl AS (
-  SELECT *, (epoch_us(greatest(last_event, guarantee_received_at, included_at, discarded_at, CASE WHEN current_stage = 'available' THEN available_at END)) - epoch_us(coalesce(submitted_at, last_event))) / 1000.0 AS elapsed_ms FROM pl1
+  SELECT *, (epoch_us(greatest(last_event, guarantee_received_at, included_at, discarded_at, CASE WHEN current_stage = 'available' THEN available_at END)) - epoch_us(coalesce(submitted_at, last_event))) / 1000.0 AS elapsed_ms FROM pl2
 )"""
 
 
@@ -136,100 +143,222 @@ def failure_breakdown(t):
     return t.packages.where("event_type = 92").groupBy("reason").agg(F.count(F.lit(1)).alias("failures"), F.count_distinct("package").alias("packages"))
 
 
-def _stage_case() -> str:
-    return "CASE event_type " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in STAGES.items()) + " END"
+# what the bodies of received events tell: packages that were received somewhere, chain and shards of those with a built report
+_LINKED = """, lk AS (
+  SELECT printf('01%046x%016x', 0, package) AS package, node_id, event_type, timestamp, CASE WHEN event_type = 94 THEN core END AS core, CASE WHEN event_type = 94 THEN timestamp END AS submitted, reason FROM pk SEMI JOIN (SELECT package FROM pk WHERE event_type = 94) USING (package)
+), rp AS (SELECT DISTINCT package FROM pk WHERE event_type = 102
+), lc AS (SELECT printf('01%046x%016x', 0, package) AS package, event_type, reason, timestamp FROM chain SEMI JOIN rp USING (package)
+), rq AS (SELECT DISTINCT package FROM shards SEMI JOIN rp USING (package) WHERE event_type = 124
+), ls AS (SELECT printf('01%046x%016x', 0, package) AS package, timestamp FROM (SELECT package, timestamp FROM shards SEMI JOIN rp USING (package) WHERE event_type <> 125
+  UNION ALL SELECT package, timestamp FROM shards SEMI JOIN rq USING (package) WHERE event_type = 125)
+)""" + _PIPELINE.replace("FROM pk ", "FROM lk ").replace("FROM chain ", "FROM lc ").replace("FROM shards ", "FROM ls ")
 
 
-def _rank_case(column: str) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{s}' THEN {r}" for s, r in STAGE_RANK.items()) + " END"
+@query("q15_linked_workpackages", _LINKED + " SELECT package, node_id, core, current_stage, submitted_at, last_event, elapsed_ms, superseded_count FROM pl")
+def linked_workpackages(t):
+    """The pipeline of all packages of received events, from the bodies: by share id, report hash, erasure root and request."""
+    return pipeline(telemetry(t.payloads, t)).select("package", "node_id", "core", "current_stage", "submitted_at", "last_event", "elapsed_ms", "superseded_count")
 
 
-def stage_name(event_type, reason):
-    out = F.lit(None).cast("string")
-    for i, name in STAGES.items():
-        out = F.when(event_type == i, name).otherwise(out)
-    return F.when((event_type == 92) & (reason == SUPERSEDED), "superseded").otherwise(out)
+@query(
+    "q14_workpackages_by_hash",
+    "SELECT timestamp, node_id, printf('01%046x%016x', 0, package) AS hash, gas AS work_package_size FROM pk WHERE event_type = 94 AND package IN (1, 7, 32)",
+)
+def workpackages_by_hash(t, hashes=tuple(f"01{0:046x}{n:016x}" for n in (1, 7, 32))):
+    """Lookup by hash, which the bodies hold as an array of bytes."""
+    body = F.parse_json("data")
+    outline = "$.WorkPackageReceived.outline"
+    return with_hash(t.payloads, list(hashes)).select(
+        "timestamp",
+        "node_id",
+        bytes_to_hex(F.variant_get(body, f"{outline}.work_package_hash", "array<int>")).alias("hash"),
+        F.variant_get(body, f"{outline}.work_package_size", "bigint").alias("work_package_size"),
+    )
 
 
-def stage_rank(stage):
-    out = F.lit(None).cast("int")
-    for name, rank in STAGE_RANK.items():
-        out = F.when(stage == name, rank).otherwise(out)
-    return out
+def _named(column, names: dict, other: str | None = None):
+    """The name of a value by a fixed table."""
+    pairs = [F.lit(x) for item in names.items() for x in item]
+    found = F.create_map(*pairs)[column]
+    return found if other is None else F.coalesce(found, F.lit(other))
 
 
-def journeys(events: DataFrame, packages: list[int]) -> DataFrame:
-    """The stages of some packages in time order, each with the time since the one before it."""
-    order = Window.partitionBy("package").orderBy("timestamp", "event_type", "node_id", "part", "gas")
-    own = events.where(F.col("package").isin(*packages)).withColumn("stage", stage_name(F.col("event_type"), F.col("reason")))
-    return own.select(
-        "package",
-        F.row_number().over(order).alias("step"),
-        "timestamp",
-        "node_id",
-        "stage",
-        "core",
-        F.when(F.col("event_type") == 92, F.col("reason")).alias("error"),
-        ms_between(F.col("timestamp"), F.lag("timestamp").over(order)).alias("duration_ms"),
-    )
+def stage_name(event_type, reason, names: dict = STAGES):
+    told = F.when((event_type == 92) & (reason == SUPERSEDED), "superseded").when((event_type == 113) & (reason == ON_CHAIN), "included")
+    return told.otherwise(_named(event_type, names, "unknown"))
+
+
+def stage_rank(stage, ranks: dict = STAGE_RANK):
+    """How far a stage is; any that the table does not name is the least."""
+    return F.coalesce(_named(stage, ranks), F.lit(-3))
+
+
+def package_events(t) -> DataFrame:
+    """All events of packages: the pipeline's own, those on chain and the transfers of shards."""
+    none = lambda kind: F.lit(None).cast(kind)
+    own = t.packages.select("package", "timestamp", "event_type", "node_id", "core", "reason", "part", "gas")
+    chain = t.chain.select("package", "timestamp", "event_type", none("string").alias("node_id"), none("int").alias("core"), "reason", none("bigint").alias("part"), none("bigint").alias("gas"))
+    moved = t.shards.select("package", "timestamp", "event_type", "node_id", none("int").alias("core"), none("string").alias("reason"), none("bigint").alias("part"), none("bigint").alias("gas"))
+    return own.unionByName(chain).unionByName(moved)
 
 
-_JOURNEY = f"""SELECT package, row_number() OVER w AS step, timestamp, node_id,
-  CASE WHEN event_type = 92 AND reason = '{SUPERSEDED}' THEN 'superseded' ELSE {_stage_case()} END AS stage, core, CASE WHEN event_type = 92 THEN reason END AS error,
-  (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w)) / 1000.0 AS duration_ms
-FROM pk WHERE package IN (%s) WINDOW w AS (PARTITION BY package ORDER BY timestamp, event_type, node_id, part, gas)"""
+def chosen(events: DataFrame, packages: DataFrame | list | None) -> DataFrame:
+    """Events of the packages asked for: a table of them (semi-join), a list of ids, or all (None)."""
+    if packages is None:
+        return events
+    if isinstance(packages, DataFrame):
+        return events.join(packages.select("package").distinct(), "package", "left_semi")
+    return events.where(F.col("package").isin(*packages))
 
 
-@query("q14_workpackage_journey", f", j AS ({_JOURNEY % '7'}) SELECT package, CAST(step AS INTEGER) AS step, timestamp, node_id, stage FROM j")
-def workpackage_journey(t, package: int = 7):
-    return journeys(t.packages, [package]).select("package", "step", "timestamp", "node_id", "stage")
+def _in_order():
+    return Window.partitionBy("package").orderBy("timestamp", "event_type", F.coalesce("node_id", F.lit("")), F.coalesce("part", F.lit(0)), F.coalesce("gas", F.lit(0)))
 
 
-@query("q27_workpackage_journey_enhanced", f", j AS ({_JOURNEY % '7, 32'}) SELECT package, CAST(step AS INTEGER) AS step, timestamp, node_id, stage, core, error, duration_ms FROM j")
-def workpackage_journey_enhanced(t, packages=(7, 32)):
-    return journeys(t.packages, list(packages))
+def journeys(t, packages: DataFrame | list | None = None) -> DataFrame:
+    """The steps of packages in time order."""
+    own = chosen(package_events(t), packages)
+    return own.withColumns({"step": F.row_number().over(_in_order()), "stage": stage_name(F.col("event_type"), F.col("reason"))})
+
+
+_STEPS_SQL = """, pe AS (SELECT package, timestamp, event_type, node_id, core, reason, part, gas FROM pk UNION ALL SELECT package, timestamp, event_type, NULL, NULL, reason, NULL, NULL FROM chain
+  UNION ALL SELECT package, timestamp, event_type, node_id, NULL, NULL, NULL, NULL FROM shards),
+j AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS step, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w)) / 1000.0 AS duration_ms
+  FROM pe WINDOW w AS (PARTITION BY package ORDER BY timestamp, event_type, coalesce(node_id, ''), coalesce(part, 0), coalesce(gas, 0)))"""
+_STAGE_SQL = """CASE WHEN event_type = 92 AND reason = 'work package was refined by another guarantor' THEN 'superseded' WHEN event_type = 113 AND reason = 'PackageReportedOnChain' THEN 'included'
+  ELSE CASE event_type WHEN 92 THEN 'failed' WHEN 94 THEN 'received' WHEN 95 THEN 'authorized' WHEN 101 THEN 'refined' WHEN 102 THEN 'report_built' WHEN 105 THEN 'guarantee_built' WHEN 109 THEN 'guarantees_distributed'
+    WHEN 112 THEN 'guarantee_received' WHEN 113 THEN 'discarded' WHEN 120 THEN 'shard_requested' WHEN 124 THEN 'shard_received' WHEN 125 THEN 'shards_transferred' END END"""
+
+
+@query("q14_workpackage_journey", _STEPS_SQL + f" SELECT package, step, timestamp, node_id, event_type, {_STAGE_SQL} AS stage FROM j")
+def workpackage_journey(t, packages: DataFrame | list | None = None):
+    return journeys(t, packages).select("package", "step", "timestamp", "node_id", "event_type", "stage")
 
 
 @query(
-    "q52_batch_journeys",
-    f""", j AS ({_JOURNEY % '1, 2, 3, 7, 32, 64, 100, 512'})
-SELECT package, count(*) AS stages, string_agg(stage, '>' ORDER BY step) AS path, bool_or(error IS NOT NULL) AS has_errors, arg_max(stage, step) AS latest_stage, sum(duration_ms) AS total_ms,
-  max({_rank_case('stage')}) AS best_rank FROM j GROUP BY package""",
+    "q14_journey_outcomes",
+    _STEPS_SQL
+    + f""", n AS (SELECT *, {_STAGE_SQL} AS stage FROM j), r AS (SELECT *, CASE stage WHEN 'received' THEN 2 WHEN 'authorized' THEN 4 WHEN 'refined' THEN 5 WHEN 'report_built' THEN 6 WHEN 'guarantee_built' THEN 7
+  WHEN 'guarantees_distributed' THEN 8 WHEN 'guarantee_received' THEN 9 WHEN 'included' THEN 10 WHEN 'shard_requested' THEN 11 WHEN 'shard_received' THEN 11 WHEN 'shards_transferred' THEN 11 WHEN 'failed' THEN -1 WHEN 'superseded' THEN -2 ELSE -3 END AS rank FROM n),
+o AS (SELECT package, max(step) AS steps, arg_max(stage, (rank, step)) AS current_stage, bool_or(stage IN ('failed', 'duplicate', 'discarded')) AS failed, bool_or(stage = 'superseded') AS s,
+  bool_or(stage IN ('refined', 'report_built', 'guarantee_built', 'guarantees_distributed', 'guarantee_received', 'included', 'shard_received')) AS p,
+  arg_min(reason, step) FILTER (stage = 'failed') AS failure_reason, arg_min(core, step) FILTER (stage = 'received') AS core FROM r GROUP BY package)
+SELECT package, steps, current_stage, failed, s AND NOT p AND NOT failed AS superseded, failure_reason, core FROM o""",
 )
-def batch_journeys(t, packages=(1, 2, 3, 7, 32, 64, 100, 512)):
-    if len(packages) > 50:
-        raise ValueError("at most 50 packages at a time")
-    rows = journeys(t.packages, list(packages))
-    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "stage"))), lambda s: s["stage"]), ">")
-    return rows.groupBy("package").agg(
-        F.count(F.lit(1)).alias("stages"),
-        path.alias("path"),
-        F.bool_or(F.col("error").isNotNull()).alias("has_errors"),
-        F.max_by("stage", "step").alias("latest_stage"),
-        F.sum("duration_ms").alias("total_ms"),
-        F.max(stage_rank(F.col("stage"))).alias("best_rank"),
+def journey_outcomes(t, packages: DataFrame | list | None = None):
+    """What became of each package: the furthest stage (not the latest), and whether it failed or was superseded without progress."""
+    stage = F.col("stage")
+    first = lambda value, when: F.min_by(F.when(when, value), F.when(when, F.col("step")))
+    rows = journeys(t, packages).groupBy("package").agg(
+        F.max("step").alias("steps"),
+        F.max_by("stage", F.struct(stage_rank(stage), "step")).alias("current_stage"),
+        F.bool_or(stage.isin("failed", "duplicate", "discarded")).alias("failed"),
+        F.bool_or(stage == "superseded").alias("_superseded"),
+        F.bool_or(stage.isin("refined", "report_built", "guarantee_built", "guarantees_distributed", "guarantee_received", "included", "shard_received")).alias("_progress"),
+        first(F.col("reason"), stage == "failed").alias("failure_reason"),
+        first(F.col("core"), stage == "received").alias("core"),
     )
+    return rows.select("package", "steps", "current_stage", "failed", (F.col("_superseded") & ~F.col("_progress") & ~F.col("failed")).alias("superseded"), "failure_reason", "core")
 
 
-_AUDIT = {140: "SendingBundleShardRequest", 126: "DistributingAssurance", 128: "AssuranceSent", 123: "ShardRequestSent", 124: "ShardRequestReceived", 120: "SendingShardRequest"}
+@query(
+    "q27_workpackage_journey_enhanced",
+    _STEPS_SQL
+    + """, nc AS (SELECT node_id, arg_max(core, (timestamp, package)) AS core FROM pk WHERE event_type = 94 GROUP BY 1),
+c AS (SELECT package, arg_min(core, step) FILTER (event_type = 94) AS core, min(node_id) AS node FROM j GROUP BY package)
+SELECT j.package, step, timestamp, j.node_id, CASE WHEN event_type = 92 AND reason = 'work package was refined by another guarantor' THEN 'superseded' WHEN event_type = 113 AND reason = 'PackageReportedOnChain' THEN 'included'
+    ELSE CASE event_type WHEN 92 THEN 'failed' WHEN 94 THEN 'received' WHEN 95 THEN 'authorized' WHEN 101 THEN 'refined' WHEN 102 THEN 'report_built' WHEN 105 THEN 'guarantee_built' WHEN 109 THEN 'guaranteed'
+      WHEN 112 THEN 'guarantee_received' WHEN 113 THEN 'discarded' WHEN 120 THEN 'shard_requested' WHEN 124 THEN 'shard_received' WHEN 125 THEN 'shards_transferred' END END AS stage,
+  CASE WHEN event_type = 92 AND reason = 'work package was refined by another guarantor' THEN 'superseded' WHEN event_type = 92 OR event_type = 113 AND reason <> 'PackageReportedOnChain' THEN 'failed' ELSE 'completed' END AS status,
+  coalesce(c.core, nc.core) AS core, CASE WHEN event_type IN (92, 99, 113) AND NOT (event_type = 113 AND reason = 'PackageReportedOnChain') THEN reason END AS error, duration_ms
+FROM j JOIN c USING (package) LEFT JOIN nc ON nc.node_id = c.node""",
+)
+def workpackage_journey_enhanced(t, packages: DataFrame | list | None = None):
+    """The detailed journey: status, error and time since the step before; a package without a core of its own has that which its first node last received for."""
+    kind, reason = F.col("event_type"), F.col("reason")
+    on_chain = (kind == 113) & (reason == ON_CHAIN)
+    whole = Window.partitionBy("package")
+    received = F.when(kind == 94, F.struct("step", "core"))
+    steps = journeys(t, packages).withColumns({
+        "duration_ms": ms_between(F.col("timestamp"), F.lag("timestamp").over(_in_order())),
+        "_core": F.min(received).over(whole)["core"],
+        "_node": F.min("node_id").over(whole),
+    })
+    newest = latest_per_key(t.packages.where("event_type = 94"), ["node_id"], [F.col("timestamp"), F.col("package")], ["core"])
+    joined = steps.join(newest.select(F.col("node_id").alias("_node"), F.col("core").alias("_node_core")), "_node", "left")
+    stage = stage_name(kind, reason, DETAILED_STAGES)
+    status = F.when(stage == "superseded", "superseded").when(one_of("event_type", DETAILED_STATUS["failed"]) | (kind == 113) & ~on_chain, "failed").when(one_of("event_type", DETAILED_STATUS["in_progress"]), "in_progress")
+    return joined.select(
+        "package",
+        "step",
+        "timestamp",
+        "node_id",
+        stage.alias("stage"),
+        status.otherwise("completed").alias("status"),
+        F.coalesce("_core", "_node_core").alias("core"),
+        F.when(kind.isin(92, 99, 113) & ~on_chain, reason).alias("error"),
+        "duration_ms",
+    )
+
+
+@query(
+    "q52_batch_journeys",
+    _STEPS_SQL
+    + """, b AS (SELECT *, CASE event_type WHEN 92 THEN 'failed' WHEN 94 THEN 'received' WHEN 95 THEN 'authorized' WHEN 101 THEN 'refined' WHEN 102 THEN 'report_built' WHEN 105 THEN 'guarantee_built' ELSE 'other' END AS stage,
+  CASE WHEN event_type IN (92, 93, 99, 112, 113) THEN 'failed' ELSE 'completed' END AS status FROM j WHERE event_type BETWEEN 90 AND 113)
+SELECT package, count(*) AS stage_count, string_agg(stage || ':' || status, '>' ORDER BY step) AS stages, bool_or(event_type IN (92, 93, 99, 112, 113)) AS has_errors, min(timestamp) AS first_seen, max(timestamp) AS last_seen,
+  count(DISTINCT node_id) AS nodes_involved, arg_max(stage, step) AS current_stage FROM b GROUP BY package""",
+)
+def batch_journeys(t, packages: DataFrame | list | None = None):
+    """The journeys of many packages at once, a row a package: stages with their status in order, errors, and the latest stage."""
+    kind = F.col("event_type")
+    stage = _named(kind, BATCH_STAGES, "other")
+    status = F.lit("completed")
+    for name, ids in BATCH_STATUS.items():
+        status = F.when(kind.isin(*ids), name).otherwise(status)
+    rows = journeys(t, packages).where(kind.between(90, 113)).withColumn("_s", F.concat_ws(":", stage, status)).withColumn("stage", stage)
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "_s"))), lambda s: s["_s"]), ">")
+    return rows.groupBy("package").agg(
+        F.count(F.lit(1)).alias("stage_count"),
+        path.alias("stages"),
+        F.bool_or(kind.isin(*FAILURES_BATCH)).alias("has_errors"),
+        F.min("timestamp").alias("first_seen"),
+        F.max("timestamp").alias("last_seen"),
+        F.count_distinct("node_id").alias("nodes_involved"),
+        F.max_by("stage", "step").alias("current_stage"),
+    )
 
 
 @query(
     "q46_audit_progress",
-    """SELECT core, count(*) AS audit_events, count(DISTINCT node_id) AS auditors, max(timestamp) AS last_event,
-  CASE WHEN count(*) FILTER (event_type = 128) > 0 THEN 'assured' WHEN count(*) FILTER (event_type = 124) > 0 THEN 'shards_received' WHEN count(*) FILTER (event_type IN (120, 123)) > 0 THEN 'requested' ELSE 'pending' END AS status
-FROM ev WHERE event_type IN (120, 123, 124, 126, 128, 140) GROUP BY core""",
+    """, n AS (SELECT package, count(*) AS events, count(*) FILTER (event_type = 105) AS guarantees_built, count(*) FILTER (event_type = 106) AS guarantees_signed, count(*) FILTER (event_type = 107) AS guarantees_shared,
+  count(*) FILTER (event_type = 108) > 0 AS is_accumulated, count(*) FILTER (event_type IN (109, 110)) > 0 AS is_failed, count(DISTINCT node_id) FILTER (event_type = 106) AS auditors,
+  coalesce(arg_min(tranche, (timestamp, node_id, event_type)) FILTER (tranche IS NOT NULL), 0) AS tranche FROM audits GROUP BY package)
+SELECT package, tranche, guarantees_built, guarantees_signed, guarantees_shared, auditors, is_accumulated, is_failed, is_failed AND events > 5 AS panic_mode,
+  CASE WHEN is_accumulated THEN 'completed' WHEN is_failed THEN 'failed' WHEN guarantees_shared > 0 THEN 'sharing' WHEN guarantees_signed > 0 THEN 'signing' WHEN guarantees_built > 0 THEN 'building' ELSE 'pending' END AS status FROM n""",
 )
-def audit_progress(t):
-    some = lambda *ids: count_if(one_of("event_type", ids)) > 0
-    status = F.when(some(128), "assured").when(some(124), "shards_received").when(some(120, 123), "requested").otherwise("pending")
-    own = t.events.where(one_of("event_type", _AUDIT))
-    return own.groupBy("core").agg(F.count(F.lit(1)).alias("audit_events"), F.count_distinct("node_id").alias("auditors"), F.max("timestamp").alias("last_event"), status.alias("status"))
+def audit_progress(t, packages: DataFrame | list | None = None):
+    """How far the audit of each package is, from its events between the building and the discarding of guarantees."""
+    many = lambda *ids: count_if(one_of("event_type", ids))
+    told = F.col("tranche").isNotNull()
+    rows = chosen(t.audits, packages).groupBy("package").agg(
+        F.count(F.lit(1)).alias("events"),
+        many(105).alias("guarantees_built"),
+        many(106).alias("guarantees_signed"),
+        many(107).alias("guarantees_shared"),
+        (many(108) > 0).alias("is_accumulated"),
+        (many(109, 110) > 0).alias("is_failed"),
+        F.count_distinct(F.when(F.col("event_type") == 106, F.col("node_id"))).alias("auditors"),
+        F.coalesce(F.min_by(F.when(told, F.col("tranche")), F.when(told, F.struct("timestamp", "node_id", "event_type"))), F.lit(0)).alias("tranche"),
+    )
+    status = F.when(F.col("is_accumulated"), "completed").when(F.col("is_failed"), "failed").when(F.col("guarantees_shared") > 0, "sharing").when(F.col("guarantees_signed") > 0, "signing").when(F.col("guarantees_built") > 0, "building")
+    return rows.withColumn("status", status.otherwise("pending")).withColumn("panic_mode", F.col("is_failed") & (F.col("events") > 5)).drop("events")
 
 
 @query(
     "q29_core_work_packages",
-    f""", cp AS (SELECT package, max({_rank_case(_stage_case())}) AS stage_rank, arg_max({_stage_case()}, {_rank_case(_stage_case())}) AS stage, min(timestamp) FILTER (event_type = 94) AS received_at,
+    """, cp AS (SELECT package, arg_max(CASE event_type WHEN 92 THEN 'failed' WHEN 94 THEN 'received' WHEN 95 THEN 'authorized' WHEN 101 THEN 'refined' WHEN 102 THEN 'report_built' WHEN 105 THEN 'guarantee_built' WHEN 109 THEN 'guarantees_distributed' END,
+    CASE event_type WHEN 92 THEN -1 WHEN 94 THEN 2 WHEN 95 THEN 4 WHEN 101 THEN 5 WHEN 102 THEN 6 WHEN 105 THEN 7 WHEN 109 THEN 8 END) AS stage, min(timestamp) FILTER (event_type = 94) AS received_at,
     max(timestamp) FILTER (event_type = 109) AS done_at FROM pk, pa WHERE core = 3 AND timestamp > t - INTERVAL 720 DAY GROUP BY package)
 SELECT package, stage, received_at, (epoch_us(done_at) - epoch_us(received_at)) / 1000.0 AS processing_ms FROM cp WHERE received_at IS NOT NULL ORDER BY received_at DESC, package LIMIT 100""",
 )
@@ -243,6 +372,17 @@ def core_work_packages(t, core: int = 3, minutes: int = 720 * 1440, limit: int =
     return rows.orderBy(F.desc("received_at"), "package").limit(limit)
 
 
+@query(
+    "q18_accumulate_costs",
+    """, x AS (SELECT gas, k, unnest(range(1, k % 3 + 2)) AS service FROM ev WHERE event_type = 47)
+SELECT service, count(*) AS costs, CAST(sum(gas + service) AS BIGINT) AS total_gas, round(avg(gas + service), 4) AS avg_gas, round(avg(gas * service), 4) AS avg_time_ns FROM x GROUP BY service""",
+)
+def accumulation(t):
+    """Gas and time by service of what executed blocks accumulated, from the pairs in their bodies."""
+    rows = accumulate_costs(t.payloads)
+    return rows.groupBy("service").agg(F.count(F.lit(1)).alias("costs"), F.sum("gas").alias("total_gas"), F.round(F.avg("gas"), 4).alias("avg_gas"), F.round(F.avg("elapsed_ns"), 4).alias("avg_time_ns"))
+
+
 @query(
     "q18_execution_metrics",
     """SELECT event_type, count(*) AS costs, CAST(sum(gas) AS BIGINT) AS total_gas, round(avg(gas), 4) AS avg_gas, max(gas) AS max_gas FROM pk, pa

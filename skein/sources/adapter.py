@@ -36,8 +36,11 @@ class Telemetry:
     packages: DataFrame
     chain: DataFrame
     shards: DataFrame
+    audits: DataFrame
     dims: DataFrame
     services: DataFrame
+    #: events with their payload as JSON, where there are any
+    payloads: DataFrame | None = None
 
     @cached_property
     def as_of(self) -> datetime:
@@ -120,10 +123,63 @@ def load(spark: SparkSession, sf_dir: str) -> Telemetry:
         F.when(F.col("o_orderstatus") == "F", ON_CHAIN).when(F.col("o_orderstatus") == "P", "Expired").alias("reason"),
         (F.col("o_orderdate") + F.expr("INTERVAL '30' DAY")).alias("timestamp"),
     )
-    shards = lines.where((F.col("l_linestatus") == "F") & (F.col("l_linenumber") <= 2)).select(F.col("l_orderkey").alias("package"), (F.col("l_shipdate") + F.expr("INTERVAL '1' DAY")).alias("timestamp"))
+    shards = lines.where((F.col("l_linestatus") == "F") & (F.col("l_linenumber") <= 2)).select(
+        F.col("l_orderkey").alias("package"),
+        node_hex(F.col("l_suppkey")).alias("node_id"),
+        F.when(F.col("l_linenumber") == 1, 120).when(F.col("l_partkey") % 2 == 0, 124).otherwise(125).alias("event_type"),
+        (F.col("l_shipdate") + F.expr("INTERVAL '1' DAY")).alias("timestamp"),
+    )
+    audits = lines.where("l_linenumber <= 4").select(
+        F.col("l_orderkey").alias("package"),
+        node_hex(F.col("l_suppkey")).alias("node_id"),
+        (105 + F.col("l_partkey") % 9).cast("int").alias("event_type"),
+        (F.col("l_shipdate") + F.expr("INTERVAL '2' DAY")).alias("timestamp"),
+        F.when(F.col("l_quantity") > 25, F.col("l_linenumber")).alias("tranche"),
+    )
     nations = read("nation").join(F.broadcast(read("region").withColumnRenamed("r_regionkey", "n_regionkey")), "n_regionkey")
     dims = nations.select(F.col("n_nationkey").cast("int").alias("dim"), F.col("n_name").alias("implementation"), F.col("r_name").alias("region"))
-    return Telemetry(envelope(raw), packages, chain, shards, dims, read("supplier").select(F.col("s_acctbal").alias("balance")))
+    events = envelope(raw)
+    services = read("supplier").select(F.col("s_acctbal").alias("balance"))
+    return Telemetry(events, packages, chain, shards, audits, dims, services, payloads(events, packages, chain, shards))
+
+
+def _number_hash(number: Column, kind: int) -> Column:
+    """A 32-byte hash as an array of numbers: the kind, zeros, and eight bytes of the number."""
+    parts = [F.shiftright(number.cast("long"), 8 * i).bitwiseAND(F.lit(255)).cast("int") for i in range(7, -1, -1)]
+    return F.array(F.lit(kind), *[F.lit(0)] * 23, *parts)
+
+
+def payloads(events: DataFrame, packages: DataFrame, chain: DataFrame, shards: DataFrame) -> DataFrame:
+    """The work-package and execution events as they are received: an envelope and the body as JSON under its variant's name.
+
+    Packages are known by hash in the event that receives them, by share id in those of the pipeline, by their
+    report's hash on chain, and by the erasure root, or the request for a shard, in transfers.
+    """
+    none, share, kind = F.lit(None).cast("string"), F.col("package"), F.col("event_type")
+    cost = lambda gas: F.struct(F.struct(gas.alias("gas_used"), (gas * 2).alias("elapsed_ns")).alias("total"))
+    body = lambda name, *fields: F.to_json(F.struct(F.struct(*fields).alias(name)))
+    by_share = share.alias("submission_or_share_id")
+    data = (
+        F.when(kind == 94, body("WorkPackageReceived", by_share, F.col("core").alias("core"), F.struct(F.col("gas").alias("work_package_size"), _number_hash(share, 1).alias("work_package_hash"), F.array(F.struct(F.col("gas_limit").alias("refine_gas_limit"))).alias("work_items")).alias("outline")))
+        .when(kind == 95, body("Authorized", by_share, cost(F.col("gas")).alias("cost")))
+        .when(kind == 101, body("Refined", by_share, F.array(cost(F.col("gas")), cost(F.lit(1).cast("bigint"))).alias("costs")))
+        .when(kind == 102, body("WorkReportBuilt", by_share, F.struct(_number_hash(share, 2).alias("work_report_hash"), _number_hash(share, 3).alias("erasure_root")).alias("outline")))
+        .when(kind == 105, body("GuaranteeBuilt", share.alias("submission_id")))
+        .when(kind == 109, body("GuaranteesDistributed", share.alias("submission_id")))
+        .when(kind == 92, body("WorkPackageFailed", by_share, F.col("reason").alias("reason")))
+    )
+    own = packages.select("timestamp", "node_id", "event_type", data.alias("data"))
+    report = F.struct(_number_hash(share, 2).alias("work_report_hash")).alias("outline")
+    on_chain = chain.select("timestamp", none.alias("node_id"), "event_type", F.when(kind == 112, body("GuaranteeReceived", report)).otherwise(body("GuaranteeDiscarded", report, F.col("reason").alias("reason"))).alias("data"))
+    root, request = _number_hash(share, 3).alias("erasure_root"), share.alias("request_id")
+    moved = F.when(kind == 120, body("SendingShardRequest", root)).when(kind == 124, body("ShardRequestReceived", request, root)).otherwise(body("ShardsTransferred", request))
+    transfers = shards.select("timestamp", "node_id", "event_type", moved.alias("data"))
+    # pairs of a service and what it used, of which JSON makes arrays of unlike elements
+    pair = lambda i: F.format_string('[%d,{"total":{"gas_used":%d,"elapsed_ns":%d}}]', i, F.col("gas") + i, F.col("gas") * i)
+    pairs = F.array_join(F.transform(F.sequence(F.lit(1), F.col("k") % 3 + 1), pair), ",")
+    executed = F.format_string('{"BlockExecuted":{"authoring_or_importing_id":%d,"accumulate_costs":[%s]}}', "event_id", pairs)
+    blocks = events.where("event_type = 47").select("timestamp", "node_id", "event_type", executed.alias("data"))
+    return own.unionByName(on_chain).unionByName(transfers).unionByName(blocks)
 
 
 def event_types(spark: SparkSession) -> DataFrame:
@@ -158,7 +214,11 @@ PRELUDE = f"""WITH ev0 AS (
     CASE o_orderstatus WHEN 'F' THEN '{ON_CHAIN}' WHEN 'P' THEN 'Expired' END AS reason, o_orderdate + INTERVAL 30 DAY AS timestamp
   FROM orders
 ), shards AS (
-  SELECT l_orderkey AS package, l_shipdate + INTERVAL 1 DAY AS timestamp FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber <= 2
+  SELECT l_orderkey AS package, printf('%064x', l_suppkey) AS node_id, CASE WHEN l_linenumber = 1 THEN 120 WHEN l_partkey % 2 = 0 THEN 124 ELSE 125 END AS event_type, l_shipdate + INTERVAL 1 DAY AS timestamp
+  FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber <= 2
+), audits AS (
+  SELECT l_orderkey AS package, printf('%064x', l_suppkey) AS node_id, CAST(105 + l_partkey % 9 AS INTEGER) AS event_type, l_shipdate + INTERVAL 2 DAY AS timestamp, CASE WHEN l_quantity > 25 THEN l_linenumber END AS tranche
+  FROM lineitem WHERE l_linenumber <= 4
 ), st AS (
   SELECT date_trunc('minute', timestamp) AS bucket, node_id, event_type, count(*) AS event_count, min(timestamp) AS first_event, max(timestamp) AS last_event
   FROM ev GROUP BY 1, 2, 3
