@@ -57,6 +57,36 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], columns:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in columns))
 
 
+def percentiles_cont(df: DataFrame, value: str, names: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+    """Interpolated percentiles of a column by ``keys`` (none: of all rows), by name.
+
+    Equal values are counted first, before and in a shuffle, so that only distinct values are put in order.
+    """
+    keys = keys or []
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    upto = counted.withColumns({"_upto": F.sum("_n").over(whole.orderBy(value)), "_all": F.sum("_n").over(whole)})
+
+    def at_place(place: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > place, F.col(value)))
+
+    def percentile(p: float) -> Column:
+        place = F.lit(p) * (F.col("_all") - 1)
+        low, high = at_place(F.floor(place)), at_place(F.ceil(place))
+        return low + (high - low) * (F.lit(p) * (F.max("_all") - 1) - F.floor(F.lit(p) * (F.max("_all") - 1)))
+
+    return upto.groupBy(*keys).agg(*(percentile(p).alias(n) for n, p in names.items()))
+
+
+def nearest_ranks(df: DataFrame, value: str, names: dict[str, float], keys: list[str]) -> DataFrame:
+    """Percentiles by nearest rank (place round(p * (n - 1)), halves away from zero), of counted distinct values as above."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    upto = counted.withColumns({"_upto": F.sum("_n").over(whole.orderBy(value)), "_all": F.sum("_n").over(whole)})
+    at_rank = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) * (F.col("_all") - 1) + 0.5), F.col(value)))
+    return upto.groupBy(*keys).agg(F.max("_all").alias("samples"), *(at_rank(p).alias(n) for n, p in names.items()))
+
+
 def time_grid(spark, start, end, minutes: int) -> DataFrame:
     """A row ``bucket`` for every step from start to end, both included; its length is fixed by the two moments."""
     step = F.expr(f"INTERVAL '{minutes}' MINUTE")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, ms_between, one_of
+from ..operators.joins import percentiles_cont
 from .registry import query
 
 WEEK = 7 * 1440
@@ -37,7 +38,7 @@ SELECT max(n) FILTER (y = 40) AS authoring, max(n) FILTER (y = 41) AS authoring_
 def block_stats(t, minutes: int = WEEK):
     """Counts from the one-minute aggregate."""
     total = lambda i: F.coalesce(F.sum(F.when(F.col("event_type") == i, F.col("event_count"))), F.lit(0)).cast("long")
-    return t.stats_1m.where(t.within(minutes, "bucket")).agg(*(total(i).alias(n) for n, i in _COUNTS.items()))
+    return t.stats(minutes).agg(*(total(i).alias(n) for n, i in _COUNTS.items()))
 
 
 @query(
@@ -47,7 +48,7 @@ FROM st, a WHERE bucket > t - INTERVAL 30 DAY AND event_type IN (41, 42) GROUP B
 )
 def authoring_by_node(t, minutes: int = 30 * 1440):
     total = lambda i: F.sum(F.when(F.col("event_type") == i, F.col("event_count"))).cast("long")
-    by = t.stats_1m.where(t.within(minutes, "bucket") & one_of("event_type", (41, 42))).groupBy("node_id")
+    by = t.stats(minutes).where(one_of("event_type", (41, 42))).groupBy("node_id")
     return by.agg(total(42).alias("authored"), F.coalesce(total(41), F.lit(0)).alias("failed")).where("authored > 0").orderBy(F.desc("authored"), "node_id").limit(20)
 
 
@@ -77,9 +78,11 @@ FROM dl WHERE ms > 0 AND ms < 86400000""",
 )
 def block_propagation(t, minutes: float = 30 * 1440, most_ms: float = 86_400_000):
     """The reference window of one minute would hold no pair in the sparse test data; it is a parameter."""
-    p = lambda q: F.round(F.percentile("ms", F.lit(q)), 3)
     near = _delays(t, minutes).where((F.col("ms") > 0) & (F.col("ms") < most_ms))
-    return near.agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("ms"), 3).alias("avg_ms"), p(0.5).alias("p50_ms"), p(0.95).alias("p95_ms"), p(0.99).alias("p99_ms"))
+    counted = near.groupBy("ms").agg(F.count(F.lit(1)).alias("n"))
+    mean = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("samples"), F.round(F.sum(F.col("ms") * F.col("n")) / F.sum("n"), 3).alias("avg_ms"))
+    ranks = percentiles_cont(near, "ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    return mean.crossJoin(F.broadcast(ranks.select(*(F.round(c, 3).alias(c) for c in ranks.columns))))  # one row each
 
 
 @query(

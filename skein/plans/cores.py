@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, ms_between, one_of, ratio
-from ..operators.joins import either_key_join
+from ..operators.joins import either_key_join, percentiles_cont
 from .registry import query
 
 WEEK, MONTH = 7 * 1440, 30 * 1440
@@ -117,7 +117,8 @@ def core_metrics(t, core: int = 3, most_ms: float = 86_400_000_000):
     limit = limits.where(F.col("core") == core).agg(F.avg("gas_limit").alias("avg_limit"))
     first = lambda i: F.min(F.when(_kind(i), F.col("timestamp")))
     times = own.groupBy("package").agg(first(94).alias("r"), first(101).alias("d")).select(ms_between(F.col("d"), F.col("r")).alias("ms")).where((F.col("ms") > 0) & (F.col("ms") < most_ms))
-    latency = times.agg(F.round(F.avg("ms"), 3).alias("avg_latency_ms"), F.round(F.percentile("ms", F.lit(0.95)), 3).alias("p95_latency_ms"))
+    latency = times.agg(F.round(F.avg("ms"), 3).alias("avg_latency_ms"))
+    latency = latency.crossJoin(F.broadcast(percentiles_cont(times, "ms", {"p95": 0.95}).select(F.round("p95", 3).alias("p95_latency_ms"))))  # one row each
     row = counts.crossJoin(F.broadcast(limit)).crossJoin(F.broadcast(latency))  # one row each
     done = F.col("refined") + F.col("failed")
     return row.select(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bytes_to_hex, floor_minutes, hex_to_bytes, nearest_rank, ratio, time_bucket
+from ..functions.columns import bytes_to_hex, floor_minutes, hex_to_bytes, micros, ratio, time_bucket
 from ..operators.joins import asof_backward, either_key_join, range_join
+from ..operators.joins import nearest_ranks as ranks_of
 from .registry import query
 
 
@@ -102,16 +103,30 @@ def percentiles(t):
     """, l AS (SELECT core, list_sort(list(gas)) AS g FROM ev WHERE event_type = 101 GROUP BY core) SELECT core, g[CAST(floor(0.5 * (len(g) - 1) + 0.5) AS INTEGER) + 1] AS p50, g[CAST(floor(0.95 * (len(g) - 1) + 0.5) AS INTEGER) + 1] AS p95 FROM l""",
 )
 def nearest_ranks(t):
-    """Of the few values of each group; for large ones see the counted form of the stage durations."""
-    by = t.events.where(_kind(101)).groupBy("core").agg(F.collect_list("gas").alias("g"))
-    return by.select("core", nearest_rank(F.col("g"), 0.5).alias("p50"), nearest_rank(F.col("g"), 0.95).alias("p95"))
+    return ranks_of(t.events.where(_kind(101)), "gas", {"p50": 0.5, "p95": 0.95}, ["core"]).select("core", "p50", "p95")
 
 
-@query("win01_lag", "SELECT event_id, epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (ORDER BY timestamp, event_id)) AS gap_us FROM ev WHERE core = 3 AND event_type IN (94, 105)")
-def lag_over_all(t):
-    """A lag over a whole result; the filter on one core and two types keeps it small."""
-    own = t.events.where(_kind(94, 105) & (F.col("core") == 3))
-    return own.select("event_id", (F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.lag("timestamp").over(Window.orderBy("timestamp", "event_id")).cast("timestamp"))).alias("gap_us"))
+@query("win01_lag", "SELECT event_id, epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY node_id ORDER BY timestamp, event_id)) AS gap_us FROM ev")
+def lag_by_node(t):
+    """The time since the node's event before, for all events."""
+    before = F.lag("timestamp").over(Window.partitionBy("node_id").orderBy("timestamp", "event_id"))
+    return t.events.select("event_id", (micros(F.col("timestamp")) - micros(before)).alias("gap_us"))
+
+
+@query("jsn05_struct_merge", "SELECT event_id, core AS core, slot + 1 AS slot, 'x' AS note FROM ev WHERE event_type IN (94, 105)")
+def struct_merge(t):
+    """Fields of a struct replaced, added and dropped."""
+    body = F.struct("core", "slot", "gas")
+    merged = body.withField("slot", F.col("slot") + 1).withField("note", F.lit("x")).dropFields("gas")
+    return t.events.where(_kind(94, 105)).select("event_id", merged.alias("m")).select("event_id", "m.*")
+
+
+@query("flt07_json_null", "SELECT event_id, k % 3 = 2 AS is_missing, k % 3 <> 0 AS text_is_null FROM ev WHERE event_type IN (94, 105) AND k % 3 <> 2")
+def json_null(t):
+    """A JSON null is there as a value, though its text is null; what is missing is neither."""
+    data = F.when(F.col("k") % 3 == 0, F.lit('{"x":{"y":1}}')).when(F.col("k") % 3 == 1, F.lit('{"x":{"y":null}}')).otherwise(F.lit('{"x":{}}'))
+    rows = t.events.where(_kind(94, 105)).select("event_id", F.variant_get(F.parse_json(data), "$.x.y", "variant").alias("v"))
+    return rows.where("v IS NOT NULL").select("event_id", F.col("v").isNull().alias("is_missing"), F.is_variant_null("v").alias("text_is_null"))
 
 
 @query(

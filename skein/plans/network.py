@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import at, count_if, micros, one_of, ratio
+from ..sources.snapshots import services_totals
 from .constants import CATEGORIES, FAILURES_ANALYTICS, FAILURES_ANOMALY
 from .registry import query
 
@@ -24,7 +25,7 @@ def _kind(*ids):
 )
 def health_metrics(t, minutes: int = DAY):
     connected = t.nodes.agg(count_if(F.col("is_connected")).alias("connected_nodes"), F.sum("total_events").alias("total_events"))
-    recent = t.stats_1m.where(t.within(minutes, "bucket")).agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("recent_events"))
+    recent = t.stats(minutes).agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("recent_events"))
     return connected.crossJoin(F.broadcast(recent))  # one row each
 
 
@@ -65,7 +66,7 @@ def topology_stats(t):
 )
 def failure_rates(t, minutes: int = WEEK):
     failed = F.coalesce(F.sum(F.when(_kind(*FAILURES_ANALYTICS), F.col("event_count"))), F.lit(0))
-    totals = t.stats_1m.where(t.within(minutes, "bucket")).agg(F.sum("event_count").alias("total"), failed.alias("failures"))
+    totals = t.stats(minutes).agg(F.sum("event_count").alias("total"), failed.alias("failures"))
     return totals.withColumn("rate", ratio(F.col("failures"), F.col("total"), 4))
 
 
@@ -82,7 +83,7 @@ def failure_categories(t, minutes: int = WEEK):
     """Attempts and failures by category, from one pass; a row a category by unpivoting."""
     total = lambda ids: F.coalesce(F.sum(F.when(_kind(*ids), F.col("event_count"))), F.lit(0))
     rows = F.array(*(F.struct(F.lit(n).alias("category"), F.col(f"{n}_a").alias("attempts"), F.col(f"{n}_f").alias("failures")) for n in CATEGORIES))
-    sums = t.stats_1m.where(t.within(minutes, "bucket")).agg(*(total(ids).alias(f"{n}_{'af'[j]}") for n, both in CATEGORIES.items() for j, ids in enumerate(both)))
+    sums = t.stats(minutes).agg(*(total(ids).alias(f"{n}_{'af'[j]}") for n, both in CATEGORIES.items() for j, ids in enumerate(both)))
     return sums.select(F.inline(rows)).where("attempts > 0").withColumn("rate", ratio(F.col("failures"), F.col("attempts"), 4))
 
 
@@ -95,7 +96,7 @@ FROM f JOIN (SELECT node_id, CAST(sum(event_count) AS BIGINT) AS total FROM st,
 def failures_by_node(t, minutes: int = MONTH, limit: int = 20):
     """The nodes with most failures, of all their events, and what fails most at each; one pass and one shuffle by node."""
     failed = _kind(*FAILURES_ANALYTICS)
-    by = t.stats_1m.where(t.within(minutes, "bucket")).groupBy("node_id", "event_type").agg(F.sum("event_count").alias("n"))
+    by = t.stats(minutes).groupBy("node_id", "event_type").agg(F.sum("event_count").alias("n"))
     rows = by.groupBy("node_id").agg(
         F.sum("n").alias("total_events"),
         F.sum(F.when(failed, F.col("n"))).alias("failures"),
@@ -120,7 +121,7 @@ def health_scores(t, recent: int, minutes: int) -> DataFrame:
     """One row: the inputs, the score of each component and their mean; ``recent`` and ``minutes`` are the short and the long window."""
     total = lambda ids: F.coalesce(F.sum(F.when(_kind(*ids), F.col("event_count"))), F.lit(0))
     now = t.within(recent, "bucket")
-    m = t.stats_1m.where(t.within(minutes, "bucket")).agg(
+    m = t.stats(minutes).agg(
         *(total(ids).alias(n) for n, ids in _H.items()),
         F.coalesce(F.sum(F.when(now, F.col("event_count"))), F.lit(0)).alias("recent_events"),
         F.count_distinct("node_id").alias("active_long"),
@@ -230,12 +231,12 @@ def anomalies(t, short: int = DAY, long: int = MONTH, silent: int = 5, dropped:
     sparse, so they are days here.  Nodes are inactive that were seen within the short window, but not of late.
     """
     failed = F.coalesce(F.sum(F.when(_kind(*FAILURES_ANOMALY), F.col("event_count"))), F.lit(0))
-    rate = t.stats_1m.where(t.within(short, "bucket")).agg(F.sum("event_count").alias("total"), failed.alias("failed"))
+    rate = t.stats(short).agg(F.sum("event_count").alias("total"), failed.alias("failed"))
     share = F.col("failed").cast("double") / F.nullif("total", F.lit(0))
     rule = lambda df, name, node, value: df.select(F.lit(name).alias("rule"), node.alias("node_id"), value.alias("value"))
     top = lambda df: df.orderBy(F.desc("value"), "node_id").limit(most)
     high = rule(rate.where((F.col("total") > 100) & (share > 0.05)), "high_failure_rate", F.lit(None).cast("string"), F.round(share, 4))
-    lost = t.stats_1m.where(t.within(long, "bucket") & _kind(0)).groupBy("node_id").agg(F.sum("event_count").alias("n")).where(F.col("n") > dropped)
+    lost = t.stats(long).where(_kind(0)).groupBy("node_id").agg(F.sum("event_count").alias("n")).where(F.col("n") > dropped)
     lost = top(rule(lost, "dropped_events", F.col("node_id"), F.col("n").cast("double")))
     best = t.last(long).where(_kind(11)).groupBy("node_id").agg(F.max("slot").alias("slot"))
     late = best.crossJoin(F.broadcast(best.agg(F.max("slot").alias("top")))).where(F.col("top") - F.col("slot") > behind)  # one row
@@ -248,13 +249,10 @@ def anomalies(t, short: int = DAY, long: int = MONTH, silent: int = 5, dropped:
 
 @query(
     "q54_services_totals",
-    """SELECT count(*) AS services, count(*) FILTER (s_acctbal > 0) AS funded, round(sum(s_acctbal), 2) AS balance, round(min(s_acctbal), 2) AS least, round(max(s_acctbal), 2) AS most FROM supplier""",
+    """, w AS (SELECT l_suppkey AS id, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS gas, count(*) FILTER (l_returnflag = 'R') AS done FROM lineitem GROUP BY 1)
+SELECT count(*) AS services, count(*) FILTER (coalesce(n, 0) > 0 OR coalesce(done, 0) > 0) AS active_services, CAST(sum(CAST(trunc(s_acctbal) AS BIGINT)) AS BIGINT) AS total_balance,
+  coalesce(CAST(sum(n) AS BIGINT), 0) AS total_refinement_count, coalesce(CAST(sum(gas) AS BIGINT), 0) AS total_refinement_gas_used, coalesce(CAST(sum(done) AS BIGINT), 0) AS total_accumulate_count FROM supplier LEFT JOIN w ON id = s_suppkey""",
 )
 def services(t):
-    return services_totals(t.services)
-
-
-def services_totals(services: DataFrame) -> DataFrame:
-    """Totals over the services that a network reports."""
-    b = F.col("balance")
-    return services.agg(F.count(F.lit(1)).alias("services"), count_if(b > 0).alias("funded"), F.round(F.sum(b), 2).alias("balance"), F.round(F.min(b), 2).alias("least"), F.round(F.max(b), 2).alias("most"))
+    """Totals over the services that a network reports, and over what they did."""
+    return services_totals(t.services).select("services", "active_services", "total_balance", "total_refinement_count", "total_refinement_gas_used", "total_accumulate_count")

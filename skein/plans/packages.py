@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bytes_to_hex, count_if, ms_between, one_of
-from ..operators.joins import latest_per_key
+from ..operators.joins import latest_per_key, nearest_ranks
 from ..sources.payload import accumulate_costs, telemetry, with_hash
 from .constants import BATCH_STAGES, BATCH_STATUS, DETAILED_STAGES, DETAILED_STATUS, FAILURES_BATCH, ON_CHAIN, STAGE_RANK, STAGES, SUPERSEDED
 from .registry import query
@@ -131,11 +131,7 @@ def stage_durations(t):
     """
     steps = F.array(*(F.struct(F.lit(f"{a}_to_{b}").alias("step"), ms_between(F.col(f"{b}_at"), F.col(f"{a}_at")).alias("ms")) for a, b in _STEPS))
     times = pipeline(t).select(F.explode(steps).alias("d")).select("d.step", "d.ms").where("ms IS NOT NULL")
-    counted = times.groupBy("step", "ms").agg(F.count(F.lit(1)).alias("n"))
-    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("step").orderBy("ms"))).withColumn("all", F.sum("n").over(Window.partitionBy("step")))
-    rank = lambda p: F.floor(F.lit(p) * (F.col("all") - 1) + 0.5)
-    at_rank = lambda p: F.min(F.when(F.col("upto") > rank(p), F.col("ms")))
-    return upto.groupBy("step").agg(F.max("all").alias("samples"), at_rank(0.5).alias("p50_ms"), at_rank(0.95).alias("p95_ms"))
+    return nearest_ranks(times, "ms", {"p50_ms": 0.5, "p95_ms": 0.95}, ["step"])
 
 
 @query("q15_failure_breakdown", "SELECT reason, count(*) AS failures, count(DISTINCT package) AS packages FROM pk WHERE event_type = 92 GROUP BY reason")

@@ -36,6 +36,11 @@ def _ceil_minute(t: datetime) -> datetime:
     return floor if floor == t else floor + timedelta(minutes=1)
 
 
+def minute_after(t: datetime) -> datetime:
+    """The first minute that starts after a moment."""
+    return t.replace(second=0, microsecond=0) + timedelta(minutes=1)
+
+
 @query("stm1_stats_1m", "SELECT * FROM st")
 def all_minutes(t):
     return t.stats_1m

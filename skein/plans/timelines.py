@@ -51,7 +51,7 @@ def live_counters(t, short: int = 360, long: int = DAY):
     """A short window on the events beside a long one on the aggregate."""
     top = lambda i: F.max(F.when(_kind(i), F.col("slot")))
     now = t.last(short).agg(top(11).alias("best_slot"), top(12).alias("finalized_slot"), count_if(_kind(94)).alias("packages"))
-    longer = t.stats_1m.where(t.within(long, "bucket")).agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("events"), F.count_distinct("node_id").alias("nodes"))
+    longer = t.stats(long).agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("events"), F.count_distinct("node_id").alias("nodes"))
     return now.crossJoin(F.broadcast(longer))  # one row each
 
 
@@ -68,7 +68,7 @@ def _series(t, hours: int, minutes: int, **counts):
     if not (1 <= minutes <= 60 and 60 % minutes == 0 and 1 <= hours <= 24):
         raise ValueError("minutes must divide 60, hours must be in 1..24")
     total = lambda cond: F.sum(F.when(cond, F.col("event_count"))) if cond is not None else F.sum("event_count")
-    recent = t.stats_1m.where(t.within((hours + 1) * 60, "bucket"))
+    recent = t.stats((hours + 1) * 60)
     sums = recent.groupBy(time_bucket(F.col("bucket"), minutes * 60).alias("bucket")).agg(*(total(c).alias(n) for n, c in counts.items()))
     filled = _grid(t, hours, minutes).join(sums, "bucket", "left")
     return filled.select("bucket", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts)).orderBy(F.desc("bucket")).limit(500)

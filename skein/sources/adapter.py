@@ -41,6 +41,8 @@ class Telemetry:
     services: DataFrame
     #: events with their payload as JSON, where there are any
     payloads: DataFrame | None = None
+    #: the stored one-minute aggregate (``sinks.MinuteStats``), where it is kept
+    minute_table: object | None = None
 
     @cached_property
     def as_of(self) -> datetime:
@@ -62,6 +64,17 @@ class Telemetry:
         lower = at(self.packages_as_of - timedelta(minutes=minutes))
         return self.packages.where((F.col("timestamp") > lower) & (F.col("timestamp") <= at(self.packages_as_of)))
 
+    def stats(self, minutes: float) -> DataFrame:
+        """The one-minute aggregate of the trailing window.  The window's bounds, in whole minutes, are put to the
+        events before they are grouped (or to a stored table, where there is one), so they reach the scan."""
+        from ..plans.rollups import minute_after, stats_1m
+
+        low, high = minute_after(self.as_of - timedelta(minutes=minutes)), minute_after(self.as_of)
+        events = self.events.where(F.col("timestamp") < at(high))
+        if self.minute_table is not None:
+            return self.minute_table.read(events, low)
+        return stats_1m(events.where(F.col("timestamp") >= at(low)))
+
     @cached_property
     def stats_1m(self) -> DataFrame:
         from ..plans.rollups import stats_1m
@@ -139,8 +152,15 @@ def load(spark: SparkSession, sf_dir: str) -> Telemetry:
     nations = read("nation").join(F.broadcast(read("region").withColumnRenamed("r_regionkey", "n_regionkey")), "n_regionkey")
     dims = nations.select(F.col("n_nationkey").cast("int").alias("dim"), F.col("n_name").alias("implementation"), F.col("r_name").alias("region"))
     events = envelope(raw)
-    services = read("supplier").select(F.col("s_acctbal").alias("balance"))
-    return Telemetry(events, packages, chain, shards, audits, dims, services, payloads(events, packages, chain, shards))
+    return Telemetry(events, packages, chain, shards, audits, dims, services_of(read("supplier"), lines), payloads(events, packages, chain, shards))
+
+
+def services_of(suppliers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Suppliers as services: their balance, and their lines as what they refined and accumulated."""
+    work = lines.groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("refinement_count"), F.sum(F.col("l_quantity").cast("bigint")).alias("refinement_gas_used"), F.count_if(F.col("l_returnflag") == "R").alias("accumulate_count"))
+    zero = [F.lit(0).cast("bigint").alias(n) for n in ("provided_count", "provided_size", "imports", "extrinsic_count", "extrinsic_size", "exports", "accumulate_gas_used")]
+    joined = suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("bigint").alias("balance")).join(work, "id", "left")
+    return joined.select("id", "balance", F.struct("refinement_count", "refinement_gas_used", "accumulate_count", *zero).alias("activity"))
 
 
 def _number_hash(number: Column, kind: int) -> Column:

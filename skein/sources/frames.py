@@ -12,46 +12,90 @@ from pyspark.sql import functions as F
 from ..functions.columns import wire_time
 from . import wire_format as wf
 
-EVENTS_SCHEMA = "node_id string, event_id long, event_type int, offset_us long, data string, core_count int, implementation_name string, implementation_version string"
+EVENTS_SCHEMA = pa.schema([(n, t) for n, t in zip("node_id event_id event_type offset_us data core_count implementation_name implementation_version".split(), [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string()], strict=True)])
+NODES_SCHEMA = pa.schema([(n, t) for n, t in zip("node_id path peer_address flags implementation_name implementation_version gp_version additional_info genesis params".split(), [pa.string(), pa.string(), pa.string(), pa.int32(), *[pa.string()] * 6], strict=True)])
+_SQL = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int"}
 
-#: The columns of Spark's binary file source.
+#: The columns of Spark's binary file source, and the events of a batch.
 FILES_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+BATCH_EVENTS = 4096
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    rows.clear()
+    return made
+
+
+def _hello(frames: Iterator[bytes]) -> dict | None:
+    """The handshake that a connection starts with, if it does."""
+    try:
+        return wf.decode_handshake(next(frames))
+    except (StopIteration, wf.WireError):
+        return None
 
 
 def decode_connections(files: DataFrame) -> DataFrame:
     """Events of connection files (path, content): each starts with a handshake, whose core count later frames need.
 
-    A frame that does not decode is skipped and takes no event number; a file without a
-    handshake gives nothing.
+    A frame that does not decode is skipped and takes no event number; a file without a handshake gives
+    nothing.  Event numbers run through a connection, so a file is one task's work, in batches of bounded
+    size; writers should start a new file well under the 2 GB that a cell of Spark's binary source may hold.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in EVENTS_SCHEMA.split(", ")]
-        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-        schema = pa.schema([(n, kinds[f.split()[1]]) for n, f in zip(names, EVENTS_SCHEMA.split(", "), strict=True)])
         for batch in batches:
-            for content in batch.column(batch.schema.get_field_index("content")).to_pylist():
+            for content in batch.column(0).to_pylist():
                 frames = wf.split_frames(content or b"")
-                try:
-                    hello = wf.decode_handshake(frames[0])
-                except (IndexError, wf.WireError):
+                if (hello := _hello(frames)) is None:
                     continue
                 node, cores = bytes(hello["details"]["peer_id"]).hex(), hello["params"]["core_count"]
                 rows, number = [], 0
-                for body in frames[1:]:
+                for body in frames:
                     try:
                         offset, kind, event = wf.decode_event(body, cores)
                     except wf.WireError:
                         continue
                     number += 1
                     rows.append((node, number, kind, offset, wf.event_json(event), cores, hello["implementation_name"], hello["implementation_version"]))
+                    if len(rows) == BATCH_EVENTS:
+                        yield _batch(rows, EVENTS_SCHEMA)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield _batch(rows, EVENTS_SCHEMA)
 
-    decoded = files.select("content").mapInArrow(run, EVENTS_SCHEMA)
+    decoded = files.select("content").mapInArrow(run, _ddl(EVENTS_SCHEMA))
     return decoded.select(wire_time(F.col("offset_us")).alias("timestamp"), "node_id", "event_id", "event_type", "data", "core_count", "implementation_name", "implementation_version")
 
 
+def decode_handshakes(files: DataFrame) -> DataFrame:
+    """What connection files say of their nodes: address, flags, implementation, genesis (hex) and parameters (JSON)."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (hello := _hello(wf.split_frames(content or b""))) is None:
+                    continue
+                address = hello["details"]["peer_address"]
+                where = f"[{bytes(address['ipv6']).hex(':', 2)}]:{address['port']}"
+                told = (hello[n] for n in ("flags", "implementation_name", "implementation_version", "gp_version", "additional_info"))
+                rows.append((bytes(hello["details"]["peer_id"]).hex(), path, where, *told, bytes(hello["genesis"]).hex(), wf.event_json(hello["params"])))
+            if rows:
+                yield _batch(rows, NODES_SCHEMA)
+
+    return files.select("path", "content").mapInArrow(run, _ddl(NODES_SCHEMA))
+
+
+def node_changes(handshakes: DataFrame, files: DataFrame) -> DataFrame:
+    """A connect of each file's node at the time of the file, as ``sinks.upsert_nodes`` takes it."""
+    times = files.select("path", F.col("modificationTime").alias("at"))
+    return handshakes.join(times, "path").select("node_id", F.lit("connect").alias("kind"), "at", F.col("node_id").alias("peer_id"), F.lit(0).cast("bigint").alias("events"))
+
+
 def read_connections(spark: SparkSession, path: str) -> DataFrame:
     return decode_connections(spark.read.format("binaryFile").load(path))
 

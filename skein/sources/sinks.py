@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import at
+
 #: Days that raw events, minutes and hours are kept (fixed values).
 RETENTION_DAYS = {"events": 7, "stats_1m": 30, "stats_1h": 365}
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append to the event table: partitioned by date and hour, within a file ordered for the statistics of type and time."""
+def append_events(events: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Append to the event table: partitioned by date and hour, within a file ordered for the statistics of type and time.
+
+    A batch has a folder of its own, by its number in a stream or a fresh name, and one that is written again replaces itself.
+    """
     stamped = events.withColumns({"event_date": F.to_date("timestamp"), "event_hour": F.hour("timestamp")})
-    stamped.repartition("event_date", "event_hour", F.pmod(F.xxhash64("node_id"), F.lit(32))).sortWithinPartitions("event_date", "event_hour", "event_type", "timestamp").write.mode("append").partitionBy("event_date", "event_hour").option("compression", "zstd").parquet(path)
+    dealt = stamped.repartition("event_date", "event_hour", F.pmod(F.xxhash64("node_id"), F.lit(32))).sortWithinPartitions("event_date", "event_hour", "event_type", "timestamp")
+    folder = f"{path}/batch={uuid.uuid4().hex if batch is None else batch}"
+    dealt.write.mode("overwrite").partitionBy("event_date", "event_hour").option("compression", "zstd").parquet(folder)
 
 
 def event_sink(events: DataFrame, path: str, checkpoint: str, every: str = "1 second"):
-    """The streaming form: a micro-batch is one commit, whatever its size."""
-    return events.writeStream.foreachBatch(lambda batch, _: append_events(batch, path)).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+    """The streaming form: a micro-batch is one commit, whatever its size, and leaves the same rows if it comes again."""
+    return events.writeStream.foreachBatch(lambda batch, number: append_events(batch, path, number)).option("checkpointLocation", checkpoint).trigger(processingTime=every)
 
 
 def upsert_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
@@ -42,22 +50,72 @@ def upsert_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def expired_partitions(spark: SparkSession, path: str, table: str, as_of: datetime) -> list[str]:
-    """Date partitions older than the table's retention; a list of days."""
-    cutoff = (as_of - timedelta(days=RETENTION_DAYS[table])).date()
-    days = spark.read.parquet(path).select("event_date").distinct().where(F.col("event_date") < F.lit(cutoff))
-    return sorted(str(r[0]) for r in days.toLocalIterator())
+def _folders(spark: SparkSession, pattern: str) -> list:
+    """(file system, path) of the folders and files that match; none is read."""
+    jvm = spark.sparkContext._jvm
+    glob = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [(fs, found.getPath()) for found in fs.globStatus(glob) or []]
 
 
-def drop_expired(spark: SparkSession, path: str, table: str, as_of: datetime) -> int:
-    """Delete the expired partitions' folders; returns how many."""
-    jvm, days = spark.sparkContext._jvm, expired_partitions(spark, path, table, as_of)
-    for day in days:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    return len(days)
+def expired_partitions(spark: SparkSession, path: str, table: str, as_of: datetime) -> list:
+    """(file system, folder) of the date partitions that are older than the table's retention."""
+    cutoff = str((as_of - timedelta(days=RETENTION_DAYS[table])).date())
+    found = [*_folders(spark, f"{path}/event_date=*"), *_folders(spark, f"{path}/batch=*/event_date=*")]
+    return [(fs, folder) for fs, folder in found if folder.getName().removeprefix("event_date=") < cutoff]
 
 
-def truncate(df: DataFrame, path: str) -> None:
-    """Leave an empty table of the same columns."""
-    df.limit(0).write.mode("overwrite").parquet(path)
+def drop_expired(spark: SparkSession, path: str, table: str, as_of: datetime) -> int:
+    """Delete the expired partitions' folders; returns how many days they are."""
+    gone = expired_partitions(spark, path, table, as_of)
+    for fs, folder in gone:
+        fs.delete(folder, True)
+    return len({folder.getName() for _, folder in gone})
+
+
+def truncate(df: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None:
+    """Leave an empty table of the same columns; a table of partitions keeps them."""
+    df.limit(0).write.mode("overwrite").partitionBy(*partitions).parquet(path)
+
+
+class MinuteStats:
+    """The one-minute aggregate as a stored table, partitioned by date, that covers all minutes before ``until``."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def refresh(self, events: DataFrame, as_of: datetime, start: timedelta = timedelta(hours=1), lag: timedelta = timedelta(minutes=1)) -> None:
+        """Compute the days anew that hold minutes from the table's end, less ``start``, to ``as_of`` less ``lag``.
+
+        Whole days are replaced, so a refresh that runs again leaves the same table.
+        """
+        from ..plans.rollups import stats_1m
+
+        high = (as_of - lag).replace(second=0, microsecond=0)
+        until = self.until(events.sparkSession)
+        rows = events.where(F.col("timestamp") < at(high))
+        if until is not None:
+            rows = rows.where(F.col("timestamp") >= at((until - start).replace(hour=0, minute=0, second=0, microsecond=0)))
+        made = stats_1m(rows).withColumn("event_date", F.to_date("bucket"))
+        made.repartition("event_date", F.pmod(F.xxhash64("node_id"), F.lit(8))).sortWithinPartitions("event_date", "event_type", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(self.path)
+
+    def until(self, spark: SparkSession) -> datetime | None:
+        """The end of the last stored minute, from the newest day's partition; None before the first refresh."""
+        days = sorted(folder.getName() for _, folder in _folders(spark, f"{self.path}/event_date=*"))
+        if not days:
+            return None
+        newest = spark.read.parquet(f"{self.path}/{days[-1]}").agg(F.max("bucket")).first()[0]
+        return newest and newest + timedelta(minutes=1)
+
+    def read(self, events: DataFrame, since: datetime | None = None) -> DataFrame:
+        """The stored minutes, and those since then from the events, so that late refreshes change no result."""
+        from ..plans.rollups import stats_1m
+
+        spark, until = events.sparkSession, self.until(events.sparkSession)
+        if until is None:
+            return stats_1m(events if since is None else events.where(F.col("timestamp") >= at(since)))
+        stored = spark.read.parquet(self.path)
+        fresh = max(until, since) if since else until
+        if since is not None:
+            stored = stored.where((F.col("event_date") >= F.lit(since.date())) & (F.col("bucket") >= at(since)))
+        return stored.drop("event_date").unionByName(stats_1m(events.where(F.col("timestamp") >= at(fresh))))

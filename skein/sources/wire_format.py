@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 # fixed values: structures, field by field
@@ -304,16 +305,15 @@ def frame(body: bytes) -> bytes:
     return _INTS["u32"].pack(len(body)) + body
 
 
-def split_frames(stream: bytes) -> list[bytes]:
+def split_frames(stream: bytes) -> Iterator[bytes]:
     """The whole frames of a connection's bytes; a length over the limit ends the connection, a cut-off frame is left out."""
-    out, at = [], 0
+    at = 0
     while at + 4 <= len(stream):
         (n,) = _INTS["u32"].unpack_from(stream, at)
         if n > LONGEST_FRAME or at + 4 + n > len(stream):
-            break
-        out.append(stream[at + 4 : at + 4 + n])
+            return
+        yield stream[at + 4 : at + 4 + n]
         at += 4 + n
-    return out
 
 
 @lru_cache(maxsize=1)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,7 +41,32 @@ def filtered(events: DataFrame, node_id: str | None = None, event_type: int | No
 
 
 def changed_slots(samples: DataFrame) -> DataFrame:
-    """Of consecutive samples (slot, arrival) only those whose slot differs from the one before: not a global distinct."""
-    from pyspark.sql import Window
+    """Of consecutive samples (source, slot, arrival) of a source only those whose slot differs from the one before: not a global distinct."""
+    before = F.lag("slot").over(Window.partitionBy("source").orderBy("arrival", "slot"))
+    return samples.withColumn("_before", before).where("_before IS NULL OR slot <> _before").drop("_before")
+
+
+def changed_slots_stream(samples: DataFrame) -> DataFrame:
+    """The same on a stream: the state of a source is its last slot."""
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(frames).sort_values(["arrival", "slot"])
+        last = state.get[0] if state.exists else None
+        changed = pdf["slot"] != pdf["slot"].shift(1)
+        if len(pdf):
+            changed.iloc[0] = last is None or pdf["slot"].iloc[0] != last
+            state.update((int(pdf["slot"].iloc[-1]),))
+        yield pdf[changed]
+
+    columns = "source string, slot long, arrival long"
+    return samples.select("source", "slot", "arrival").groupBy("source").applyInPandasWithState(run, columns, "slot long", "append", "NoTimeout")
+
+
+def fan_out(events: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """A row for each event and subscriber (subscriber, node_id, low, high) whose filter it passes; a null criterion takes all.
 
-    return samples.withColumn("_before", F.lag("slot").over(Window.orderBy("arrival"))).where("_before IS NULL OR slot <> _before").drop("_before")
+    The subscribers are a small table of the people connected now, and broadcast as such.
+    """
+    s = F.broadcast(subscribers.withColumnRenamed("node_id", "_node"))
+    passes = (F.col("_node").isNull() | (F.col("_node") == F.col("node_id"))) & (F.col("low").isNull() | F.col("event_type").between(F.col("low"), F.col("high")))
+    return events.join(s, passes).drop("_node", "low", "high")

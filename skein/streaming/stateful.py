@@ -1,13 +1,15 @@
-"""Operators with state of their own: the rate limiter, the ring buffer, alerts on change."""
+"""Operators with state of their own: the rate limiter, the ring buffer, alerts on change; all of it survives a restart."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import _folders
+
 #: Events a second of a node, and what it may burst beyond them (fixed values).
 RATE, BURST = 1000, 200
 WINDOW_MICROS = 1_000_000
@@ -64,29 +66,51 @@ def rate_limit_stream(events: DataFrame, budget: int = RATE + BURST, window: int
 
 
 class RingBuffer:
-    """The newest events by arrival number, kept across micro-batches as a table in a folder."""
+    """The newest events by arrival number, kept across micro-batches and restarts as a table in a folder.
+
+    A turn is a folder named by its batch; the newest whole one holds the buffer, and a turn deletes those
+    before the one it read, so a batch that comes again finds what it needs and writes the same rows.
+    """
 
     def __init__(self, path: str, size: int = 10_000):
-        self.path, self.size, self.turn = path, size, None
+        self.path, self.size = path, size
+
+    def turns(self, spark: SparkSession) -> list[int]:
+        """The batches whose folders are whole."""
+        done = [folder.getParent().getName() for _, folder in _folders(spark, f"{self.path}/batch-*/_SUCCESS")]
+        return sorted(int(name.removeprefix("batch-")) for name in done)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        """For ``foreachBatch``; a batch that comes again writes the same rows."""
-        held = batch if self.turn is None or self.turn == batch_id else batch.unionByName(self.read(batch.sparkSession), allowMissingColumns=True)
-        held.orderBy(F.desc("event_id")).limit(self.size).write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-        self.turn = batch_id
+        """For ``foreachBatch``."""
+        spark = batch.sparkSession
+        before = [turn for turn in self.turns(spark) if turn < batch_id]
+        held = batch.unionByName(spark.read.parquet(f"{self.path}/batch-{before[-1]}"), allowMissingColumns=True) if before else batch
+        held.orderBy(F.desc("event_id")).limit(self.size).write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id}")
+        for turn in before[:-1]:
+            for fs, folder in _folders(spark, f"{self.path}/batch-{turn}"):
+                fs.delete(folder, True)
 
-    def read(self, spark) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{self.turn}")
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/batch-{self.turns(spark)[-1]}")
 
 
 class OnChange:
-    """Calls ``send`` with an alert table's rows when they differ from those sent last; the table is a few rows."""
+    """Calls ``send`` with an alert table's rows when they differ from those sent last, which a folder keeps over restarts.
+
+    An alert table is a few rows for the whole network; ``MOST`` of them, in order, are looked at.
+    """
+
+    MOST = 1000
 
-    def __init__(self, alerts, send):
-        self.alerts, self.send, self.last = alerts, send, None
+    def __init__(self, alerts, send, path: str):
+        self.alerts, self.send, self.path = alerts, send, path
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        rows = sorted(map(tuple, self.alerts(batch).limit(1000).collect()), key=repr)
-        if rows != self.last:
-            self.last = rows
+        """For ``foreachBatch``: the rows are sent before they are noted, so none is lost; a batch that comes again may send them twice."""
+        spark, alerts = batch.sparkSession, self.alerts(batch)
+        rows = sorted(map(tuple, alerts.orderBy(*alerts.columns).limit(self.MOST).collect()), key=repr)
+        text = repr(rows)
+        kept = spark.read.text(self.path, wholetext=True).collect() if _folders(spark, f"{self.path}/_SUCCESS") else []
+        if not kept or kept[0][0].rstrip("\n") != text:
             self.send(rows)
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(self.path)

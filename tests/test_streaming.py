@@ -1,6 +1,10 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from skein.functions.columns import at
+from skein.plans.blocks import block_stats
 from skein.plans.rollups import refresh, stats_1m
 from skein.sources import sinks
 from skein.sources.adapter import load
@@ -67,17 +71,63 @@ def test_ring_buffer_and_filters(spark, tmp_path):
     ring(t.events.where("event_id >= 500"), 1)
     newest = sorted(r[0] for r in t.events.select("event_id").orderBy("event_id", ascending=False).limit(50).collect())
     assert sorted(r["event_id"] for r in ring.read(spark).collect()) == newest
+    # a restart goes on from the folder, a batch that comes again leaves the same rows, and old turns go
+    again = stateful.RingBuffer(str(tmp_path / "ring"), 50)
+    again(t.events.where("event_id >= 500"), 1)
+    again(t.events.limit(0), 2)
+    again(t.events.limit(0), 3)
+    assert sorted(r["event_id"] for r in again.read(spark).collect()) == newest and again.turns(spark) == [2, 3]
     assert rollup_streams.filtered(t.events, type_range=(40, 47)).where("event_type NOT BETWEEN 40 AND 47").count() == 0
 
 
-def test_alerts_are_sent_on_change(spark):
+def test_alerts_are_sent_on_change(spark, tmp_path):
     sent = []
-    alert = stateful.OnChange(lambda df: df, sent.append)
-    for rows in ([(1,)], [(1,)], [(2,)]):
-        alert(spark.createDataFrame(rows, "x int"), 0)
+    for rows in ([(1,)], [(1,)], [(2,)], [(2,)]):  # each as after a restart
+        stateful.OnChange(lambda df: df, sent.append, str(tmp_path / "last"))(spark.createDataFrame(rows, "x int"), 0)
     assert sent == [[(1,)], [(2,)]]
 
 
+def test_changed_slots_batch_and_stream(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(f"s{s}", slot, i) for s in range(3) for i, slot in enumerate(rng.choices(range(4), k=200))]
+    expected = sorted(r for r in rows if r[2] == 0 or next(x for x in rows if x[0] == r[0] and x[2] == r[2] - 1)[1] != r[1])
+    df = spark.createDataFrame(rows, "source string, slot long, arrival long")
+    assert sorted(map(tuple, rollup_streams.changed_slots(df).collect())) == expected
+    for part in range(4):
+        df.where(f"arrival >= {part} * 50 AND arrival < {part + 1} * 50").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = rollup_streams.changed_slots_stream(stream).writeStream.format("memory").queryName("slots").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("slots").collect())) == expected
+
+
+def test_fan_out(spark):
+    events = spark.createDataFrame([("a", 10), ("a", 42), ("b", 42)], "node_id string, event_type int")
+    people = spark.createDataFrame([("all", None, None, None), ("node", "a", None, None), ("range", None, 40, 47)], "subscriber string, node_id string, low int, high int")
+    got = rollup_streams.fan_out(events, people).groupBy("subscriber").count().collect()
+    assert {r[0]: r[1] for r in got} == {"all": 3, "node": 2, "range": 2}
+
+
+def test_minute_table(spark, tmp_path):
+    t = load(spark, SF)
+    table, days = sinks.MinuteStats(str(tmp_path / "m")), [t.as_of - timedelta(days=n) for n in (9, 4, 4, 1)]
+    full = sorted(map(tuple, stats_1m(t.events).collect()))
+    assert table.until(spark) is None and sorted(map(tuple, table.read(t.events).collect())) == full
+    for day in days:  # a refresh that runs again leaves the same table
+        table.refresh(t.events.where(F.col("timestamp") <= at(day)), day)
+        assert sorted(map(tuple, table.read(t.events).collect())) == full
+    assert table.until(spark) <= days[-1]
+    t.minute_table = table
+    stored, raw = block_stats(t).collect(), block_stats(load(spark, SF)).collect()
+    assert stored == raw
+
+
+def test_a_trailing_window_of_minutes_reaches_the_scan(spark):
+    plan = block_stats(load(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "GreaterThanOrEqual(ts" in scan and "LessThan(ts" in scan and "user_id" in scan
+
+
 def test_upsert_nodes(spark):
     d = lambda n: datetime(2025, 1, n)
     schema = "node_id string, peer_id string, connected_at timestamp, disconnected_at timestamp, last_seen_at timestamp, is_connected boolean, event_count long"
@@ -92,7 +142,9 @@ def test_upsert_nodes(spark):
 def test_event_table_and_retention(spark, tmp_path):
     t = load(spark, SF)
     path = str(tmp_path / "events")
-    sinks.append_events(t.events.drop("user_id"), path)
+    sinks.append_events(t.events.where("event_id < 300").drop("user_id"), path, 0)
+    for _ in range(2):  # the same batch again
+        sinks.append_events(t.events.where("event_id >= 300").drop("user_id"), path, 1)
     assert spark.read.parquet(path).count() == t.events.count()
     assert sinks.drop_expired(spark, path, "events", t.as_of) > 0
     assert spark.read.parquet(path).selectExpr("min(event_date)").first()[0] >= (t.as_of - timedelta(days=7)).date()

@@ -69,6 +69,101 @@ def test_files_to_events(spark, tmp_path):
     assert last["synced"] is True and last["timestamp"] == datetime(2025, 1, 1, 12, 0, 5)
 
 
+def test_handshakes_become_nodes(spark, tmp_path):
+    import json
+
+    from skein.sources import sinks
+
+    for node in (1, 2):
+        (tmp_path / f"{node}.bin").write_bytes(frames.generated_connection(node, 3, cores=16))
+    (tmp_path / "none.bin").write_bytes(b"\x01\x00\x00\x00x")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    told = frames.decode_handshakes(files)
+    rows = {r["node_id"]: r for r in told.collect()}
+    assert set(rows) == {f"{n:064x}" for n in (1, 2)}
+    one = rows[f"{1:064x}"]
+    assert json.loads(one["params"])["core_count"] == 16 and one["genesis"] == "00" * 32 and one["flags"] == 1 and one["peer_address"].endswith(":0001]:30001") and one["implementation_name"] == "test-node"
+    schema = "node_id string, peer_id string, connected_at timestamp, disconnected_at timestamp, last_seen_at timestamp, is_connected boolean, event_count long"
+    nodes = sinks.upsert_nodes(spark.createDataFrame([], schema), frames.node_changes(told, files)).collect()
+    assert {r["node_id"] for r in nodes} == set(rows) and all(r["is_connected"] for r in nodes)
+
+
+def cost(gas, ns):
+    return {"gas_used": gas, "elapsed_ns": ns}
+
+
+def received_events(node, share, start, kinds, report=None):
+    """Frames of a package's events, one second apart."""
+    rng = random.Random(1)
+    out = [wf.frame(frames.handshake(node))]
+    for i, name in enumerate(kinds):
+        body = {n: value(k, rng, 16) for n, k in wf.BODIES[wf.IDS[name]][1]}
+        body |= {n: share for n in ("submission_or_share_id", "submission_id") if n in body}
+        if name == "WorkPackageReceived":
+            body |= {"core": 3, "outline": body["outline"] | {"work_package_hash": [0xCC] * 32}}
+        if name == "WorkReportBuilt":
+            body["outline"] = body["outline"] | {"work_report_hash": [0xBB] * 32, "erasure_root": [0xEE] * 32}
+        if name == "GuaranteeDiscarded":
+            body = {"outline": body["outline"] | {"work_report_hash": [0xBB] * 32}, "reason": "PackageReportedOnChain"}
+        if name == "ShardRequestReceived":
+            body |= {"request_id": 77, "erasure_root": [0xEE] * 32}
+        if name == "ShardsTransferred":
+            body["request_id"] = 77
+        out.append(wf.frame(wf.encode_event(start + i * 1_000_000, name, body)))
+    return b"".join(out)
+
+
+def test_received_frames_reach_the_plans(spark, tmp_path):
+    from skein.plans import packages
+    from skein.sources import payload
+
+    (tmp_path / "a.bin").write_bytes(received_events(1, 8001, 0, ["WorkPackageReceived", "Authorized", "Refined", "GuaranteeBuilt"]))
+    events = frames.read_connections(spark, str(tmp_path))
+    t = payload.telemetry(events)
+    row = packages.pipeline(t).first()
+    assert (row["package"], row["core"], row["current_stage"], row["elapsed_ms"]) == ("cc" * 32, 3, "guarantee_built", 3000.0)
+    assert packages.stage_durations(t).where("step = 'refined_to_report_built'").count() == 0
+
+    (tmp_path / "b.bin").write_bytes(received_events(2, 8001, 4_000_000, ["WorkReportBuilt", "GuaranteesDistributed"]))
+    (tmp_path / "c.bin").write_bytes(received_events(3, 1, 6_000_000, ["GuaranteeDiscarded", "ShardRequestReceived", "ShardsTransferred"]))
+    t = payload.telemetry(frames.read_connections(spark, str(tmp_path)))
+    row = packages.pipeline(t).first()
+    assert (row["package"], row["current_stage"], row["elapsed_ms"]) == ("cc" * 32, "available", 7000.0)
+    steps = [r["stage"] for r in packages.workpackage_journey(t).orderBy("step").collect()]
+    assert steps == ["received", "authorized", "refined", "guarantee_built", "report_built", "guarantees_distributed", "included", "shard_received", "shards_transferred"]
+    out = packages.journey_outcomes(t, [("cc" * 32)]).first()
+    assert (out["current_stage"], out["failed"], out["superseded"], out["core"]) == ("shards_transferred", False, False, 3)
+    assert packages.workpackage_journey(t, spark.createDataFrame([("dd" * 32,)], "package string")).count() == 0
+    assert payload.with_hash(events, ["cc" * 32, "00" * 32]).count() == 1
+    assert packages.batch_journeys(t).first()["nodes_involved"] == 2
+    assert packages.audit_progress(t).first()["guarantees_built"] == 1
+
+
+def test_accumulate_costs_of_received_blocks(spark, tmp_path):
+    from skein.sources import payload
+
+    one = {n: value(k, random.Random(2), 16) for n, k in wf._LAYOUT["AccumulateCost"]}
+    body = {"authoring_or_importing_id": 5, "accumulate_costs": [[7, one | {"total": cost(500, 1000)}], [9, one | {"total": cost(1, 2)}]]}
+    (tmp_path / "a.bin").write_bytes(wf.frame(frames.handshake(1)) + wf.frame(wf.encode_event(0, "BlockExecuted", body)))
+    got = payload.accumulate_costs(frames.read_connections(spark, str(tmp_path))).collect()
+    assert sorted((r["service"], r["gas"], r["elapsed_ns"]) for r in got) == [(7, 500, 1000), (9, 1, 2)]
+
+
+def test_snapshots(spark, tmp_path):
+    import json
+
+    from skein.sources import snapshots
+
+    core = {"gas_used": 5, "da_load": 1, "popularity": 2, "imports": 0, "extrinsic_count": 0, "extrinsic_size": 0}
+    service = lambda i, balance, n: {"id": i, "balance": balance, "activity": {"refinement_count": n, "refinement_gas_used": 10 * n}}
+    documents = [{"source": "n", "arrival": i, "slot": slot, "cores": [core, core | {"gas_used": slot}], "services": [service(1, 100 + i, i), service(2, 7, 0)]} for i, slot in enumerate([5, 5, 6])]
+    (tmp_path / "x.json").write_text("\n".join(map(json.dumps, documents)) + "\nno document\n")
+    read = snapshots.read_snapshots(spark, str(tmp_path))
+    assert snapshots.core_samples(read).where("core_index = 1").selectExpr("sum(gas_used)").first()[0] == 16
+    totals = snapshots.services_totals(snapshots.services(read)).first()
+    assert (totals["services"], totals["active_services"], totals["total_balance"], totals["total_refinement_gas_used"]) == (2, 1, 109, 20)
+
+
 def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     frames.generate_load(spark, 3, 20).toPandas().apply(lambda r: (tmp_path / "in" / r["path"]).write_bytes(r["content"]), axis=1)
