@@ -95,11 +95,20 @@ _PARTICIPANTS = ", own AS (SELECT DISTINCT package AS id FROM pk WHERE event_typ
 SELECT row_number() OVER (ORDER BY node_id) - 1 AS validator_index, node_id, events, last_event FROM v""",
 )
 def core_validators(t, core: int = 3):
-    """Participants of a core's packages, numbered by node; their number is that of the network's nodes at most."""
+    """Participants of a core's packages, or all connected nodes where it has none, numbered by node; their number is that of the network's nodes at most."""
     by = _participants(t, core).groupBy("node_id").agg(F.count(F.lit(1)).alias("events"), F.max("timestamp").alias("last_event"))
+    none = F.broadcast(by.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0"))  # one row, or none
+    connected = t.nodes.where("is_connected").select("node_id", F.lit(0).cast("bigint").alias("events"), F.col("last_seen").alias("last_event"))
+    by = by.unionByName(connected.crossJoin(none).drop("_n"))
     return by.withColumn("validator_index", (F.row_number().over(Window.orderBy("node_id")) - 1).cast("long"))
 
 
+@query("q44_idle_core_validators", "SELECT row_number() OVER (ORDER BY node_id) - 1 AS validator_index, node_id, 0::BIGINT AS events, last_seen AS last_event FROM nodes WHERE is_connected")
+def idle_core_validators(t):
+    """The same of a core without packages."""
+    return core_validators(t, core=-1)
+
+
 @query(
     "q45_core_metrics",
     _PARTICIPANTS

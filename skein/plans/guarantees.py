@@ -169,6 +169,12 @@ def guarantee_history(t, minutes: int = 7 * 1440):
     return t.last(minutes).where(_kind(105)).groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("guarantees"), F.count_distinct("node_id").alias("guarantors"))
 
 
+@query("q17_recent_guarantors", "SELECT node_id, timestamp, event_id, slot FROM ev WHERE event_type = 105 AND core = 0 ORDER BY timestamp DESC, event_id DESC LIMIT 50")
+def recent_guarantors(t, core: int = 0, limit: int = 50):
+    own = t.events.where(_kind(105) & (F.col("core") == core)).select("node_id", "timestamp", "event_id", "slot")
+    return own.orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
+
+
 _GUARANTORS = """, b AS (SELECT DISTINCT node_id FROM ev WHERE event_type = 94 AND core = 3),
 g AS (SELECT node_id, count(*) AS guarantees, max(timestamp) AS last_guarantee FROM ev WHERE event_type = 105 AND node_id IN (SELECT node_id FROM b) GROUP BY 1),
 q AS (SELECT node_id, count(*) FILTER (event_type = 123) AS stored, count(*) FILTER (event_type = 120) AS requested FROM ev WHERE event_type IN (120, 123) GROUP BY 1)"""

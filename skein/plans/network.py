@@ -31,32 +31,58 @@ def health_metrics(t, minutes: int = DAY):
 
 @query(
     "q08_network_info",
-    """SELECT count(*) AS total_nodes, count(*) FILTER (is_connected) AS connected_nodes, count(DISTINCT implementation) AS implementations,
-  (SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT DISTINCT implementation AS i FROM nodes)) AS names FROM nodes""",
+    """, p AS (SELECT arg_min(n_nationkey, node_id) FILTER (is_connected) AS x FROM nodes LEFT JOIN nation ON n_name = implementation)
+SELECT count(*) AS total_nodes, count(*) FILTER (is_connected) AS connected_nodes, count(DISTINCT implementation) AS implementations,
+  (SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT DISTINCT implementation AS i FROM nodes)) AS names,
+  coalesce(max(16 + x), 0) AS core_count, coalesce(max(1000 + x), 0) AS val_count, coalesce(max(600), 0) AS epoch_period, coalesce(max(6), 6) AS slot_period_sec, max(lower(hex(x))) AS genesis FROM nodes, p""",
 )
 def network_info(t):
+    """Counts and implementations, and the parameters and genesis that a connected node told; without one, the defaults."""
     names = F.array_join(F.sort_array(F.collect_set("implementation")), ",")
-    return t.nodes.agg(F.count(F.lit(1)).alias("total_nodes"), count_if(F.col("is_connected")).alias("connected_nodes"), F.count_distinct("implementation").alias("implementations"), names.alias("names"))
+    any_connected = F.min_by("params", F.when(F.col("is_connected"), F.col("node_id")))
+    told = t.nodes.agg(F.count(F.lit(1)).alias("total_nodes"), count_if(F.col("is_connected")).alias("connected_nodes"), F.count_distinct("implementation").alias("implementations"), names.alias("names"), any_connected.alias("p"))
+    default = {"core_count": 0, "val_count": 0, "epoch_period": 0, "slot_period_sec": 6}
+    return told.select("total_nodes", "connected_nodes", "implementations", "names", *(F.coalesce(f"p.{n}", F.lit(d)).alias(n) for n, d in default.items()), F.col("p.genesis").alias("genesis"))
 
 
-@query(
-    "q24_peer_topology",
-    """SELECT node_id AS from_node, peer_id AS to_node, count(*) AS edges FROM ev WHERE event_type IN (62, 68) GROUP BY 1, 2 HAVING count(*) > 1""",
-)
-def peer_topology(t, least: int = 1):
-    """Edges of more than ``least`` announcements or transfers."""
-    edges = t.events.where(_kind(62, 68)).groupBy(F.col("node_id").alias("from_node"), F.col("peer_id").alias("to_node")).agg(F.count(F.lit(1)).alias("edges"))
-    return edges.where(F.col("edges") > least)
+def _edges(t, kind: int, least: int, minutes: int, limit: int):
+    """Who sent to whom, how often and when last, the busiest pairs first."""
+    by = t.last(minutes).where(_kind(kind)).groupBy(F.col("node_id").alias("from_node"), F.col("peer_id").alias("to_node"))
+    edges = by.agg(F.count(F.lit(1)).alias("message_count"), F.max("timestamp").alias("last_seen")).where(F.col("message_count") > least)
+    return edges.orderBy(F.desc("message_count"), "from_node", "to_node").limit(limit)
+
+
+_EDGES = "SELECT node_id AS from_node, peer_id AS to_node, count(*) AS message_count, max(timestamp) AS last_seen FROM ev, a WHERE event_type = %d AND timestamp > t - INTERVAL 30 DAY GROUP BY 1, 2 %s ORDER BY message_count DESC, from_node, to_node LIMIT 5000"
+
+
+@query("q24_peer_topology", _EDGES % (62, "HAVING count(*) > 1"))
+def peer_topology(t, minutes: int = MONTH, limit: int = 5000):
+    """Edges of more than one announcement."""
+    return _edges(t, 62, 1, minutes, limit)
+
+
+@query("q24_ticket_topology", _EDGES % (84, ""))
+def ticket_topology(t, minutes: int = MONTH, limit: int = 5000):
+    return _edges(t, 84, 0, minutes, limit)
+
+
+@query("q24_block_transfers", "SELECT node_id, count(*) AS blocks_transferred, count(DISTINCT slot) AS unique_slots, max(timestamp) AS last_transfer FROM ev, a WHERE event_type = 68 AND timestamp > t - INTERVAL 30 DAY GROUP BY node_id")
+def block_transfers(t, minutes: int = MONTH):
+    return t.last(minutes).where(_kind(68)).groupBy("node_id").agg(F.count(F.lit(1)).alias("blocks_transferred"), F.count_distinct("slot").alias("unique_slots"), F.max("timestamp").alias("last_transfer"))
 
 
 @query(
     "q24_topology_stats",
-    """, e AS (SELECT DISTINCT node_id, peer_id FROM ev WHERE event_type IN (62, 68, 84))
-SELECT count(*) AS links, count(DISTINCT node_id) AS nodes, count(*) // count(DISTINCT node_id) AS avg_peers FROM e""",
+    """, own AS (SELECT ev.* FROM ev, a WHERE event_type IN (62, 68, 84) AND timestamp > t - INTERVAL 30 DAY), e AS (SELECT node_id, peer_id FROM own WHERE event_type = 62 GROUP BY 1, 2 HAVING count(*) > 1 LIMIT 5000)
+SELECT (SELECT count(*) FROM e) AS total_connections, count(*) FILTER (event_type = 62) AS announcements, count(*) FILTER (event_type = 68) AS transfers, count(*) FILTER (event_type = 84) AS ticket_transfers,
+  count(DISTINCT node_id) AS active_nodes, CASE WHEN count(DISTINCT node_id) > 0 THEN (SELECT count(*) FROM e) // count(DISTINCT node_id) ELSE 0 END AS avg_peers FROM own""",
 )
-def topology_stats(t):
-    links = t.events.where(_kind(62, 68, 84)).select("node_id", "peer_id").distinct()
-    return links.agg(F.count(F.lit(1)).alias("links"), F.count_distinct("node_id").alias("nodes")).withColumn("avg_peers", F.expr("links div nullif(nodes, 0)"))
+def topology_stats(t, minutes: int = MONTH):
+    """Counts of messages and nodes, and the whole number of connections a node."""
+    own = t.last(minutes).where(_kind(62, 68, 84))
+    counts = own.agg(*(count_if(_kind(i)).alias(n) for i, n in ((62, "announcements"), (68, "transfers"), (84, "ticket_transfers"))), F.count_distinct("node_id").alias("active_nodes"))
+    links = peer_topology(t, minutes).agg(F.count(F.lit(1)).alias("total_connections"))
+    return counts.crossJoin(F.broadcast(links)).withColumn("avg_peers", F.coalesce(F.expr("total_connections div nullif(active_nodes, 0)"), F.lit(0)))  # one row each
 
 
 @query(

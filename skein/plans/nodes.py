@@ -21,12 +21,12 @@ def fold_nodes(events: DataFrame, dims: DataFrame) -> DataFrame:
     )
     connected = F.col("connected_at").isNotNull() & (F.col("disconnected_at").isNull() | (F.col("connected_at") > F.col("disconnected_at")))
     named = folded.withColumn("dim", (F.col("user_id") % 25).cast("int")).join(F.broadcast(dims), "dim", "left")  # 25 dimension rows
-    return named.select("node_id", "implementation", "region", "connected_at", "disconnected_at", "last_seen", "total_events", connected.alias("is_connected"))
+    return named.select("node_id", "implementation", "region", "connected_at", "disconnected_at", "last_seen", "total_events", connected.alias("is_connected"), "params")
 
 
 @query("q01_nodes", "SELECT * FROM nodes")
 def nodes(t):
-    return t.nodes.orderBy(F.desc("is_connected"), F.desc("last_seen"), "node_id")
+    return t.nodes.drop("params").orderBy(F.desc("is_connected"), F.desc("last_seen"), "node_id")
 
 
 @query(
@@ -50,7 +50,7 @@ def recent_events_by_node(t, node_id: str = NODE, limit: int = 50):
 
 @query("q06_node_by_id", f"SELECT * FROM nodes WHERE node_id = '{NODE}'")
 def node_by_id(t, node_id: str = NODE):
-    return fold_nodes(t.events.where(F.col("node_id") == node_id), t.dims)
+    return fold_nodes(t.events.where(F.col("node_id") == node_id), t.dims).drop("params")
 
 
 _STATUS_SQL = f"""SELECT '{NODE}' AS node_id, max(slot) FILTER (event_type = 11) AS best_slot, max(slot) FILTER (event_type = 12) AS finalized_slot,
@@ -99,6 +99,20 @@ def node_peers(t, node_id: str = NODE, minutes: int = 7 * 1440):
     )
 
 
+@query("q12_peer_history", f"SELECT timestamp, k AS total_peers, k // 2 AS validator_peers, greatest(k - k // 2, 0) AS other_peers FROM ev WHERE node_id = '{NODE}' AND event_type = 10 ORDER BY created_at DESC, event_id DESC LIMIT 100")
+def peer_history(t, node_id: str = NODE, limit: int = 100):
+    """The peers that a node reported, newest first."""
+    half = F.expr("k div 2").cast("int")
+    own = t.events.where((F.col("node_id") == node_id) & (F.col("event_type") == 10)).orderBy(F.desc("created_at"), F.desc("event_id")).limit(limit)
+    return own.select("timestamp", F.col("k").alias("total_peers"), half.alias("validator_peers"), F.greatest(F.col("k") - half, F.lit(0)).alias("other_peers"))
+
+
+@query("q25_node_report", f"""{_STATUS_SQL.replace(" FROM ev WHERE", ", count(*) FILTER (event_type = 105 AND timestamp > t - INTERVAL 30 DAY) AS guarantees_built, count(*) FILTER (event_type = 82 AND timestamp > t - INTERVAL 30 DAY) AS tickets_generated FROM ev, a WHERE")}""")
+def node_report(t, node_id: str = NODE):
+    """A node's status and its recent activity in one row."""
+    return node_status(t, node_id).crossJoin(F.broadcast(node_status_enhanced(t, node_id).select("guarantees_built", "tickets_generated")))  # one row each
+
+
 @query(
     "q25_node_status_enhanced",
     f""", own AS (SELECT ev.* FROM ev, a WHERE node_id = '{NODE}' AND timestamp > t - INTERVAL 30 DAY),

@@ -150,11 +150,16 @@ def load(spark: SparkSession, sf_dir: str) -> Telemetry:
         F.when(F.col("l_quantity") > 25, F.col("l_linenumber")).alias("tranche"),
     )
     nations = read("nation").join(F.broadcast(read("region").withColumnRenamed("r_regionkey", "n_regionkey")), "n_regionkey")
-    dims = nations.select(F.col("n_nationkey").cast("int").alias("dim"), F.col("n_name").alias("implementation"), F.col("r_name").alias("region"))
+    dims = nations.select(F.col("n_nationkey").cast("int").alias("dim"), F.col("n_name").alias("implementation"), F.col("r_name").alias("region"), _parameters(F.col("n_nationkey").cast("int")).alias("params"))
     events = envelope(raw)
     return Telemetry(events, packages, chain, shards, audits, dims, services_of(read("supplier"), lines), payloads(events, packages, chain, shards))
 
 
+def _parameters(dim: Column) -> Column:
+    """What a node's handshake tells of the network."""
+    return F.struct((dim + 16).alias("core_count"), (dim + 1000).alias("val_count"), F.lit(600).alias("epoch_period"), F.lit(6).alias("slot_period_sec"), F.lower(F.hex(dim)).alias("genesis"))
+
+
 def services_of(suppliers: DataFrame, lines: DataFrame) -> DataFrame:
     """Suppliers as services: their balance, and their lines as what they refined and accumulated."""
     work = lines.groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("refinement_count"), F.sum(F.col("l_quantity").cast("bigint")).alias("refinement_gas_used"), F.count_if(F.col("l_returnflag") == "R").alias("accumulate_count"))
