@@ -39,35 +39,46 @@ def _hello(frames: Iterator[bytes]) -> dict | None:
         return None
 
 
+def connection_events(content: bytes) -> Iterator[pa.RecordBatch]:
+    """The events of a connection's bytes, in batches of bounded size.
+
+    A frame that does not decode is skipped and takes no event number; bytes without a handshake give nothing.
+    """
+    frames = wf.split_frames(content)
+    if (hello := _hello(frames)) is None:
+        return
+    node, cores = bytes(hello["details"]["peer_id"]).hex(), hello["params"]["core_count"]
+    rows, number = [], 0
+    for body in frames:
+        try:
+            offset, kind, event = wf.decode_event(body, cores)
+        except wf.WireError:
+            continue
+        number += 1
+        rows.append((node, number, kind, offset, wf.event_json(event), cores, hello["implementation_name"], hello["implementation_version"]))
+        if len(rows) == BATCH_EVENTS:
+            yield _batch(rows, EVENTS_SCHEMA)
+    if rows:
+        yield _batch(rows, EVENTS_SCHEMA)
+
+
 def decode_connections(files: DataFrame) -> DataFrame:
     """Events of connection files (path, content): each starts with a handshake, whose core count later frames need.
 
-    A frame that does not decode is skipped and takes no event number; a file without a handshake gives
-    nothing.  Event numbers run through a connection, so a file is one task's work, in batches of bounded
-    size; writers should start a new file well under the 2 GB that a cell of Spark's binary source may hold.
+    Event numbers run through a connection, so a file is one task's work; writers should start a new file
+    well under the 2 GB that a cell of Spark's binary source may hold.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                frames = wf.split_frames(content or b"")
-                if (hello := _hello(frames)) is None:
-                    continue
-                node, cores = bytes(hello["details"]["peer_id"]).hex(), hello["params"]["core_count"]
-                rows, number = [], 0
-                for body in frames:
-                    try:
-                        offset, kind, event = wf.decode_event(body, cores)
-                    except wf.WireError:
-                        continue
-                    number += 1
-                    rows.append((node, number, kind, offset, wf.event_json(event), cores, hello["implementation_name"], hello["implementation_version"]))
-                    if len(rows) == BATCH_EVENTS:
-                        yield _batch(rows, EVENTS_SCHEMA)
-                if rows:
-                    yield _batch(rows, EVENTS_SCHEMA)
-
-    decoded = files.select("content").mapInArrow(run, _ddl(EVENTS_SCHEMA))
+                yield from connection_events(content or b"")
+
+    return timed(files.select("content").mapInArrow(run, _ddl(EVENTS_SCHEMA)))
+
+
+def timed(decoded: DataFrame) -> DataFrame:
+    """Decoded events with their time for the offset from the wire format's epoch."""
     return decoded.select(wire_time(F.col("offset_us")).alias("timestamp"), "node_id", "event_id", "event_type", "data", "core_count", "implementation_name", "implementation_version")
 
 

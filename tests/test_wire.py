@@ -170,3 +170,27 @@ def test_stream_of_files(spark, tmp_path):
     q = frames.stream_connections(spark, str(tmp_path / "in"), 1).writeStream.format("memory").queryName("frames_in").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("frames_in").count() == 60
+
+
+def test_frames_as_a_data_source(spark, tmp_path):
+    from skein.sources import datasource
+
+    datasource.register(spark)
+    (tmp_path / "in").mkdir()
+    for node in (1, 2, 3):
+        (tmp_path / "in" / f"{node}.bin").write_bytes(frames.generated_connection(node, 30, cores=16))
+    path = str(tmp_path / "in")
+    whole = frames.timed(spark.read.format("skein_frames").option("path", path).load())
+    plain = frames.read_connections(spark, path)
+    assert whole.schema == plain.schema and sorted(map(tuple, whole.collect())) == sorted(map(tuple, plain.collect()))
+    stream = spark.readStream.format("skein_frames").option("path", path).option("files", 1).load()
+
+    def take(count):
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == count
+
+    take(90)
+    (tmp_path / "in" / "4.bin").write_bytes(frames.generated_connection(4, 30, cores=16))
+    take(120)  # after a restart, the new file only
