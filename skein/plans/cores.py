@@ -106,7 +106,7 @@ def core_validators(t, core: int = 3):
 @query("q44_idle_core_validators", "SELECT row_number() OVER (ORDER BY node_id) - 1 AS validator_index, node_id, 0::BIGINT AS events, last_seen AS last_event FROM nodes WHERE is_connected")
 def idle_core_validators(t):
     """The same of a core without packages."""
-    return core_validators(t, core=-1)
+    return core_validators(t, core=9999)
 
 
 @query(

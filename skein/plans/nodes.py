@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checks import checked
 from ..functions.columns import at, count_if, one_of
 from .registry import query
 
@@ -157,6 +158,7 @@ def registered_timeline(t):
     return node_timeline(t, start=t.as_of - timedelta(days=30), end=t.as_of, categories=("blockAuthoring", "workPackage", "guarantee"))
 
 
+@checked
 def node_timeline(t, node_id: str = NODE, start: datetime | None = None, end: datetime | None = None, categories: tuple[str, ...] | None = None, limit: int = 100):
     """A node's events, newest first; each criterion that is None is not applied."""
     own = _timeline(t, node_id, start, end)

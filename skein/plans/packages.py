@@ -95,9 +95,15 @@ _PIPELINE = f""", pl0 AS (
 )"""
 
 
-@query("q15_active_workpackages", _PIPELINE + " SELECT package, node_id, core, current_stage, submitted_at, last_event, elapsed_ms FROM pl ORDER BY submitted_at DESC, package DESC LIMIT 200")
-def active_workpackages(t, limit: int = 200):
-    return pipeline(t).select("package", "node_id", "core", "current_stage", "submitted_at", "last_event", "elapsed_ms").orderBy(F.desc("submitted_at"), F.desc("package")).limit(limit)
+# the pipeline over a trailing window
+_RECENT = """, wk AS (SELECT pk.* FROM pk, pa WHERE timestamp > t - INTERVAL 365 DAY AND timestamp <= t), wc AS (SELECT chain.* FROM chain, pa WHERE timestamp > t - INTERVAL 365 DAY), ws AS (SELECT shards.* FROM shards, pa WHERE timestamp > t - INTERVAL 365 DAY)
+""" + _PIPELINE.replace("FROM pk ", "FROM wk ").replace("FROM chain ", "FROM wc ").replace("FROM shards ", "FROM ws ")
+
+
+@query("q15_active_workpackages", _RECENT + " SELECT package, node_id, core, current_stage, submitted_at, last_event, elapsed_ms FROM pl ORDER BY submitted_at DESC, package DESC LIMIT 200")
+def active_workpackages(t, minutes: int = 365 * 1440, limit: int = 200):
+    """The newest packages of a trailing window; its bound is put to the events before they are grouped."""
+    return pipeline(t.recent_packages(minutes)).select("package", "node_id", "core", "current_stage", "submitted_at", "last_event", "elapsed_ms").orderBy(F.desc("submitted_at"), F.desc("package")).limit(limit)
 
 
 @query("q15_stage_summary", _PIPELINE + " SELECT current_stage, count(*) AS packages, min(elapsed_ms) AS least_ms, max(elapsed_ms) AS most_ms FROM pl GROUP BY 1")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.checks import checked
 from ..sources.adapter import PRELUDE, Telemetry, load
 
 PLANS: dict[str, Callable[[Telemetry], DataFrame]] = {}
@@ -16,6 +17,7 @@ def query(name: str, sql: str | None = None):
     """Register a plan; ``sql`` follows the adapter's common table expressions."""
 
     def add(plan):
+        plan = checked(plan)
         PLANS[name] = plan
         if sql:
             rest = sql.strip()

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import checked
 from ..functions.columns import at, one_of
 from ..operators.joins import asof_forward
 from ..sources.adapter import event_types
@@ -24,20 +25,17 @@ def category(event_type: Column) -> Column:
     return out
 
 
+@checked
 def search(events: DataFrame, event_types: list[int] | None = None, node_id: str | None = None, core: int | None = None, start: datetime | None = None, end: datetime | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Events by any of several criteria, newest first; a criterion that is None is not applied."""
-    if not 1 <= limit <= 1000 or offset < 0:
-        raise ValueError("limit must be in 1..1000 and offset at least 0")
-    if node_id is not None and (len(node_id) != 64 or set(node_id) - set("0123456789abcdef")):
-        raise ValueError("node_id must be 64 lower-case hex digits")
+    if limit > 1000:
+        raise ValueError("limit must be in 1..1000")
     found = events
     if event_types is not None:
         found = found.where(one_of("event_type", event_types))
     if node_id is not None:
         found = found.where(F.col("node_id") == node_id)
     if core is not None:
-        if core < 0:
-            raise ValueError("core must be at least 0")
         found = found.where(F.col("core") == core)
     if start is not None:
         found = found.where(F.col("timestamp") >= at(start))
@@ -46,6 +44,12 @@ def search(events: DataFrame, event_types: list[int] | None = None, node_id: str
     return found.select("timestamp", "node_id", "event_id", "event_type", "core").orderBy(F.desc("timestamp"), F.desc("event_id")).offset(offset).limit(limit)
 
 
+def page(events: DataFrame, limit: int = 100, offset: int = 0, **criteria) -> tuple[list, bool]:
+    """A page of found events and whether more may follow, which a full page says."""
+    rows = search(events, limit=limit, offset=offset, **criteria).collect()  # ``limit`` rows at most
+    return rows, len(rows) == limit
+
+
 @query(
     "q49_search_events",
     """SELECT timestamp, node_id, event_id, event_type, core FROM ev WHERE event_type IN (94, 105, 42, 62, 11) AND core = 3
@@ -102,6 +106,7 @@ def events_view(t):
     return t.events.select("timestamp", "node_id", "event_id", "event_type").join(types, F.col("event_type") == F.col("id"), "left").drop("id")
 
 
+@checked
 def live(events: DataFrame, node_id: str | None = None, types: tuple[int, int] | None = None, recent: int = 10_000, limit: int = 100) -> DataFrame:
     """Of the ``recent`` newest events by arrival, those of a node or of a range of types, the ``limit`` newest, in order of arrival."""
     window = events.select("event_id", "timestamp", "node_id", "event_type").orderBy(F.desc("event_id")).limit(recent)

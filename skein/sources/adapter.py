@@ -8,7 +8,7 @@ ship date the time.  ``PRELUDE`` says the same in DuckDB's SQL.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 from functools import cached_property
 
@@ -64,6 +64,12 @@ class Telemetry:
         lower = at(self.packages_as_of - timedelta(minutes=minutes))
         return self.packages.where((F.col("timestamp") > lower) & (F.col("timestamp") <= at(self.packages_as_of)))
 
+    def recent_packages(self, minutes: float) -> Telemetry:
+        """The same with packages, chain and shards of the trailing window only; what is told of packages later belongs to them."""
+        low, moment = at(self.packages_as_of - timedelta(minutes=minutes)), at(self.packages_as_of)
+        after = lambda df: df.where(F.col("timestamp") > low)
+        return replace(self, packages=after(self.packages).where(F.col("timestamp") <= moment), chain=after(self.chain), shards=after(self.shards))
+
     def stats(self, minutes: float) -> DataFrame:
         """The one-minute aggregate of the trailing window.  The window's bounds, in whole minutes, are put to the
         events before they are grouped (or to a stored table, where there is one), so they reach the scan."""
