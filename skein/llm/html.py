@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import arrow_rows
 
 #: Elements without end tag; elements that end a line of text; elements that are not article text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
