@@ -2,6 +2,12 @@
 
 ``run`` writes every stage's rows as Parquet to the shared folder and reads them as the
 next one's documents, so a stage that fails is rerun from what its predecessor kept.
+
+Defined cases: a null text counts as empty; empty texts are one group of equals, without words, so
+near dedup leaves the one that stays alone; every stage decides for each row apart, so rows
+without id, or with one that others share, are neither lost nor kept for another's sake; of equal rows one
+stays; very long texts are taken whole; columns of any name are carried to the last stage, which
+returns the pieces; an empty table, or one without labels (all scores are 0.5), gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import exact, neardup, packing, quality
-from skein.llm.common import materialise, table
+from skein.llm.common import discard, materialise, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +45,15 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: A fitted classifier and a tokenizer are beyond SQL; tests hold every stage against brute force.
+#: A fitted classifier and a tokenizer are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        kept = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if hasattr(docs, "skein_path"):  # a stage's rows go when the next one's are stored
+            discard(docs)
+        docs = kept
     return docs
