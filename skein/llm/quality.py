@@ -89,21 +89,37 @@ def training_fold(id_col: str = "doc_id"):
 class Model:
     """The latent space and the labelled vectors in it."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, dims: int = DIMS):
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: int = DIMS):
+        """``texts`` are places and counts of terms; they are made dense a block at a time only."""
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        seen = (counts > 0).sum(axis=0)
+        seen = np.bincount(np.concatenate([at for at, _ in texts]) if texts else [], minlength=_ENDS[-1])
         self.columns = np.flatnonzero(seen >= 2) if len(labels) else np.empty(0, np.int64)
         self.weight = (np.log((1 + len(labels)) / (1 + seen)) + 1).astype(np.float32)
-        rows = self._weighted(counts)
-        dims = min(dims, *rows.shape) if rows.size else 0
-        basis = np.random.default_rng(0).standard_normal((rows.shape[1], min(rows.shape[1], dims + 16))).astype(np.float32)
-        for _ in range(4):  # subspace iteration
-            basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+        dims = min(dims, len(texts), len(self.columns))
+        basis = np.random.default_rng(0).standard_normal((len(self.columns), min(len(self.columns), dims + 16))).astype(np.float32)
         if dims:
-            turn = np.linalg.svd(rows @ basis, full_matrices=False)[2]
+            rows = []
+            for at, n in texts:
+                one = np.zeros((1, _ENDS[-1]), np.float32)
+                one[0, at] = n
+                weighted = self._weighted(one)[0]
+                places = np.flatnonzero(weighted).astype(np.int32)
+                rows.append((places, weighted[places]))
+            for _ in range(4):  # subspace iteration
+                basis = np.linalg.qr(sum(block.T @ (block @ basis) for block in self._dense(rows)))[0]
+            turn = np.linalg.svd(np.concatenate([block @ basis for block in self._dense(rows)]), full_matrices=False)[2]
             basis = basis @ turn.T[:, :dims]
-        self.basis = np.ascontiguousarray(basis, np.float32)
-        self.vectors, self.labels = self._unit(rows @ self.basis), labels.astype(np.float32)
+            self.vectors = self._unit(np.concatenate([block @ basis for block in self._dense(rows)]))
+        else:
+            basis, self.vectors = basis[:, :0], np.zeros((len(texts), 0), np.float32)
+        self.basis, self.labels = np.ascontiguousarray(basis, np.float32), labels.astype(np.float32)
+
+    def _dense(self, rows) -> Iterator[np.ndarray]:
+        for at in range(0, len(rows), BLOCK):
+            block = np.zeros((min(BLOCK, len(rows) - at), len(self.columns)), np.float32)
+            for i, (places, values) in enumerate(rows[at : at + BLOCK]):
+                block[i, places] = values
+            yield block
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts)
@@ -143,10 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     found = texts.select("_id", "_y", "_t").mapInArrow(run, "_id long, _y double, at array<int>, n array<float>")
     found = found.dropDuplicates(["_id"]).orderBy("_id").toArrow()
-    counts = np.zeros((found.num_rows, _ENDS[-1]), np.float32)
-    for i, (at, n) in enumerate(zip(found["at"], found["n"], strict=True)):
-        counts[i, at.values.to_numpy()] = n.values.to_numpy()
-    return Model(counts, found["_y"].to_numpy())
+    texts = [(at.values.to_numpy(), n.values.to_numpy()) for at, n in zip(found["at"], found["n"], strict=True)]
+    return Model(texts, found["_y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
