@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
-from .shingles import KEPT_WORDS
 from .tokens import arrow_rows
 
 SAMPLE, DIMS, NEIGHBOURS, POWER, THRESHOLD = 4000, 64, 15, 8, 0.7
-#: Documents whose cosines are one block.
-BLOCK = 256
+#: Documents whose cosines are one block, and words whose places a task keeps.
+BLOCK, _KEPT_WORDS = 256, 100_000
 #: Places for words, byte trigrams, shape trigrams (16 shapes) and steps of repetition.
 _PLACES = (2048, 2048, 4096, 16)
 _ENDS = np.cumsum((0, *_PLACES))
@@ -50,10 +49,10 @@ _SHAPE = _shapes()
 
 
 class _Words(dict):
-    """Word -> place; beyond ``KEPT_WORDS`` the cache starts anew."""
+    """Word -> place; beyond ``_KEPT_WORDS`` the cache starts anew."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= _KEPT_WORDS:
             self.clear()
         place = self[word] = xxhash.xxh3_64_intdigest(word) % _PLACES[0]
         return place
