@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import at
+from .constants import PRESETS
 from .registry import query
 
 
@@ -67,6 +68,21 @@ def first_refresh(t):
     return refresh(t.events, empty, t.as_of, timedelta(days=10), timedelta(days=2))
 
 
+@query(
+    "map11_presets",
+    """SELECT '5m' AS preset, count(*) FILTER (timestamp > t - INTERVAL 5 MINUTE) AS events, count(*) FILTER (timestamp > t - INTERVAL 1 HOUR) AS longer FROM ev, a
+UNION ALL SELECT '15m', count(*) FILTER (timestamp > t - INTERVAL 15 MINUTE), count(*) FILTER (timestamp > t - INTERVAL 3 HOUR) FROM ev, a
+UNION ALL SELECT '1h', count(*) FILTER (timestamp > t - INTERVAL 1 HOUR), count(*) FILTER (timestamp > t - INTERVAL 24 HOUR) FROM ev, a
+UNION ALL SELECT '6h', count(*) FILTER (timestamp > t - INTERVAL 6 HOUR), count(*) FILTER (timestamp > t - INTERVAL 24 HOUR) FROM ev, a
+UNION ALL SELECT '24h', count(*) FILTER (timestamp > t - INTERVAL 24 HOUR), count(*) FILTER (timestamp > t - INTERVAL 24 HOUR) FROM ev, a""",
+)
+def presets(t):
+    """Events in the primary and the secondary window of each preset, from one pass over the longest."""
+    longest = max(longer for _, longer in PRESETS.values())
+    rows = F.array(*(F.struct(F.lit(name).alias("preset"), F.count_if(t.within(short)).alias("events"), F.count_if(t.within(longer)).alias("longer")) for name, (short, longer) in PRESETS.items()))
+    return t.last(longest).agg(rows.alias("rows")).select(F.inline("rows"))
+
+
 @query("stm9_rate_limit")
 def rate_limited(t):
     """Events that pass a budget of two a day, each day opened by the first event after the last one's end."""

@@ -81,41 +81,59 @@ def truncate(df: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None
 class MinuteStats:
     """The one-minute aggregate as a stored table, partitioned by date, that covers all minutes before ``until``."""
 
+    step, time = timedelta(minutes=1), "timestamp"
+
     def __init__(self, path: str):
         self.path = path
 
-    def refresh(self, events: DataFrame, as_of: datetime, start: timedelta = timedelta(hours=1), lag: timedelta = timedelta(minutes=1)) -> None:
-        """Compute the days anew that hold minutes from the table's end, less ``start``, to ``as_of`` less ``lag``.
+    @staticmethod
+    def build(events: DataFrame) -> DataFrame:
+        from ..plans.rollups import stats_1m
+
+        return stats_1m(events)
+
+    def refresh(self, source: DataFrame, as_of: datetime, start: timedelta = timedelta(hours=1), lag: timedelta = timedelta(minutes=1)) -> None:
+        """Compute the days anew that hold buckets from the table's end, less ``start``, to ``as_of`` less ``lag``.
 
         Whole days are replaced, so a refresh that runs again leaves the same table.
         """
-        from ..plans.rollups import stats_1m
-
-        high = (as_of - lag).replace(second=0, microsecond=0)
-        until = self.until(events.sparkSession)
-        rows = events.where(F.col("timestamp") < at(high))
+        midnight = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
+        high = midnight + (as_of - lag - midnight) // self.step * self.step
+        until = self.until(source.sparkSession)
+        rows = source.where(F.col(self.time) < at(high))
         if until is not None:
-            rows = rows.where(F.col("timestamp") >= at((until - start).replace(hour=0, minute=0, second=0, microsecond=0)))
-        made = stats_1m(rows).withColumn("event_date", F.to_date("bucket"))
+            rows = rows.where(F.col(self.time) >= at((until - start).replace(hour=0, minute=0, second=0, microsecond=0)))
+        made = self.build(rows).withColumn("event_date", F.to_date("bucket"))
         made.repartition("event_date", F.pmod(F.xxhash64("node_id"), F.lit(8))).sortWithinPartitions("event_date", "event_type", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(self.path)
 
     def until(self, spark: SparkSession) -> datetime | None:
-        """The end of the last stored minute, from the newest day's partition; None before the first refresh."""
+        """The end of the last stored bucket, from the newest day's partition; None before the first refresh."""
         days = sorted(folder.getName() for _, folder in _folders(spark, f"{self.path}/event_date=*"))
         if not days:
             return None
         newest = spark.read.parquet(f"{self.path}/{days[-1]}").agg(F.max("bucket")).first()[0]
-        return newest and newest + timedelta(minutes=1)
+        return newest and newest + self.step
 
-    def read(self, events: DataFrame, since: datetime | None = None) -> DataFrame:
-        """The stored minutes, and those since then from the events, so that late refreshes change no result."""
-        from ..plans.rollups import stats_1m
-
-        spark, until = events.sparkSession, self.until(events.sparkSession)
+    def read(self, source: DataFrame, since: datetime | None = None) -> DataFrame:
+        """The stored buckets, and those since then from the source, so that late refreshes change no result."""
+        spark, until = source.sparkSession, self.until(source.sparkSession)
+        fresh = max((x for x in (until, since) if x is not None), default=None)
+        live = self.build(source if fresh is None else source.where(F.col(self.time) >= at(fresh)))
         if until is None:
-            return stats_1m(events if since is None else events.where(F.col("timestamp") >= at(since)))
+            return live
         stored = spark.read.parquet(self.path)
-        fresh = max(until, since) if since else until
         if since is not None:
             stored = stored.where((F.col("event_date") >= F.lit(since.date())) & (F.col("bucket") >= at(since)))
-        return stored.drop("event_date").unionByName(stats_1m(events.where(F.col("timestamp") >= at(fresh))))
+        return stored.drop("event_date").unionByName(live)
+
+
+class HourStats(MinuteStats):
+    """The same for hours, from the one-minute aggregate; ``refresh`` with the lag of an hour's end."""
+
+    step, time = timedelta(hours=1), "bucket"
+
+    @staticmethod
+    def build(minutes: DataFrame) -> DataFrame:
+        from ..plans.rollups import stats_1h
+
+        return stats_1h(minutes)

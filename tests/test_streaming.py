@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.columns import at
 from skein.plans.blocks import block_stats
-from skein.plans.rollups import refresh, stats_1m
+from skein.plans.rollups import refresh, stats_1h, stats_1m
 from skein.sources import sinks
 from skein.sources.adapter import load
 from skein.streaming import rollup_streams, stateful
@@ -118,6 +118,10 @@ def test_minute_table(spark, tmp_path):
         assert sorted(map(tuple, table.read(t.events).collect())) == full
     assert table.until(spark) <= days[-1]
     t.minute_table = table
+    hours, whole = sinks.HourStats(str(tmp_path / "h")), sorted(map(tuple, stats_1h(stats_1m(t.events)).collect()))
+    for day in days[:2]:
+        hours.refresh(table.read(t.events), day, lag=timedelta(hours=1))
+        assert sorted(map(tuple, hours.read(table.read(t.events)).collect())) == whole and hours.until(spark) <= day
     stored, raw = block_stats(t).collect(), block_stats(load(spark, SF)).collect()
     assert stored == raw
 
