@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, html, neardup, neighbours, packing, quality, sharding, tokenfiles, warc
+from . import bpe, exact, html, neardup, neighbours, packing, quality, sharding, substrings, tokenfiles, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_exact_dedup": exact.query,
     "op9_html_text": html.query,
     "op10_minhash_near_dedup": neardup.query,
+    "op12_substring_dedup": substrings.query,
 }
-ORACLES = {"op5_warc": warc.ORACLE, "op3_block_neighbours": neighbours.ORACLE, "op8_exact_dedup": exact.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE}
+ORACLES = {"op5_warc": warc.ORACLE, "op3_block_neighbours": neighbours.ORACLE, "op8_exact_dedup": exact.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE, "op12_substring_dedup": substrings.ORACLE}

@@ -33,7 +33,7 @@ def exact_shingles(text: str | None, k: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(found[j:] for j in range(min(k, len(found))))))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -49,7 +49,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.full(len(hashes) - width + 1, width, np.uint64)
         for j in range(width):
-            total = _mixed(total * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(total)])
+            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(total)])
     return np.unique(total)
 
 
