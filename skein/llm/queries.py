@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, html, neardup, neighbours, packing, quality, sharding, substrings, tokenfiles, warc
+from . import bpe, collocations, exact, html, neardup, neighbours, packing, quality, sharding, substrings, tokenfiles, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_html_text": html.query,
     "op10_minhash_near_dedup": neardup.query,
     "op12_substring_dedup": substrings.query,
+    "op13_collocations": collocations.query,
 }
-ORACLES = {"op5_warc": warc.ORACLE, "op3_block_neighbours": neighbours.ORACLE, "op8_exact_dedup": exact.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE, "op12_substring_dedup": substrings.ORACLE}
+ORACLES = {"op5_warc": warc.ORACLE, "op3_block_neighbours": neighbours.ORACLE, "op8_exact_dedup": exact.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE, "op12_substring_dedup": substrings.ORACLE, "op13_collocations": collocations.ORACLE}
