@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, exact, html, neardup, neighbours, packing, quality, sharding, substrings, tokenfiles, warc
+from . import bpe, centroids, collocations, exact, html, neardup, neighbours, packing, quality, sharding, substrings, tokenfiles, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_exact_dedup": exact.query,
     "op9_html_text": html.query,
     "op10_minhash_near_dedup": neardup.query,
+    "op11_ball_kmeans": centroids.query,
     "op12_substring_dedup": substrings.query,
     "op13_collocations": collocations.query,
 }
-ORACLES = {"op5_warc": warc.ORACLE, "op3_block_neighbours": neighbours.ORACLE, "op8_exact_dedup": exact.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE, "op12_substring_dedup": substrings.ORACLE, "op13_collocations": collocations.ORACLE}
+ORACLES = {"op5_warc": warc.ORACLE, "op3_block_neighbours": neighbours.ORACLE, "op8_exact_dedup": exact.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE, "op11_ball_kmeans": centroids.ORACLE, "op12_substring_dedup": substrings.ORACLE, "op13_collocations": collocations.ORACLE}
