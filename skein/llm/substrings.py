@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .chunks import CHUNK_BYTES, Chunks, bits_of, flags_of, pack
-from .common import discard, materialise, table
-from .shingles import KEPT_WORDS, mixed
+from .common import materialise, table
+from .shingles import mixed
 
 WORDS = 13
 #: Period and a smallest set of remainders whose differences are all remainders (fixed values).
@@ -56,21 +56,6 @@ _MADE = [
 ]
 
 
-class _Hashes(dict):
-    def __init__(self, seed: int):
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return value
-
-
-_FIRST, _SECOND = _Hashes(0), _Hashes(1)
-
-
 def cover_for(words: int) -> tuple[int, tuple[int, ...]]:
     """The longest period that leaves an anchor at least half of a window."""
     period = max(p for p in COVERS if p - 1 <= words // 2)
@@ -89,23 +74,60 @@ def cuts(data: bytes, most: int = PIECE) -> Iterator[bytes]:
     yield data[at:] if at else data
 
 
-def word_hashes(data: bytes, cache: dict) -> np.ndarray:
-    """A 64-bit hash of every word; bytes.split() cuts at the ASCII white space that the contract names."""
-    parts = [np.fromiter(map(cache.__getitem__, found), np.uint64, len(found)) for found in map(bytes.split, cuts(data))]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+class _Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
+def numbered(rows: pa.Table, text_col: str) -> tuple[pa.Table, int]:
+    """The rows' columns by place, with each text as numbers of the chunk's distinct words; counts the words.
 
+    bytes.split() cuts at the ASCII white space that ends a word.
+    """
+    numbers, texts = _Numbers(), []
+    for text in rows.column(text_col).cast(pa.binary()):
+        parts = [np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)) for found in map(bytes.split, cuts(text.as_py() or b""))]
+        texts.append(np.concatenate(parts))
+    columns = {f"c{i}": column for i, column in enumerate(rows.columns)}
+    columns["numbers"] = pa.array(texts, pa.large_list(pa.int32()))
+    columns["vocabulary"] = pa.array([list(numbers)] + [None] * (rows.num_rows - 1), pa.list_(pa.binary()))
+    return pa.table(columns), sum(map(len, texts))
 
-def run_hashes(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the ``width`` words from each of the places ``at`` on."""
-    total = np.full(len(at), width, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + hashes[at + j])
-    return total
+
+class RunHashes:
+    """Hashes of any run of words of a chunk: differences of the prefix sums of word hash times power, brought to one power."""
+
+    def __init__(self, hashes: np.ndarray, factor: int):
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(hashes), factor, np.uint64)]))
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1])])
+            self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(hashes), pow(factor, -1, 1 << 64), np.uint64)]))
+
+    def __call__(self, at: np.ndarray, width: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed((self.sums[at + width] - self.sums[at]) * self.back[at])
+
+
+def _marks(length: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which places lie in a span from a begin to before its end."""
+    return np.cumsum(np.bincount(begins, minlength=length + 1) - np.bincount(ends, minlength=length + 1))[:length] > 0
+
+
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys, and which places of it begin a new value; equal first keys with unlike others are sorted by all."""
+    order = np.argsort(keys[0], kind="stable")
+    changes = [k[order][1:] != k[order][:-1] for k in keys]
+    if any((c & ~changes[0]).any() for c in changes[1:]):
+        order = np.lexsort(keys[::-1])
+        changes = [k[order][1:] != k[order][:-1] for k in keys]
+    return order, np.concatenate([np.ones(min(1, len(order)), bool), np.logical_or.reduce(changes)])
 
 
 class Cover:
-    """Anchors and windows of texts; ``words`` is a window's length."""
+    """Where the anchors of windows of ``words`` words lie."""
 
     def __init__(self, words: int):
         self.words = words
@@ -113,27 +135,6 @@ class Cover:
         self.width = words - self.period + 1
         self.inside = np.isin(np.arange(self.period), remainders)
 
-    def anchors(self, n: int) -> np.ndarray:
-        """Places of a text of n words; none where no window fits."""
-        if n < self.words:
-            return np.empty(0, np.int64)
-        places = np.arange(n - self.width + 1)
-        return places[self.inside[places % self.period]]
-
-    def windows(self, n: int, anchors: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold one of the anchors."""
-        edge = np.zeros(n + 2, np.int32)
-        np.add.at(edge, np.maximum(anchors - self.period + 1, 0), 1)
-        np.add.at(edge, np.minimum(anchors, n - self.words) + 1, -1)
-        return np.flatnonzero(np.cumsum(edge[: n - self.words + 1]) > 0)
-
-    def covered(self, n: int, starts: np.ndarray) -> np.ndarray:
-        """Which of n words lie in a window from one of the starts."""
-        edge = np.zeros(n + 1, np.int32)
-        edge[starts] += 1
-        edge[starts + self.words] -= 1
-        return np.cumsum(edge[:n]) > 0
-
 
 def _bounds(high: np.ndarray, buckets: int) -> np.ndarray:
     """Where the buckets of sorted hashes begin and end; a bucket is a range of the hash's upper half."""
@@ -142,79 +143,71 @@ def _bounds(high: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class _Chunk:
-    """A chunk's documents with their anchors, as every pass derives them anew."""
-
-    def __init__(self, rows: pa.Table, cover: Cover, id_col: str, text_col: str):
-        self.cover = cover
-        self.texts = rows.column(text_col).cast(pa.binary())
-        self.ids = pc.fill_null(rows.column(id_col).cast(pa.int64()), int(NO_ID)).to_numpy()
-        self.sizes, self.places, hashes = [], [], []
-        for text in self.texts:
-            h = word_hashes(text.as_py() or b"", _FIRST)
-            at = cover.anchors(len(h))
-            self.sizes.append(len(h))
-            self.places.append(at)
-            hashes.append(run_hashes(h, at, cover.width))
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.anchors, self.which = np.unique(flat, return_inverse=True)
-        self.ends = np.cumsum([len(p) for p in self.places])
-        # documents of a chunk that share an anchor: its first and its last one differ
-        doc = np.repeat(np.arange(len(self.places)), [len(p) for p in self.places])
-        low, high = np.full(len(self.anchors), len(self.places)), np.full(len(self.anchors), -1)
-        np.minimum.at(low, self.which, doc)
-        np.maximum.at(high, self.which, doc)
-        self.several = low != high
-
-    def flags(self, answers: dict, asked: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-        got, bounds = np.zeros(len(keys), bool), _bounds(keys, buckets)
+    """A chunk's words in a row with their anchors, as every pass derives them anew."""
+
+    def __init__(self, rows: pa.Table, cover: Cover, id_place: int, buckets: int):
+        self.cover, self.buckets, self.rows = cover, buckets, rows
+        self.ids = pc.fill_null(rows.column(f"c{id_place}").cast(pa.int64()), int(NO_ID)).to_numpy()
+        numbers = rows.column("numbers").combine_chunks()
+        self.sizes = np.asarray(numbers.value_lengths())
+        self.numbers = np.asarray(numbers.flatten())
+        self.vocabulary = rows.column("vocabulary")[0].as_py()
+        digests = b"".join(map(xxhash.xxh3_128_digest, self.vocabulary))
+        first, second = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+        self.first, self.second = RunHashes(first[self.numbers], 0x9E3779B97F4A7C15), second
+        self.ends = np.cumsum(self.sizes)
+        self.begins = self.ends - self.sizes
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        place = np.arange(len(self.numbers)) - self.begins[self.doc]
+        room = self.sizes[self.doc]
+        self.places = np.flatnonzero(cover.inside[place % cover.period] & (place <= room - cover.width) & (room >= cover.words))
+        flat = self.first(self.places, cover.width)
+        order, new = _distinct(flat)
+        heads = np.flatnonzero(new)
+        self.anchors, self.which = flat[order[heads]], np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        # equal hashes keep the order of the text: documents of a chunk share an anchor if its first and its last one differ
+        owner = self.doc[self.places][order]
+        self.several = owner[heads] != owner[np.append(heads[1:], len(order))[: len(heads)] - 1] if len(heads) else np.empty(0, bool)
+
+    def flags(self, answers: dict, asked: int, keys: np.ndarray) -> np.ndarray:
+        got, bounds = np.zeros(len(keys), bool), _bounds(keys, self.buckets)
         for (question, bucket), bits in answers.items():
             if question == asked:
                 a, b = bounds[bucket], bounds[bucket + 1]
                 got[a:b] = flags_of(bits, b - a)
         return got
 
-    def extend(self, shared: np.ndarray) -> None:
-        """Windows around shared anchors: for each document its starts; over the chunk distinct hashes and smallest ids."""
-        self.starts, firsts, seconds = [], [], []
-        for i, (text, n, at) in enumerate(zip(self.texts, self.sizes, self.places)):
-            end = self.ends[i]
-            hit = at[shared[self.which[end - len(at) : end]]]
-            starts = self.cover.windows(n, hit) if len(hit) else np.empty(0, np.int64)
-            self.starts.append(starts)
-            if len(starts):
-                data = text.as_py()
-                firsts.append(run_hashes(word_hashes(data, _FIRST), starts, self.cover.words))
-                seconds.append(run_hashes(word_hashes(data, _SECOND), starts, self.cover.words))
-        first = np.concatenate(firsts) if firsts else np.empty(0, np.uint64)
-        second = np.concatenate(seconds) if seconds else np.empty(0, np.uint64)
-        self.owners = np.repeat(self.ids, [len(s) for s in self.starts])
-        order = np.lexsort((second, first))
-        first, second = first[order], second[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        begins = np.flatnonzero(new)
-        self.first, self.second = first[begins], second[begins]
-        self.least = np.minimum.reduceat(self.owners[order], begins) if len(begins) else np.empty(0, np.int64)
+    def extend(self, answers: dict) -> None:
+        """The windows around shared anchors: their starts, distinct hashes, and the smallest id of each."""
+        hit = self.places[self.flags(answers, 1, self.anchors)[self.which]]
+        words, doc = self.cover.words, self.doc[hit]
+        self.starts = np.flatnonzero(_marks(len(self.numbers), np.maximum(hit - self.cover.period + 1, self.begins[doc]), np.minimum(hit, self.ends[doc] - words) + 1))
+        first = self.first(self.starts, words)
+        second = RunHashes(self.second[self.numbers], 0xD6E8FEB86659FD93)(self.starts, words) if len(self.starts) else first
+        self.owners = self.ids[self.doc[self.starts]]
+        order, new = _distinct(first, second)
+        heads = np.flatnonzero(new)
+        self.keys = first[order[heads]], second[order[heads]]
+        self.least = np.minimum.reduceat(self.owners[order], heads) if len(heads) else np.empty(0, np.int64)
         self.window = np.empty(len(order), np.int64)
         self.window[order] = np.cumsum(new) - 1
 
-    def gone(self, elsewhere: np.ndarray) -> Iterator[np.ndarray]:
-        """For each document which of its words go; ``elsewhere``: a smaller id than all of the chunk's has the window."""
-        hit = elsewhere[self.window] | (self.least[self.window] < self.owners)
-        at = 0
-        for n, starts in zip(self.sizes, self.starts):
-            yield self.cover.covered(n, starts[hit[at : at + len(starts)]])
-            at += len(starts)
+    def gone(self, answers: dict) -> np.ndarray:
+        """Which words go: a smaller id has the window, in another chunk or in this one."""
+        elsewhere = self.flags(answers, 2, self.keys[0])
+        hit = self.starts[elsewhere[self.window] | (self.least[self.window] < self.owners)]
+        return _marks(len(self.numbers), hit, hit + self.cover.words)
 
 
-def _rows(chunk: str, asked: int, bounds: np.ndarray, *columns: bytes | np.ndarray) -> pa.RecordBatch:
-    """A row for every bucket that has keys: the slices of the columns."""
-    full = [b for b in range(len(bounds) - 1) if bounds[b] < bounds[b + 1]]
-    cut = [[c[bounds[b] : bounds[b + 1]].tobytes() for b in full] for c in columns]
-    names = ["first", "second", "extra"][: len(columns)]
-    fields = {"chunk": [chunk] * len(full), "asked": [asked] * len(full), "bucket": full} | dict(zip(names, cut))
-    types = {"chunk": pa.string(), "asked": pa.int32(), "bucket": pa.int32()}
-    return pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.binary())) for k, v in fields.items()})
+def _rows(chunk: str, asked: int, buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row for every bucket that has keys: the slices of the columns, the first of which is sorted."""
+    bounds = _bounds(columns[0], buckets)
+    full = np.flatnonzero(bounds[1:] > bounds[:-1]).tolist()
+    fields = {"chunk": pa.array([chunk] * len(full), pa.string()), "asked": pa.array([asked] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32())}
+    for name, column in zip(("first", "second", "extra"), columns):
+        fields[name] = pa.array([column[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary())
+    return pa.RecordBatch.from_pydict(fields)
 
 
 _REPLY = "chunk string, asked int, bucket int, bits binary"
@@ -242,9 +235,7 @@ def _smaller(group: pa.Table) -> pa.Table:
     read = lambda name, kind: [np.frombuffer(b, kind) for b in group.column(name).to_pylist()]
     firsts = read("first", np.uint64)
     first, second, least = np.concatenate(firsts), np.concatenate(read("second", np.uint64)), np.concatenate(read("extra", np.int64))
-    order = np.lexsort((second, first))
-    new = np.ones(len(order), bool)
-    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    order, new = _distinct(first, second)
     lowest = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     flags = np.empty(len(order), bool)
     flags[order] = lowest < least[order]
@@ -260,52 +251,47 @@ def mark_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     if words < 1:
         raise ValueError("words must be positive")
     cover, made = Cover(words), [f.name for f in _MADE]
-    text_field = docs.schema[text_col]
-
-    def form(rows: pa.Table) -> tuple[pa.Table, int]:
-        return rows, sum(map(len, map(bytes.split, (t.as_py() or b"" for t in rows.column(text_col).cast(pa.binary())))))
-
-    typed = docs if isinstance(text_field.dataType, StringType) else docs.withColumn(text_col, F.col(text_col).cast("string"))
-    chunks = pack(typed, text_col, form, "passages", chunk_bytes)
+    typed = docs if isinstance(docs.schema[text_col].dataType, StringType) else docs.withColumn(text_col, F.col(text_col).cast("string"))
+    carried = [(i, f) for i, f in enumerate(typed.schema.fields) if f.name not in made]
+    id_place = typed.columns.index(id_col)
+    chunks = pack(typed, text_col, lambda rows: numbered(rows, text_col), "passages", chunk_bytes)
     buckets = buckets_for(8 * chunks.units * int(cover.inside.sum()) // cover.period)
 
     def ask_anchors(chunk: str, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        x = _Chunk(rows, cover, id_col, text_col)
-        yield _rows(chunk, 1, _bounds(x.anchors, buckets), x.anchors, x.several)
+        x = _Chunk(rows, cover, id_place, buckets)
+        yield _rows(chunk, 1, buckets, x.anchors, x.several)
 
     asked = chunks.each(ask_anchors, "chunk string, asked int, bucket int, first binary, second binary")
     shared = materialise(asked.groupBy("bucket").applyInArrow(_shared, _REPLY), "passages-shared")
 
     def ask_windows(chunk: str, rows: pa.Table, answers: dict) -> pa.Table:
-        x = _Chunk(rows, cover, id_col, text_col)
-        x.extend(x.flags(answers, 1, x.anchors, buckets))
-        return pa.Table.from_batches([_rows(chunk, 2, _bounds(x.first, buckets), x.first, x.second, x.least)])
+        x = _Chunk(rows, cover, id_place, buckets)
+        x.extend(answers)
+        return pa.Table.from_batches([_rows(chunk, 2, buckets, *x.keys, x.least)])
 
     asked = chunks.answered(shared, ask_windows, "chunk string, asked int, bucket int, first binary, second binary, extra binary")
     smaller = materialise(asked.groupBy("bucket").applyInArrow(_smaller, _REPLY), "passages-smaller")
 
     def finish(chunk: str, rows: pa.Table, answers: dict) -> pa.Table:
-        x = _Chunk(rows, cover, id_col, text_col)
-        x.extend(x.flags(answers, 1, x.anchors, buckets))
-        out: dict[str, list] = {name: [] for name in made}
-        for text, n, gone in zip(x.texts, x.sizes, x.gone(x.flags(answers, 2, x.first, buckets))):
-            data, at, kept = text.as_py() or b"", 0, []
-            for found in map(bytes.split, cuts(data)):
-                kept += found if not gone.any() else [w for w, g in zip(found, gone[at : at + len(found)].tolist()) if not g]
-                at += len(found)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-            out["n_words"].append(n)
-            out["n_removed"].append(int(gone.sum()))
-            out["removed"].append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])])
-            out["kept_text"].append(b" ".join(kept))
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
-        columns = {c: rows.column(c) for c in rows.column_names if c not in made}
-        columns |= {name: pa.array(out[name], kind) for name, kind in zip(made, kinds)}
-        columns["kept_text"] = columns["kept_text"].cast(pa.string())
-        return pa.table(columns)
-
-    fields = [f for f in typed.schema.fields if f.name not in made]
-    return chunks.answered(shared.unionByName(smaller), finish, StructType([*fields, *_MADE])), chunks
+        x = _Chunk(rows, cover, id_place, buckets)
+        x.extend(answers)
+        gone = x.gone(answers)
+        before = np.concatenate([[0], np.cumsum(gone)])
+        # a span ends with its document, though the next one's may follow at once
+        edge = np.zeros(len(gone) + 1, bool)
+        edge[x.begins[x.sizes > 0]], edge[-1] = True, True
+        spans = np.flatnonzero(gone & (edge[:-1] | np.concatenate([[True], ~gone])[:-1]))
+        stops = np.flatnonzero(gone & (edge[1:] | np.concatenate([~gone, [True]])[1:])) + 1
+        owner = x.doc[spans]
+        removed = pa.StructArray.from_arrays([pa.array((v - x.begins[owner]).astype(np.int32)) for v in (spans, stops)], ["start", "end"])
+        offsets = pa.array(np.searchsorted(owner, np.arange(len(x.sizes) + 1)).astype(np.int32))
+        word = x.vocabulary.__getitem__
+        kept = [b" ".join(map(word, part[~cut].tolist())) for part, cut in ((x.numbers[a:b], gone[a:b]) for a, b in zip(x.begins, x.ends))]
+        columns = [rows.column(f"c{i}") for i, _ in carried]
+        columns += [pa.array(x.sizes.astype(np.int64)), pa.array(before[x.ends] - before[x.begins]), pa.ListArray.from_arrays(offsets, removed), pa.array(kept, pa.binary()).cast(pa.string())]
+        return pa.table(columns, names=[f.name for _, f in carried] + made)
+
+    return chunks.answered(shared.unionByName(smaller), finish, StructType([*(f for _, f in carried), *_MADE])), chunks
 
 
 def query(spark, sf_dir: str) -> DataFrame:
