@@ -213,7 +213,7 @@ def _promising(counted: DataFrame, buckets: int, least: int) -> Bitmap:
         yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits_of(total >= least)], pa.binary())})
 
     sums = counted.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(run, "slice int, bits binary")
-    return Bitmap(buckets).fill(sums.toLocalIterator())
+    return Bitmap(buckets).fill(sums.collect())  # a bit a bucket
 
 
 def _frequent(phrases: DataFrame, buckets: int) -> Bitmap:
@@ -239,7 +239,7 @@ def _frequent(phrases: DataFrame, buckets: int) -> Bitmap:
         yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
     bits = phrases.select("lang", "phrase").mapInArrow(partial, "slice int, bits binary").groupBy("slice").applyInArrow(run, "slice int, bits binary")
-    return Bitmap(buckets).fill(bits.toLocalIterator())
+    return Bitmap(buckets).fill(bits.collect())  # a bit a bucket
 
 
 def buckets_for(words: int) -> int:
