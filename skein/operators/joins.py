@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
+from .segments import latest_seen
 
 
 def _asof(left: DataFrame, right: DataFrame, key: str, ts: str, take: list[str], forward: bool) -> DataFrame:
-    """Both sides go through one window over their union, so the work is one shuffle and one
-    sort, however many right rows a key has.  Of right rows at the same time the one with the
-    smallest ``take`` counts."""
+    """Both sides go through one segmented window over their union, so the work is one shuffle and one sort, and a key's
+    rows spread over tasks by time.  Of right rows at the same time the one with the smallest ``take`` counts."""
     r = right.groupBy(key, ts).agg(F.min(F.struct(*take)).alias("_take"))
     columns = left.columns
     both = left.withColumns({"_take": F.lit(None).cast(r.schema["_take"].dataType), "_side": F.lit(0)}).unionByName(r.select(key, ts, "_take", F.lit(1).alias("_side")), allowMissingColumns=True)
     # forward: newest first, at equal times left before right, so that left rows see later rows only;
     # backward: oldest first, at equal times right before left, so that they see rows up to their own time
     order = [F.desc(ts), F.asc("_side")] if forward else [F.asc(ts), F.desc("_side")]
-    seen = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("_take", F.when(F.col("_side") == 0, F.last("_take", ignorenulls=True).over(seen)).otherwise(F.col("_take")))
+    found = latest_seen(both, key, ts, order, "_take", forward)
     return found.where("_side = 0").select(*columns, *(F.col(f"_take.{c}").alias(c) for c in take))
 
 
@@ -47,44 +46,27 @@ def range_join(left: DataFrame, right: DataFrame, key: str, ts: str, seconds: in
     return l.join(r, (l[key] == r["_k"]) & (F.col("_b") == F.col("_rb")) & inside).drop("_b", "_k", "_rb").withColumnRenamed("_rts", "right_ts")
 
 
-def either_key_join(left: DataFrame, keys: list[str], right: DataFrame, right_key: str, how: str = "inner") -> DataFrame:
-    """left.k1 = right.key OR left.k2 = right.key ...: as a row has one of the keys only, their coalescence is a plain hash join."""
-    return left.withColumn("_key", F.coalesce(*keys)).join(right.withColumnRenamed(right_key, "_key"), "_key", how).drop("_key")
+def either_key_join(left: DataFrame, keys: list[str], right: DataFrame, right_key: str) -> DataFrame:
+    """left.k1 = right.key OR left.k2 = right.key ...: a row goes to the join under each distinct key that it has.
 
-
-def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
-    """Of each key the row that comes first in ``order`` (ascending structs are reversed by max_by, so pass ascending columns)."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in columns))
-
-
-def percentiles_cont(df: DataFrame, value: str, names: dict[str, float], keys: list[str] | None = None) -> DataFrame:
-    """Interpolated percentiles of a column by ``keys`` (none: of all rows), by name.
-
-    Equal values are counted first, before and in a shuffle, so that only distinct values are put in order.
+    A right row has one key, so a pair meets once, also where both keys are equal; the join is a plain hash join.
     """
-    keys = keys or []
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*keys)
-    upto = counted.withColumns({"_upto": F.sum("_n").over(whole.orderBy(value)), "_all": F.sum("_n").over(whole)})
-
-    def at_place(place: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > place, F.col(value)))
+    spread = left.withColumn("_key", F.explode(F.array_compact(F.array_distinct(F.array(*keys)))))
+    return spread.join(right.withColumnRenamed(right_key, "_key"), "_key").drop("_key")
 
-    def percentile(p: float) -> Column:
-        place = F.lit(p) * (F.col("_all") - 1)
-        low, high = at_place(F.floor(place)), at_place(F.ceil(place))
-        return low + (high - low) * (F.lit(p) * (F.max("_all") - 1) - F.floor(F.lit(p) * (F.max("_all") - 1)))
 
-    return upto.groupBy(*keys).agg(*(percentile(p).alias(n) for n, p in names.items()))
+def either_key_semi(left: DataFrame, keys: list[str], right: DataFrame, right_key: str) -> DataFrame:
+    """The rows of ``left`` of which any key is one of ``right``'s, each once, whichever and however many of its keys are."""
+    if len(keys) == 1:
+        return left.join(right.select(F.col(right_key).alias(keys[0])).distinct(), keys[0], "left_semi")
+    spread = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", F.explode(F.array_compact(F.array_distinct(F.array(*keys)))))
+    found = spread.join(right.select(F.col(right_key).alias("_key")).distinct(), "_key", "left_semi")
+    return found.dropDuplicates(["_row"]).drop("_row", "_key")
 
 
-def nearest_ranks(df: DataFrame, value: str, names: dict[str, float], keys: list[str]) -> DataFrame:
-    """Percentiles by nearest rank (place round(p * (n - 1)), halves away from zero), of counted distinct values as above."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*keys)
-    upto = counted.withColumns({"_upto": F.sum("_n").over(whole.orderBy(value)), "_all": F.sum("_n").over(whole)})
-    at_rank = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) * (F.col("_all") - 1) + 0.5), F.col(value)))
-    return upto.groupBy(*keys).agg(F.max("_all").alias("samples"), *(at_rank(p).alias(n) for n, p in names.items()))
+def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
+    """Of each key the row that comes first in ``order`` (ascending structs are reversed by max_by, so pass ascending columns)."""
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in columns))
 
 
 def time_grid(spark, start, end, minutes: int) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, ms_between, one_of
-from ..operators.joins import percentiles_cont
+from ..functions.columns import count_if, micros, one_of
+from ..operators.ranks import percentiles_cont
 from .registry import query
 
 WEEK = 7 * 1440
@@ -62,7 +62,7 @@ def _delays(t, minutes: float):
     first = lambda i, name: t.last(minutes).where(F.col("event_type") == i).groupBy("slot", "node_id").agg(F.min("timestamp").alias(name))
     announced, transferred = first(62, "sent"), first(68, "received").withColumnRenamed("node_id", "receiver")
     pairs = announced.join(transferred, "slot").where("node_id <> receiver AND received > sent")
-    return pairs.withColumn("ms", ms_between(F.col("received"), F.col("sent")))
+    return pairs.withColumn("us", micros(F.col("received")) - micros(F.col("sent")))
 
 
 _DELAYS = """, an AS (SELECT slot, node_id, min(timestamp) AS sent FROM ev, a WHERE event_type = 62 AND timestamp > t - INTERVAL 30 DAY GROUP BY 1, 2),
@@ -78,10 +78,9 @@ FROM dl WHERE ms > 0 AND ms < 86400000""",
 )
 def block_propagation(t, minutes: float = 30 * 1440, most_ms: float = 86_400_000):
     """The reference window of one minute would hold no pair in the sparse test data; it is a parameter."""
-    near = _delays(t, minutes).where((F.col("ms") > 0) & (F.col("ms") < most_ms))
-    counted = near.groupBy("ms").agg(F.count(F.lit(1)).alias("n"))
-    mean = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("samples"), F.round(F.sum(F.col("ms") * F.col("n")) / F.sum("n"), 3).alias("avg_ms"))
-    ranks = percentiles_cont(near, "ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    near = _delays(t, minutes).where((F.col("us") > 0) & (F.col("us") < int(most_ms * 1000)))
+    mean = near.agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg(F.col("us") / 1000.0), 3).alias("avg_ms"))
+    ranks = percentiles_cont(near, "us", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}, int(most_ms * 1000), scale=1000.0)
     return mean.crossJoin(F.broadcast(ranks.select(*(F.round(c, 3).alias(c) for c in ranks.columns))))  # one row each
 
 

@@ -22,6 +22,11 @@ TYPES = {i: name for i, (name, _) in BODIES.items()}
 
 # fixed values: sets of event ids that queries treat alike; several notions of failure exist side by side
 FAILURES_ANALYTICS = (41, 44, 46, 81, 83, 92, 99, 107, 111, 113, 122, 127)
+#: the names that reports of failures give them, which are not all those of the wire format
+FAILURE_NAMES = {
+    41: "BlockAuthoringFailed", 44: "BlockSealingFailed", 46: "BlockAuthoringTimedOut", 81: "TicketGenerationFailed", 83: "TicketTransferFailed", 92: "WorkPackageFailed", 99: "WorkPackageSharingFailed",
+    107: "GuaranteeSendFailed", 111: "GuaranteeReceiveFailed", 113: "GuaranteeDiscarded", 122: "ShardRequestFailed", 127: "AssuranceSendFailed",
+}
 FAILURES_ANOMALY = (41, 44, 46, 81, 94, 97, 99, 102, 109, 110, 112, 113)
 FAILURES_BATCH = (92, 93, 99, 112, 113)
 #: attempts and failures of each category

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, ms_between, one_of, ratio
+from ..functions.checks import checked
+from ..functions.columns import at, count_if, ms_between, one_of, ratio
 from ..operators.joins import latest_per_key, range_join
 from .registry import query
 
@@ -113,97 +117,188 @@ def performers(t, minutes: int = MONTH, n: int = 5):
     return top.withColumn("list", F.lit("top")).select(columns).unionByName(bottom.withColumn("list", F.lit("bottom")).select(columns))
 
 
-_LATENCY = """, rq AS (SELECT node_id, timestamp FROM ev WHERE event_type IN (120, 123)),
-rs AS (SELECT node_id, timestamp AS right_ts FROM ev WHERE event_type = 124),
-lt AS (SELECT rq.node_id, (epoch_us(right_ts) - epoch_us(timestamp)) / 1000.0 AS ms FROM rq JOIN rs ON rq.node_id = rs.node_id AND right_ts > timestamp AND right_ts < timestamp + INTERVAL 6 HOUR)"""
+_OPS = (121, 123, 124)
 
 
 @query(
     "q28_da_stats_enhanced",
-    _LATENCY
-    + """, rd AS (SELECT node_id, count(*) AS requests FROM ev WHERE event_type IN (120, 123) GROUP BY 1),
-tr AS (SELECT node_id, count(*) AS transfers FROM ev WHERE event_type = 124 GROUP BY 1),
-sr AS (SELECT node_id, count(*) AS assurances, count(DISTINCT shard) FILTER (event_type = 128) AS shards FROM ev WHERE event_type IN (126, 128) GROUP BY 1),
-la AS (SELECT node_id, round(avg(ms), 3) AS avg_latency_ms, count(*) AS samples FROM lt GROUP BY 1)
-SELECT coalesce(rd.node_id, tr.node_id, sr.node_id, la.node_id) AS node_id, coalesce(requests, 0) AS requests, coalesce(transfers, 0) AS transfers, coalesce(assurances, 0) AS assurances,
-  coalesce(shards, 0) AS shards, avg_latency_ms, coalesce(samples, 0) AS samples,
-  CASE WHEN coalesce(transfers, 0) * 2 >= coalesce(requests, 0) THEN 'healthy' WHEN coalesce(transfers, 0) > 0 THEN 'degraded' ELSE 'unhealthy' END AS health
-FROM rd FULL JOIN tr ON rd.node_id = tr.node_id FULL JOIN sr ON sr.node_id = coalesce(rd.node_id, tr.node_id) FULL JOIN la ON la.node_id = coalesce(rd.node_id, tr.node_id, sr.node_id)""",
+    """, pr AS (SELECT bd.* FROM bd, a WHERE timestamp > t - INTERVAL 7 DAY), sh AS (SELECT bd.* FROM bd, a WHERE event_type = 123 AND timestamp > t - INTERVAL 30 DAY),
+so AS (SELECT node_id, count(*) FILTER (event_type = 121) AS read_ops, count(*) FILTER (event_type = 123) AS write_ops, count(*) FILTER (event_type = 124) AS transfers,
+  coalesce(sum(bytes) FILTER (event_type = 123), 0) AS bytes_written, coalesce(sum(bytes) FILTER (event_type = 124), 0) AS bytes_transferred FROM pr WHERE event_type IN (121, 123, 124) GROUP BY node_id),
+po AS (SELECT node_id, count(*) FILTER (event_type = 190) AS announced, count(*) FILTER (event_type = 192) AS pooled FROM pr WHERE event_type IN (190, 191, 192) GROUP BY node_id),
+lc AS (SELECT r.node_id, avg((epoch_us(x.timestamp) - epoch_us(r.timestamp)) / 1000.0) AS ms FROM pr r JOIN bd x ON x.node_id = r.node_id AND x.event_type = 124 AND x.timestamp > r.timestamp AND x.timestamp < r.timestamp + INTERVAL 1 DAY WHERE r.event_type = 121 GROUP BY 1),
+cs AS (SELECT node_id, count(DISTINCT shard) AS num_shards, sum(bytes) AS shard_size_bytes FROM sh GROUP BY 1),
+j AS (SELECT coalesce(so.node_id, po.node_id, cs.node_id) AS node_id, coalesce(num_shards, 0) AS num_shards, coalesce(shard_size_bytes, 0) AS shard_size_bytes, coalesce(announced, 0) AS preimages_announced, coalesce(pooled, 0) AS preimages_in_pool,
+  coalesce(read_ops, 0) AS read_ops, coalesce(write_ops, 0) AS write_ops, coalesce(ms, 0) AS ms, coalesce(transfers, 0) AS transfers, coalesce(bytes_written, 0) AS bytes_written, coalesce(bytes_transferred, 0) AS bytes_transferred
+  FROM so FULL JOIN po ON so.node_id = po.node_id FULL JOIN lc ON coalesce(so.node_id, po.node_id) = lc.node_id FULL JOIN cs ON coalesce(so.node_id, po.node_id) = cs.node_id WHERE coalesce(so.node_id, po.node_id, cs.node_id) IS NOT NULL),
+k AS (SELECT *, CASE WHEN read_ops > 0 THEN round(CAST(CAST(transfers AS DECIMAL(38, 10)) / read_ops AS DOUBLE), 3) ELSE 1 END AS transfer_success_rate FROM j)
+SELECT node_id, num_shards, CAST(shard_size_bytes AS BIGINT) AS shard_size_bytes, preimages_announced, preimages_in_pool, read_ops, write_ops, round(ms, 3) AS avg_read_latency_ms, transfer_success_rate,
+  CAST(bytes_written AS BIGINT) AS bytes_written, CAST(bytes_transferred AS BIGINT) AS bytes_transferred,
+  CASE WHEN transfer_success_rate >= 0.9 AND read_ops + write_ops > 0 THEN 'healthy' WHEN transfer_success_rate >= 0.5 OR read_ops + write_ops > 0 THEN 'degraded' ELSE 'unhealthy' END AS health FROM k""",
 )
-def da_stats_enhanced(t, seconds: int = 6 * 3600):
-    """Operations of each node from four full outer joined aggregates, and the latency from a request to the
-    shards received within some time (six hours here, as the test data are sparse)."""
-    by = lambda ids, *aggs: t.events.where(_kind(*ids)).groupBy("node_id").agg(*aggs)
-    n = F.count(F.lit(1))
-    asked = t.events.where(_kind(120, 123)).select("node_id", "timestamp")
-    got = t.events.where(_kind(124)).select("node_id", "timestamp")
-    latency = range_join(asked, got, "node_id", "timestamp", seconds, {}).groupBy("node_id").agg(F.round(F.avg(ms_between(F.col("right_ts"), F.col("timestamp"))), 3).alias("avg_latency_ms"), n.alias("samples"))
-    parts = [by((120, 123), n.alias("requests")), by((124,), n.alias("transfers")), by((126, 128), n.alias("assurances"), F.count_distinct(F.when(_kind(128), F.col("shard"))).alias("shards")), latency]
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.join(part, "node_id", "full")
-    filled = joined.fillna(0, ["requests", "transfers", "assurances", "shards", "samples"])
-    health = F.when(F.col("transfers") * 2 >= F.col("requests"), "healthy").when(F.col("transfers") > 0, "degraded").otherwise("unhealthy")
-    return filled.withColumn("health", health)
-
-
-@query("q28_shard_distribution", "SELECT shard, count(*) AS events, count(DISTINCT node_id) AS nodes FROM ev WHERE event_type IN (120, 123, 124) GROUP BY shard")
-def shard_distribution(t):
-    return t.events.where(_kind(120, 123, 124)).groupBy("shard").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("node_id").alias("nodes"))
+def registered_da_stats(t):
+    return da_stats_enhanced(t, 7 * 1440, MONTH, 86_400)  # a node of the test tables has an event in hours
+
+
+@checked
+def da_stats_enhanced(t, minutes: int = 60, longer: int = 1440, seconds: int = 10):
+    """What each node reads, writes and serves of shards and preimages in a window, the shards that it stored in a longer one, and the
+    mean time from a request to the transfers that follow within some seconds; one aggregation over the windows' events."""
+    recent, own = t.within(minutes), t.linked((*_OPS, 190, 191, 192), "shard", "bytes").where(t.within(max(minutes, longer)))
+    counted = lambda when: F.coalesce(F.count_if(when), F.lit(0))
+    many = lambda i: counted(_kind(i) & recent)
+    size = lambda when: F.coalesce(F.sum(F.when(when, F.col("bytes"))), F.lit(0))
+    kept = _kind(123) & t.within(longer)
+    by = own.where(recent | kept).groupBy("node_id").agg(
+        F.count_distinct(F.when(kept, F.col("shard"))).alias("num_shards"),
+        size(kept).alias("shard_size_bytes"),
+        many(190).alias("preimages_announced"),
+        many(192).alias("preimages_in_pool"),
+        many(121).alias("read_ops"),
+        many(123).alias("write_ops"),
+        many(124).alias("_transfers"),
+        size(_kind(123) & recent).alias("bytes_written"),
+        size(_kind(124) & recent).alias("bytes_transferred"),
+    )
+    near = t.last(minutes).select("node_id", "timestamp", "event_type")
+    pairs = range_join(near.where(_kind(121)).drop("event_type"), near.where(_kind(124)), "node_id", "timestamp", seconds, {})
+    latency = pairs.groupBy("node_id").agg(F.avg(ms_between(F.col("right_ts"), F.col("timestamp"))).alias("_ms"))
+    rate = F.when(F.col("read_ops") > 0, ratio(F.col("_transfers"), F.col("read_ops"), 3)).otherwise(1.0)
+    rows = by.join(latency, "node_id", "left").withColumns({"avg_read_latency_ms": F.round(F.coalesce("_ms", F.lit(0.0)), 3), "transfer_success_rate": rate})
+    used = F.col("read_ops") + F.col("write_ops") > 0
+    health = F.when((F.col("transfer_success_rate") >= 0.9) & used, "healthy").when((F.col("transfer_success_rate") >= 0.5) | used, "degraded").otherwise("unhealthy")
+    return rows.withColumn("health", health).drop("_transfers", "_ms")
+
+
+@query(
+    "q28_shard_distribution",
+    """SELECT shard AS shard_index, count(*) AS total_ops, count(*) FILTER (event_type = 120) AS requests_sent, count(*) FILTER (event_type = 124) AS requests_received, count(DISTINCT node_id) AS nodes
+FROM bd, a WHERE event_type IN (120, 124) AND timestamp > t - INTERVAL 7 DAY AND shard IS NOT NULL GROUP BY shard""",
+)
+def shard_distribution(t, minutes: int = 7 * 1440):
+    own = t.linked((120, 124), "shard").where(t.within(minutes) & F.col("shard").isNotNull())
+    many = lambda i: F.count_if(_kind(i))
+    return own.groupBy(F.col("shard").alias("shard_index")).agg(F.count(F.lit(1)).alias("total_ops"), many(120).alias("requests_sent"), many(124).alias("requests_received"), F.count_distinct("node_id").alias("nodes"))
 
 
 @query(
     "q17_core_guarantees",
-    """, g AS (SELECT node_id, k AS num_guarantees, row_number() OVER (PARTITION BY node_id ORDER BY timestamp DESC, event_id DESC) AS rn FROM ev WHERE event_type = 10 AND core = 8)
-SELECT node_id, num_guarantees FROM g WHERE rn = 1""",
+    """, g AS (SELECT node_id, timestamp, num_guarantees, row_number() OVER (PARTITION BY node_id ORDER BY created_at DESC, event_id DESC) AS rn FROM bd WHERE event_type = 10)
+SELECT node_id, timestamp, num_guarantees[13] AS guarantees FROM g WHERE rn = 1 AND len(num_guarantees) > 12""",
 )
-def core_guarantees(t, core: int = 8):
-    """The latest report of each node on one core."""
-    own = t.events.where(_kind(10) & (F.col("core") == core)).withColumnRenamed("k", "num_guarantees")
-    return latest_per_key(own, ["node_id"], [F.col("timestamp"), F.col("event_id")], ["num_guarantees"])
+def core_guarantees(t, core: int = 12):
+    """What each node's latest status tells of a core, where it tells of that many."""
+    newest = latest_per_key(t.linked((10,), "num_guarantees"), ["node_id"], [F.col("created_at"), F.col("event_id")], ["timestamp", "num_guarantees"])
+    told = newest.where(F.size("num_guarantees") > core)
+    return told.select("node_id", "timestamp", F.get("num_guarantees", F.lit(core)).cast("bigint").alias("guarantees"))
 
 
-@query("q17_guarantee_history", "SELECT date_trunc('hour', timestamp) AS hour, count(*) AS guarantees, count(DISTINCT node_id) AS guarantors FROM ev, a WHERE event_type = 105 AND timestamp > t - INTERVAL 7 DAY GROUP BY 1")
-def guarantee_history(t, minutes: int = 7 * 1440):
+@query(
+    "q17_guarantee_history",
+    "SELECT date_trunc('hour', timestamp) AS hour, count(*) AS guarantees FROM bd, a WHERE event_type = 105 AND core = 3 AND created_at > t - INTERVAL 30 DAY GROUP BY 1 ORDER BY hour DESC LIMIT 24",
+)
+def guarantee_history(t, core: int = 3, minutes: int = MONTH, limit: int = 24):
+    """Guarantees built for a core by hour, the newest hours."""
     hour = F.date_trunc("hour", "timestamp").cast("timestamp_ntz")
-    return t.last(minutes).where(_kind(105)).groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("guarantees"), F.count_distinct("node_id").alias("guarantors"))
+    own = t.linked((105,), "core").where((F.col("core") == core) & t.within(minutes, "created_at"))
+    return own.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("guarantees")).orderBy(F.desc("hour")).limit(limit)
+
+
+@query("q17_recent_guarantors", "SELECT node_id, timestamp, report AS work_report_hash FROM bd WHERE event_type = 105 AND core = 3 ORDER BY created_at DESC, event_id DESC LIMIT 50")
+def recent_guarantors(t, core: int = 3, limit: int = 50):
+    own = t.linked((105,), "core", "report").where(F.col("core") == core)
+    return own.orderBy(F.desc("created_at"), F.desc("event_id")).limit(limit).select("node_id", "timestamp", F.col("report").alias("work_report_hash"))
+
+
+def _exchange(own: DataFrame) -> DataFrame:
+    """By node: shards requested (121), stored (123) and served (124), and their bytes."""
+    many = lambda i: F.count_if(_kind(i))
+    size = lambda i: F.coalesce(F.sum(F.when(_kind(i), F.col("bytes"))), F.lit(0))
+    return own.where(_kind(*_OPS)).groupBy("node_id").agg(
+        many(121).alias("requested"), size(121).alias("bytes_requested"), many(123).alias("shards_stored"), size(123).alias("da_usage_bytes"), many(124).alias("shards_served"), size(124).alias("bytes_served")
+    )
 
 
-@query("q17_recent_guarantors", "SELECT node_id, timestamp, event_id, slot FROM ev WHERE event_type = 105 AND core = 0 ORDER BY timestamp DESC, event_id DESC LIMIT 50")
-def recent_guarantors(t, core: int = 0, limit: int = 50):
-    own = t.events.where(_kind(105) & (F.col("core") == core)).select("node_id", "timestamp", "event_id", "slot")
-    return own.orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
+_EXCHANGE = """x AS (SELECT node_id, count(*) FILTER (event_type = 121) AS requested, coalesce(sum(bytes) FILTER (event_type = 121), 0) AS bytes_requested, count(*) FILTER (event_type = 123) AS shards_stored,
+  coalesce(sum(bytes) FILTER (event_type = 123), 0) AS da_usage_bytes, count(*) FILTER (event_type = 124) AS shards_served, coalesce(sum(bytes) FILTER (event_type = 124), 0) AS bytes_served
+  FROM bd, a WHERE event_type IN (121, 123, 124) AND created_at > t - INTERVAL 30 DAY GROUP BY node_id)"""
+_RATIO = "CASE WHEN coalesce({b}, 0) > 0 THEN round(CAST(CAST(coalesce({a}, 0) AS DECIMAL(38, 10)) / {b} AS DOUBLE), 3) ELSE 1 END"
+_USED = "coalesce(shards_stored, 0) AS shards_stored, CAST(coalesce(da_usage_bytes, 0) AS BIGINT) AS da_usage_bytes, coalesce(shards_served, 0) AS shards_served, CAST(coalesce(bytes_served, 0) AS BIGINT) AS bytes_served"
+_NAMES = ("requested", "bytes_requested", "shards_stored", "da_usage_bytes", "shards_served", "bytes_served")
 
 
-_GUARANTORS = """, b AS (SELECT DISTINCT node_id FROM ev WHERE event_type = 94 AND core = 3),
-g AS (SELECT node_id, count(*) AS guarantees, max(timestamp) AS last_guarantee FROM ev WHERE event_type = 105 AND node_id IN (SELECT node_id FROM b) GROUP BY 1),
-q AS (SELECT node_id, count(*) FILTER (event_type = 123) AS stored, count(*) FILTER (event_type = 120) AS requested FROM ev WHERE event_type IN (120, 123) GROUP BY 1)"""
+def _efficiency(stored: str, asked: str):
+    return F.when(F.col(asked) > 0, ratio(F.col(stored), F.col(asked), 3)).otherwise(1.0)
 
 
 @query(
     "q26_core_guarantors",
-    _GUARANTORS
-    + """ SELECT g.node_id, guarantees, last_guarantee, implementation, coalesce(stored, 0) AS stored, coalesce(requested, 0) AS requested,
-  CASE WHEN coalesce(requested, 0) > 0 THEN round(CAST(CAST(stored AS DECIMAL(38, 10)) / requested AS DOUBLE), 3) END AS ratio FROM g LEFT JOIN q ON g.node_id = q.node_id LEFT JOIN nodes n ON n.node_id = g.node_id""",
+    f""", g AS (SELECT node_id, count(*) AS guarantees, max(timestamp) AS last_guarantee FROM bd, a WHERE event_type = 105 AND core = 3 AND created_at > t - INTERVAL 30 DAY GROUP BY node_id), {_EXCHANGE}
+SELECT g.node_id, guarantees, last_guarantee, {_USED}, {_RATIO.format(a='da_usage_bytes', b='bytes_requested')} AS import_efficiency, {_RATIO.format(a='shards_served', b='requested')} AS export_efficiency FROM g LEFT JOIN x ON x.node_id = g.node_id""",
 )
-def core_guarantors(t, core: int = 3):
-    """Guarantors that received packages of a core, with their shard operations."""
-    members = t.events.where(_kind(94) & (F.col("core") == core)).select("node_id").distinct()
-    own = t.events.where(_kind(105)).join(members, "node_id", "left_semi").groupBy("node_id").agg(F.count(F.lit(1)).alias("guarantees"), F.max("timestamp").alias("last_guarantee"))
-    ops = t.events.where(_kind(120, 123)).groupBy("node_id").agg(count_if(_kind(123)).alias("stored"), count_if(_kind(120)).alias("requested"))
-    joined = own.join(ops, "node_id", "left").join(t.nodes.select("node_id", "implementation"), "node_id", "left").fillna(0, ["stored", "requested"])
-    return joined.withColumn("ratio", ratio(F.col("stored"), F.col("requested"), 3))
+def core_guarantors(t, core: int = 3, minutes: int = MONTH):
+    """Who built guarantees for a core, with the shards that they stored and served; both from one pass over the window."""
+    own = t.linked((105, *_OPS), "core", "bytes").where(t.within(minutes, "created_at"))
+    built = own.where(_kind(105) & (F.col("core") == core)).groupBy("node_id").agg(F.count(F.lit(1)).alias("guarantees"), F.max("timestamp").alias("last_guarantee"))
+    rows = built.join(_exchange(own), "node_id", "left").fillna(0, list(_NAMES))
+    rows = rows.withColumns({"import_efficiency": _efficiency("da_usage_bytes", "bytes_requested"), "export_efficiency": _efficiency("shards_served", "requested")})
+    return rows.drop("requested", "bytes_requested")
+
+
+@query(
+    "q26_core_totals",
+    """SELECT coalesce(CAST(sum(bytes) AS BIGINT), 0) AS total_da_bytes, count(DISTINCT node_id) AS active_guarantors FROM bd, a WHERE event_type = 123 AND created_at > t - INTERVAL 30 DAY
+AND node_id IN (SELECT node_id FROM bd, a WHERE event_type = 105 AND core = 3 AND created_at > t - INTERVAL 30 DAY)""",
+)
+def core_totals(t, core: int = 3, minutes: int = MONTH):
+    """Bytes stored by a core's guarantors, and how many of them stored any."""
+    own = t.linked((105, 123), "core", "bytes").where(t.within(minutes, "created_at"))
+    members = own.where(_kind(105) & (F.col("core") == core)).select("node_id").distinct()
+    return own.where(_kind(123)).join(members, "node_id", "left_semi").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_da_bytes"), F.count_distinct("node_id").alias("active_guarantors"))
+
+
+@query(
+    "q48_guarantor_activity",
+    f""", w AS (SELECT DISTINCT share FROM bd, a WHERE event_type = 94 AND core = 3 AND created_at > t - INTERVAL 30 DAY),
+g AS (SELECT node_id, count(*) AS guarantees, max(timestamp) AS last_guarantee FROM bd, a WHERE event_type = 105 AND share IN (SELECT share FROM w) AND created_at > t - INTERVAL 30 DAY GROUP BY node_id), {_EXCHANGE}
+SELECT g.node_id, guarantees, last_guarantee, {_USED}, {_RATIO.format(a='shards_stored', b='requested')} AS import_efficiency, {_RATIO.format(a='shards_served', b='requested')} AS export_efficiency FROM g LEFT JOIN x ON x.node_id = g.node_id""",
+)
+def guarantor_activity(t, core: int = 3, minutes: int = MONTH):
+    """Who built guarantees of packages received on a core, linked by submission id, with their exchange of shards."""
+    own = t.linked((94, 105, *_OPS), "core", "share", "bytes").where(t.within(minutes, "created_at"))
+    packages = own.where(_kind(94) & (F.col("core") == core) & F.col("share").isNotNull()).select("share").distinct()
+    built = own.where(_kind(105)).join(packages, "share", "left_semi").groupBy("node_id").agg(F.count(F.lit(1)).alias("guarantees"), F.max("timestamp").alias("last_guarantee"))
+    rows = built.join(_exchange(own), "node_id", "left").fillna(0, list(_NAMES))
+    rows = rows.withColumns({"import_efficiency": _efficiency("shards_stored", "requested"), "export_efficiency": _efficiency("shards_served", "requested")})
+    return rows.drop("requested", "bytes_requested")
 
 
 @query(
     "q48_guarantor_sharing",
-    """, b AS (SELECT node_id, slot FROM ev WHERE event_type = 105), s AS (SELECT node_id AS receiver, slot FROM ev WHERE event_type IN (112, 110))
-SELECT b.node_id AS sender, s.receiver, count(*) AS transfers FROM b JOIN s ON b.slot = s.slot AND b.node_id <> s.receiver GROUP BY 1, 2""",
+    """SELECT node_id AS sender, to_peer AS receiver, count(*) AS transfers, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes_transferred FROM bd, a
+WHERE event_type = 124 AND created_at > t - INTERVAL 30 DAY AND to_peer IS NOT NULL GROUP BY 1, 2 ORDER BY transfers DESC, sender, receiver LIMIT 50""",
+)
+def guarantor_sharing(t, minutes: int = MONTH, limit: int = 50):
+    """Who transferred shards to whom, by the peer that the body names."""
+    own = t.linked((124,), "to_peer", "bytes").where(t.within(minutes, "created_at") & F.col("to_peer").isNotNull())
+    by = own.groupBy(F.col("node_id").alias("sender"), F.col("to_peer").alias("receiver")).agg(F.count(F.lit(1)).alias("transfers"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_transferred"))
+    return by.orderBy(F.desc("transfers"), "sender", "receiver").limit(limit)
+
+
+@query(
+    "q48_shard_exchange",
+    """SELECT e1.node_id AS sender, e2.node_id AS receiver, count(*) AS transfers, CAST(coalesce(sum(e1.bytes), 0) AS BIGINT) AS bytes_sent FROM bd e1 JOIN bd e2 ON e1.shard = e2.shard AND e2.timestamp < e1.timestamp
+  AND e1.timestamp < e2.timestamp + INTERVAL 3 DAY, a WHERE e1.event_type = 124 AND e2.event_type = 121 AND e1.created_at > t - INTERVAL 30 DAY GROUP BY 1, 2""",
 )
-def guarantor_sharing(t):
-    """Who received what whom had built, by slot."""
-    n = F.count(F.lit(1))
-    built = t.events.where(_kind(105)).groupBy("slot", F.col("node_id").alias("sender")).agg(n.alias("built"))
-    received = t.events.where(_kind(112, 110)).groupBy("slot", F.col("node_id").alias("receiver")).agg(n.alias("got"))
-    pairs = built.join(received, "slot").where("sender <> receiver")
-    return pairs.groupBy("sender", "receiver").agg(F.sum(F.col("built") * F.col("got")).alias("transfers"))
+def registered_exchange(t):
+    return shard_exchange(t, MONTH, 3 * 86_400)
+
+
+@checked
+def shard_exchange(t, minutes: int = 60, seconds: int = 10):
+    """Transfers of a shard that some node had asked for within the seconds before, by the shard's index, across nodes."""
+    asked = t.linked((121,), "shard").where(F.col("shard").isNotNull()).select("shard", "timestamp", F.col("node_id").alias("receiver"))
+    asked = asked.where(F.col("timestamp") > at(t.as_of - timedelta(minutes=minutes, seconds=seconds)))
+    sent = t.linked((124,), "shard", "bytes").where(t.within(minutes, "created_at") & F.col("shard").isNotNull())
+    pairs = range_join(asked, sent, "shard", "timestamp", seconds, {"node_id": "sender", "bytes": "bytes"})
+    return pairs.groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("transfers"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_sent"))

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bytes_to_hex, floor_minutes, hex_to_bytes, micros, ratio, time_bucket
-from ..operators.joins import asof_backward, either_key_join, range_join
-from ..operators.joins import nearest_ranks as ranks_of
+from ..operators.joins import asof_backward, either_key_join, either_key_semi, range_join
+from ..operators.ranks import nearest_ranks as ranks_of
+from ..operators.ranks import percentiles_cont
+from ..operators.segments import lagged
 from .registry import query
 
 
@@ -17,13 +19,26 @@ def _kind(*ids):
 
 @query(
     "jn05_either_key",
-    """, l AS (SELECT event_id, CASE WHEN k % 2 = 0 THEN slot END AS k1, CASE WHEN k % 2 = 1 THEN slot END AS k2 FROM ev WHERE event_type = 94), r AS (SELECT slot AS id, count(*) AS n FROM ev WHERE event_type = 105 GROUP BY 1)
-SELECT event_id, n FROM l JOIN r ON l.k1 = r.id OR l.k2 = r.id""",
+    """, l AS (SELECT event_id, CASE WHEN k % 3 < 2 THEN slot END AS k1, CASE WHEN k % 3 > 0 THEN slot + k % 2 END AS k2 FROM ev WHERE event_type = 94), r AS (SELECT slot AS id, count(*) AS n FROM ev WHERE event_type BETWEEN 105 AND 113 GROUP BY 1)
+SELECT event_id, id, n FROM l JOIN r ON l.k1 = r.id OR l.k2 = r.id""",
 )
 def either_key(t):
-    l = t.events.where(_kind(94)).select("event_id", F.when(F.col("k") % 2 == 0, F.col("slot")).alias("k1"), F.when(F.col("k") % 2 == 1, F.col("slot")).alias("k2"))
-    r = t.events.where(_kind(105)).groupBy(F.col("slot").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return either_key_join(l, ["k1", "k2"], r, "id").select("event_id", "n")
+    """Rows with one key, two equal ones or two that differ."""
+    k = F.col("k") % 3
+    l = t.events.where(_kind(94)).select("event_id", F.when(k < 2, F.col("slot")).alias("k1"), F.when(k > 0, F.col("slot") + F.col("k") % 2).alias("k2"))
+    r = t.events.where(F.col("event_type").between(105, 113)).groupBy(F.col("slot").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return either_key_join(l, ["k1", "k2"], r.withColumn("key", F.col("id")), "key").select("event_id", "id", "n")
+
+
+@query(
+    "jn05_either_key_semi",
+    """, l AS (SELECT event_id, slot AS k1, slot + k % 3 AS k2 FROM ev WHERE event_type IN (94, 95)), r AS (SELECT slot AS id FROM ev WHERE event_type BETWEEN 105 AND 113)
+SELECT event_id FROM l WHERE EXISTS (SELECT 1 FROM r WHERE l.k1 = r.id OR l.k2 = r.id)""",
+)
+def either_key_once(t):
+    """Rows of which either key is found, each once."""
+    l = t.events.where(_kind(94, 95)).select("event_id", F.col("slot").alias("k1"), (F.col("slot") + F.col("k") % 3).alias("k2"))
+    return either_key_semi(l, ["k1", "k2"], t.events.where(F.col("event_type").between(105, 113)).select(F.col("slot").alias("id")), "id").select("event_id")
 
 
 @query(
@@ -95,7 +110,10 @@ def distinct_objects(t):
 
 @query("agg08_percentile_cont", "SELECT core, quantile_cont(gas, 0.5) AS p50, round(quantile_cont(gas, 0.95), 4) AS p95, bool_or(k > 95) AS any_high FROM ev GROUP BY core")
 def percentiles(t):
-    return t.events.groupBy("core").agg(F.percentile("gas", F.lit(0.5)).alias("p50"), F.round(F.percentile("gas", F.lit(0.95)), 4).alias("p95"), F.bool_or(F.col("k") > 95).alias("any_high"))
+    """Of a number below 2^24, by rank selection: no task holds a core's values."""
+    ranks = percentiles_cont(t.events, "gas", {"p50": 0.5, "p95": 0.95}, 1 << 24, ["core"])
+    high = t.events.groupBy("core").agg(F.bool_or(F.col("k") > 95).alias("any_high"))
+    return ranks.withColumn("p95", F.round("p95", 4)).join(high, "core")
 
 
 @query(
@@ -103,14 +121,14 @@ def percentiles(t):
     """, l AS (SELECT core, list_sort(list(gas)) AS g FROM ev WHERE event_type = 101 GROUP BY core) SELECT core, g[CAST(floor(0.5 * (len(g) - 1) + 0.5) AS INTEGER) + 1] AS p50, g[CAST(floor(0.95 * (len(g) - 1) + 0.5) AS INTEGER) + 1] AS p95 FROM l""",
 )
 def nearest_ranks(t):
-    return ranks_of(t.events.where(_kind(101)), "gas", {"p50": 0.5, "p95": 0.95}, ["core"]).select("core", "p50", "p95")
+    return ranks_of(t.events.where(_kind(101)), "gas", {"p50": 0.5, "p95": 0.95}, 1 << 24, ["core"]).select("core", "p50", "p95")
 
 
 @query("win01_lag", "SELECT event_id, epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY node_id ORDER BY timestamp, event_id)) AS gap_us FROM ev")
 def lag_by_node(t):
-    """The time since the node's event before, for all events."""
-    before = F.lag("timestamp").over(Window.partitionBy("node_id").orderBy("timestamp", "event_id"))
-    return t.events.select("event_id", (micros(F.col("timestamp")) - micros(before)).alias("gap_us"))
+    """The time since the node's event before, for all events; a node's events are many tasks."""
+    rows = lagged(t.events.select("event_id", "node_id", "timestamp"), "node_id", "timestamp", ["event_id"], "timestamp", "before")
+    return rows.select("event_id", (micros(F.col("timestamp")) - micros(F.col("before"))).alias("gap_us"))
 
 
 @query("jsn05_struct_merge", "SELECT event_id, core AS core, slot + 1 AS slot, 'x' AS note FROM ev WHERE event_type IN (94, 105)")

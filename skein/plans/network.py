@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import at, count_if, micros, one_of, ratio
+from ..sources.footers import table_figures
 from ..sources.snapshots import services_totals
-from .constants import CATEGORIES, FAILURES_ANALYTICS, FAILURES_ANOMALY
+from .constants import CATEGORIES, FAILURE_NAMES, FAILURES_ANALYTICS, FAILURES_ANOMALY
 from .registry import query
 
 DAY, WEEK, MONTH = 1440, 7 * 1440, 30 * 1440
@@ -24,9 +25,17 @@ def _kind(*ids):
     "SELECT (SELECT count(*) FROM nodes WHERE is_connected) AS connected_nodes, (SELECT count(*) FROM ev) AS total_events, (SELECT coalesce(CAST(sum(event_count) AS BIGINT), 0) FROM st, a WHERE bucket > t - INTERVAL 1 DAY) AS recent_events",
 )
 def health_metrics(t, minutes: int = DAY):
-    connected = t.nodes.agg(count_if(F.col("is_connected")).alias("connected_nodes"), F.sum("total_events").alias("total_events"))
+    """Connected nodes, all events by the footers of their files, and the events of a window by the minute."""
+    connected = t.nodes.agg(count_if(F.col("is_connected")).alias("connected_nodes"))
     recent = t.stats(minutes).agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("recent_events"))
-    return connected.crossJoin(F.broadcast(recent))  # one row each
+    total = table_figures({"events": t.raw}).select(F.col("rows").alias("total_events"))
+    return connected.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(recent))  # one row each
+
+
+@query("agg20_table_rows", "SELECT 'events' AS name, (SELECT count(*) FROM events) AS rows, true AS has_bytes")
+def table_rows(t):
+    """Rows and size of the event table from its files' footers; no column is read."""
+    return table_figures({"events": t.raw}).select("name", "rows", (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @query(
@@ -66,9 +75,14 @@ def ticket_topology(t, minutes: int = MONTH, limit: int = 5000):
     return _edges(t, 84, 0, minutes, limit)
 
 
-@query("q24_block_transfers", "SELECT node_id, count(*) AS blocks_transferred, count(DISTINCT slot) AS unique_slots, max(timestamp) AS last_transfer FROM ev, a WHERE event_type = 68 AND timestamp > t - INTERVAL 30 DAY GROUP BY node_id")
+@query(
+    "q24_block_transfers",
+    "SELECT node_id, count(*) AS blocks_transferred, count(DISTINCT slot) AS unique_slots, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS total_bytes, max(timestamp) AS last_transfer FROM bd, a WHERE event_type = 68 AND timestamp > t - INTERVAL 30 DAY GROUP BY node_id",
+)
 def block_transfers(t, minutes: int = MONTH):
-    return t.last(minutes).where(_kind(68)).groupBy("node_id").agg(F.count(F.lit(1)).alias("blocks_transferred"), F.count_distinct("slot").alias("unique_slots"), F.max("timestamp").alias("last_transfer"))
+    """Blocks that nodes got, the slots and bytes that the bodies name."""
+    own = t.linked((68,), "slot", "bytes").where(t.within(minutes)).groupBy("node_id")
+    return own.agg(F.count(F.lit(1)).alias("blocks_transferred"), F.count_distinct("slot").alias("unique_slots"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"), F.max("timestamp").alias("last_transfer"))
 
 
 @query(
@@ -132,9 +146,16 @@ def failures_by_node(t, minutes: int = MONTH, limit: int = 20):
     return rated.orderBy(F.desc("failures"), "node_id").limit(limit)
 
 
-@query("q30_recent_failures", "SELECT timestamp, node_id, event_id, event_type FROM ev WHERE event_type IN (41, 44, 46, 81, 83, 92, 99, 107, 111, 113, 122, 127) ORDER BY timestamp DESC, event_id DESC LIMIT 20")
-def recent_failures(t, limit: int = 20):
-    return t.events.where(_kind(*FAILURES_ANALYTICS)).select("timestamp", "node_id", "event_id", "event_type").orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
+@query(
+    "q30_recent_failures",
+    """SELECT timestamp, node_id, event_id, event_type, ([""" + ", ".join(f"'{n}'" for n in FAILURE_NAMES.values()) + "])[list_position([" + ", ".join(map(str, FAILURE_NAMES)) + """], event_type)] AS event_name, coalesce(reason, 'unknown') AS reason
+FROM bd, a WHERE event_type IN (41, 44, 46, 81, 83, 92, 99, 107, 111, 113, 122, 127) AND timestamp > t - INTERVAL 7 DAY ORDER BY timestamp DESC, event_id DESC LIMIT 20""",
+)
+def recent_failures(t, minutes: int = WEEK, limit: int = 20):
+    """The newest failures with the names that reports give them, and why, where the body says it."""
+    names = F.create_map(*(F.lit(x) for pair in FAILURE_NAMES.items() for x in pair))
+    newest = t.linked(FAILURES_ANALYTICS, "reason").where(t.within(minutes)).orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
+    return newest.select("timestamp", "node_id", "event_id", "event_type", F.coalesce(names[F.col("event_type")], F.lit("Unknown")).alias("event_name"), F.coalesce("reason", F.lit("unknown")).alias("reason"))
 
 
 # fixed values: inputs of the health components

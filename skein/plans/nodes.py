@@ -20,6 +20,11 @@ def fold_nodes(events: DataFrame, dims: DataFrame) -> DataFrame:
     folded = events.groupBy("node_id").agg(
         F.min("user_id").alias("user_id"), when((23, 26)).alias("connected_at"), when((27,)).alias("disconnected_at"), F.max("timestamp").alias("last_seen"), F.count(F.lit(1)).alias("total_events")
     )
+    return named_nodes(folded, dims)
+
+
+def named_nodes(folded: DataFrame, dims: DataFrame) -> DataFrame:
+    """Folded nodes with what their dimension says, and whether they are connected."""
     connected = F.col("connected_at").isNotNull() & (F.col("disconnected_at").isNull() | (F.col("connected_at") > F.col("disconnected_at")))
     named = folded.withColumn("dim", (F.col("user_id") % 25).cast("int")).join(F.broadcast(dims), "dim", "left")  # 25 dimension rows
     return named.select("node_id", "implementation", "region", "connected_at", "disconnected_at", "last_seen", "total_events", connected.alias("is_connected"), "params")

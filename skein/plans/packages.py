@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bytes_to_hex, count_if, ms_between, one_of
-from ..operators.joins import latest_per_key, nearest_ranks
-from ..sources.payload import accumulate_costs, telemetry, with_hash
-from .constants import BATCH_STAGES, BATCH_STATUS, DETAILED_STAGES, DETAILED_STATUS, FAILURES_BATCH, ON_CHAIN, STAGE_RANK, STAGES, SUPERSEDED
+from ..functions.columns import at, count_if, micros, ms_between, one_of
+from ..operators.joins import latest_per_key
+from ..operators.ranks import nearest_ranks
+from ..sources.links import linked
+from ..sources.payload import accumulate_costs, telemetry
+from ..sources.sinks import ingested
+from .constants import BATCH_STAGES, BATCH_STATUS, DETAILED_RANK, DETAILED_STAGES, DETAILED_STATUS, FAILURES_BATCH, ON_CHAIN, STAGE_RANK, STAGES, SUPERSEDED
 from .registry import query
 
+#: Microseconds that no two stages of a package lie apart.
+CENTURY = 100 * 366 * 86_400_000_000
+
 # fixed values
 _PIVOT = {"submissions": 90, "being_shared": 91, "failed": 92, "duplicates": 93, "received": 94, "refined": 101, "work_reports_built": 102, "guarantees_built": 105}
 
@@ -131,13 +139,10 @@ _STEPS = [("received", "authorized"), ("authorized", "refined"), ("refined", "re
     + "SELECT step, max(n) AS samples, max(ms) FILTER (i = CAST(floor(0.5 * (n - 1) + 0.5) AS BIGINT)) AS p50_ms, max(ms) FILTER (i = CAST(floor(0.95 * (n - 1) + 0.5) AS BIGINT)) AS p95_ms FROM rk GROUP BY step",
 )
 def stage_durations(t):
-    """Nearest-rank percentiles of the times between stages, which may be negative.
-
-    Equal durations are counted first, so what is sorted per step is the distinct values.
-    """
-    steps = F.array(*(F.struct(F.lit(f"{a}_to_{b}").alias("step"), ms_between(F.col(f"{b}_at"), F.col(f"{a}_at")).alias("ms")) for a, b in _STEPS))
-    times = pipeline(t).select(F.explode(steps).alias("d")).select("d.step", "d.ms").where("ms IS NOT NULL")
-    return nearest_ranks(times, "ms", {"p50_ms": 0.5, "p95_ms": 0.95}, ["step"])
+    """Nearest-rank percentiles of the times between stages, which may be negative; rank selection, for up to a century."""
+    steps = F.array(*(F.struct(F.lit(f"{a}_to_{b}").alias("step"), (micros(F.col(f"{b}_at")) - micros(F.col(f"{a}_at"))).alias("us")) for a, b in _STEPS))
+    times = pipeline(t).select(F.explode(steps).alias("d")).select("d.step", "d.us")
+    return nearest_ranks(times, "us", {"p50_ms": 0.5, "p95_ms": 0.95}, CENTURY, ["step"], scale=1000.0, low=-CENTURY)
 
 
 @query("q15_failure_breakdown", "SELECT reason, count(*) AS failures, count(DISTINCT package) AS packages FROM pk WHERE event_type = 92 GROUP BY reason")
@@ -146,12 +151,13 @@ def failure_breakdown(t):
 
 
 # what the bodies of received events tell: packages that were received somewhere, chain and shards of those with a built report
-_LINKED = """, lk AS (
+_LINKED_EVENTS = """, lk AS (
   SELECT printf('01%046x%016x', 0, package) AS package, node_id, event_type, timestamp, CASE WHEN event_type = 94 THEN core END AS core, CASE WHEN event_type = 94 THEN timestamp END AS submitted, reason FROM pk SEMI JOIN (SELECT package FROM pk WHERE event_type = 94) USING (package)
 ), rp AS (SELECT DISTINCT package FROM pk WHERE event_type = 102
 ), lc AS (SELECT printf('01%046x%016x', 0, package) AS package, event_type, reason, timestamp FROM chain SEMI JOIN rp USING (package)
 ), rq AS (SELECT DISTINCT package FROM shards SEMI JOIN rp USING (package) WHERE event_type = 124
-), ls AS (SELECT printf('01%046x%016x', 0, package) AS package, timestamp FROM (SELECT package, timestamp FROM shards SEMI JOIN rp USING (package) WHERE event_type <> 125
+)"""
+_LINKED = _LINKED_EVENTS + """, ls AS (SELECT printf('01%046x%016x', 0, package) AS package, timestamp FROM (SELECT package, timestamp FROM shards SEMI JOIN rp USING (package) WHERE event_type <> 125
   UNION ALL SELECT package, timestamp FROM shards SEMI JOIN rq USING (package) WHERE event_type = 125)
 )""" + _PIPELINE.replace("FROM pk ", "FROM lk ").replace("FROM chain ", "FROM lc ").replace("FROM shards ", "FROM ls ")
 
@@ -159,23 +165,38 @@ _LINKED = """, lk AS (
 @query("q15_linked_workpackages", _LINKED + " SELECT package, node_id, core, current_stage, submitted_at, last_event, elapsed_ms, superseded_count FROM pl")
 def linked_workpackages(t):
     """The pipeline of all packages of received events, from the bodies: by share id, report hash, erasure root and request."""
-    return pipeline(telemetry(t.payloads, t)).select("package", "node_id", "core", "current_stage", "submitted_at", "last_event", "elapsed_ms", "superseded_count")
+    return pipeline(telemetry(ingested(t.payloads), t)).select("package", "node_id", "core", "current_stage", "submitted_at", "last_event", "elapsed_ms", "superseded_count")
+
+
+_HASHES = tuple(f"01{0:046x}{n:016x}" for n in (1, 3, 7, 32, 33, 34, 35))
 
 
 @query(
     "q14_workpackages_by_hash",
-    "SELECT timestamp, node_id, printf('01%046x%016x', 0, package) AS hash, gas AS work_package_size FROM pk WHERE event_type = 94 AND package IN (1, 7, 32)",
+    "SELECT timestamp, node_id, printf('01%046x%016x', 0, package) AS hash, gas AS work_package_size FROM pk WHERE event_type = 94 AND package IN (1, 3, 7, 32, 33, 34, 35)",
 )
-def workpackages_by_hash(t, hashes=tuple(f"01{0:046x}{n:016x}" for n in (1, 7, 32))):
-    """Lookup by hash, which the bodies hold as an array of bytes."""
-    body = F.parse_json("data")
-    outline = "$.WorkPackageReceived.outline"
-    return with_hash(t.payloads, list(hashes)).select(
-        "timestamp",
-        "node_id",
-        bytes_to_hex(F.variant_get(body, f"{outline}.work_package_hash", "array<int>")).alias("hash"),
-        F.variant_get(body, f"{outline}.work_package_size", "bigint").alias("work_package_size"),
-    )
+def workpackages_by_hash(t, hashes=_HASHES):
+    """Received packages with one of the hashes, by the typed column of the bodies."""
+    found = linked(t.payloads.where("event_type = 94"), "hash", "package_size").where(F.col("hash").isin(*hashes))
+    return found.select("timestamp", "node_id", "hash", F.col("package_size").alias("work_package_size"))
+
+
+@query(
+    "q14_journeys_by_hash",
+    _LINKED_EVENTS
+    + """, w AS (SELECT printf('01%046x%016x', 0, package) AS package FROM pk WHERE event_type = 94 AND package IN (1, 3, 7, 32, 33, 34, 35)),
+je AS (SELECT package, timestamp, event_type, node_id, core, reason FROM lk UNION ALL SELECT package, timestamp, event_type, NULL, NULL, reason FROM lc
+  UNION ALL SELECT printf('01%046x%016x', 0, package), timestamp, event_type, node_id, NULL, NULL FROM shards SEMI JOIN rp USING (package) WHERE event_type <> 125
+  UNION ALL SELECT printf('01%046x%016x', 0, package), timestamp, event_type, node_id, NULL, NULL FROM shards SEMI JOIN rq USING (package) WHERE event_type = 125)
+SELECT package, CAST(row_number() OVER (PARTITION BY package ORDER BY timestamp, event_type, coalesce(node_id, '')) AS INTEGER) AS step, timestamp, event_type, node_id FROM je SEMI JOIN w USING (package)""",
+)
+def journeys_by_hash(t, hashes=_HASHES):
+    """From hashes to the steps of their packages, on chain and shard transfers included, in one plan: the share ids of the
+    packages found are met with the events that carry ids, never the other way round."""
+    wanted = workpackages_by_hash(t, hashes).select(F.col("hash").alias("package")).distinct()
+    events = package_events(telemetry(ingested(t.payloads), t, hashes)).join(F.broadcast(wanted), "package", "left_semi")  # as many as were asked for
+    order = Window.partitionBy("package").orderBy("timestamp", "event_type", F.coalesce("node_id", F.lit("")))
+    return events.select("package", F.row_number().over(order).alias("step"), "timestamp", "event_type", "node_id")
 
 
 def _named(column, names: dict, other: str | None = None):
@@ -263,17 +284,25 @@ def journey_outcomes(t, packages: DataFrame | list | None = None):
     return rows.select("package", "steps", "current_stage", "failed", (F.col("_superseded") & ~F.col("_progress") & ~F.col("failed")).alias("superseded"), "failure_reason", "core")
 
 
+# what follows on chain and in transfers; such steps have no duration
+_LATER = (112, 113, 120, 124, 125)
+_DETAILED_SQL = """CASE WHEN event_type = 92 AND reason = 'work package was refined by another guarantor' THEN 'superseded' WHEN event_type = 113 AND reason = 'PackageReportedOnChain' THEN 'included'
+    ELSE CASE event_type WHEN 92 THEN 'failed' WHEN 94 THEN 'received' WHEN 95 THEN 'authorized' WHEN 101 THEN 'refined' WHEN 102 THEN 'report_built' WHEN 105 THEN 'guarantee_built' WHEN 109 THEN 'guaranteed'
+      WHEN 112 THEN 'guarantee_received' WHEN 113 THEN 'discarded' WHEN 120 THEN 'shard_requested' WHEN 124 THEN 'shard_received' WHEN 125 THEN 'shards_transferred' END END"""
+_TIMED_SQL = """, jt AS (SELECT * EXCLUDE (duration_ms), CASE WHEN event_type NOT IN (112, 113, 120, 124, 125) THEN (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w)) / 1000.0 END AS duration_ms
+  FROM j WINDOW w AS (PARTITION BY package, event_type IN (112, 113, 120, 124, 125) ORDER BY step))"""
+
+
 @query(
     "q27_workpackage_journey_enhanced",
     _STEPS_SQL
-    + """, nc AS (SELECT node_id, arg_max(core, (timestamp, package)) AS core FROM pk WHERE event_type = 94 GROUP BY 1),
+    + _TIMED_SQL
+    + f""", nc AS (SELECT node_id, arg_max(core, (timestamp, package)) AS core FROM pk WHERE event_type = 94 GROUP BY 1),
 c AS (SELECT package, arg_min(core, step) FILTER (event_type = 94) AS core, min(node_id) AS node FROM j GROUP BY package)
-SELECT j.package, step, timestamp, j.node_id, CASE WHEN event_type = 92 AND reason = 'work package was refined by another guarantor' THEN 'superseded' WHEN event_type = 113 AND reason = 'PackageReportedOnChain' THEN 'included'
-    ELSE CASE event_type WHEN 92 THEN 'failed' WHEN 94 THEN 'received' WHEN 95 THEN 'authorized' WHEN 101 THEN 'refined' WHEN 102 THEN 'report_built' WHEN 105 THEN 'guarantee_built' WHEN 109 THEN 'guaranteed'
-      WHEN 112 THEN 'guarantee_received' WHEN 113 THEN 'discarded' WHEN 120 THEN 'shard_requested' WHEN 124 THEN 'shard_received' WHEN 125 THEN 'shards_transferred' END END AS stage,
+SELECT j.package, step, timestamp, j.node_id, event_type, {_DETAILED_SQL} AS stage,
   CASE WHEN event_type = 92 AND reason = 'work package was refined by another guarantor' THEN 'superseded' WHEN event_type = 92 OR event_type = 113 AND reason <> 'PackageReportedOnChain' THEN 'failed' ELSE 'completed' END AS status,
   coalesce(c.core, nc.core) AS core, CASE WHEN event_type IN (92, 99, 113) AND NOT (event_type = 113 AND reason = 'PackageReportedOnChain') THEN reason END AS error, duration_ms
-FROM j JOIN c USING (package) LEFT JOIN nc ON nc.node_id = c.node""",
+FROM jt j JOIN c USING (package) LEFT JOIN nc ON nc.node_id = c.node""",
 )
 def workpackage_journey_enhanced(t, packages: DataFrame | list | None = None):
     """The detailed journey: status, error and time since the step before; a package without a core of its own has that which its first node last received for."""
@@ -282,7 +311,7 @@ def workpackage_journey_enhanced(t, packages: DataFrame | list | None = None):
     whole = Window.partitionBy("package")
     received = F.when(kind == 94, F.struct("step", "core"))
     steps = journeys(t, packages).withColumns({
-        "duration_ms": ms_between(F.col("timestamp"), F.lag("timestamp").over(_in_order())),
+        "duration_ms": F.when(~one_of("event_type", _LATER), ms_between(F.col("timestamp"), F.lag("timestamp").over(Window.partitionBy("package", one_of("event_type", _LATER)).orderBy("step")))),
         "_core": F.min(received).over(whole)["core"],
         "_node": F.min("node_id").over(whole),
     })
@@ -295,6 +324,7 @@ def workpackage_journey_enhanced(t, packages: DataFrame | list | None = None):
         "step",
         "timestamp",
         "node_id",
+        "event_type",
         stage.alias("stage"),
         status.otherwise("completed").alias("status"),
         F.coalesce("_core", "_node_core").alias("core"),
@@ -303,6 +333,42 @@ def workpackage_journey_enhanced(t, packages: DataFrame | list | None = None):
     )
 
 
+@query(
+    "q27_journey_timing",
+    _STEPS_SQL
+    + _TIMED_SQL
+    + f""", n AS (SELECT *, {_DETAILED_SQL} AS stage, event_type = 92 AND reason <> 'work package was refined by another guarantor' OR event_type = 113 AND reason <> 'PackageReportedOnChain' AS bad FROM jt),
+g AS (SELECT *, CASE stage {" ".join(f"WHEN '{name}' THEN {rank}" for name, rank in DETAILED_RANK.items())} ELSE -3 END AS rank FROM n),
+k AS (SELECT package, stage, arg_max(duration_ms, step) AS ms FROM n WHERE duration_ms IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT package, string_agg(stage || '=' || CAST(CAST(round(ms) AS BIGINT) AS VARCHAR), ',' ORDER BY stage) AS stage_durations FROM k GROUP BY 1),
+o AS (SELECT package, max(step) AS steps, min(timestamp) AS started_at, max(timestamp) AS completed_at, arg_max(stage, (rank, step)) AS current_stage, sum(duration_ms) AS total_duration_ms,
+  arg_min(stage, step) FILTER (bad) AS error_stage, arg_min(reason, step) FILTER (bad) AS failure_reason, count(*) FILTER (bad) AS errors, count(*) FILTER (event_type = 105) AS guarantors FROM g GROUP BY 1)
+SELECT package, steps, started_at, completed_at, current_stage, CASE WHEN steps >= 2 THEN coalesce(total_duration_ms, 0) END AS total_duration_ms, coalesce(stage_durations, '') AS stage_durations, error_stage, failure_reason, errors, guarantors FROM o LEFT JOIN m USING (package)""",
+)
+def journey_timing(t, packages: DataFrame | list | None = None):
+    """A row a package: when it began and ended, the time by stage (the last of a stage's name; none for what follows on chain
+    and in transfers) and in all, the first error with the stage it struck, and the number of errors and guarantors."""
+    steps = workpackage_journey_enhanced(t, packages)
+    timed, bad = F.col("duration_ms"), F.col("status") == "failed"
+    first = lambda name: F.min_by(F.when(bad, F.col(name)), F.when(bad, F.col("step")))
+    by_stage = steps.where(timed.isNotNull()).groupBy("package", "stage").agg(F.max_by("duration_ms", "step").alias("ms"))
+    pair = F.concat_ws("=", "stage", F.round("ms").cast("bigint").cast("string"))
+    durations = by_stage.groupBy("package").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stage", pair.alias("p")))), lambda x: x["p"]), ",").alias("stage_durations"))  # as many as there are stages
+    rows = steps.groupBy("package").agg(
+        F.max("step").alias("steps"),
+        F.min("timestamp").alias("started_at"),
+        F.max("timestamp").alias("completed_at"),
+        F.max_by("stage", F.struct(stage_rank(F.col("stage"), DETAILED_RANK), "step")).alias("current_stage"),
+        F.coalesce(F.sum(timed), F.lit(0.0)).alias("_total"),
+        first("stage").alias("error_stage"),
+        first("error").alias("failure_reason"),
+        F.count_if(bad).alias("errors"),
+        F.count_if(F.col("event_type") == 105).alias("guarantors"),
+    )
+    joined = rows.join(durations, "package", "left")
+    return joined.select("package", "steps", "started_at", "completed_at", "current_stage", F.when(F.col("steps") >= 2, F.col("_total")).alias("total_duration_ms"), F.coalesce("stage_durations", F.lit("")).alias("stage_durations"), "error_stage", "failure_reason", "errors", "guarantors")
+
+
 @query(
     "q52_batch_journeys",
     _STEPS_SQL
@@ -423,13 +489,14 @@ def execution_metrics(t, minutes: int = 720 * 1440):
 
 @query(
     "q18_recent_executions",
-    """SELECT package, max(timestamp) AS timestamp, CAST(sum(gas) AS BIGINT) AS gas, string_agg(CAST(gas AS VARCHAR), ',' ORDER BY gas) AS costs FROM pk WHERE event_type = 101 GROUP BY package
-ORDER BY timestamp DESC, package DESC LIMIT 100""",
+    """, x AS (SELECT timestamp, event_type, node_id, package, CASE event_type WHEN 95 THEN gas ELSE gas + 1 END AS gas_used, CASE event_type WHEN 95 THEN gas * 2 ELSE (gas + 1) * 2 END AS elapsed_ns FROM pk WHERE event_type IN (95, 101)
+UNION ALL SELECT timestamp, event_type, node_id, NULL, NULL, NULL FROM ev WHERE event_type = 47)
+SELECT timestamp, event_type, node_id, gas_used, elapsed_ns FROM x, pa WHERE timestamp > t - INTERVAL 720 DAY ORDER BY timestamp DESC, event_type, node_id, package LIMIT 100""",
 )
-def recent_executions(t, limit: int = 100):
-    """The newest refinements with their cost items as an array, summed over its elements."""
-    costs = F.sort_array(F.collect_list("gas"))
-    by = t.packages.where("event_type = 101").groupBy("package").agg(F.max("timestamp").alias("timestamp"), costs.alias("items"))
-    newest = by.orderBy(F.desc("timestamp"), F.desc("package")).limit(limit)
-    total = F.aggregate("items", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return newest.select("package", "timestamp", total.alias("gas"), F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("costs"))
+def recent_executions(t, minutes: int = 720 * 1440, limit: int = 100):
+    """The newest authorisations, refinements (their cost items summed) and executed blocks, with gas and time where the body tells them."""
+    recent = F.col("timestamp") > at(t.packages_as_of - timedelta(minutes=minutes))
+    own = linked(t.payloads.where(one_of("event_type", (95, 101, 47)) & recent), "gas", "elapsed_ns", "share")
+    newest = own.orderBy(F.desc("timestamp"), "event_type", "node_id", F.col("share").cast("bigint")).limit(limit)
+    cost = lambda name: F.when(F.col("event_type") != 47, F.col(name)).alias(name if name != "gas" else "gas_used")
+    return newest.select("timestamp", "event_type", "node_id", cost("gas"), cost("elapsed_ns"))

@@ -8,50 +8,60 @@ ship date the time.  ``PRELUDE`` says the same in DuckDB's SQL.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import at, node_hex
 from ..plans.constants import ON_CHAIN, SUPERSEDED, TYPES
+from .footers import newest
 
 CODES = {
-    "view": (10, 11, 12, 13, 23, 26, 27, 20),
-    "click": (40, 41, 42, 43, 44, 46, 47, 62, 68, 63),
-    "signup": (90, 91, 92, 93, 94, 95, 97, 98, 99, 101, 102, 104),
-    "purchase": (105, 106, 107, 108, 109, 110, 111, 112, 113, 120, 123, 124),
-    "error": (0, 25, 80, 81, 82, 83, 84, 92, 122, 126, 127, 128, 191),
+    "view": (10, 11, 12, 13, 23, 26, 27, 20, 28),
+    "click": (40, 41, 42, 43, 44, 46, 47, 62, 68, 63, 45),
+    "signup": (90, 91, 92, 93, 94, 95, 97, 98, 99, 101, 102, 104, 96),
+    "purchase": (105, 106, 107, 108, 109, 110, 111, 112, 113, 120, 121, 123, 124),
+    "error": (0, 25, 80, 81, 82, 83, 84, 92, 122, 126, 127, 128, 190, 191, 192),
 }
 LINE_STAGES = (94, 95, 101, 102, 105, 109, 92)
 
 
-@dataclass
 class Telemetry:
-    """The DataFrames that plans read, and the moments as of which they are asked."""
-
-    events: DataFrame
-    packages: DataFrame
-    chain: DataFrame
-    shards: DataFrame
-    audits: DataFrame
-    dims: DataFrame
-    services: DataFrame
-    #: events with their payload as JSON, where there are any
-    payloads: DataFrame | None = None
-    #: the stored one-minute aggregate (``sinks.MinuteStats``), where it is kept
-    minute_table: object | None = None
+    """The DataFrames that plans read, and the moments as of which they are asked.
+
+    Tables by name: events, packages, chain, shards, audits, dims, services; ``payloads`` are events of packages with their
+    body as JSON, ``typed_packages`` the same with typed columns, ``bodies`` those of nodes and blocks.  Each is a DataFrame or a function that makes it, which is called when
+    a plan first asks for the table.
+    """
+
+    def __init__(self, newest: dict | None = None, **tables):
+        self._tables, self._newest = tables, newest or {}
+        #: the stored one-minute aggregate (``sinks.MinuteStats``) and node table (``sinks.NodeTable``), where they are kept
+        self.minute_table = self.node_table = None
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        made = self._tables[name]
+        self.__dict__[name] = made() if callable(made) else made
+        return self.__dict__[name]
+
+    def having(self, **tables) -> Telemetry:
+        """The same with other tables, asked as of the same moments."""
+        other = Telemetry({name: lambda name=name: getattr(self, name) for name in ("as_of", "packages_as_of")}, **(self._tables | tables))
+        other.minute_table, other.node_table = self.minute_table, self.node_table
+        return other
 
     @cached_property
     def as_of(self) -> datetime:
         """The newest event's time, unless one is set: assign the attribute to ask as of another moment."""
-        return self.events.agg(F.max("timestamp")).first()[0]
+        return self._newest["as_of"]() if "as_of" in self._newest else self.events.agg(F.max("timestamp")).first()[0]
 
     @cached_property
     def packages_as_of(self) -> datetime:
-        return self.packages.agg(F.max("timestamp")).first()[0]
+        return self._newest["packages_as_of"]() if "packages_as_of" in self._newest else self.packages.agg(F.max("timestamp")).first()[0]
 
     def within(self, minutes: float, column: str = "timestamp") -> Column:
         """The trailing window: after as_of - minutes (exclusive), up to as_of."""
@@ -68,7 +78,7 @@ class Telemetry:
         """The same with packages, chain and shards of the trailing window only; what is told of packages later belongs to them."""
         low, moment = at(self.packages_as_of - timedelta(minutes=minutes)), at(self.packages_as_of)
         after = lambda df: df.where(F.col("timestamp") > low)
-        return replace(self, packages=after(self.packages).where(F.col("timestamp") <= moment), chain=after(self.chain), shards=after(self.shards))
+        return self.having(packages=lambda: after(self.packages).where(F.col("timestamp") <= moment), chain=lambda: after(self.chain), shards=lambda: after(self.shards))
 
     def stats(self, minutes: float) -> DataFrame:
         """The one-minute aggregate of the trailing window.  The window's bounds, in whole minutes, are put to the
@@ -89,16 +99,28 @@ class Telemetry:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        from ..plans.nodes import fold_nodes
+        """The node table: the stored one where it is kept, else a fold of all events."""
+        from ..plans.nodes import fold_nodes, named_nodes
 
+        if self.node_table is not None:
+            return named_nodes(self.node_table.read(self.dims.sparkSession), self.dims)
         return fold_nodes(self.events, self.dims)
 
+    def pipeline(self, *types: int) -> DataFrame:
+        """Events of the pipeline with the typed columns of their bodies: share, core, gas, gas_limit."""
+        return self.typed_packages.where(F.col("event_type").isin(*types))
+
+    def linked(self, types: tuple[int, ...], *names: str) -> DataFrame:
+        """Events of some types with the typed columns ``names`` of their bodies."""
+        from .links import linked
+
+        return linked(self.bodies.where(F.col("event_type").isin(*types)), *names, types=types)
+
 
 def envelope(raw: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    code = F.lit(None).cast("int")
-    for kind, codes in CODES.items():
-        code = F.when(F.col("event_type") == kind, F.get(F.array(*map(F.lit, codes)), F.col("k") % len(codes))).otherwise(code)
+    cases = " ".join(f"WHEN '{kind}' THEN array({', '.join(map(str, codes))})[k % {len(codes)}]" for kind, codes in CODES.items())
+    code = F.expr(f"CASE event_type {cases} END")
     return (
         raw.withColumn("k", k)
         .withColumn("code", code)
@@ -109,10 +131,10 @@ def envelope(raw: DataFrame) -> DataFrame:
             "event_id",
             F.col("code").alias("event_type"),
             "k",
-            (F.col("k") % 16).alias("core"),
+            ((F.col("k") + F.col("event_id")) % 16).cast("int").alias("core"),
             F.expr("event_id div 8").alias("slot"),
             node_hex((F.col("user_id") * 7 + F.col("k")) % 97).alias("peer_id"),
-            (F.col("k") % 32).alias("shard"),
+            ((F.col("k") * 3 + F.col("event_id")) % 32).cast("int").alias("shard"),
             F.floor(F.col("value") * 100).cast("bigint").alias("gas"),
             "user_id",
         )
@@ -120,11 +142,33 @@ def envelope(raw: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str) -> Telemetry:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    raw, lines, orders = read("events"), read("lineitem"), read("orders")
-    stage = F.get(F.array(*map(F.lit, LINE_STAGES)), F.col("l_linenumber") - 1)
+    """The model over a folder of tables; no file is opened but for the tables that a plan asks for."""
+    read = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    t = Telemetry(
+        {"as_of": lambda: newest(read("events"), "ts"), "packages_as_of": lambda: newest(read("lineitem"), "l_shipdate")},
+        raw=lambda: read("events"),
+        events=lambda: envelope(read("events")),
+        packages=lambda: _packages(read("lineitem"), read("orders")),
+        chain=lambda: _chain(read("orders")),
+        shards=lambda: _shards(read("lineitem")),
+        audits=lambda: _audits(read("lineitem")),
+        dims=lambda: _dims(read("nation"), read("region")),
+        services=lambda: services_of(read("supplier"), read("lineitem")),
+        payloads=lambda: payloads(t.events, t.packages, t.chain, t.shards),
+        bodies=lambda: bodies(t.events),
+        typed_packages=lambda: _typed_packages(read("lineitem")),
+    )
+    return t
+
+
+def _stage() -> Column:
+    return F.get(F.array(*map(F.lit, LINE_STAGES)), F.col("l_linenumber") - 1)
+
+
+def _packages(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    stage = _stage()
     joined = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
-    packages = joined.select(
+    return joined.select(
         F.col("l_orderkey").alias("package"),
         node_hex(F.col("l_suppkey")).alias("node_id"),
         stage.alias("event_type"),
@@ -136,29 +180,84 @@ def load(spark: SparkSession, sf_dir: str) -> Telemetry:
         F.when(stage == 92, F.when(F.col("l_partkey") % 3 == 0, SUPERSEDED).otherwise("refine failed")).alias("reason"),
         F.col("l_partkey").alias("part"),
     )
-    chain = orders.select(
+
+
+def _chain(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("o_orderkey").alias("package"),
         F.when(F.col("o_orderstatus") == "O", 112).otherwise(113).alias("event_type"),
         F.when(F.col("o_orderstatus") == "F", ON_CHAIN).when(F.col("o_orderstatus") == "P", "Expired").alias("reason"),
         (F.col("o_orderdate") + F.expr("INTERVAL '30' DAY")).alias("timestamp"),
     )
-    shards = lines.where((F.col("l_linestatus") == "F") & (F.col("l_linenumber") <= 2)).select(
+
+
+def _shards(lines: DataFrame) -> DataFrame:
+    return lines.where((F.col("l_linestatus") == "F") & (F.col("l_linenumber") <= 2)).select(
         F.col("l_orderkey").alias("package"),
         node_hex(F.col("l_suppkey")).alias("node_id"),
         F.when(F.col("l_linenumber") == 1, 120).when(F.col("l_partkey") % 2 == 0, 124).otherwise(125).alias("event_type"),
         (F.col("l_shipdate") + F.expr("INTERVAL '1' DAY")).alias("timestamp"),
     )
-    audits = lines.where("l_linenumber <= 4").select(
+
+
+def _audits(lines: DataFrame) -> DataFrame:
+    return lines.where("l_linenumber <= 4").select(
         F.col("l_orderkey").alias("package"),
         node_hex(F.col("l_suppkey")).alias("node_id"),
         (105 + F.col("l_partkey") % 9).cast("int").alias("event_type"),
         (F.col("l_shipdate") + F.expr("INTERVAL '2' DAY")).alias("timestamp"),
         F.when(F.col("l_quantity") > 25, F.col("l_linenumber")).alias("tranche"),
     )
-    nations = read("nation").join(F.broadcast(read("region").withColumnRenamed("r_regionkey", "n_regionkey")), "n_regionkey")
-    dims = nations.select(F.col("n_nationkey").cast("int").alias("dim"), F.col("n_name").alias("implementation"), F.col("r_name").alias("region"), _parameters(F.col("n_nationkey").cast("int")).alias("params"))
-    events = envelope(raw)
-    return Telemetry(events, packages, chain, shards, audits, dims, services_of(read("supplier"), lines), payloads(events, packages, chain, shards))
+
+
+def _dims(nation: DataFrame, region: DataFrame) -> DataFrame:
+    nations = nation.join(F.broadcast(region.withColumnRenamed("r_regionkey", "n_regionkey")), "n_regionkey")
+    return nations.select(F.col("n_nationkey").cast("int").alias("dim"), F.col("n_name").alias("implementation"), F.col("r_name").alias("region"), _parameters(F.col("n_nationkey").cast("int")).alias("params"))
+
+
+def _typed_packages(lines: DataFrame) -> DataFrame:
+    """The pipeline's events with the typed columns that the sink stores beside their bodies: what ``links.linked`` makes of ``payloads``."""
+    rows = lines.select(
+        F.col("l_shipdate").alias("timestamp"), node_hex(F.col("l_suppkey")).alias("node_id"), _stage().alias("event_type"), F.col("l_orderkey").cast("string").alias("share"),
+        (F.col("l_orderkey") % 16).cast("int").alias("core"), F.col("l_quantity").cast("bigint").alias("gas"), F.floor("l_extendedprice").cast("bigint").alias("gas_limit"),
+    )
+    kind = F.col("event_type")
+    gas = F.when(kind == 95, F.col("gas")).when(kind == 101, F.col("gas") + 1)
+    received = lambda name: F.when(kind == 94, F.col(name)).alias(name)
+    return rows.select("timestamp", "node_id", "event_type", "share", received("core"), gas.alias("gas"), received("gas_limit"))
+
+
+def bodies(events: DataFrame) -> DataFrame:
+    """The events of nodes, blocks, tickets and shards as they are received: an envelope and the body as JSON under its variant's name.
+
+    A node's status tells the guarantees of some cores, ten at least; every seventh shard goes to no named peer.
+    """
+    kind, k, slot = F.col("event_type"), F.col("k"), F.col("slot")
+    body = lambda name, *fields: F.to_json(F.struct(F.struct(*fields).alias(name)))
+    at_slot = lambda name: body(name, slot.alias("slot"))
+    shard, size = F.col("shard").alias("shard_index"), F.col("gas").alias("size")
+    status = F.transform(F.sequence(F.lit(0), k % 10 + 9), lambda i: (i * 3 + k) % 7)
+    data = (
+        F.when(kind == 10, body("Status", k.alias("num_peers"), status.alias("num_guarantees")))
+        .when(kind == 11, at_slot("BestBlockChanged"))
+        .when(kind == 12, at_slot("FinalizedBlockChanged"))
+        .when(kind == 40, at_slot("Authoring"))
+        .when(kind == 41, body("AuthoringFailed", F.concat(F.lit("slot missed "), k.cast("string")).alias("reason")))
+        .when(kind == 42, F.lit('{"Authored":{}}'))
+        .when(kind == 43, at_slot("Importing"))
+        .when(kind == 62, at_slot("BlockAnnounced"))
+        .when(kind == 68, body("BlockTransferred", slot.alias("slot"), size))
+        .when(kind == 80, body("GeneratingTickets", F.expr("slot div 25").alias("epoch")))
+        .when(kind == 92, body("WorkPackageFailed", (slot % 40).alias("submission_or_share_id"), F.lit("refine failed").alias("reason")))
+        .when(kind == 94, body("WorkPackageReceived", (slot % 40).alias("submission_or_share_id"), F.col("core").alias("core")))
+        .when(kind == 105, body("GuaranteeBuilt", (slot % 40).alias("submission_id"), F.struct(F.col("core").alias("core"), _number_hash(slot, 2).alias("work_report_hash")).alias("outline")))
+        .when(kind == 120, body("SendingShardRequest", F.col("shard").alias("shard")))
+        .when(kind == 121, body("ShardRequested", shard, size))
+        .when(kind == 123, body("ShardStored", shard, size))
+        .when(kind == 124, body("ShardTransferred", shard, size, F.when(k % 7 > 0, F.col("peer_id")).alias("to_peer")))
+        .otherwise(F.lit("{}"))
+    )
+    return events.select("timestamp", "created_at", "node_id", "event_id", "event_type", data.alias("data"))
 
 
 def _parameters(dim: Column) -> Column:
@@ -229,7 +328,7 @@ PRELUDE = f"""WITH ev0 AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
 ), ev AS (
   SELECT ts AS timestamp, ts AS created_at, printf('%064x', user_id) AS node_id, event_id, {_code_sql()} AS event_type, k,
-    k % 16 AS core, event_id // 8 AS slot, printf('%064x', (user_id * 7 + k) % 97) AS peer_id, k % 32 AS shard,
+    CAST((k + event_id) % 16 AS INTEGER) AS core, event_id // 8 AS slot, printf('%064x', (user_id * 7 + k) % 97) AS peer_id, CAST((k * 3 + event_id) % 32 AS INTEGER) AS shard,
     CAST(floor(value * 100) AS BIGINT) AS gas, user_id
   FROM ev0
 ), a AS (SELECT max(ts) AS t FROM events
@@ -253,6 +352,13 @@ PRELUDE = f"""WITH ev0 AS (
 ), st AS (
   SELECT date_trunc('minute', timestamp) AS bucket, node_id, event_type, count(*) AS event_count, min(timestamp) AS first_event, max(timestamp) AS last_event
   FROM ev GROUP BY 1, 2, 3
+), bd AS (
+  SELECT timestamp, created_at, node_id, event_id, event_type, CASE WHEN event_type IN (11, 12, 40, 43, 62, 68) THEN slot END AS slot, CASE WHEN event_type = 80 THEN slot // 25 END AS epoch,
+    CASE WHEN event_type IN (94, 105) THEN core END AS core, CASE WHEN event_type IN (92, 94, 105) THEN slot % 40 END AS share, CASE WHEN event_type IN (120, 121, 123, 124) THEN shard END AS shard,
+    CASE WHEN event_type IN (68, 121, 123, 124) THEN gas END AS bytes, CASE WHEN event_type = 124 AND k % 7 > 0 THEN peer_id END AS to_peer,
+    CASE WHEN event_type = 10 THEN list_transform(range(k % 10 + 10), lambda i: (i * 3 + k) % 7) END AS num_guarantees,
+    CASE event_type WHEN 41 THEN 'slot missed ' || k WHEN 92 THEN 'refine failed' END AS reason, CASE WHEN event_type = 105 THEN printf('02%046x%016x', 0, slot) END AS report
+  FROM ev
 ), nd0 AS (
   SELECT node_id, any_value(user_id) AS user_id, max(timestamp) FILTER (event_type IN (23, 26)) AS connected_at, max(timestamp) FILTER (event_type = 27) AS disconnected_at,
     max(timestamp) AS last_seen, count(*) AS total_events FROM ev GROUP BY node_id

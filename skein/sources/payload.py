@@ -9,30 +9,17 @@ so they must be unique among the nodes of a table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bytes_to_hex, hex_to_bytes, one_of
+from ..functions.columns import hex_to_bytes, one_of
 from .adapter import Telemetry
+from .links import linked
 
-#: variants whose bodies name a package by share id, and by submission id (fixed values)
-BY_SHARE = ("WorkPackageFailed", "DuplicateWorkPackage", "WorkPackageReceived", "Authorized", "ExtrinsicDataReceived", "ImportsReceived", "Refined", "WorkReportBuilt")
-BY_SUBMISSION = ("SharingWorkPackage", "WorkPackageSharingFailed", "BundleSent", "GuaranteeBuilt", "GuaranteesDistributed")
-#: their event types
+#: event types of the pipeline
 PACKAGE_TYPES = (92, 93, 94, 95, 96, 97, 98, 99, 100, 101, 102, 105, 109)
 
 
-def first_of(paths: list[str], kind: str = "string") -> Column:
-    """The value at the first of ``paths`` that the variant column ``body`` has."""
-    return F.coalesce(*(F.try_variant_get("body", path, kind) for path in paths))
-
-
-def hash_at(*paths: str) -> Column:
-    """A hash, which JSON writes as an array of bytes, in hex."""
-    found = F.coalesce(*(F.try_variant_get("body", path, "array<int>") for path in paths))
-    return F.when(found.isNotNull(), bytes_to_hex(found))
-
-
 def body_where(events: DataFrame, types) -> DataFrame:
     """Events of some types with their body parsed; other rows are left out before that."""
     return events.where(one_of("event_type", types)).withColumn("body", F.try_parse_json("data"))
@@ -40,55 +27,38 @@ def body_where(events: DataFrame, types) -> DataFrame:
 
 def packages_of(events: DataFrame) -> DataFrame:
     """The pipeline's events with what each names: share (id), hash, report, root, core, gas, gas_limit and reason."""
-    costs = F.try_variant_get("body", "$.Refined.costs", "array<struct<total:struct<gas_used:bigint>>>")
-    items = F.try_variant_get("body", "$.WorkPackageReceived.outline.work_items", "array<struct<refine_gas_limit:bigint>>")
-    total = lambda array, value: F.aggregate(array, F.lit(0).cast("bigint"), lambda sum, x: sum + F.coalesce(value(x), F.lit(0)))
-    return body_where(events, PACKAGE_TYPES).select(
-        "timestamp",
-        "node_id",
-        "event_type",
-        first_of([f"$.{v}.submission_or_share_id" for v in BY_SHARE] + [f"$.{v}.submission_id" for v in BY_SUBMISSION]).alias("share"),
-        hash_at("$.WorkPackageReceived.outline.work_package_hash", "$.DuplicateWorkPackage.hash").alias("hash"),
-        hash_at("$.WorkReportBuilt.outline.work_report_hash").alias("report"),
-        hash_at("$.WorkReportBuilt.outline.erasure_root").alias("root"),
-        first_of(["$.WorkPackageReceived.core", "$.DuplicateWorkPackage.core"], "int").alias("core"),
-        F.coalesce(first_of(["$.Authorized.cost.total.gas_used"], "bigint"), total(costs, lambda c: c["total"]["gas_used"])).alias("gas"),
-        total(items, lambda i: i["refine_gas_limit"]).alias("gas_limit"),
-        first_of(["$.WorkPackageFailed.reason", "$.WorkPackageSharingFailed.reason"]).alias("reason"),
-    )
+    names = ("share", "hash", "report", "root", "core", "gas", "gas_limit", "reason")
+    return linked(events.where(one_of("event_type", PACKAGE_TYPES)), *names).select("timestamp", "node_id", "event_type", *names)
 
 
-def telemetry(events: DataFrame, model: Telemetry | None = None) -> Telemetry:
+def telemetry(events: DataFrame, model: Telemetry | None = None, hashes: list[str] | None = None) -> Telemetry:
     """The packages, chain and shards of received ``events`` (timestamp, node_id, event_type, data), keyed by package hash in hex.
 
-    What other plans read (events, dimensions, services) is taken from ``model``.
+    What other plans read (events, dimensions, services) is taken from ``model``.  With ``hashes`` only packages
+    of those are told; their ids, a row for each hash and node that received it, are broadcast to the events.
     """
     own = packages_of(events)
     names = own.where("hash IS NOT NULL AND share IS NOT NULL").select("share", F.col("hash").alias("package")).distinct()
-    linked = own.join(names, "share")
+    few = F.broadcast if hashes is not None else lambda df: df
+    if hashes is not None:
+        names = names.where(F.col("package").isin(*hashes))
+    named = own.join(few(names), "share")
     received = F.when(F.col("event_type") == 94, F.col("timestamp"))
-    packages = linked.select("package", "node_id", "event_type", "timestamp", "core", "gas", "gas_limit", received.alias("submitted"), "reason", F.lit(None).cast("bigint").alias("part"))
-    reports = linked.where("event_type = 102")
+    packages = named.select("package", "node_id", "event_type", "timestamp", "core", "gas", "gas_limit", received.alias("submitted"), "reason", F.lit(None).cast("bigint").alias("part"))
+    reports = named.where("event_type = 102")
     by_report = reports.where("report IS NOT NULL").select("package", "report").distinct()
     by_root = reports.where("root IS NOT NULL").select("package", "root").distinct()
-    told = body_where(events, (112, 113)).select(
-        "timestamp", "node_id", "event_type", hash_at("$.GuaranteeReceived.outline.work_report_hash", "$.GuaranteeDiscarded.outline.work_report_hash").alias("report"), first_of(["$.GuaranteeDiscarded.reason"]).alias("reason")
-    )
-    chain = told.join(by_report, "report").select("package", "event_type", "reason", "timestamp")
-    moved = body_where(events, (120, 124, 125)).select(
-        "timestamp",
-        "node_id",
-        "event_type",
-        hash_at("$.SendingShardRequest.erasure_root", "$.ShardRequestReceived.erasure_root").alias("root"),
-        first_of(["$.ShardRequestReceived.request_id", "$.ShardsTransferred.request_id"]).alias("request"),
-    )
-    asked = moved.where("event_type <> 125").join(by_root, "root").select("package", "node_id", "event_type", "timestamp", "request")
+    told = linked(events.where(one_of("event_type", (112, 113))), "report", "reason").select("timestamp", "node_id", "event_type", "report", "reason")
+    chain = told.join(few(by_report), "report").select("package", "event_type", "reason", "timestamp")
+    moved = linked(events.where(one_of("event_type", (120, 124, 125))), "root", "request").select("timestamp", "node_id", "event_type", "root", "request")
+    asked = moved.where("event_type <> 125").join(few(by_root), "root").select("package", "node_id", "event_type", "timestamp", "request")
     requests = asked.where("request IS NOT NULL").select("package", "request").distinct()
-    sent = moved.where("event_type = 125").join(requests, "request").select("package", "node_id", "event_type", "timestamp")
+    sent = moved.where("event_type = 125").join(few(requests), "request").select("package", "node_id", "event_type", "timestamp")
     shards = asked.drop("request").unionByName(sent)
     audits = packages.where(F.col("event_type").between(105, 113)).select("package", "node_id", "event_type", "timestamp", F.lit(None).cast("int").alias("tranche"))
     audits = audits.unionByName(told.join(by_report, "report").select("package", "node_id", "event_type", "timestamp", F.lit(None).cast("int").alias("tranche")))
-    return Telemetry(model.events if model else events, packages, chain, shards, audits, model.dims if model else None, model.services if model else None, events)
+    tables = {"packages": packages, "chain": chain, "shards": shards, "audits": audits, "payloads": events, "typed_packages": lambda: packages_of(events)}
+    return model.having(**tables) if model else Telemetry(events=events, bodies=events, **tables)
 
 
 def with_hash(events: DataFrame, hashes: list[str]) -> DataFrame:

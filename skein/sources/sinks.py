@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from datetime import datetime, timedelta
 
@@ -9,20 +10,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import at
+from .links import bloom_options, index_rows, linked
 
 #: Days that raw events, minutes and hours are kept (fixed values).
 RETENTION_DAYS = {"events": 7, "stats_1m": 30, "stats_1h": 365}
 
 
-def append_events(events: DataFrame, path: str, batch: str | int | None = None) -> None:
+def append_events(events: DataFrame, path: str, batch: str | int | None = None, spread: int = 32) -> None:
     """Append to the event table: partitioned by date and hour, within a file ordered for the statistics of type and time.
 
     A batch has a folder of its own, by its number in a stream or a fresh name, and one that is written again replaces itself.
+    Events with a body get its typed columns (``links``), the ids among them with bloom filters.  An hour of a batch is up to
+    ``spread`` files: 1 for micro-batches, which ``compact`` merges later.
     """
-    stamped = events.withColumns({"event_date": F.to_date("timestamp"), "event_hour": F.hour("timestamp")})
-    dealt = stamped.repartition("event_date", "event_hour", F.pmod(F.xxhash64("node_id"), F.lit(32))).sortWithinPartitions("event_date", "event_hour", "event_type", "timestamp")
+    typed = linked(events) if "data" in events.columns else events
+    stamped = typed.withColumns({"event_date": F.to_date("timestamp"), "event_hour": F.hour("timestamp")})
+    dealt = stamped.repartition("event_date", "event_hour", F.pmod(F.xxhash64("node_id"), F.lit(spread))).sortWithinPartitions("event_date", "event_hour", "event_type", "timestamp")
     folder = f"{path}/batch={uuid.uuid4().hex if batch is None else batch}"
-    dealt.write.mode("overwrite").partitionBy("event_date", "event_hour").option("compression", "zstd").parquet(folder)
+    dealt.write.mode("overwrite").partitionBy("event_date", "event_hour").options(compression="zstd", **bloom_options()).parquet(folder)
+
+
+def append_index(spark: SparkSession, path: str, index: str, batch: str | int) -> None:
+    """Append to the index (``links.Lookup``) what a batch of the event table holds; written again, it replaces itself."""
+    rows = index_rows(spark.read.parquet(f"{path}/batch={batch}"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{index}/batch={batch}")
+
+
+def compact(spark: SparkSession, path: str, batches: list[str], into: str) -> None:
+    """Write whole batches of the event table as one, and delete them; readers of the table list both for a moment only after the new one is whole.
+
+    The merged folder notes what it replaces, so a run that was cut off while deleting is finished by ``finish_compaction``.
+    """
+    own = spark.read.option("basePath", path).parquet(*(f"{path}/batch={b}" for b in batches)).drop("batch", "event_date", "event_hour")
+    append_events(own, f"{path}/.merge", into)
+    spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").text(f"{path}/.merge/replaced={into}")
+    finish_compaction(spark, path)
+
+
+def finish_compaction(spark: SparkSession, path: str) -> None:
+    """Take the merged batches that are whole in place of those that they replace."""
+    for fs, done in _folders(spark, f"{path}/.merge/replaced=*/_SUCCESS"):
+        note = done.getParent()
+        into = note.getName().removeprefix("replaced=")
+        for row in spark.read.text(note.toString()).collect():  # names of batches
+            for other, folder in _folders(spark, f"{path}/batch={row[0]}"):
+                other.delete(folder, True)
+        for other, folder in _folders(spark, f"{path}/.merge/batch={into}"):
+            other.rename(folder, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={into}"))
+        fs.delete(note, True)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the one that ``spark.checkpoint.dir`` names; without it, which only a local master may be, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="skein-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def ingested(events: DataFrame) -> DataFrame:
+    """Received events as a stored table with the typed columns of their bodies: parsed once, however often a plan reads them."""
+    spark, path = events.sparkSession, scratch(events.sparkSession, "events")
+    linked(events).sortWithinPartitions("event_type").write.options(**bloom_options()).parquet(path)
+    return spark.read.parquet(path)
 
 
 def event_sink(events: DataFrame, path: str, checkpoint: str, every: str = "1 second"):

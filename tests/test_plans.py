@@ -37,3 +37,9 @@ def test_plan_equals_sql(spark, duck, name):
     got, expected = PLANS[name](spark, SF).toPandas(), duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     assert rows(got) == rows(expected)
+
+
+def test_every_plan_has_rows(spark):
+    """A result that is empty by construction would equal any SQL that is."""
+    empty = [name for name in PLANS if PLANS[name](spark, "/root/testdata/sf0.01").isEmpty()]
+    assert empty == []
