@@ -12,6 +12,7 @@ from ..functions.columns import at, count_if, micros, ms_between, one_of, ratio
 from ..operators.joins import either_key_semi
 from ..operators.ranks import percentiles_cont
 from ..operators.segments import lagged
+from ..streaming.core_window import core_window
 from .registry import query
 
 WEEK, MONTH = 7 * 1440, 30 * 1440
@@ -226,23 +227,17 @@ def bottleneck_totals(t, core: int = 3, minutes: int = LONG):
 
 @query(
     "q53_core_window",
-    """, s AS (SELECT core, slot, max(gas) AS gas_used, max(k) AS da_load FROM ev WHERE event_type IN (10, 94, 105, 42) GROUP BY 1, 2),
-r AS (SELECT *, dense_rank() OVER (ORDER BY slot DESC) AS age FROM (SELECT DISTINCT slot FROM s)), w AS (SELECT s.* FROM s JOIN r USING (slot) WHERE age <= 600)
-SELECT core, CAST(sum(gas_used) AS BIGINT) AS gas_used, count(*) FILTER (gas_used > 0) AS active_blocks, round(avg(gas_used) FILTER (gas_used > 0), 4) AS avg_gas, max(slot) FILTER (gas_used > 0) AS last_active_slot, max(da_load) AS da_load FROM w GROUP BY core""",
+    """, z AS (SELECT slot, core, coalesce(sum(gas) FILTER (event_type IN (94, 105)), 0) AS gas_used, coalesce(sum(k) FILTER (event_type IN (120, 121, 123, 124)), 0) AS da_load, coalesce(sum(k % 5) FILTER (event_type BETWEEN 10 AND 13), 0) AS popularity,
+  count(*) FILTER (event_type = 97) AS imports, count(*) FILTER (event_type = 96) AS extrinsic_count, coalesce(sum(gas) FILTER (event_type = 96), 0) AS extrinsic_size FROM ev GROUP BY slot, core),
+n AS (SELECT DISTINCT slot FROM ev ORDER BY slot DESC LIMIT 600), c AS (SELECT unnest(range(16))::INTEGER AS core_index),
+w AS (SELECT n.slot, core_index, z.*, gas_used > 0 OR popularity > 0 OR da_load > 0 AS active FROM n CROSS JOIN c LEFT JOIN z ON z.slot = n.slot AND z.core = core_index)
+SELECT 'node' AS source, core_index, coalesce(sum(gas_used), 0)::BIGINT AS gas_used, coalesce(sum(da_load), 0)::BIGINT AS da_load, coalesce(sum(imports), 0)::BIGINT AS imports, coalesce(sum(extrinsic_count), 0)::BIGINT AS extrinsic_count,
+  coalesce(sum(extrinsic_size), 0)::BIGINT AS extrinsic_size, round(coalesce(avg(popularity) FILTER (active), 0), 6) AS popularity_avg, count(*) FILTER (active) AS active_blocks, count(*) AS window_blocks,
+  coalesce(max(w.slot) FILTER (active), 0) AS last_active_slot FROM w GROUP BY core_index""",
 )
-def core_window(t, blocks: int = 600):
-    """Sums per core over the last blocks that any sample was taken of."""
-    samples = t.events.where(_kind(10, 94, 105, 42)).groupBy("core", "slot").agg(F.max("gas").alias("gas_used"), F.max("k").alias("da_load"))
-    newest = samples.select("slot").distinct().orderBy(F.desc("slot")).limit(blocks)
-    own = samples.join(F.broadcast(newest), "slot", "left_semi")  # `blocks` rows at most
-    busy = F.col("gas_used") > 0
-    return own.groupBy("core").agg(
-        F.sum("gas_used").alias("gas_used"),
-        count_if(busy).alias("active_blocks"),
-        F.round(F.avg(F.when(busy, F.col("gas_used"))), 4).alias("avg_gas"),
-        F.max(F.when(busy, F.col("slot"))).alias("last_active_slot"),
-        F.max("da_load").alias("da_load"),
-    )
+def rolling_core_window(t, blocks: int = 600):
+    """What each core did over the last samples of all cores."""
+    return core_window(t.core_samples, blocks).withColumn("popularity_avg", F.round("popularity_avg", 6))
 
 
 @query(

@@ -14,13 +14,17 @@ from .registry import query
 NODE = "0" * 63 + "7"
 
 
-def fold_nodes(events: DataFrame, dims: DataFrame) -> DataFrame:
-    """The node table from connects, disconnects and counts; totals count every event once."""
+def fold(events: DataFrame) -> DataFrame:
+    """Nodes from connects, disconnects and counts; totals count every event once."""
     when = lambda ids: F.max(F.when(one_of("event_type", ids), F.col("timestamp")))
-    folded = events.groupBy("node_id").agg(
+    return events.groupBy("node_id").agg(
         F.min("user_id").alias("user_id"), when((23, 26)).alias("connected_at"), when((27,)).alias("disconnected_at"), F.max("timestamp").alias("last_seen"), F.count(F.lit(1)).alias("total_events")
     )
-    return named_nodes(folded, dims)
+
+
+def fold_nodes(events: DataFrame, dims: DataFrame) -> DataFrame:
+    """The node table from the events."""
+    return named_nodes(fold(events), dims)
 
 
 def named_nodes(folded: DataFrame, dims: DataFrame) -> DataFrame:
@@ -40,8 +44,12 @@ def nodes(t):
     "SELECT timestamp, node_id, event_id, event_type, implementation FROM ev JOIN nodes USING (node_id) ORDER BY timestamp DESC, event_id DESC LIMIT 50 OFFSET 10",
 )
 def recent_events(t, limit: int = 50, offset: int = 10):
+    """The newest events with what is known of their nodes: from the stored node table, or a fold of those nodes' events only."""
     newest = t.events.select("timestamp", "node_id", "event_id", "event_type").orderBy(F.desc("timestamp"), F.desc("event_id")).offset(offset).limit(limit)
-    return newest.join(t.nodes.select("node_id", "implementation"), "node_id")
+    if t.node_table is not None:
+        return newest.join(t.nodes.select("node_id", "implementation"), "node_id")
+    few = F.broadcast(newest.select("node_id").distinct())  # ``limit`` rows at most
+    return newest.join(fold_nodes(t.events.join(few, "node_id", "left_semi"), t.dims).select("node_id", "implementation"), "node_id")
 
 
 @query(

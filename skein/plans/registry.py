@@ -30,4 +30,6 @@ def query(name: str, sql: str | None = None):
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import blocks, cores, guarantees, inventory, network, nodes, packages, rollups, search, timelines  # noqa: F401
 
+    rollups.stored_forms()
+
     return {name: (lambda spark, sf_dir, plan=plan: plan(load(spark, sf_dir))) for name, plan in PLANS.items()}

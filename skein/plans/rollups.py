@@ -90,3 +90,44 @@ def rate_limited(t):
     from ..streaming.stateful import rate_limit
 
     return rate_limit(t.events.select("node_id", "event_id", micros(F.col("timestamp")).alias("arrival_us")), budget=2, window=86_400_000_000)
+
+
+def stored(t):
+    """The model with its events in a store: three batches, the second of late events and added twice, a refresh after each of the
+    first two, so the rollup is read from refreshed, late and pending buckets, and the nodes from a version of their table."""
+    from ..sources.sinks import scratch
+    from ..sources.stored import EventStore
+
+    spark = t.events.sparkSession
+    store = EventStore(scratch(spark, "store"), partitions=("event_date",))  # the test tables have few events an hour
+    late, last = F.col("event_id") % 7 == 3, t.as_of - timedelta(days=2)
+    batches = [t.events.where(~late & (F.col("timestamp") <= at(last))), t.events.where(late & (F.col("timestamp") <= at(last))), t.events.where(F.col("timestamp") > at(last))]
+    for number, batch in enumerate(batches):
+        for _ in range(1 + (number == 1)):
+            store.add(batch, number)
+        if number < 2:
+            store.minutes.refresh(store.events(spark), last)
+    kept = t.having(events=lambda: store.events(spark), raw=lambda: store.events(spark))
+    kept.node_table, kept.minute_table = store.nodes, store.minutes
+    return kept
+
+
+def stored_forms() -> None:
+    """The plans that read nodes or minutes, over the stored tables."""
+    from . import blocks, network, nodes, timelines
+    from .registry import PLANS, SQL
+
+    own = {
+        "q01_nodes": nodes.nodes, "q02_recent_events": nodes.recent_events, "q05_health_metrics": network.health_metrics, "q08_network_info": network.network_info, "q10_block_stats": blocks.block_stats,
+        "q22_timeseries_throughput": timelines.timeseries_throughput, "q30_failure_rates": network.failure_rates,
+    }
+    for name, plan in own.items():
+        PLANS[f"{name}_stored"] = lambda t, plan=plan: plan(stored(t))
+        SQL[f"{name}_stored"] = SQL[name]
+
+
+@query("stm4_changed_minutes", "SELECT * FROM st")
+def changed_minutes(t):
+    """The one-minute rollup as the store keeps it, late and pending buckets included."""
+    kept = stored(t)
+    return kept.minute_table.read(kept.events)

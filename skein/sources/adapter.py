@@ -88,7 +88,7 @@ class Telemetry:
         low, high = minute_after(self.as_of - timedelta(minutes=minutes)), minute_after(self.as_of)
         events = self.events.where(F.col("timestamp") < at(high))
         if self.minute_table is not None:
-            return self.minute_table.read(events, low)
+            return self.minute_table.read(events, low).where(F.col("bucket") < at(high))
         return stats_1m(events.where(F.col("timestamp") >= at(low)))
 
     @cached_property
@@ -156,6 +156,7 @@ def load(spark: SparkSession, sf_dir: str) -> Telemetry:
         services=lambda: services_of(read("supplier"), read("lineitem")),
         payloads=lambda: payloads(t.events, t.packages, t.chain, t.shards),
         bodies=lambda: bodies(t.events),
+        core_samples=lambda: core_samples(t.events),
         typed_packages=lambda: _typed_packages(read("lineitem")),
     )
     return t
@@ -215,6 +216,20 @@ def _dims(nation: DataFrame, region: DataFrame) -> DataFrame:
     return nations.select(F.col("n_nationkey").cast("int").alias("dim"), F.col("n_name").alias("implementation"), F.col("r_name").alias("region"), _parameters(F.col("n_nationkey").cast("int")).alias("params"))
 
 
+def core_samples(events: DataFrame) -> DataFrame:
+    """Samples of all cores at each slot, as a node's snapshots tell them, from what happened on a core in the slot."""
+    kind = F.col("event_type")
+    total = lambda value, *types: F.coalesce(F.sum(F.when(kind.isin(*types), value)), F.lit(0)).cast("long")
+    gas, one = F.col("gas"), F.lit(1)
+    done = events.groupBy("slot", "core").agg(
+        total(gas, 94, 105).alias("gas_used"), total(F.col("k"), 120, 121, 123, 124).alias("da_load"), total(F.col("k") % 5, 10, 11, 12, 13).alias("popularity"), total(one, 97).alias("imports"),
+        total(one, 96).alias("extrinsic_count"), total(gas, 96).alias("extrinsic_size"),
+    )
+    grid = events.select("slot").distinct().select("slot", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("core"))
+    rows = grid.join(done, ["slot", "core"], "left").na.fill(0)
+    return rows.select(F.lit("node").alias("source"), F.col("slot").alias("arrival"), "slot", F.col("core").alias("core_index"), "gas_used", "da_load", "popularity", "imports", "extrinsic_count", "extrinsic_size")
+
+
 def _typed_packages(lines: DataFrame) -> DataFrame:
     """The pipeline's events with the typed columns that the sink stores beside their bodies: what ``links.linked`` makes of ``payloads``."""
     rows = lines.select(

@@ -16,7 +16,7 @@ from .links import bloom_options, index_rows, linked
 RETENTION_DAYS = {"events": 7, "stats_1m": 30, "stats_1h": 365}
 
 
-def append_events(events: DataFrame, path: str, batch: str | int | None = None, spread: int = 32) -> None:
+def append_events(events: DataFrame, path: str, batch: str | int | None = None, spread: int = 32, partitions: tuple[str, ...] = ("event_date", "event_hour")) -> None:
     """Append to the event table: partitioned by date and hour, within a file ordered for the statistics of type and time.
 
     A batch has a folder of its own, by its number in a stream or a fresh name, and one that is written again replaces itself.
@@ -24,10 +24,10 @@ def append_events(events: DataFrame, path: str, batch: str | int | None = None,
     ``spread`` files: 1 for micro-batches, which ``compact`` merges later.
     """
     typed = linked(events) if "data" in events.columns else events
-    stamped = typed.withColumns({"event_date": F.to_date("timestamp"), "event_hour": F.hour("timestamp")})
-    dealt = stamped.repartition("event_date", "event_hour", F.pmod(F.xxhash64("node_id"), F.lit(spread))).sortWithinPartitions("event_date", "event_hour", "event_type", "timestamp")
+    stamped = typed.withColumns({name: made for name, made in {"event_date": F.to_date("timestamp"), "event_hour": F.hour("timestamp")}.items() if name in partitions})
+    dealt = stamped.repartition(*partitions, F.pmod(F.xxhash64("node_id"), F.lit(spread))).sortWithinPartitions(*partitions, "event_type", "timestamp")
     folder = f"{path}/batch={uuid.uuid4().hex if batch is None else batch}"
-    dealt.write.mode("overwrite").partitionBy("event_date", "event_hour").options(compression="zstd", **bloom_options()).parquet(folder)
+    dealt.write.mode("overwrite").partitionBy(*partitions).options(compression="zstd", **bloom_options()).parquet(folder)
 
 
 def append_index(spark: SparkSession, path: str, index: str, batch: str | int) -> None:

@@ -62,11 +62,30 @@ def changed_slots_stream(samples: DataFrame) -> DataFrame:
     return samples.select("source", "slot", "arrival").groupBy("source").applyInPandasWithState(run, columns, "slot long", "append", "NoTimeout")
 
 
+#: Event types of a bucket of the subscribers' index; subscribers that are looked up by a broadcast.
+TYPES_A_BUCKET, MOST_SUBSCRIBERS = 16, 10_000
+
+
+def subscriber_index(subscribers: DataFrame) -> DataFrame:
+    """A row for each key under which a subscriber's events come: all, their node, their buckets of types, or both."""
+    low, high = F.coalesce("low", F.lit(0)), F.coalesce("high", F.lit(255))
+    bucket = lambda c: F.floor(c / TYPES_A_BUCKET)
+    typed = F.col("low").isNotNull() | F.col("high").isNotNull()
+    buckets = F.when(typed & (low <= high), F.sequence(bucket(low), bucket(high))).when(typed, F.array().cast("array<bigint>")).otherwise(F.array(F.lit(-1).cast("bigint")))
+    rows = subscribers.withColumn("_bucket", F.explode(buckets))
+    return rows.select("subscriber", low.alias("low"), high.alias("high"), F.coalesce("node_id", F.lit("")).alias("_node"), "_bucket")
+
+
 def fan_out(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     """A row for each event and subscriber (subscriber, node_id, low, high) whose filter it passes; a null criterion takes all.
 
-    The subscribers are a small table of the people connected now, and broadcast as such.
+    An event looks under its four keys (any node or its own, any type or its bucket), so subscribers are met by equality of
+    keys; a bucket's bounds are checked then.  The index is broadcast if the subscribers counted are few.
     """
-    s = F.broadcast(subscribers.withColumnRenamed("node_id", "_node"))
-    passes = (F.col("_node").isNull() | (F.col("_node") == F.col("node_id"))) & (F.col("low").isNull() | F.col("event_type").between(F.col("low"), F.col("high")))
-    return events.join(s, passes).drop("_node", "low", "high")
+    index = subscriber_index(subscribers)
+    if subscribers.limit(MOST_SUBSCRIBERS + 1).count() <= MOST_SUBSCRIBERS:
+        index = F.broadcast(index)  # that many rows for each of 16 buckets at most
+    keys = F.array(*(F.struct(n.alias("_node"), b.cast("bigint").alias("_bucket")) for n in (F.lit(""), F.col("node_id")) for b in (F.lit(-1), F.floor(F.col("event_type") / TYPES_A_BUCKET))))
+    spread = events.withColumn("_key", F.explode(keys)).select("*", "_key._node", "_key._bucket").drop("_key")
+    inside = (F.col("_bucket") == -1) | F.col("event_type").between(F.col("low"), F.col("high"))
+    return spread.join(index, ["_node", "_bucket"]).where(inside).drop("_node", "_bucket", "low", "high")
