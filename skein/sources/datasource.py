@@ -1,7 +1,7 @@
 """Connection files as a Spark data source: ``spark.read.format("skein_frames")`` and ``spark.readStream``.
 
-A file is a partition, read by the task in batches of bounded size; only names pass through the
-driver.  The stream takes new files in the order of their names, so writers name them by time, and
+A file is a partition, read by the task as a stream of frames, in batches of bounded size; only names pass
+through the driver.  Large files are better read in ranges (``frames.read_split``).  The stream takes new files in the order of their names, so writers name them by time, and
 moves them into the folder when they are whole.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from .frames import EVENTS_SCHEMA, _ddl, connection_events
+from .frames import EVENTS_SCHEMA, _ddl, connection_events, frames_in
 
 #: Files that a micro-batch takes at most, unless the option ``files`` says otherwise.
 FILES = 100
@@ -42,7 +42,7 @@ class _File(InputPartition):
 def _read(part: _File) -> Iterator[pa.RecordBatch]:
     store, base = _store(part.path)
     with store.open_input_file(f"{base}/{part.name}") as f:
-        yield from connection_events(f.read())
+        yield from connection_events(body for _, body in frames_in(f))
 
 
 class FrameReader(DataSourceReader):

@@ -15,7 +15,8 @@ NEAR, MOST_TASKS = 32, 1_000
 _SCHEMA = "path string, rows long, bytes long, low timestamp_ntz, high timestamp_ntz, bounded boolean"
 
 
-def _opened(uri: str):
+def opened(uri: str):
+    """A file of a local folder or of a store that pyarrow knows, for reading in a task."""
     from pyarrow import fs
 
     if uri.startswith("file:") and "://" not in uri:
@@ -31,7 +32,7 @@ def _plain(moment) -> datetime:
 
 def footer(path: str, column: str | None = None) -> tuple:
     """(path, rows, bytes, low, high, whether the bounds of ``column`` are known) of a file."""
-    with _opened(path) as file:
+    with opened(path) as file:
         size, told = file.size(), pq.read_metadata(file)
         low = high = None
         known = True

@@ -1,16 +1,19 @@
-"""Framed binary telemetry as a Spark source: batch and streaming reads of connection files, and a load generator."""
+"""Framed binary telemetry as a Spark source: batch and streaming reads of connection files.
+
+A file is read as a stream of frames, by one task where its events are few, or in ranges that many tasks decode (``read_split``).
+"""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import wire_time
 from . import wire_format as wf
+from .footers import opened
 
 EVENTS_SCHEMA = pa.schema([(n, t) for n, t in zip("node_id event_id event_type offset_us data core_count implementation_name implementation_version".split(), [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string()], strict=True)])
 NODES_SCHEMA = pa.schema([(n, t) for n, t in zip("node_id path peer_address flags implementation_name implementation_version gp_version additional_info genesis params".split(), [pa.string(), pa.string(), pa.string(), pa.int32(), *[pa.string()] * 6], strict=True)])
@@ -39,40 +42,77 @@ def _hello(frames: Iterator[bytes]) -> dict | None:
         return None
 
 
-def connection_events(content: bytes) -> Iterator[pa.RecordBatch]:
-    """The events of a connection's bytes, in batches of bounded size.
+def frames_in(file, at: int = 0, end: int | None = None, step: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """(place, body) of the whole frames of an open file between two places, read ``step`` bytes at a time.
 
-    A frame that does not decode is skipped and takes no event number; bytes without a handshake give nothing.
+    A length over the limit ends the connection, a cut-off frame is left out, as ``wire_format.split_frames`` has it.
     """
-    frames = wf.split_frames(content)
-    if (hello := _hello(frames)) is None:
-        return
-    node, cores = bytes(hello["details"]["peer_id"]).hex(), hello["params"]["core_count"]
-    rows, number = [], 0
-    for body in frames:
+    file.seek(at)
+    held, begin = b"", at  # ``held`` starts at the place ``begin`` of the file
+
+    def more(n: int) -> bool:
+        nonlocal held
+        while len(held) < n:
+            part = file.read(max(step, n - len(held)))
+            if not part:
+                return False
+            held += part
+        return True
+
+    inside = 0
+    while end is None or begin + inside < end:
+        if not more(inside + 4):
+            return
+        n = int.from_bytes(held[inside : inside + 4], "little")
+        if n > wf.LONGEST_FRAME or not more(inside + 4 + n):
+            return
+        yield begin + inside, held[inside + 4 : inside + 4 + n]
+        inside += 4 + n
+        if inside >= step:
+            held, begin, inside = held[inside:], begin + inside, 0
+
+
+def _decoded(bodies: Iterable[bytes], cores: int) -> Iterator[tuple[int, int, dict]]:
+    """(time, type, body) of the frames that decode."""
+    for body in bodies:
         try:
-            offset, kind, event = wf.decode_event(body, cores)
+            yield wf.decode_event(body, cores)
         except wf.WireError:
             continue
+
+
+def events_of(bodies: Iterable[bytes], node: str, cores: int, name: str, version: str, number: int = 0) -> Iterator[pa.RecordBatch]:
+    """Events of a connection's frames, numbered after ``number``, in batches of bounded size; a frame that does not decode takes no number."""
+    rows: list[tuple] = []
+    for offset, kind, event in _decoded(bodies, cores):
         number += 1
-        rows.append((node, number, kind, offset, wf.event_json(event), cores, hello["implementation_name"], hello["implementation_version"]))
+        rows.append((node, number, kind, offset, wf.event_json(event), cores, name, version))
         if len(rows) == BATCH_EVENTS:
             yield _batch(rows, EVENTS_SCHEMA)
     if rows:
         yield _batch(rows, EVENTS_SCHEMA)
 
 
+def _told(hello: dict) -> tuple[str, int, str, str]:
+    return bytes(hello["details"]["peer_id"]).hex(), hello["params"]["core_count"], hello["implementation_name"], hello["implementation_version"]
+
+
+def connection_events(frames: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """The events of a connection's frames; one that starts without a handshake gives nothing."""
+    if (hello := _hello(frames)) is not None:
+        yield from events_of(frames, *_told(hello))
+
+
 def decode_connections(files: DataFrame) -> DataFrame:
     """Events of connection files (path, content): each starts with a handshake, whose core count later frames need.
 
-    Event numbers run through a connection, so a file is one task's work; writers should start a new file
-    well under the 2 GB that a cell of Spark's binary source may hold.
+    Event numbers run through a connection, and a file is one task's work; ``read_split`` is for files that are large.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                yield from connection_events(content or b"")
+                yield from connection_events(wf.split_frames(content or b""))
 
     return timed(files.select("content").mapInArrow(run, _ddl(EVENTS_SCHEMA)))
 
@@ -111,6 +151,67 @@ def read_connections(spark: SparkSession, path: str) -> DataFrame:
     return decode_connections(spark.read.format("binaryFile").load(path))
 
 
+_RANGE = "path string, node_id string, core_count int, implementation_name string, implementation_version string, no int, start long, end long"
+_RANGE_PA = pa.schema([("path", pa.string()), ("node_id", pa.string()), ("core_count", pa.int32()), ("implementation_name", pa.string()), ("implementation_version", pa.string()), ("no", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+#: Bytes of a range that a task decodes, and the most tasks.
+RANGE_BYTES, MOST_TASKS = 16 << 20, 20_000
+
+
+def frame_index(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Ranges of whole frames of connection files (path): one pass that hops from length to length and decodes the handshake only."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with opened(path) as file:
+                    found = frames_in(file)
+                    hello = _hello(body for _, body in found)
+                    if hello is None:
+                        continue
+                    told, rows, start, end = _told(hello), [], None, None
+                    for at, body in found:
+                        if start is not None and at - start >= range_bytes:
+                            rows.append((path, *told, len(rows), start, end))
+                            start = None
+                        start, end = (at if start is None else start), at + 4 + len(body)
+                    if start is not None:
+                        rows.append((path, *told, len(rows), start, end))
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RANGE_PA)], schema=_RANGE_PA)
+
+    return files.select("path").mapInArrow(run, _RANGE)
+
+
+def read_split(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The events of connection files as ``read_connections`` gives them, a file being as many tasks as it has ranges.
+
+    A range's decodable frames are counted first; the sums of those before it give the numbers of its events.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # no content
+    total = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(MOST_TASKS, -(-total // range_bytes)))
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = []
+            for row in batch.to_pylist():
+                with opened(row["path"]) as file:
+                    numbers.append(sum(1 for _ in _decoded((body for _, body in frames_in(file, row["start"], row["end"])), row["core_count"])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "frames"])
+
+    def decode(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with opened(row["path"]) as file:
+                    bodies = (body for _, body in frames_in(file, row["start"], row["end"]))
+                    yield from events_of(bodies, row["node_id"], row["core_count"], row["implementation_name"], row["implementation_version"], row["before"])
+
+    counted = frame_index(files, range_bytes).repartition(tasks, "path", "no").mapInArrow(count, f"{_RANGE}, frames long")
+    earlier = Window.partitionBy("path").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)  # over ranges
+    placed = counted.withColumn("before", F.coalesce(F.sum("frames").over(earlier), F.lit(0))).drop("frames")
+    return timed(placed.repartition(tasks, "path", "no").mapInArrow(decode, _ddl(EVENTS_SCHEMA)))
+
+
 def stream_connections(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """The same as a stream; admission is bounded by files per micro-batch, so nothing is dropped under load."""
     return decode_connections(spark.readStream.format("binaryFile").schema(FILES_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).load(path))
@@ -119,41 +220,3 @@ def stream_connections(spark: SparkSession, path: str, files_per_trigger: int =
 def with_payload(events: DataFrame) -> DataFrame:
     """``events`` with the JSON payload as a VARIANT column ``payload``."""
     return events.withColumn("payload", F.parse_json("data"))
-
-
-def handshake(node: int, cores: int = 16) -> bytes:
-    details = {"peer_id": list(node.to_bytes(32, "big")), "peer_address": {"ipv6": [0] * 15 + [1], "port": 30000 + node % 1000}}
-    return wf.encode_handshake(
-        {"params": wf.default_parameters() | {"core_count": cores}, "genesis": [0] * 32, "details": details, "flags": 1, "implementation_name": "test-node", "implementation_version": "1.0.0", "gp_version": "0.7.0", "additional_info": "Test node"}
-    )
-
-
-def generated_connection(node: int, events: int, cores: int = 341, seed: int = 0) -> bytes:
-    """A connection's bytes under load: half status reports, a quarter best blocks, 15 % finalised blocks, the rest sync changes."""
-    rng, out, slot = random.Random(seed * 1_000_003 + node), [wf.frame(handshake(node, cores))], 1000
-    for i in range(events):
-        t, kind = i * 100_000, rng.random()
-        slot = 1000 + i // 60
-        block = {"slot": slot, "hash": [slot % 256] * 32}
-        if kind < 0.5:
-            n = rng.randrange(50)
-            body = wf.encode_event(t, "Status", {"num_peers": n, "num_val_peers": n // 2, "num_sync_peers": n // 3, "num_guarantees": [rng.randrange(3) for _ in range(cores)], "num_shards": n, "shards_size": n * 1024, "num_preimages": 0, "preimages_size": 0})
-        elif kind < 0.75:
-            body = wf.encode_event(t, "BestBlockChanged", block)
-        elif kind < 0.9:
-            body = wf.encode_event(t, "FinalizedBlockChanged", block | {"slot": slot - 2})
-        else:
-            body = wf.encode_event(t, "SyncStatusChanged", {"synced": bool(i % 2)})
-        out.append(wf.frame(body))
-    return b"".join(out)
-
-
-def generate_load(spark: SparkSession, nodes: int, events: int, cores: int = 341, seed: int = 0) -> DataFrame:
-    """(path, content) of a connection file for each node, made where Spark puts them."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([f"node-{node}"]), pa.array([generated_connection(node, events, cores, seed)], pa.binary())], names=["path", "content"])
-
-    return spark.range(1, nodes + 1).mapInArrow(run, "path string, content binary")

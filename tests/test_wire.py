@@ -6,6 +6,8 @@ import pytest
 from skein.sources import frames
 from skein.sources import wire_format as wf
 
+from . import loads
+
 
 def value(kind, rng, cores):
     if kind in wf._INTS:
@@ -60,7 +62,7 @@ def test_strings_are_truncated_and_repaired():
 
 def test_files_to_events(spark, tmp_path):
     for node in (1, 2):
-        data = frames.generated_connection(node, 40, cores=16)
+        data = loads.generated_connection(node, 40, cores=16)
         (tmp_path / f"{node}.bin").write_bytes(data + wf.frame(b"junk") + wf.frame(wf.encode_event(5_000_000, "SyncStatusChanged", {"synced": True})) + b"\xff\xff\xff\xff")
     (tmp_path / "empty.bin").write_bytes(b"")
     events = frames.with_payload(frames.read_connections(spark, str(tmp_path)))
@@ -75,7 +77,7 @@ def test_handshakes_become_nodes(spark, tmp_path):
     from skein.sources import sinks
 
     for node in (1, 2):
-        (tmp_path / f"{node}.bin").write_bytes(frames.generated_connection(node, 3, cores=16))
+        (tmp_path / f"{node}.bin").write_bytes(loads.generated_connection(node, 3, cores=16))
     (tmp_path / "none.bin").write_bytes(b"\x01\x00\x00\x00x")
     files = spark.read.format("binaryFile").load(str(tmp_path))
     told = frames.decode_handshakes(files)
@@ -95,7 +97,7 @@ def cost(gas, ns):
 def received_events(node, share, start, kinds, report=None):
     """Frames of a package's events, one second apart."""
     rng = random.Random(1)
-    out = [wf.frame(frames.handshake(node))]
+    out = [wf.frame(loads.handshake(node))]
     for i, name in enumerate(kinds):
         body = {n: value(k, rng, 16) for n, k in wf.BODIES[wf.IDS[name]][1]}
         body |= {n: share for n in ("submission_or_share_id", "submission_id") if n in body}
@@ -144,7 +146,7 @@ def test_accumulate_costs_of_received_blocks(spark, tmp_path):
 
     one = {n: value(k, random.Random(2), 16) for n, k in wf._LAYOUT["AccumulateCost"]}
     body = {"authoring_or_importing_id": 5, "accumulate_costs": [[7, one | {"total": cost(500, 1000)}], [9, one | {"total": cost(1, 2)}]]}
-    (tmp_path / "a.bin").write_bytes(wf.frame(frames.handshake(1)) + wf.frame(wf.encode_event(0, "BlockExecuted", body)))
+    (tmp_path / "a.bin").write_bytes(wf.frame(loads.handshake(1)) + wf.frame(wf.encode_event(0, "BlockExecuted", body)))
     got = payload.accumulate_costs(frames.read_connections(spark, str(tmp_path))).collect()
     assert sorted((r["service"], r["gas"], r["elapsed_ns"]) for r in got) == [(7, 500, 1000), (9, 1, 2)]
 
@@ -166,7 +168,8 @@ def test_snapshots(spark, tmp_path):
 
 def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    frames.generate_load(spark, 3, 20).toPandas().apply(lambda r: (tmp_path / "in" / r["path"]).write_bytes(r["content"]), axis=1)
+    for node in (1, 2, 3):
+        (tmp_path / "in" / f"node-{node}").write_bytes(loads.generated_connection(node, 20))
     q = frames.stream_connections(spark, str(tmp_path / "in"), 1).writeStream.format("memory").queryName("frames_in").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("frames_in").count() == 60
@@ -178,7 +181,7 @@ def test_frames_as_a_data_source(spark, tmp_path):
     datasource.register(spark)
     (tmp_path / "in").mkdir()
     for node in (1, 2, 3):
-        (tmp_path / "in" / f"{node}.bin").write_bytes(frames.generated_connection(node, 30, cores=16))
+        (tmp_path / "in" / f"{node}.bin").write_bytes(loads.generated_connection(node, 30, cores=16))
     path = str(tmp_path / "in")
     whole = frames.timed(spark.read.format("skein_frames").option("path", path).load())
     plain = frames.read_connections(spark, path)
@@ -192,5 +195,35 @@ def test_frames_as_a_data_source(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == count
 
     take(90)
-    (tmp_path / "in" / "4.bin").write_bytes(frames.generated_connection(4, 30, cores=16))
+    (tmp_path / "in" / "4.bin").write_bytes(loads.generated_connection(4, 30, cores=16))
     take(120)  # after a restart, the new file only
+
+
+@pytest.mark.parametrize("range_bytes", [400, 5000, 1 << 24])
+def test_connections_split_over_tasks(spark, tmp_path, range_bytes):
+    """One file of a busy node is many partitions; numbers are those of a whole read, frames that do not decode included."""
+    junk = wf.frame(b"junk")
+    busy = loads.generated_connection(1, 80, cores=16)
+    more = b"".join(wf.frame(wf.encode_event(i, "SyncStatusChanged", {"synced": True})) + junk * (i % 3) for i in range(200))
+    (tmp_path / "a.bin").write_bytes(busy + junk + more + b"\x40\x00\x00\x00cut")
+    (tmp_path / "b.bin").write_bytes(loads.generated_connection(2, 3, cores=16) + b"\xff\xff\xff\xff" + more)
+    (tmp_path / "c.bin").write_bytes(loads.generated_connection(3, 0))
+    (tmp_path / "d.bin").write_bytes(b"")
+    (tmp_path / "e.bin").write_bytes(junk)
+    whole, split = frames.read_connections(spark, str(tmp_path)), frames.read_split(spark, str(tmp_path), range_bytes)
+    assert whole.schema == split.schema
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
+    ranges = frames.frame_index(spark.read.format("binaryFile").load(str(tmp_path)), range_bytes)
+    assert ranges.where("path LIKE '%a.bin'").count() > 2 or range_bytes > 400
+
+
+def test_frames_of_a_file_are_those_of_its_bytes(tmp_path):
+    rng = random.Random(8)
+    data = b"".join(wf.frame(rng.randbytes(rng.choice([0, 1, 5, 3000]))) for _ in range(60)) + rng.choice([b"", b"\x09", b"\x09\x00\x00\x00abc"])
+    (tmp_path / "f").write_bytes(data)
+    for step in (1, 7, 1000, 1 << 20):
+        with open(tmp_path / "f", "rb") as file:
+            found = list(frames.frames_in(file, step=step))
+            assert [body for _, body in found] == list(wf.split_frames(data))
+            middle = found[30][0]
+            assert list(frames.frames_in(file, middle, found[40][0], step)) == found[30:40]
