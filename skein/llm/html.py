@@ -1,19 +1,22 @@
 """Main-text extraction by composite text density.
 
-A tolerant parser builds the page's element tree.  Elements that are never article text
-(by name, or by a role that a class or id names) are left out; they stand in the tree too, so
-they end where any element ends.  One that is left out by its role, or as a page part such as
-a form, but holds most of the page's text outside links is a wrapper: it is opened, and what
-is left out within it is judged likewise.  For every other element
-with C characters, T tags, LC characters and LT tags of links, its density is the
-characters per tag, weighed down by its share of links (page-wide links set the base of
-the logarithm).  An element's density sum adds up its children's densities.  The element
-with the largest sum holds the article; the lowest density on the path from the body to
-it is the threshold that elements and bare text beside it must reach to count as part of
-the article too; the names ``article`` and ``main`` choose nothing.  The article is then all
-of the nearest element around them, headings, short blocks and links included (but for link
-menus at a level of the path that holds more of them than of anything else), and the headings
-before it.
+A tolerant parser builds the page's element tree.  Scripts, styles, forms and the like, elements that are parts of a page by
+their tag (``nav``, ``footer``, ``aside`` ...), and those that a class, id or role names beyond doubt (adverts, cookies, reader comments) are
+left out; they stand in the tree too, so they end where any element ends.  One that holds most of the page's text
+outside links is a wrapper: it is opened, and what is left out within it is judged likewise.
+
+For every other element with C characters, T tags, LC characters and LT tags of links, its density is the
+characters per tag, weighed down by its share of links (page-wide links set the base of the logarithm).  An element's
+density sum adds up its children's densities; the page as a whole (its body, or a wrapper of all its
+text) adds those of its own paragraphs only.  The element with the
+largest sum holds the article, whatever its name; the lowest density on the path from it to below the body is the threshold.  Of what lies
+beside the path, elements stay that reach the threshold, hold paragraphs and are as long as a block of the article, and
+headings and short blocks before or between what stays; in an element of the path itself its own paragraphs, lists and bare text
+stay too, unless they are mostly links.
+
+Words that may say what an element is for, or what its text is about (``related``, ``search``, ``discussion`` ...), lower the sum of
+what they name, and keep it from being taken beside the path; inside the article they leave out a container only where its
+density is below the threshold as well, or most of it is links.  They never leave out a heading, paragraph or list item.
 
 Defined cases: null or empty html and pages without text give an empty text; repeated
 rows are rows of their own; unclosed, misnested and very deep tags are read as far as they go.
@@ -30,6 +33,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import table
 
@@ -40,13 +44,20 @@ _BLOCKS = frozenset(
 )
 _PARTS = frozenset("aside dialog footer form header menu nav search".split())  # of a page; may be wrappers
 _NEVER = frozenset("applet audio button canvas datalist embed frame frameset head iframe input map noscript object option script select style svg template textarea title video".split())
-#: Words of a class, id or role that tell what an element is for.
-_ROLES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar aside widget footer masthead "
-    "comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations search toolbar skip complementary contentinfo".split()
+#: Words of a class, id or role that tell beyond doubt what an element is for, and those that may be its subject as well.
+_SURE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter navbar menubar breadcrumb breadcrumbs pagination pager masthead sidebar "
+    "comment comments commentlist disqus respond modal overlay popup toolbar skip complementary contentinfo".split()
 )
-_COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+_MAYBE = frozenset(
+    "promo promotion banner nav navigation menu aside widget footer reply replies discussion notice notices notification alert subscribe subscription signup login share sharing social related recommended recommendations search".split()
+)
+_COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+#: What words of the second kind may leave out, and elements whose text is their parent's own.
+_HOLDERS = frozenset("article aside center details dir div dl fieldset figure main ol section table ul".split())
+_CONTAINERS = frozenset("article aside center details dialog div fieldset footer form header main menu nav search section".split())
+#: How a word of the second kind weighs what it names.
+_DOUBT = 0.25
 _ROLE_WORDS = re.compile(r"[a-z]+")
 #: Names that tell what a wrapper has, or the state it is in, not what it is for.
 _MODIFIED = re.compile(r"(?<![a-z])(?:has|with|without|no)[-_]+[a-z]+|(?<![a-z])[a-z]+[-_]+(?:open|closed|enabled|disabled|free|ready)(?![a-z])")
@@ -65,11 +76,15 @@ _ARTICLES = ("article", "main")
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup")
 
 
+def _words(value: str) -> list[str]:
+    return _ROLE_WORDS.findall(_MODIFIED.sub(" ", value.lower()))
+
+
 class _Element:
-    __slots__ = ("tag", "parent", "parts", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "out")
+    __slots__ = ("tag", "parent", "parts", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "out", "doubt")
 
     def __init__(self, tag: str, parent: _Element | None, named: bool = False, out: int = 0):
-        self.tag, self.parent, self.named, self.out = tag, parent, named, out
+        self.tag, self.parent, self.named, self.out, self.doubt = tag, parent, named, out, False
         self.parts: list = []  # strings and elements
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -134,7 +149,9 @@ class _Tree(HTMLParser):
             return
         out = self._left_out(tag, attrs)
         if tag != "frame":
-            self._push(_Element(tag, self.at, tag in _ARTICLES or any(k == "role" and v == "main" for k, v in attrs), out))
+            element = _Element(tag, self.at, tag in _ARTICLES or any(k == "role" and v == "main" for k, v in attrs), out)
+            element.doubt = not out and tag in _HOLDERS and any(value and key in ("class", "id", "role") and not _MAYBE.isdisjoint(_words(value)) for key, value in attrs)
+            self._push(element)
 
     def _left_out(self, tag: str, attrs) -> int:
         if tag in _NEVER:
@@ -144,7 +161,7 @@ class _Tree(HTMLParser):
             if key in ("hidden",) or key == "aria-hidden" and value == "true":
                 return _GONE
             if value and key in ("class", "id", "role") and tag not in _ARTICLES:
-                found = _ROLES.intersection(_ROLE_WORDS.findall(_MODIFIED.sub(" ", value.lower())))
+                found = _SURE.intersection(_words(value))
                 if found:
                     out = max(out, _PART if found.isdisjoint(_COMMENTS) else _SAID)
         return out
@@ -290,80 +307,140 @@ def main_text(html: str | None) -> str:
     order = _measure(tree.root)
     if not tree.root.chars:
         return ""
-    best = max(order, key=lambda n: n.total or n.density / 2)
+    page = _page(tree.root)
+    best = _densest(order, page)
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
-    # the article reaches up to the last element of the path that holds something as dense as the path's
-    # thinnest, or has a heading over the path, beside it
-    heads = [[] if i == 0 else _headings(path[i], path[i - 1]) for i in range(len(path))]
-    menus = [i > 0 and _menus(path[i], path[i - 1]) for i in range(len(path))]
-    top = max((i for i in range(1, len(path)) if heads[i] and not menus[i] and path[i].parent or _dense_beside(path[i], path[i - 1], threshold)), default=0)
-    for i in range(1, top + 1):
-        for p in path[i].parts if menus[i] else ():
-            if isinstance(p, _Element) and p is not path[i - 1] and p.link_chars * 2 > p.chars and p.density < threshold and p.tag not in _HEADINGS:
-                p.out = _PART
-    return _text([*(h for found in reversed(heads[top + 1 :]) for h in found), path[top]])
-
-
-def _headings(above: _Element, on_path: _Element) -> list[_Element]:
-    """Headings before the path that are not mostly links."""
-    found = []
-    for p in above.parts:
-        if p is on_path:
+    whole = set(map(id, page))
+    threshold = min((n.density for n in path if id(n) not in whole), default=best.density)
+    _leave_doubtful(best, threshold)
+    blocks = _text([best]).split("\n\n")
+    least = sum(map(len, blocks)) / len(blocks)
+    for i in range(len(path)):
+        if i or id(best) in whole:
+            path[i].parts = _kept(path[i], path[i - 1] if i else None, threshold, least, i > 0 and id(path[i]) in whole)
+    return _text([tree.root])
+
+
+def _page(root: _Element) -> list[_Element]:
+    """The page as a whole: the root, and wrappers that hold all of its text, a menu or a line of bare text among it."""
+    chain = [root]
+    while True:
+        inside = [p for p in chain[-1].parts if (p.strip() if isinstance(p, str) else p.chars and not p.out)]
+        if len(inside) != 1 or isinstance(inside[0], str) or inside[0].tag not in _CONTAINERS:
             break
-        if isinstance(p, _Element) and not p.out and p.tag in _HEADINGS and p.chars > 2 * p.link_chars:
-            found.append(p)
-    return found
+        chain.append(inside[0])
+    while len(chain) > 1 and not any(p.tag in _CONTAINERS and (p.link_chars * 2 > p.chars or not _paragraphs(p)) for p in chain[-1].parts if isinstance(p, _Element) and not p.out and p.chars):
+        chain.pop()
+    return chain
+
+
+def _densest(order: list[_Element], page: list[_Element]) -> _Element:
+    """The element with the largest density sum; what a doubtful word names weighs less, and the page has its own paragraphs' only."""
+    best, doubt = page[-1], {}
+    own = [p for p in best.parts if isinstance(p, str) or not p.out and p.tag not in _CONTAINERS]
+    most = sum(len(p.strip()) / 4 if isinstance(p, str) else p.density for p in own)
+    whole = set(map(id, page))
+    for node in order[1:]:
+        doubt[id(node)] = node.doubt or doubt.get(id(node.parent), False)
+        weight = (node.total or node.density / 4) * (_DOUBT if doubt[id(node)] else 1)
+        if weight > most and id(node) not in whole:
+            best, most = node, weight
+    while best.tag not in _BLOCKS and best.parent is not None:
+        best = best.parent  # an inline element's block
+    return best
+
+
+def _leave_doubtful(article: _Element, threshold: float) -> None:
+    """Leave out what a word may name within the article where it is thinner than the article, or mostly links."""
+    todo = [article]
+    while todo:
+        node = todo.pop()
+        for p in node.parts:
+            if isinstance(p, _Element) and not p.out:
+                if p.doubt and (p.density < threshold or p.link_chars * 2 > p.chars):
+                    p.out = _PART
+                else:
+                    todo.append(p)
 
 
-def _menus(above: _Element, on_path: _Element) -> bool:
-    """Whether more than half of what is beside the path is links."""
-    chars = links = 0
-    for p in above.parts:
-        if isinstance(p, str):
-            chars += len(p.strip())
-        elif p is not on_path and not p.out:
-            chars, links = chars + p.chars, links + p.link_chars
-    return links * 2 > chars
+def _kept(above: _Element, on_path: _Element | None, threshold: float, least: float, page: bool) -> list:
+    """What stays of an element of the path: the path, what is dense and long enough beside it, what leads up to or lies
+    between these; and, unless it is the page as a whole, its own paragraphs and text."""
+    runs: list[tuple[list, bool, bool]] = []  # (parts, stays by itself, may stay between others)
+    inline: list = []
 
+    def end() -> None:
+        if inline:
+            chars = sum(len(p.strip()) if isinstance(p, str) else p.chars for p in inline)
+            links = sum(p.link_chars for p in inline if not isinstance(p, str))
+            tags = max(1, sum(p.tags + 1 for p in inline if not isinstance(p, str)))
+            plain = links * 2 <= chars
+            runs.append((list(inline), plain and chars > 0 and (not page or chars / tags >= threshold), plain))
+            inline.clear()
 
-def _dense_beside(above: _Element, on_path: _Element, threshold: float) -> bool:
-    """Whether a block, or a run of bare text and inline elements, beside the path reaches the threshold."""
-    chars = tags = 0
     for p in above.parts:
-        if isinstance(p, str):
-            chars += len(p.strip())
-        elif p.out:
+        if isinstance(p, str) or p.tag not in _BLOCKS and p is not on_path:
+            if isinstance(p, str) or not p.out:
+                inline.append(p)
             continue
-        elif p is on_path or p.tag in _BLOCKS:
-            chars = tags = 0
-            if p is not on_path and p.density >= threshold and p.density > 0:
-                return True
+        end()
+        if p is on_path:
+            runs.append(([p], True, True))
+        elif not p.out:
+            links, dense = p.link_chars * 2 > p.chars, p.density >= threshold
+            if p.tag in _CONTAINERS:  # a line of bare text is no part of an article of paragraphs
+                stays = dense and not links and p.chars >= least and _paragraphs(p)
+            else:
+                stays = dense if page else not links or dense
+            runs.append(([p], stays and not p.doubt and p.chars > 0, not links and not p.doubt))
+    end()
+    first = next((i for i, r in enumerate(runs) if r[1]), 0)
+    last = max((i for i, r in enumerate(runs) if r[1]), default=-1)
+    out: list = []
+    for i, (parts, stays, may) in enumerate(runs):
+        heads = i < first and isinstance(parts[0], _Element) and parts[0].tag in _HEADINGS and may
+        if stays or heads or first < i < last and may and (not page or not _holds(parts[0])):
+            out += parts
         else:
-            chars, tags = chars + p.chars - p.link_chars, tags + p.tags + 1
-        if chars and chars >= threshold * max(tags, 1):
-            return True
+            out.append(" ")
+    return out
+
+
+def _paragraphs(element: _Element) -> bool:
+    """Whether an element has blocks of text of its own or in its containers."""
+    todo = [element]
+    while todo:
+        for p in todo.pop().parts:
+            if isinstance(p, _Element) and not p.out and p.chars:
+                if p.tag in _CONTAINERS:
+                    todo.append(p)
+                elif p.tag in _BLOCKS:
+                    return True
     return False
 
 
-def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` without the html, with text and n_chars (its code points); columns of these names are replaced."""
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
+def _holds(part) -> bool:
+    return isinstance(part, _Element) and part.tag in _CONTAINERS
 
-    carried = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    rows = pages.select(*carried, F.col(html_col).cast("string").alias("_h"))
-    fields = [f for f in rows.schema.fields if f.name in carried]
+
+def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """``pages`` without the html, with text and n_chars (its code points); columns of these names are replaced, all others carried along."""
+    carried = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
+    rows = pages.select(F.col(html_col).cast("string").alias("h"), F.struct(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(carried))).alias("c")) if carried else pages.select(F.col(html_col).cast("string").alias("h"))
+    made = [StructField("text", StringType()), StructField("n_chars", LongType())]
+    kept = StructType([*([StructField("c", rows.schema["c"].dataType)] if carried else []), *made])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = [main_text(h) for h in part.column(len(carried)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*carried, "text", "n_chars"])
+                texts = [main_text(h) for h in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=kept.names)
 
-    return rows.mapInArrow(run, StructType([*fields, StructField("text", StringType()), StructField("n_chars", LongType())]))
+    found = rows.mapInArrow(run, kept)
+    return found.select(*(F.col(f"c.c{i}").alias(f.name) for i, f in enumerate(carried)), "text", "n_chars")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -401,7 +401,7 @@ PARA, MENU = f"<p>{LONG}</p>", "<ul>" + "<li><a href='x'>Somewhere else</a></li>
         (f"{MENU}<div><h2>Head</h2><section>{PARA * 5}</section>Bare<p>Short</p><b>bold</b><section>{PARA * 5}</section></div><div>{MENU}</div>", ["Head", *[LONG] * 5, "Bare", "Short", "bold", *[LONG] * 5]),
         (f"{MENU}<div>{LONG}<br>{LONG}<div>{PARA * 3}</div></div>{MENU}", [LONG + LONG, *[LONG] * 3]),
         (f"{MENU}<div><h1>Title</h1><p>By one</p><div>{PARA * 5}</div><p>End</p></div>{MENU}", ["Title", "By one", *[LONG] * 5, "End"]),
-        (f"{MENU}<div><section>{PARA * 5}</section><section>{PARA * 5}</section></div><div>{LONG}</div>{MENU}", [LONG] * 11),
+        (f"{MENU}<div><section>{PARA * 5}</section><section>{PARA * 5}</section></div><div>{PARA * 5}</div>{MENU}", [LONG] * 15),
     ],
 )
 def test_article_in_sections(page, text):
@@ -573,3 +573,96 @@ def test_bayesian_bound_keeps_what_may_be_true():
 
 def test_merge_by_heap_is_sorted():
     assert list(heapq.merge([(-3, 1), (-1, 2)], [(-2, 5)])) == [(-3, 1), (-2, 5), (-1, 2)]
+
+
+# 9 again: what density chooses, and what words may not do
+def nameless(page: str) -> str:
+    """The page with containers' names, and all classes, ids and roles, taken away."""
+    plain = re.sub(r"(</?)(?:article|main|nav|footer|header|aside|section)\b", r"\1div", page)
+    return re.sub(r' (?:class|id|role)="[^"]*"', "", plain)
+
+
+def article_of(page: str) -> str:
+    todo = [html._parsed(page).root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "article":
+            return html._text([node])
+        todo += [p for p in node.parts if not isinstance(p, str)]
+    return ""
+
+
+def test_density_alone_finds_the_article_of_every_page(spark):
+    """No menu, footer or advert line, and all blocks of the article, on pages that name nothing, bare and in wrappers."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r["html"]]
+    assert len(pages) == 250
+    for page in pages:
+        want = article_of(page)
+        assert html.main_text(page) == want
+        assert html.main_text(nameless(page)) == want
+        assert html.main_text(re.sub(r"(</?)(?:nav|footer|header|form)\b", r"\1div", page)) == want
+    wrapped = [nameless(p).replace("<body>", "<body><div><div>").replace("</body>", "</div></div></body>") for p in pages]
+    assert sum(html.main_text(w) == article_of(p) for w, p in zip(wrapped, pages)) >= 0.99 * len(pages)
+
+
+def brute_choice(root):
+    """The element of the largest density sum, by the definition, over every element of the tree."""
+    share = root.link_chars / max(root.chars, 1)
+    page = html._page(root)
+    found = []
+
+    def walk(node, doubt):
+        doubt = doubt or node.doubt
+        *_, density, total = brute_densities(node, share)
+        if node in page:
+            own = [p for p in node.parts if isinstance(p, str) or not p.out and p.tag not in html._CONTAINERS] if node is page[-1] else []
+            total, density = sum(len(p.strip()) / 4 if isinstance(p, str) else brute_densities(p, share)[4] for p in own), 0
+        found.append(((total or density / 4) * (0.25 if doubt else 1), node))
+        for p in node.parts:
+            if not isinstance(p, str) and not p.out:
+                walk(p, doubt)
+
+    walk(root, False)
+    most = max(w for w, _ in found)
+    return [n for w, n in found if abs(w - most) <= 1e-9 * max(most, 1)]
+
+
+def test_the_choice_equals_brute_force(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect() if r["html"]]
+    pages += [f"<div><div class='related'>{PARA * 9}</div><div>{PARA * 4}</div></div>", f"{MENU}<p>{LONG}<p>{LONG}", f"<div><section>{PARA}</section>{PARA * 3}</div>{MENU}"]
+    for page in [*pages, *map(nameless, pages)]:
+        tree = html._parsed(page)
+        html._open_wrappers(tree.root)
+        order = html._measure(tree.root)
+        best = html._densest(order, html._page(tree.root))
+        assert any(best is n or n.tag not in html._BLOCKS for n in brute_choice(tree.root))
+
+
+@pytest.mark.parametrize("tag, key, name", [(t, k, n) for t, names in {"section": ("discussion", "related-work", "social-history", "notice-of-motion", "search", "share", "recommendations"), "h2": ("search", "navigation", "share", "discussion"), "li": ("share", "menu", "related"), "p": ("notice", "alert"), "div": ("related-work", "social-history", "notice-of-motion", "discussion")}.items() for n in names for k in ("id", "class")])
+def test_words_drop_no_text_of_the_article(tag, key, name):
+    inner = {"h2": "Heading", "li": "An item", "p": "A word on it."}.get(tag, PARA * 2)
+    element = f"<{tag} {key}='{name}'>{inner}</{tag}>"
+    element = f"<ul><li>First</li>{element}</ul>" if tag == "li" else element
+    page = f"<nav><a href='x'>m</a></nav><article><h1>Title</h1>{PARA * 2}{element}{PARA * 2}</article><footer>(c) a line at the end of the page</footer>"
+    text = html.main_text(page)
+    assert text == article_of(page.replace(f" {key}='{name}'", "")) and "Title" in text and "(c)" not in text
+
+
+@pytest.mark.parametrize("name", ["related", "share", "navigation", "recommended", "social"])
+def test_words_leave_out_what_is_thin_or_links(name):
+    links = "".join(f"<a href='x'>Another story {i}</a>" for i in range(5))
+    page = f"<article><h1>Title</h1>{PARA * 3}<div class='{name}'>{links}</div>{PARA * 3}<div class='{name}'>Tell your friends</div></article>"
+    assert html.main_text(page) == "\n\n".join(["Title", *[LONG.strip()] * 6])
+
+
+def test_a_block_beside_the_article_must_be_as_dense():
+    beside = lambda x: html.main_text(f"{MENU}<div>{PARA * 5}</div><div>{x}</div>{MENU}")
+    assert beside(PARA * 5) == "\n\n".join([LONG.strip()] * 10)
+    assert beside("A line of the footer, with a name and an address in it, and the year") == "\n\n".join([LONG.strip()] * 5)
+
+
+def test_extract_carries_columns_of_any_name(spark):
+    names = ["_h", "h", "c", "c0", "text", "n_chars", "url", "a b", "x.y"]
+    df = spark.createDataFrame([("<p>a",)], "html string").withColumns({n: F.lit(f"own {n}") for n in names})
+    row = html.extract(df).first().asDict()
+    assert row == {n: f"own {n}" for n in names} | {"text": "a", "n_chars": 1}
