@@ -7,7 +7,7 @@ Defined cases: a null text counts as empty; empty texts are one group of equals,
 near dedup leaves the one that stays alone; every stage decides for each row apart, so rows
 without id, or with one that others share, are neither lost nor kept for another's sake; of equal rows one
 stays; very long texts are taken whole; columns of any name are carried to the last stage, which
-returns the pieces; an empty table, or one without labels (all scores are 0.5), gives an empty result.
+returns the pieces; an empty table gives an empty result, and documents without any label of the training fold raise a ValueError.
 """
 
 from __future__ import annotations

@@ -57,8 +57,23 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def carry(df: DataFrame, *replaced: str):
+    """The columns of ``df`` but those replaced, as one struct ``c``, whatever their names; ``restored`` takes them out of it."""
+    kept = [c for c in df.columns if c not in replaced]
+    return F.struct(F.lit(True).alias("row"), *(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept))).alias("c")
+
+
+def restored(df: DataFrame, *replaced: str) -> list:
+    """The columns that ``carry`` put into ``c``, under the names that ``df`` has."""
+    return [F.col(f"c.c{i}").alias(c) for i, c in enumerate(c for c in df.columns if c not in replaced)]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(F.col(quoted(name)).cast("string"), F.lit(""))
 
 
 def open_store(uri: str):

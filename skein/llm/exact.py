@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import carry, quoted, restored, text_or_empty
 
 #: Runs of white space other than a single space; those are already normal.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -39,15 +39,14 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256; columns of these names are replaced."""
     made = ["keep_id", "group_size", "kept", "text_sha256"]
-    carried = [c for c in docs.columns if c not in made]
-    rows = docs.select(*carried, normalised(text_col).alias("_t"))
-    rows = rows.select(*carried, F.unhex(F.md5("_t")).alias("_h"), F.unhex(F.sha2("_t", 256)).alias("_s"))
+    rows = docs.select(carry(docs, *made), F.col(id_col).alias("i"), normalised(text_col).alias("_t"))
+    rows = rows.select("c", "i", F.unhex(F.md5("_t")).alias("_h"), F.unhex(F.sha2("_t", 256)).alias("_s"))
     joined = rows.join(exact_classes(docs, id_col, text_col), ["_h", "_s"])
     return joined.select(
-        *carried,
+        *restored(docs, *made),
         "keep_id",
         "group_size",
-        F.coalesce(F.col(id_col) == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.coalesce(F.col("i") == F.col("keep_id"), F.lit(False)).alias("kept"),
         F.lower(F.hex("_s")).alias("text_sha256"),
     )
 
@@ -60,7 +59,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text, norm = F.col(text_col), normalised(text_col)
     rows = docs.select(norm.alias("_t"), F.struct(F.col(id_col).isNull().alias("_0"), F.col(id_col).alias("_1"), F.xxhash64(text).alias("_2")).alias("_order"),
-                       F.struct(F.when(~text.cast("string").eqNullSafe(norm), text).alias("_own"), text.isNull().alias("_null"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns) if c != text_col)).alias("_row"))
+                       F.struct(F.when(~text.cast("string").eqNullSafe(norm), text).alias("_own"), text.isNull().alias("_null"), *(F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(docs.columns) if c != text_col)).alias("_row"))
     kept = rows.groupBy(F.unhex(F.md5("_t")).alias("_h"), "_t").agg(F.min_by("_row", "_order").alias("_row"))
     own = F.when(~F.col("_row._null"), F.coalesce(F.col("_row._own"), F.col("_t").cast(docs.schema[text_col].dataType)))
     return kept.select(*(own.alias(c) if c == text_col else F.col(f"_row._c{i}").alias(c) for i, c in enumerate(docs.columns)))

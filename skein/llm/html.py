@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import carry, restored, table
 
 #: Elements without end tag; elements that end a line of text; elements that are not article text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -427,20 +427,18 @@ def _holds(part) -> bool:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with text and n_chars (its code points); columns of these names are replaced, all others carried along."""
-    carried = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
-    rows = pages.select(F.col(html_col).cast("string").alias("h"), F.struct(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(carried))).alias("c")) if carried else pages.select(F.col(html_col).cast("string").alias("h"))
-    made = [StructField("text", StringType()), StructField("n_chars", LongType())]
-    kept = StructType([*([StructField("c", rows.schema["c"].dataType)] if carried else []), *made])
+    replaced = (html_col, "text", "n_chars")
+    rows = pages.select(carry(pages, *replaced), F.col(html_col).cast("string").alias("h"))
+    made = StructType([rows.schema["c"], StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = [main_text(h) for h in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=kept.names)
+                texts = [main_text(h) for h in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=made.names)
 
-    found = rows.mapInArrow(run, kept)
-    return found.select(*(F.col(f"c.c{i}").alias(f.name) for i, f in enumerate(carried)), "text", "n_chars")
+    return rows.mapInArrow(run, made).select(*restored(pages, *replaced), "text", "n_chars")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, materialise, small, table
+from .common import BROADCAST_ROWS, carry, discard, materialise, restored, small, table
 from .components import connected_components
 from .shingles import MinHash, exact_shingles, odd_sketch, shingle_set
 from .tokens import arrow_rows
@@ -252,11 +252,11 @@ def drop_near(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
     Rows are told apart by a number that is given once and stored, so rows without id, or with one that
     others share, are compared and kept like any other.
     """
-    numbered = materialise(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
-    found = near_components(numbered.select(_ROW, text_col), k, percent, _ROW, text_col)
-    placed = found.select(F.col("doc_id").alias(_ROW), "component_id").join(numbered.select(_ROW, F.col(id_col).alias("_i")), _ROW)
-    keep = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_i").isNull(), "_i", _ROW))[_ROW].alias(_ROW))
-    return numbered.join(keep, _ROW, "left_semi").select(*docs.columns)
+    numbered = materialise(docs.select(carry(docs), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.monotonically_increasing_id().alias(_ROW)), "numbered")
+    found = near_components(numbered.select(_ROW, "t"), k, percent, _ROW, "t")
+    placed = found.select(F.col("doc_id").alias(_ROW), "component_id").join(numbered.select(_ROW, "i"), _ROW)
+    keep = placed.groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull(), "i", _ROW))[_ROW].alias(_ROW))
+    return numbered.join(keep, _ROW, "left_semi").select(*restored(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,9 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are of four kinds: its words, lower-cased and hashed; its byte trigrams,
-hashed; the trigrams of its bytes' shapes (lower and upper case, digits, white space, kinds
-of marks, other scripts); and how often a word is the one before it again, as one of a few
-steps.  Counts are weighted by log(1 + count) and by the inverse document frequency, and each
-kind has an equal share of a text's vector.  A truncated SVD of a bounded sample of labelled
+A text's terms are its words, lower-cased and hashed, and its byte trigrams and 5-grams, hashed; their counts
+are weighted by log(1 + count) and by the inverse document frequency, and each kind has an equal share of a text's
+vector.  A last kind of a small share (``REPEATED``) tells how much of the text is repeated: the share of its word
+2-, 3- and 5-grams that occurred in it before, in eighths.  A truncated SVD of a bounded sample of labelled
 texts gives the latent space; the sample's vectors are broadcast (``SAMPLE * DIMS`` numbers
 at most), and every document's cosine with every one of them is computed in blocks.  The
 ``NEIGHBOURS`` nearest vote with their labels, weighted by a power of their similarity.
@@ -13,9 +12,9 @@ The fit reads labels of training rows only: crc32 of the id as text, mod 4, is n
 It takes the ``SAMPLE`` rows with the smallest hash of their id; that bound is a parameter.
 
 Defined cases: a null or empty text, and any text without a positive cosine, gets the
-share of good labels in the sample; without any training label the score is 0.5; ids with
-several label rows count with their mean label; null labels are ignored; rows with a null
-id are scored and are not held out; other columns, of whatever name, are carried along.
+share of good labels in the sample; without any training label the score is 0.5, and ``keep_good`` raises a ValueError rather than
+drop every document (no documents stay no documents); ids with several label rows count with their mean label, ids with several texts with the first of
+them; null labels are ignored; rows with a null id are scored and are not held out; other columns, of whatever name, are carried along.
 """
 
 from __future__ import annotations
@@ -27,57 +26,69 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table, text_or_empty
+from .common import carry, restored, table, text_or_empty
 from .tokens import arrow_rows
 
 SAMPLE, DIMS, NEIGHBOURS, POWER, THRESHOLD = 4000, 64, 15, 8, 0.7
 #: Documents whose cosines are one block, and words whose places a task keeps.
 BLOCK, _KEPT_WORDS = 256, 100_000
-#: Places for words, byte trigrams, shape trigrams (16 shapes) and steps of repetition.
-_PLACES = (2048, 2048, 4096, 16)
+#: Places for words, byte trigrams, byte 5-grams and repeated n-grams; the lengths of these; the share of their kind beside 1 of each other.
+_PLACES = (2048, 2048, 4096, 27)
+_GRAMS, REPEATED = (2, 3, 5), 0.5
 _ENDS = np.cumsum((0, *_PLACES))
-_SHAPES = ("\n\r", " ", "0123456789", ".!?", ",;:", "'\"`", "()[]{}<>", "-_/\\|", "#$%&*+=@^~")
-
-
-def _shapes() -> np.ndarray:
-    kind = lambda ch: next((i for i, some in enumerate(_SHAPES) if ch in some), 9 if ch.islower() else 10 if ch.isupper() else 11)
-    return np.array([kind(chr(b)) if b < 128 else 12 for b in range(256)], np.int32)
-
-
-_SHAPE = _shapes()
+_SHARES = (1.0, 1.0, 1.0, REPEATED)
 
 
 class _Words(dict):
-    """Word -> place; beyond ``_KEPT_WORDS`` the cache starts anew."""
+    """Word -> hash; beyond ``_KEPT_WORDS`` the cache starts anew."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _KEPT_WORDS:
             self.clear()
-        place = self[word] = xxhash.xxh3_64_intdigest(word) % _PLACES[0]
-        return place
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
 
 
 _WORDS = _Words()
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(values: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n values in a row."""
+    total = np.zeros(max(0, len(values) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n if len(total) else 0):
+            total = (total + values[j : len(total) + j] + np.uint64(1)) * _MIX
+    return total
+
+
+def repeated_share(hashes: np.ndarray, n: int) -> float:
+    """Of the n-grams of words those that the text had before."""
+    grams = _hashed(hashes, n)
+    return 1 - len(np.unique(grams)) / len(grams) if len(grams) else 0.0
 
 
 def term_counts(text: str) -> np.ndarray:
-    """Counts of the text's terms, kind after kind."""
+    """Counts of the text's terms, kind after kind; a share of repeated n-grams lies between its two nearest eighths."""
     out = np.zeros(_ENDS[-1], np.float32)
-    words, trigrams, shapes, steps = (out[a:b] for a, b in zip(_ENDS, _ENDS[1:], strict=False))
+    words, trigrams, fives, repeated = (out[a:b] for a, b in zip(_ENDS, _ENDS[1:], strict=False))
     data = text.encode("utf-8", "surrogatepass")
     found = data.lower().split()
-    if found:
-        words += np.bincount(np.fromiter(map(_WORDS.__getitem__, found), np.int64, len(found)), minlength=len(words))
-    if len(found) > 1:
-        again = sum(map(bytes.__eq__, found[1:], found)) / (len(found) - 1)
-        steps[round(again * (len(steps) - 1))] = 1
+    hashes = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    words += np.bincount((hashes % np.uint64(len(words))).astype(np.int64), minlength=len(words))
+    for i, n in enumerate(_GRAMS if len(found) >= _GRAMS[0] else ()):
+        eighths = 8 * repeated_share(hashes, n)
+        low = min(int(eighths), 7)
+        repeated[9 * i + low] += 1 - (eighths - low)
+        repeated[9 * i + low + 1] += eighths - low
     some = np.frombuffer(data, np.uint8)
-    for at in range(0, max(0, len(some) - 2), 1 << 20):
-        b = some[at : at + (1 << 20) + 2].astype(np.uint32)
-        trigrams += np.bincount((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1) >> np.uint32(21), minlength=len(trigrams))
-        c = _SHAPE[b]
-        shapes += np.bincount(c[:-2] * 256 + c[1:-1] * 16 + c[2:], minlength=len(shapes))
+    for n, kind in ((3, trigrams), (5, fives)):
+        shift = np.uint64(64 - (len(kind) - 1).bit_length())
+        for at in range(0, max(0, len(some) - n + 1), 1 << 20):
+            grams = _hashed(some[at : at + (1 << 20) + n - 1].astype(np.uint64), n)
+            kind += np.bincount((grams >> shift).astype(np.int64), minlength=len(kind))
     return out
 
 
@@ -123,8 +134,9 @@ class Model:
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts)
         x *= self.weight
-        for a, b in zip(_ENDS, _ENDS[1:], strict=False):  # each kind of term has the same length
-            x[:, a:b] /= np.maximum(np.linalg.norm(x[:, a:b], axis=1, keepdims=True), 1e-9)
+        x[:, _ENDS[-2] :] = counts[:, _ENDS[-2] :]  # shares, not counts
+        for a, b, share in zip(_ENDS, _ENDS[1:], _SHARES, strict=False):
+            x[:, a:b] *= share / np.maximum(np.linalg.norm(x[:, a:b], axis=1, keepdims=True), 1e-9)
         return self._unit(x[:, self.columns])
 
     @staticmethod
@@ -149,6 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.avg(label_col).alias("_y"))
     chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most `sample` rows: broadcast
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t")).join(F.broadcast(chosen), "_id")
+    texts = texts.groupBy("_id", "_y").agg(F.min("_t").alias("_t"))  # of several texts of an id the first
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for doc_id, y, text in arrow_rows(batches, "_id", "_y", "_t"):
@@ -157,34 +170,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             yield pa.RecordBatch.from_pydict({"_id": [doc_id], "_y": [y], "at": pa.array([at], pa.list_(pa.int32())), "n": pa.array([counts[at]], pa.list_(pa.float32()))})
 
     found = texts.select("_id", "_y", "_t").mapInArrow(run, "_id long, _y double, at array<int>, n array<float>")
-    found = found.dropDuplicates(["_id"]).orderBy("_id").toArrow()
+    found = found.orderBy("_id").toArrow()
     texts = [(at.values.to_numpy(), n.values.to_numpy()) for at, n in zip(found["at"], found["n"], strict=True)]
     return Model(texts, found["_y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score; a column of that name is replaced."""
-    carried = [c for c in docs.columns if c not in ("score", "_t")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*carried, text_or_empty(text_col).alias("_t"))
-    fields = [f for f in rows.schema.fields if f.name in carried]
+    return _scored(docs.select(carry(docs, "score"), text_or_empty(text_col).alias("t")), model).select(*restored(docs, "score"), "score")
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows (c, t) as (c, score)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                counts = np.stack([term_counts(t) for t in part.column(len(carried)).to_pylist()])
-                made = pa.array(shared.value.score(counts), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], made], names=[*carried, "score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+                counts = np.stack([term_counts(t) for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(counts), pa.float64())], names=["c", "score"])
 
-    return rows.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    return rows.mapInArrow(run, StructType([rows.schema["c"], StructField("score", DoubleType())]))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their own columns."""
-    return score(docs, fit(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    model = fit(docs, labels, text_col=text_col)
+    if not len(model.labels):
+        if docs.isEmpty():
+            return docs
+        raise ValueError("no document of the training fold has a label: every score would be 0.5, and no document would stay")
+    return _scored(docs.select(carry(docs), text_or_empty(text_col).alias("t")), model).where(F.col("score") >= threshold).select(*restored(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_or_empty
+from .common import carry, materialise, restored, table, text_or_empty
 from .tokens import arrow_rows
 
 #: Bins that the driver schedules for each shard, the groups of a cell, about, and the most cells, each with a bin a shard at least.
@@ -84,8 +84,11 @@ def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, cell_groups: int = CELL_GROUPS) -> DataFrame:
-    """``docs`` with _size, _crc32, _group, shard and slot."""
-    return place(sized(docs, text_col), n_shards, id_col, bins, cell_groups)
+    """``docs`` with _size, _crc32, _group, shard and slot; columns of these names are replaced, all others carried along."""
+    text = text_or_empty(text_col)
+    made = [(F.octet_length(text).cast("long") + 16).alias("_size"), F.crc32(text).alias("_crc32"), F.unhex(F.md5(text)).alias("_group")]
+    placed = place(docs.select(carry(docs, *_MADE), F.col(id_col).alias("i"), *made), n_shards, "i", bins, cell_groups)
+    return placed.select(*restored(docs, *_MADE), *_MADE)
 
 
 def place(rows: DataFrame, n_shards: int = 40, id_col: str = "doc_id", bins: int = BINS, cell_groups: int = CELL_GROUPS) -> DataFrame:

@@ -241,15 +241,64 @@ def test_votes_equal_brute_force(spark):
 def test_terms_by_definition():
     text = "Ab ab 1,\nÉ é é " * 3
     counts = quality.term_counts(text)
-    words, trigrams, shapes, steps = np.split(counts, quality._ENDS[1:-1])
-    data = text.encode()
-    assert words.sum() == len(data.lower().split()) and trigrams.sum() == shapes.sum() == len(data) - 2 and steps.sum() == 1
-    kind = lambda b: 12 if b >= 128 else {"\n": 0, " ": 1, "1": 2, ",": 4}.get(chr(b), 9 if chr(b).islower() else 10)
-    for x in range(len(data) - 2):
-        shapes[kind(data[x]) * 256 + kind(data[x + 1]) * 16 + kind(data[x + 2])] -= 1
-    assert not shapes.any()
-    found = data.lower().split()
-    assert steps[round(15 * sum(a == b for a, b in zip(found, found[1:])) / (len(found) - 1))] == 1
+    words, trigrams, fives, repeated = np.split(counts, quality._ENDS[1:-1])
+    data, found = text.encode(), text.encode().lower().split()
+    assert words.sum() == len(found) and trigrams.sum() == len(data) - 2 and fives.sum() == len(data) - 4
+    for kind, n in ((trigrams, 3), (fives, 5)):
+        assert len({data[i : i + n] for i in range(len(data) - n + 1)}) >= np.count_nonzero(kind) > 5
+    for i, n in enumerate((2, 3, 5)):
+        grams = [tuple(found[j : j + n]) for j in range(len(found) - n + 1)]
+        share = 1 - len(set(grams)) / len(grams)
+        assert abs(sum(k / 8 * v for k, v in enumerate(repeated[9 * i : 9 * i + 9])) - share) < 1e-6
+    assert not np.any(quality.term_counts("")) and quality.term_counts("one")[quality._ENDS[-2] :].sum() == 0
+
+
+def test_latent_space_is_that_of_the_svd(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    ids = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["quality"] is not None}
+    texts = [r["text"] or "" for r in docs.where(F.col("doc_id").isin(*ids)).orderBy("doc_id").collect()]
+    x = model._weighted(np.stack([quality.term_counts(t) for t in texts])).astype(np.float64)
+    values = np.linalg.svd(x, compute_uv=False)
+    least = float((values[quality.DIMS :] ** 2).sum())
+    basis = model.basis.astype(np.float64)
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-4)
+    left = float(((x - x @ basis @ basis.T) ** 2).sum())
+    assert least - 1e-6 <= left <= 1.02 * least + 1e-6
+
+
+def test_fit_is_the_same_whatever_the_order_of_texts(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    twice = docs.unionByName(docs.select("doc_id", F.concat(F.lit("~ another "), "text").alias("text")))
+    a, b = (quality.fit(df, labels) for df in (twice.repartition(7), twice.orderBy(F.desc("text"))))
+    assert np.array_equal(a.vectors, b.vectors) and np.array_equal(a.labels, b.labels)
+
+
+def test_without_labels_nothing_is_dropped_silently(spark, cases, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    with pytest.raises(ValueError, match="no document of the training fold has a label"):
+        quality.keep_good(cases, labels)
+    assert quality.keep_good(none, labels).count() == 0
+
+
+def test_columns_named_like_internal_ones_keep_their_values(spark):
+    """Every operator that carries columns, with names that it, or another one, uses inside."""
+    names = "_t _h _s _id _y _n _sub _rank _offset _near_row _row _own _null _order c c0 i t row score a.b x`y keep chunk".split()
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "something else altogether here"), (None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    df = plain.select("*", *(F.concat(F.lit(f"{n} of "), F.coalesce("text", F.lit("nothing"))).alias(n) for n in names))
+    quoted = [F.col("`" + n.replace("`", "``") + "`") for n in names]
+    want = lambda text: tuple(f"{n} of {'nothing' if text is None else text}" for n in names)
+    labels = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int")
+    found = {
+        "op1": sharding.assign_shards(df, 2), "op8": exact.mark_exact(df), "drop_exact": exact.drop_exact(df), "drop_near": neardup.drop_near(df), "keep_good": quality.keep_good(df, labels, 0.0),
+        "score": quality.score(df.drop("score").withColumn("score", F.lit("old")), quality.fit(df, labels)),
+    }
+    for name, out in found.items():
+        kept = out.select("text", *(q for q, n in zip(quoted, names) if not (name == "score" and n == "score"))).collect()
+        assert len(kept) in (3, 4), name
+        for r in kept:
+            assert tuple(r)[1:] == tuple(v for v, n in zip(want(r["text"]), names) if not (name == "score" and n == "score")), name
 
 
 # 5 WARC

@@ -2,6 +2,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import exact, packing, quality
@@ -97,8 +98,12 @@ def test_defined_cases_of_the_pipeline(spark, tmp_path):
         folder = str(tmp_path / name)
         table.write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-        # without labels every score is 0.5, and the classifier keeps nothing; what follows it is asked apart
-        assert corpus_pipeline.run(spark, folder).count() == 0
+        # without labels every score is 0.5: the classifier does not drop all documents silently; what follows it is asked apart
+        if name == "empty":
+            assert corpus_pipeline.run(spark, folder).count() == 0
+        else:
+            with pytest.raises(ValueError, match="no document of the training fold has a label"):
+                corpus_pipeline.run(spark, folder)
         single = corpus_pipeline.exact_dedup(spark, table, folder)
         apart = corpus_pipeline.near_dedup(spark, single, folder)
         packed = corpus_pipeline.best_fit_packing(spark, apart, folder).collect()
@@ -112,3 +117,20 @@ def test_defined_cases_of_the_pipeline(spark, tmp_path):
         assert sorted(map(key, left)) == sorted(map(key, [(1, copy), (None, "alone without an id and nothing like it"), (3, None), (5, "word " * 20_000), (6, "a second text under the id six")]))
         check_packed(packed, left)
     assert exact.drop_exact(docs.where(F.lit(False))).count() == 0
+
+
+def test_quality_stage_with_labels_and_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns pass the classifier with values of their own."""
+    import corpus_pipeline
+
+    good = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").select("doc_id", "text").limit(40)
+    text = good.first()["text"]
+    odd = spark.createDataFrame([(10_001, text), (10_001, text), (None, text), (10_002, None), (10_003, ""), (10_004, (text + " ") * 60)], "doc_id long, text string")
+    docs = good.unionByName(odd).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "concat('own ', doc_id) AS score", "'t' AS _t", "7L AS keep_id")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality_classifier(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert kept and kept[0].__fields__ == docs.columns
+    assert all(r["score"] == (None if r["doc_id"] is None else f"own {r['doc_id']}") and r["_t"] == "t" and r["keep_id"] == 7 for r in kept)
+    assert sum(r["doc_id"] == 10_001 for r in kept) == 2 and sum(r["doc_id"] is None for r in kept) == 1
+    assert {r["doc_id"] for r in kept} >= {r["doc_id"] for r in good.collect()}
