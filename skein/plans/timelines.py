@@ -209,18 +209,29 @@ def connection_health(t, hours: int = 7 * 24, now: int = 60, late: int = DAY):
 
 @query(
     "q40_aggregated_metrics",
-    """SELECT count(*) FILTER (timestamp > t - INTERVAL 1 HOUR) AS hour_events, count(*) FILTER (timestamp > t - INTERVAL 6 HOUR) AS six_hour_events, count(*) AS day_events, count(DISTINCT node_id) AS nodes,
+    """SELECT count(*) FILTER (created_at > t - INTERVAL 1 HOUR) AS short_events, count(*) FILTER (event_type = 11 AND created_at > t - INTERVAL 1 HOUR) AS short_blocks,
+  count(*) FILTER (created_at > t - INTERVAL 6 HOUR) AS middle_events, count(*) FILTER (event_type = 11 AND created_at > t - INTERVAL 6 HOUR) AS middle_blocks, count(*) FILTER (event_type = 12 AND created_at > t - INTERVAL 6 HOUR) AS middle_finalized,
+  count(DISTINCT node_id) FILTER (created_at > t - INTERVAL 6 HOUR) AS middle_nodes, count(*) AS long_events, count(DISTINCT node_id) AS nodes,
   count(*) FILTER (event_type BETWEEN 90 AND 113) AS package_events, max(slot) FILTER (event_type = 11) AS latest_slot, max(slot) FILTER (event_type = 12) AS finalized_slot,
   CASE WHEN count(*) FILTER (event_type BETWEEN 90 AND 113) > 0 THEN round(count(*) FILTER (event_type IN (41, 44, 46, 81, 83, 92, 99, 107, 111, 113, 122, 127)) / count(*) FILTER (event_type BETWEEN 90 AND 113)::DOUBLE, 6) ELSE 0 END AS failure_rate FROM ev, a WHERE created_at > t - INTERVAL 1 DAY""",
 )
-def aggregated_metrics(t):
-    """Failures are rated against the events of work packages."""
+def registered_aggregated(t):
+    return aggregated_metrics(t, 60, 360, DAY)  # seconds of the test tables are empty
+
+
+def aggregated_metrics(t, short: float = 1 / 60, middle: float = 10 / 60, longest: float = 1):
+    """Events, blocks and nodes of a second, of ten and of a minute, in one pass; failures are rated against the events of work packages."""
     packages = F.col("event_type").between(90, 113)
     top = lambda i: F.max(F.when(_kind(i), F.col("slot")))
-    return t.events.where(t.within(DAY, "created_at")).agg(
-        count_if(t.within(60)).alias("hour_events"),
-        count_if(t.within(360)).alias("six_hour_events"),
-        F.count(F.lit(1)).alias("day_events"),
+    brief, some = t.within(short, "created_at"), t.within(middle, "created_at")
+    return t.events.where(t.within(longest, "created_at")).agg(
+        count_if(brief).alias("short_events"),
+        count_if(_kind(11) & brief).alias("short_blocks"),
+        count_if(some).alias("middle_events"),
+        count_if(_kind(11) & some).alias("middle_blocks"),
+        count_if(_kind(12) & some).alias("middle_finalized"),
+        F.count_distinct(F.when(some, F.col("node_id"))).alias("middle_nodes"),
+        F.count(F.lit(1)).alias("long_events"),
         F.count_distinct("node_id").alias("nodes"),
         count_if(packages).alias("package_events"),
         top(11).alias("latest_slot"),

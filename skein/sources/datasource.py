@@ -1,7 +1,7 @@
 """Connection files as a Spark data source: ``spark.read.format("skein_frames")`` and ``spark.readStream``.
 
 A file is a partition, read by the task as a stream of frames, in batches of bounded size; only names pass
-through the driver.  Large files are better read in ranges (``frames.read_split``).  The stream takes new files in the order of their names, so writers name them by time, and
+through the driver.  Large files are better read in ranges (``frames.read_split``).  The stream takes new files in the order of their names, so writers name them by time (it fails on one that comes late), and
 moves them into the folder when they are whole.
 """
 
@@ -62,12 +62,17 @@ class FrameStreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.files = options["path"], int(options.get("files", FILES))
         self.last = None
+        self.known: set[str] = set()
 
     def initialOffset(self) -> dict:
         return {"file": ""}
 
     def latestOffset(self) -> dict:
+        before = {name for name in _names(self.path) if name <= (self.last or "")}
+        if self.known and (late := before - self.known):
+            raise ValueError(f"files named before {self.last}, the last one taken, came after it and would be lost: {sorted(late)[:5]}")
         names = _names(self.path, self.last or "")[: self.files]
+        self.known = before | set(names)
         self.last = names[-1] if names else (self.last or "")
         return {"file": self.last}
 

@@ -17,10 +17,17 @@ SNAPSHOT = f"source string, arrival long, slot long, cores array<{_struct(CORE)}
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Files of one JSON document a line; fields that a document lacks are null, and a line that is none gives nothing."""
+    """Files of one JSON document a line; fields that a document lacks are null, and a line that is none gives nothing (``malformed`` counts those)."""
     return spark.read.schema(SNAPSHOT).option("mode", "DROPMALFORMED").json(path)
 
 
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """file and lines: how many lines of each file are no document; files without any are not told."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    bad = lines.where(F.try_parse_json("value").isNull() & (F.trim("value") != ""))
+    return bad.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def stream_snapshots(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", files_per_trigger).json(path)
 

@@ -43,3 +43,17 @@ def test_every_plan_has_rows(spark):
     """A result that is empty by construction would equal any SQL that is."""
     empty = [name for name in PLANS if PLANS[name](spark, "/root/testdata/sf0.01").isEmpty()]
     assert empty == []
+
+
+@pytest.mark.parametrize("plan", ["workpackage_journey", "journey_outcomes", "workpackage_journey_enhanced", "journey_timing", "batch_journeys", "audit_progress"])
+def test_packages_asked_for_by_table_or_list(spark, plan):
+    from skein.plans import packages
+    from skein.sources.adapter import load
+
+    t = load(spark, SF)
+    ask = getattr(packages, plan)
+    wanted = [r["package"] for r in t.audits.select("package").distinct().orderBy("package").limit(7).collect()]
+    table = spark.createDataFrame([(w, "other") for w in wanted + wanted[:2] + [-1]], "package long, note string")
+    whole = sorted(map(repr, (r for r in ask(t).collect() if r["package"] in wanted)))
+    assert whole == sorted(map(repr, ask(t, table).collect())) == sorted(map(repr, ask(t, wanted).collect()))
+    assert ask(t, table.where("false")).count() == 0

@@ -87,6 +87,14 @@ def test_alerts_are_sent_on_change(spark, tmp_path):
     assert sent == [[(1,)], [(2,)]]
 
 
+def test_a_change_beyond_the_rows_sent_is_seen(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful.OnChange, "MOST", 2)
+    sent = []
+    for last in (7, 8, 8):
+        stateful.OnChange(lambda df: df, sent.append, str(tmp_path / "last"))(spark.createDataFrame([(1,), (2,), (3,), (last,)], "x int"), 0)
+    assert sent == [[(1,), (2,)]] * 2
+
+
 def test_changed_slots_batch_and_stream(spark, tmp_path):
     rng = random.Random(9)
     rows = [(f"s{s}", slot, i) for s in range(3) for i, slot in enumerate(rng.choices(range(4), k=200))]

@@ -162,6 +162,8 @@ def test_snapshots(spark, tmp_path):
     (tmp_path / "x.json").write_text("\n".join(map(json.dumps, documents)) + "\nno document\n")
     read = snapshots.read_snapshots(spark, str(tmp_path))
     assert snapshots.core_samples(read).where("core_index = 1").selectExpr("sum(gas_used)").first()[0] == 16
+    bad = snapshots.malformed(spark, str(tmp_path)).collect()
+    assert [(r["file"].endswith("x.json"), r["lines"]) for r in bad] == [(True, 1)]
     totals = snapshots.services_totals(snapshots.services(read)).first()
     assert (totals["services"], totals["active_services"], totals["total_balance"], totals["total_refinement_gas_used"]) == (2, 1, 109, 20)
 
@@ -217,6 +219,19 @@ def test_connections_split_over_tasks(spark, tmp_path, range_bytes):
     assert ranges.where("path LIKE '%a.bin'").count() > 2 or range_bytes > 400
 
 
+def test_a_file_that_comes_late_is_an_error(tmp_path):
+    from skein.sources.datasource import FrameStreamReader
+
+    reader = FrameStreamReader({"path": str(tmp_path)})
+    (tmp_path / "b").write_bytes(b"")
+    assert reader.latestOffset() == reader.latestOffset() == {"file": "b"}
+    (tmp_path / "c").write_bytes(b"")
+    assert reader.latestOffset() == {"file": "c"}
+    (tmp_path / "a").write_bytes(b"")
+    with pytest.raises(ValueError, match="came after it"):
+        reader.latestOffset()
+
+
 def test_frames_of_a_file_are_those_of_its_bytes(tmp_path):
     rng = random.Random(8)
     data = b"".join(wf.frame(rng.randbytes(rng.choice([0, 1, 5, 3000]))) for _ in range(60)) + rng.choice([b"", b"\x09", b"\x09\x00\x00\x00abc"])
