@@ -2,9 +2,9 @@
 
 Tasks pack the candidates where they lie into blocks of int8 vectors and write them once to
 the shared folder, the original vectors in a file beside them; the queries likewise.  The
-grid that is joined holds names only: a cell is a file of queries and one of ``SPLITS`` equal
-parts of the candidate files, which it reads block by block.  So what is shuffled grows with
-the queries, whatever the number of candidates.
+grid that is joined holds names only: a cell is some files of queries, which its task holds in memory, and some
+of the candidate files, which it reads once, block by block.  So what is shuffled grows with
+the queries, whatever the number of candidates, and a candidate is read once for every ``QUERY_FILES`` files of queries.
 
 A tile's product of int8 vectors (summed exactly) gives every inner product up to a bound
 that follows from the rounding errors: with x = s*X + e and y = t*Y + f, the product differs
@@ -27,6 +27,7 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,10 @@ from .tokens import arrow_rows
 K = 20
 #: Vectors of a candidate block, blocks of a candidate file, queries of a query file.
 BLOCK, BLOCKS_A_FILE, QUERIES = 1024, 64, 1024
-#: Parts of the candidates that a file of queries meets in tasks of their own, and the most tasks of the grid.
-SPLITS, MAX_TASKS = 8, 20_000
+#: Files of queries and of candidates of a cell of the grid; where there are few, as many cells as ``LEAST_CELLS`` either way.
+QUERY_FILES, CANDIDATE_FILES, LEAST_CELLS = 16, 16, (4, 8)
+#: The most tasks of the grid.
+MAX_TASKS = 20_000
 #: More than a product loses when it is too small for a double.
 VANISHED = 1e-322
 _HEAD = struct.Struct("<2Q")  # vectors of a block, offset of its original vectors in the file beside
@@ -197,7 +200,19 @@ _FOUND = pa.schema([("name", pa.string()), ("i", pa.int32()), ("query_id", pa.in
 _RANKED = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def grid_of(query_files: int, candidate_files: int) -> tuple[int, int]:
+    """Into how many parts the files of queries and those of candidates are dealt."""
+    parts = lambda files, a_cell, least: max(1, min(files, least), -(-files // a_cell))
+    return parts(query_files, QUERY_FILES, LEAST_CELLS[0]), parts(candidate_files, CANDIDATE_FILES, LEAST_CELLS[1])
+
+
+def _dealt(files: DataFrame, parts: int, key: str, names: str) -> DataFrame:
+    """A row a part with the sorted names of its files, dealt by the task and number that a name ends with."""
+    number = F.aggregate(F.slice(F.split("name", "-"), -2, 2), F.lit(0), lambda n, x: n + x.cast("int"))
+    return files.groupBy(F.pmod(number, F.lit(parts)).alias(key)).agg(F.sort_array(F.collect_list("name")).alias(names))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, blocks_a_file: int = BLOCKS_A_FILE, a_query_file: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of each query's ``k`` largest inner products among ``vectors``, its own id left out."""
     spark = vectors.sparkSession
     single = all(df.schema[vec_col].dataType.elementType.typeName() == "float" for df in (vectors, queries))
@@ -213,14 +228,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     sizes = candidates.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = sizes["dim"] if sizes else 1
     of_dim, folder = F.size("v") == dim, scratch_path(spark, "vector-blocks")
-    files = write_blocks(candidates.where(of_dim), dim, folder, "candidates", dtype=dtype)
-    asked = write_blocks(usable(queries).where(of_dim).dropDuplicates(["id", "v"]), dim, folder, "queries", QUERIES, 1, dtype)
+    files = write_blocks(candidates.where(of_dim), dim, folder, "candidates", block, blocks_a_file, dtype)
+    asked = write_blocks(usable(queries).where(of_dim).dropDuplicates(["id", "v"]), dim, folder, "queries", a_query_file, 1, dtype)
 
-    # a row a part, a name for every BLOCK * BLOCKS_A_FILE vectors or task
-    part = F.pmod(F.aggregate(F.slice(F.split("name", "-"), -2, 2), F.lit(0), lambda n, x: n + x.cast("int")), F.lit(SPLITS))
-    parts = files.groupBy(part.alias("s")).agg(F.sort_array(F.collect_list("name")).alias("names"))
-    cells = asked.select("name", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("s"))
-    cells = cells.repartition(max(1, min(cells.count(), MAX_TASKS))).join(F.broadcast(parts), "s").select("name", "names")
+    rows, columns = grid_of(asked.count(), files.count())
+    # names only, of some files a cell
+    cells = _dealt(asked, rows, "r", "asked").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).join(_dealt(files, columns, "s", "names"), "s")
+    cells = cells.select("asked", "names").repartition(max(1, min(rows * columns, MAX_TASKS)))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
@@ -234,14 +248,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
             n = len(block.ids) * dim
             return np.frombuffer(read(f"{name}.vec", block.at, n * np.dtype(dtype).itemsize), dtype).reshape(-1, dim).astype(np.float64)
 
-        for name, names in arrow_rows(batches, "name", "names"):
-            (block,) = _blocks(read(f"{name}.int8"), dim)
-            block.data = original(name, block)
-            search = _Search(block, k)
+        for asked, names in arrow_rows(batches, "asked", "names"):
+            searches = []
+            for name in asked:
+                (held,) = _blocks(read(f"{name}.int8"), dim)
+                held.data = original(name, held)
+                searches.append((name, _Search(held, k)))
             for other in names:
                 for c in _blocks(read(f"{other}.int8"), dim):
-                    search.add(c, lambda other=other, c=c: original(other, c))
-            yield search.found(name)
+                    vectors = cache(lambda other=other, c=c: original(other, c))  # read once, and only if a pair survives
+                    for _, search in searches:
+                        search.add(c, vectors)
+            for name, search in searches:
+                yield search.found(name)
 
     def merge(batches) -> Iterator[pa.RecordBatch]:
         """The best of every query, whose rows are neighbours."""

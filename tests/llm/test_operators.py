@@ -715,3 +715,29 @@ def test_extract_carries_columns_of_any_name(spark):
     df = spark.createDataFrame([("<p>a",)], "html string").withColumns({n: F.lit(f"own {n}") for n in names})
     row = html.extract(df).first().asDict()
     assert row == {n: f"own {n}" for n in names} | {"text": "a", "n_chars": 1}
+
+
+# 3 again: the grid
+@pytest.mark.parametrize("queries, files", [(0, 0), (1, 1), (3, 2), (5, 8), (40, 9), (1000, 100_000)])
+def test_the_grid_follows_the_files(queries, files):
+    rows, columns = neighbours.grid_of(queries, files)
+    assert rows >= 1 and columns >= 1 and -(-queries // rows) <= neighbours.QUERY_FILES and -(-files // columns) <= neighbours.CANDIDATE_FILES
+    assert rows <= max(neighbours.LEAST_CELLS[0], -(-queries // neighbours.QUERY_FILES)) and rows <= max(1, queries) and columns <= max(1, files)
+
+
+def test_neighbours_over_files_of_several_blocks(spark, monkeypatch):
+    """More files and blocks than cells hold: every pair is met once, whatever the grid, and a candidate file is read once a row of it."""
+    rng = np.random.default_rng(11)
+    data = np.round(rng.standard_normal((900, 6)), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(3)
+    asked = df.where("vec_id % 9 = 0")
+    whole = sorted(map(tuple, neighbours.nearest(df, asked, k=5).collect()))
+    monkeypatch.setattr(neighbours, "QUERY_FILES", 3)
+    monkeypatch.setattr(neighbours, "CANDIDATE_FILES", 4)
+    small = neighbours.nearest(df, asked, k=5, block=16, blocks_a_file=3, a_query_file=7)
+    assert sorted(map(tuple, small.collect())) == whole
+    scores = data[::9] @ data.T
+    for q in range(100):
+        scores[q, 9 * q] = -np.inf
+        want = sorted(range(900), key=lambda j, q=q: (-round(scores[q, j], 9), j))[:5]
+        assert [r[2] for r in whole if r[0] == 9 * q] == want
