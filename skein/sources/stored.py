@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import at
@@ -205,15 +205,45 @@ class ChangedBuckets:
                 fs.delete(folder, True)
 
 
+#: Parts of a batch that are numbered on their own.
+PARTS = 32
+
+
+def arrival_numbers(batch: DataFrame, start: int) -> tuple[DataFrame, int]:
+    """``batch`` with ``arrival``, gapless from ``start`` on, and the number behind the last; the same rows get the same numbers again.
+
+    Parts by hash are counted and then numbered each for itself, so no task sorts the batch.
+    """
+    rows = batch.withColumn("_part", F.pmod(F.xxhash64("node_id", "event_id"), F.lit(PARTS)).cast("int"))
+    counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # ``PARTS`` rows
+    before, following = {}, start
+    for part in range(PARTS):
+        before[part], following = following, following + counts.get(part, 0)
+    offset = F.get(F.array(*(F.lit(before[part]).cast("bigint") for part in range(PARTS))), F.col("_part"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("timestamp", "node_id", "event_id", "event_type"))
+    return rows.withColumn("arrival", offset + own - 1).drop("_part"), following
+
+
 class EventStore:
-    """Events, nodes and the one-minute rollup in a folder, each batch in all three once."""
+    """Events with their arrival numbers, nodes and the one-minute rollup in a folder, each batch in all of them once."""
 
     def __init__(self, path: str, partitions: tuple[str, ...] = ("event_date", "event_hour")):
         self.path, self.partitions, self.nodes, self.minutes = path, partitions, NodeTable(f"{path}/nodes"), ChangedBuckets.minutes(f"{path}/minutes")
+        self.arrivals = Notes(f"{path}/arrivals")
+
+    def _numbered(self, batch: DataFrame, number: int) -> DataFrame:
+        """The batch with arrival numbers behind those of the batches before; one that comes again begins where it did."""
+        spark = batch.sparkSession
+        note = self.arrivals.last(spark)
+        again = note is not None and note["batch"] == number
+        rows, following = arrival_numbers(batch, note["start" if again else "next"] if note else 0)
+        if not again:
+            self.arrivals.commit(spark, note["number"] + 1 if note else 0, {"batch": number, "start": note["next"] if note else 0, "next": following})
+        return rows
 
     def add(self, batch: DataFrame, number: int) -> None:
         """For ``foreachBatch``: a batch that comes again leaves the same tables."""
-        append_events(batch, f"{self.path}/events", number, spread=1, partitions=self.partitions)
+        append_events(self._numbered(batch, number), f"{self.path}/events", number, spread=1, partitions=self.partitions)
         folder = f"{self.path}/events/batch={number}"
         rows = batch.sparkSession.read.parquet(folder) if _folders(batch.sparkSession, f"{folder}/*=*") else batch  # as written, unless it was empty
         self.minutes.touched(rows, number)

@@ -109,6 +109,20 @@ def test_a_stream_fills_the_store_once(spark, t, tmp_path):
     assert rows(store.minutes.read(store.events(spark))) == rows(stats_1m(t.events))
 
 
+def test_arrival_numbers_run_on_over_batches(spark, t, tmp_path):
+    store = stored.EventStore(str(tmp_path / "store"), partitions=("event_date",))
+    told = lambda: {r["event_id"]: r["arrival"] for r in store.events(spark).collect()}
+    seen = {}
+    for number in (0, 1, 1, 2):  # the second one comes again, in another order of its rows
+        batch = t.events.where(F.col("event_id") % 3 == number).where("event_id < 300")
+        store.add(batch.repartition(3) if number == 1 else batch, number)
+        now = told()
+        assert {k: now[k] for k in seen} == seen and sorted(now.values()) == list(range(len(now)))
+        seen = now
+    by_batch = [[seen[i] for i in range(300) if i % 3 == n] for n in range(3)]
+    assert max(by_batch[0]) < min(by_batch[1]) and max(by_batch[1]) < min(by_batch[2])
+
+
 # cores
 def samples_of(spark, seed, n=90, cores=3):
     rng, slot, out = random.Random(seed), 100, []
