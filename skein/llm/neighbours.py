@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, open_store, scratch_path, table, task_write
+from .common import delete_path, discard, materialise, open_store, scratch_path, table, task_write
 from .tokens import arrow_rows
 
 K = 20
@@ -289,7 +289,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
             yield flush()
 
     partial = cells.mapInArrow(run, "name string, i int, query_id long, scores array<double>, vecs array<long>")
-    return partial.repartition("name", "i").sortWithinPartitions("name", "i").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    # the lists of all queries are stored, and the blocks deleted
+    ranked = materialise(partial.repartition("name", "i").sortWithinPartitions("name", "i").mapInArrow(merge, "query_id long, rank int, vec_id long, score double"), "neighbours")
+    delete_path(spark, folder)
+    discard(files, asked)
+    return ranked
 
 
 def query(spark, sf_dir: str) -> DataFrame:

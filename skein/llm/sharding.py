@@ -6,9 +6,9 @@ a corpus would be one task:
 
 1. Groups are dealt by hash to cells.  In each cell they go, sorted by size, one after
    another to the least-loaded of the cell's bins through a heap.  A task holds the heap
-   only; Spark sorts.  All cells together have ``BINS`` bins for each shard.
+   only; Spark sorts.  All cells together have ``BINS`` bins for each shard, or one a cell where there are more cells.
 2. The bins, sorted by size, go one after another to the least-loaded shard through a
-   heap on the driver: ``n_shards * BINS`` numbers, whatever the input's size.
+   heap on the driver: ``n_shards * MAX_CELLS`` numbers at most, whatever the input's size.
 
 A group that is larger than the rest of its cell's share has its bin to itself, so large
 groups are scheduled as they are; small inputs have fewer groups than bins, and then the
@@ -37,7 +37,7 @@ from .common import carry, materialise, restored, table, text_or_empty
 from .tokens import arrow_rows
 
 #: Bins that the driver schedules for each shard, the groups of a cell, about, and the most cells, each with a bin a shard at least.
-BINS, CELL_GROUPS, MAX_CELLS = 256, 50_000, 256
+BINS, CELL_GROUPS, MAX_CELLS = 256, 50_000, 4096
 #: Rows that one sub-bucket should number, and the most sub-buckets of a shard.
 SLOT_ROWS, MAX_SUBS = 50_000, 4096
 
