@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import carry, restored, table, text_or_empty
 from .tokens import arrow_rows
@@ -172,23 +173,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     found = texts.select("_id", "_y", "_t").mapInArrow(run, "_id long, _y double, at array<int>, n array<float>")
     found = found.orderBy("_id").toArrow()
     texts = [(at.values.to_numpy(), n.values.to_numpy()) for at, n in zip(found["at"], found["n"], strict=True)]
-    return Model(texts, found["_y"].to_numpy())
+    model = Model(texts, found["_y"].to_numpy())
+    del texts, found
+    pa.default_memory_pool().release_unused()  # the sample's terms need not stay with the driver
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score; a column of that name is replaced."""
-    return _scored(docs.select(carry(docs, "score"), text_or_empty(text_col).alias("t")), model).select(*restored(docs, "score"), "score")
+    return _scored(docs, model, text_col, "score").select(*restored(docs, "score"), "score")
 
 
-def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows (c, t) as (c, score)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _scored(docs: DataFrame, model: Model, text_col: str, *replaced: str) -> DataFrame:
+    """The columns of ``docs`` but those replaced as ``c``, and score.  A text travels once: within ``c`` where it is one of its strings."""
+    carried = [c for c in docs.columns if c not in replaced]
+    inside = text_col in carried and isinstance(docs.schema[text_col].dataType, StringType)
+    rows = docs.select(carry(docs, *replaced), *([] if inside else [text_or_empty(text_col).alias("t")]))
+    field = f"c{carried.index(text_col)}" if inside else None
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                counts = np.stack([term_counts(t) for t in part.column(1).to_pylist()])
+                texts = pc.struct_field(part.column(0), field) if inside else part.column(1)
+                counts = np.stack([term_counts(t or "") for t in texts.to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(counts), pa.float64())], names=["c", "score"])
 
     return rows.mapInArrow(run, StructType([rows.schema["c"], StructField("score", DoubleType())]))
@@ -201,10 +210,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         if docs.isEmpty():
             return docs
         raise ValueError("no document of the training fold has a label: every score would be 0.5, and no document would stay")
-    return _scored(docs.select(carry(docs), text_or_empty(text_col).alias("t")), model).where(F.col("score") >= threshold).select(*restored(docs))
+    return _scored(docs, model, text_col).where(F.col("score") >= threshold).select(*restored(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+    scored = _scored(docs, fit(docs, labels), "text", "text").select(*restored(docs, "text"), "score")
     return scored.select("doc_id", (~training_fold()).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
