@@ -105,6 +105,29 @@ def task_write(uri_dir: str, name: str, chunks) -> int:
     return written
 
 
+def trim() -> None:
+    """Give memory that was freed back to the system, where its allocator can: a process that stays would hold on to it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimming(run):
+    """``run`` of a task's batches, after which its worker, which Spark keeps for other tasks, is trimmed."""
+
+    def then(batches):
+        yield from run(batches)
+        trim()
+
+    return then
+
+
 #: Rows of one or two numbers that a broadcast may have (some 16 MB).
 BROADCAST_ROWS = 1_000_000
 

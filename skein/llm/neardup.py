@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, carry, discard, materialise, restored, small, table
+from .common import BROADCAST_ROWS, carry, discard, materialise, restored, small, table, trimming
 from .components import connected_components
 from .shingles import MinHash, exact_shingles, odd_sketch, shingle_set
 from .tokens import arrow_rows
@@ -81,7 +81,7 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
         if out:
             yield flush()
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, _BASE_SQL)
+    return _texts(docs, id_col, text_col).mapInArrow(trimming(run), _BASE_SQL)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,7 +123,7 @@ def refuted(base: DataFrame, docs: DataFrame, k: int, id_col: str = "doc_id", te
             columns = zip(*out, strict=True) if out else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()), strict=True)], names=["doc_id", "digest"])
 
-    found = materialise(met.select("i", "digest", "lot", "member", "t").mapInArrow(run, "doc_id long, digest binary"), "refuted")
+    found = materialise(met.select("i", "digest", "lot", "member", "t").mapInArrow(trimming(run), "doc_id long, digest binary"), "refuted")
     discard(several, asked)
     return found.distinct()
 
@@ -155,7 +155,7 @@ def bayesian_survivors(pairs: DataFrame, signatures: DataFrame, percent: int) ->
 
     of = lambda c: signatures.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
     joined = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(trimming(run), "a long, b long")
 
 
 def exact_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +178,7 @@ def exact_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     of = lambda c: texts.select(F.col("id").alias(c), F.col("t").alias(f"t{c}"))
-    links = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    links = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(trimming(run), "a long, b long"), "links")
     discard(needed, texts)
     return links
 

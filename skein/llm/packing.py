@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import discard, materialise, table, trimming
 from .tokens import arrow_rows, lots, word_document_encoder
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
@@ -102,7 +102,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, e
                     uid += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, _PIECES_SQL)
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(trimming(run), _PIECES_SQL)
 
 
 def _packed(items: DataFrame, capacity: int) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import carry, restored, table, text_or_empty
+from .common import carry, restored, table, text_or_empty, trim, trimming
 from .tokens import arrow_rows
 
 SAMPLE, DIMS, NEIGHBOURS, POWER, THRESHOLD = 4000, 64, 15, 8, 0.7
@@ -170,12 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({"_id": [doc_id], "_y": [y], "at": pa.array([at], pa.list_(pa.int32())), "n": pa.array([counts[at]], pa.list_(pa.float32()))})
 
-    found = texts.select("_id", "_y", "_t").mapInArrow(run, "_id long, _y double, at array<int>, n array<float>")
+    found = texts.select("_id", "_y", "_t").mapInArrow(trimming(run), "_id long, _y double, at array<int>, n array<float>")
     found = found.orderBy("_id").toArrow()
     texts = [(at.values.to_numpy(), n.values.to_numpy()) for at, n in zip(found["at"], found["n"], strict=True)]
     model = Model(texts, found["_y"].to_numpy())
     del texts, found
-    pa.default_memory_pool().release_unused()  # the sample's terms need not stay with the driver
+    trim()  # the sample's terms need not stay with the driver
     return model
 
 
@@ -200,7 +200,7 @@ def _scored(docs: DataFrame, model: Model, text_col: str, *replaced: str) -> Dat
                 counts = np.stack([term_counts(t or "") for t in texts.to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(counts), pa.float64())], names=["c", "score"])
 
-    return rows.mapInArrow(run, StructType([rows.schema["c"], StructField("score", DoubleType())]))
+    return rows.mapInArrow(trimming(run), StructType([rows.schema["c"], StructField("score", DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

@@ -221,3 +221,12 @@ def test_slices_hold_every_bucket():
     marked.fill([(i, np.packbits(flags[i * collocations.SLICE : (i + 1) * collocations.SLICE]).tobytes()) for i in range(4)])
     others = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
     assert marked.has(hashes).all() and (marked.has(others) == flags[(others % np.uint64(buckets)).astype(int)]).all()
+
+
+def test_chunks_without_words_or_vectors(spark):
+    docs = spark.createDataFrame([(1, None, None), (2, "", "x"), (None, " \n ", None)], DOCS)
+    assert removed(docs) == sorted([(1, 0, 0, ""), (2, 0, 0, ""), (None, 0, 0, "")], key=str)
+    assert mined(docs, 1) == []
+    vectors = spark.createDataFrame([(1, None), (2, []), (3, [float("nan")] * 2), (4, [0.5, 0.5])], "vec_id long, embedding array<float>").repartition(4)
+    got, _ = centroids.cluster_vectors(vectors, centroids.first_centroids(vectors, 3, 2, 64, "vec_id", "embedding"), 3, 64, dims=2)
+    assert [tuple(r) for r in got.collect()] == [(4, 0, 0)]
