@@ -299,7 +299,7 @@ def collocations(frequent: DataFrame, totals: DataFrame, percent: int = 100, top
     inside = longer.select("lang", "f", F.explode(spans).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longest"))
     kept = _scored(frequent, totals).join(inside, ["lang", "phrase"], "left").where(F.col("longest").isNull() | (100 * F.col("longest") < percent * F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
