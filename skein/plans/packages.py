@@ -11,8 +11,7 @@ from ..functions.columns import at, count_if, micros, ms_between, one_of
 from ..operators.joins import latest_per_key
 from ..operators.ranks import nearest_ranks
 from ..sources.links import linked
-from ..sources.payload import accumulate_costs, telemetry
-from ..sources.sinks import ingested
+from ..sources.payload import accumulate_costs, parsed, telemetry
 from .constants import BATCH_STAGES, BATCH_STATUS, DETAILED_RANK, DETAILED_STAGES, DETAILED_STATUS, FAILURES_BATCH, ON_CHAIN, STAGE_RANK, STAGES, SUPERSEDED
 from .registry import query
 
@@ -165,7 +164,7 @@ _LINKED = _LINKED_EVENTS + """, ls AS (SELECT printf('01%046x%016x', 0, package)
 @query("q15_linked_workpackages", _LINKED + " SELECT package, node_id, core, current_stage, submitted_at, last_event, elapsed_ms, superseded_count FROM pl")
 def linked_workpackages(t):
     """The pipeline of all packages of received events, from the bodies: by share id, report hash, erasure root and request."""
-    return pipeline(telemetry(ingested(t.payloads), t)).select("package", "node_id", "core", "current_stage", "submitted_at", "last_event", "elapsed_ms", "superseded_count")
+    return pipeline(telemetry(parsed(t.payloads), t)).select("package", "node_id", "core", "current_stage", "submitted_at", "last_event", "elapsed_ms", "superseded_count")
 
 
 _HASHES = tuple(f"01{0:046x}{n:016x}" for n in (1, 3, 7, 32, 33, 34, 35))
@@ -193,8 +192,9 @@ SELECT package, CAST(row_number() OVER (PARTITION BY package ORDER BY timestamp,
 def journeys_by_hash(t, hashes=_HASHES):
     """From hashes to the steps of their packages, on chain and shard transfers included, in one plan: the share ids of the
     packages found are met with the events that carry ids, never the other way round."""
-    wanted = workpackages_by_hash(t, hashes).select(F.col("hash").alias("package")).distinct()
-    events = package_events(telemetry(ingested(t.payloads), t, hashes)).join(F.broadcast(wanted), "package", "left_semi")  # as many as were asked for
+    stored = parsed(t.payloads)
+    wanted = stored.where((F.col("event_type") == 94) & F.col("hash").isin(*hashes)).select(F.col("hash").alias("package")).distinct()
+    events = package_events(telemetry(stored, t, hashes)).join(F.broadcast(wanted), "package", "left_semi")  # as many as were asked for
     order = Window.partitionBy("package").orderBy("timestamp", "event_type", F.coalesce("node_id", F.lit("")))
     return events.select("package", F.row_number().over(order).alias("step"), "timestamp", "event_type", "node_id")
 

@@ -23,45 +23,60 @@ IDS = ("share", "hash", "report", "root", "request")
 BLOOM_ROWS, BUCKETS = 1_000_000, 64
 
 
-def _path(names: dict[int, str]) -> str:
-    """SQL for the path of the variant that an event's type has by a table of names; null for other types."""
-    return f"concat('$.', map({', '.join(f"{i}, '{name}'" for i, name in names.items())})[event_type])"
-
-
 def inner(types: tuple[int, ...] = ()) -> Column:
-    """The object that the variant column ``body`` has under the name of its event's variant; ``types`` are those that occur (none: all)."""
+    """The object that the variant column ``body`` has under the name of its event's variant; ``types`` are those that occur (none: all).
+
+    Every path is a literal, which is parsed once and not for each row.
+    """
     own = {i: n for i, n in TYPES.items() if not types or i in types}
-    other = {i: n for i, n in OTHER_NAMES.items() if i in own}
-    found = f"try_variant_get(body, {_path(own)}, 'variant')"
-    return F.expr(f"coalesce(try_variant_get(body, {_path(other)}, 'variant'), {found})" if other else found)
+    get = lambda name: f"try_variant_get(body, '$.{name}', 'variant')"
+    found = lambda i: f"coalesce({get(OTHER_NAMES[i])}, {get(own[i])})" if i in OTHER_NAMES else get(own[i])
+    return F.expr(f"CASE event_type {' '.join(f'WHEN {i} THEN {found(i)}' for i in own)} END")
+
+
+#: Two lower-case hex digits of each byte value; other numbers are written out.
+_HEX = f"array({', '.join(f"'{i:02x}'" for i in range(256))})"
+#: Types of whose bodies every field is a path of its own; of more, the object under the variant's name is taken out first.
+MOST_PATHS = 24
+
+
+def _columns(types: tuple[int, ...] = ()) -> dict[str, str]:
+    """SQL of the typed columns by name: of the variant ``inner``, or, for events of few known ``types``, of ``body`` by whole paths."""
+
+    def get(path: str, kind: str = "string", only: tuple[int, ...] = ()) -> str:
+        if not types:
+            return f"try_variant_get(inner, '$.{path}', '{kind}')"
+        at = lambda name: f"try_variant_get(body, '$.{name}.{path}', '{kind}')"
+        found = lambda i: f"coalesce({at(OTHER_NAMES[i])}, {at(TYPES[i])})" if i in OTHER_NAMES else at(TYPES[i])
+        told = [f"WHEN {i} THEN {found(i)}" for i in types if i in TYPES and (not only or i in only)]
+        return f"CASE event_type {' '.join(told)} END" if told else f"CAST(NULL AS {kind})"
 
+    def of(only: tuple[int, ...], *paths: str, kind: str = "string", made=lambda value: value) -> str:
+        """The first of ``paths`` that events of some types have."""
+        return f"CASE WHEN event_type IN ({', '.join(map(str, only))}) THEN {made(f'coalesce({', '.join(get(p, kind, only) for p in paths)})')} END"
 
-def _columns() -> dict[str, str]:
-    """SQL of the typed columns of the variant ``inner`` by name."""
-    get = lambda path, kind="string": f"try_variant_get(inner, '$.{path}', '{kind}')"
-    of = lambda types, value: f"CASE WHEN event_type IN ({', '.join(map(str, types))}) THEN {value} END"
-    in_hex = lambda array: f"lower(array_join(transform({array}, x -> lpad(hex(x), 2, '0')), ''))"
+    in_hex = lambda array: f"lower(array_join(transform({array}, x -> coalesce(get({_HEX}, x), lpad(hex(x), 2, '0'))), ''))"
     total = lambda array, value: f"aggregate({array}, 0L, (sum, x) -> sum + coalesce(x.{value}, 0L))"
-    costs = get("costs", "array<struct<total:struct<gas_used:bigint,elapsed_ns:bigint>>>")
-    cost = lambda name: f"CASE event_type WHEN 95 THEN {get(f'cost.total.{name}', 'bigint')} WHEN 101 THEN {total(costs, f'total.{name}')} END"
-    items = get("outline.work_items", "array<struct<refine_gas_limit:bigint>>")
+    costs = get("costs", "array<struct<total:struct<gas_used:bigint,elapsed_ns:bigint>>>", (101,))
+    cost = lambda name: f"CASE event_type WHEN 95 THEN {get(f'cost.total.{name}', 'bigint', (95,))} WHEN 101 THEN {total(costs, f'total.{name}')} END"
+    items = "array<struct<refine_gas_limit:bigint>>"
     return {
         "share": f"coalesce({get('submission_or_share_id')}, {get('submission_id')})",
-        "hash": in_hex(f"CASE event_type WHEN 94 THEN {get('outline.work_package_hash', 'array<int>')} WHEN 93 THEN {get('hash', 'array<int>')} END"),
+        "hash": in_hex(f"CASE event_type WHEN 94 THEN {get('outline.work_package_hash', 'array<int>', (94,))} WHEN 93 THEN {get('hash', 'array<int>', (93,))} END"),
         "report": in_hex(get("outline.work_report_hash", "array<int>")),
-        "root": in_hex(of(WITH_ROOT, f"coalesce({get('outline.erasure_root', 'array<int>')}, {get('erasure_root', 'array<int>')})")),
-        "request": of(WITH_REQUEST, get("request_id")),
+        "root": in_hex(of(WITH_ROOT, "outline.erasure_root", "erasure_root", kind="array<int>")),
+        "request": of(WITH_REQUEST, "request_id"),
         "core": f"coalesce({get('core', 'int')}, {get('outline.core', 'int')})",
-        "slot": of(WITH_SLOT, get("slot", "bigint")),
-        "epoch": of((80,), get("epoch", "bigint")),
-        "shard": of(WITH_SHARD, f"coalesce({get('shard', 'int')}, {get('shard_index', 'int')})"),
-        "bytes": of(WITH_SIZE, get("size", "bigint")),
-        "to_peer": of((124,), get("to_peer")),
+        "slot": of(WITH_SLOT, "slot", kind="bigint"),
+        "epoch": of((80,), "epoch", kind="bigint"),
+        "shard": of(WITH_SHARD, "shard", "shard_index", kind="int"),
+        "bytes": of(WITH_SIZE, "size", kind="bigint"),
+        "to_peer": of((124,), "to_peer"),
         "gas": cost("gas_used"),
         "elapsed_ns": cost("elapsed_ns"),
-        "gas_limit": of((94,), total(items, "refine_gas_limit")),
-        "package_size": of((94,), get("outline.work_package_size", "bigint")),
-        "num_guarantees": of((10,), get("num_guarantees", "array<int>")),
+        "gas_limit": of((94,), "outline.work_items", kind=items, made=lambda value: total(value, "refine_gas_limit")),
+        "package_size": of((94,), "outline.work_package_size", kind="bigint"),
+        "num_guarantees": of((10,), "num_guarantees", kind="array<int>"),
         "reason": f"coalesce({get('reason')}, try_variant_get(body, '$.reason', 'string'), try_variant_get(body, '$.error', 'string'))",
     }
 
@@ -77,8 +92,10 @@ def linked(events: DataFrame, *names: str, types: tuple[int, ...] = ()) -> DataF
     wanted = [n for n in names or COLUMNS if n not in events.columns]
     if not wanted:
         return events
-    parsed = events.withColumn("body", F.try_parse_json("data")).withColumn("inner", inner(types))
-    return parsed.selectExpr(*(f"`{c}`" for c in events.columns), *(f"{COLUMNS[n]} AS {n}" for n in wanted))
+    parsed = events.withColumn("body", F.try_parse_json("data"))
+    few = tuple(types) if len(types) <= MOST_PATHS else ()
+    columns, parsed = (_columns(few), parsed) if few else (COLUMNS, parsed.withColumn("inner", inner(types)))
+    return parsed.selectExpr(*(f"`{c}`" for c in events.columns), *(f"{columns[n]} AS {n}" for n in wanted))
 
 
 def bucket_of(name: str = "id") -> Column:

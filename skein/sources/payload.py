@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import hex_to_bytes, one_of
 from .adapter import Telemetry
 from .links import linked
+from .sinks import ingested
 
 #: event types of the pipeline
 PACKAGE_TYPES = (92, 93, 94, 95, 96, 97, 98, 99, 100, 101, 102, 105, 109)
+CHAIN_TYPES, TRANSFER_TYPES = (112, 113), (120, 124, 125)
+#: what the pipeline's events name
+PACKAGE_COLUMNS = ("share", "hash", "report", "root", "core", "gas", "gas_limit", "reason")
 
 
 def body_where(events: DataFrame, types) -> DataFrame:
@@ -27,8 +31,13 @@ def body_where(events: DataFrame, types) -> DataFrame:
 
 def packages_of(events: DataFrame) -> DataFrame:
     """The pipeline's events with what each names: share (id), hash, report, root, core, gas, gas_limit and reason."""
-    names = ("share", "hash", "report", "root", "core", "gas", "gas_limit", "reason")
-    return linked(events.where(one_of("event_type", PACKAGE_TYPES)), *names).select("timestamp", "node_id", "event_type", *names)
+    own = linked(events.where(one_of("event_type", PACKAGE_TYPES)), *PACKAGE_COLUMNS, types=PACKAGE_TYPES)
+    return own.select("timestamp", "node_id", "event_type", *PACKAGE_COLUMNS)
+
+
+def parsed(events: DataFrame) -> DataFrame:
+    """What ``telemetry`` reads of received ``events``, parsed once and stored: their links, without the bodies."""
+    return ingested(events, *PACKAGE_COLUMNS, "request", types=PACKAGE_TYPES + CHAIN_TYPES + TRANSFER_TYPES)
 
 
 def telemetry(events: DataFrame, model: Telemetry | None = None, hashes: list[str] | None = None) -> Telemetry:
@@ -48,9 +57,9 @@ def telemetry(events: DataFrame, model: Telemetry | None = None, hashes: list[st
     reports = named.where("event_type = 102")
     by_report = reports.where("report IS NOT NULL").select("package", "report").distinct()
     by_root = reports.where("root IS NOT NULL").select("package", "root").distinct()
-    told = linked(events.where(one_of("event_type", (112, 113))), "report", "reason").select("timestamp", "node_id", "event_type", "report", "reason")
+    told = linked(events.where(one_of("event_type", CHAIN_TYPES)), "report", "reason", types=CHAIN_TYPES).select("timestamp", "node_id", "event_type", "report", "reason")
     chain = told.join(few(by_report), "report").select("package", "event_type", "reason", "timestamp")
-    moved = linked(events.where(one_of("event_type", (120, 124, 125))), "root", "request").select("timestamp", "node_id", "event_type", "root", "request")
+    moved = linked(events.where(one_of("event_type", TRANSFER_TYPES)), "root", "request", types=TRANSFER_TYPES).select("timestamp", "node_id", "event_type", "root", "request")
     asked = moved.where("event_type <> 125").join(few(by_root), "root").select("package", "node_id", "event_type", "timestamp", "request")
     requests = asked.where("request IS NOT NULL").select("package", "request").distinct()
     sent = moved.where("event_type = 125").join(few(requests), "request").select("package", "node_id", "event_type", "timestamp")

@@ -70,10 +70,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def ingested(events: DataFrame) -> DataFrame:
-    """Received events as a stored table with the typed columns of their bodies: parsed once, however often a plan reads them."""
+def ingested(events: DataFrame, *names: str, types: tuple[int, ...] = ()) -> DataFrame:
+    """Received events as a stored table with the typed columns of their bodies: parsed once, however often a plan reads them.
+
+    With ``names`` only these columns are parsed and stored, of events of ``types`` (none: all), without the bodies: for plans that read
+    the table whole, to which order and bloom filters are of no use.
+    """
     spark, path = events.sparkSession, scratch(events.sparkSession, "events")
-    linked(events).sortWithinPartitions("event_type").write.options(**bloom_options()).parquet(path)
+    if names:
+        own = events.where(F.col("event_type").isin(*types)) if types else events
+        linked(own, *names, types=types).select("timestamp", "node_id", "event_type", *names).write.parquet(path)
+    else:
+        linked(events).sortWithinPartitions("event_type").write.options(**bloom_options()).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -15,3 +15,27 @@ def test_a_package_received_twice_at_one_moment_is_processed_once(spark):
     row = packages.core_processing(Telemetry(packages=rows)).first()
     assert row["completed"] == 3
     assert row["avg_processing_ms"] == (1 + 4 + 3) * 86_400_000 / 3
+
+
+def test_links_are_parsed_alike_by_whole_paths_and_stored_without_bodies(spark):
+    from skein.sources import links, payload
+
+    bodies = [
+        (94, '{"WorkPackageReceived":{"submission_or_share_id":7,"core":3,"outline":{"work_package_hash":[1,255,16,300,-1],"work_items":[{"refine_gas_limit":5},{"refine_gas_limit":6}]}}}'),
+        (101, '{"Refined":{"submission_or_share_id":"7","costs":[{"total":{"gas_used":4,"elapsed_ns":8}},{"total":{"gas_used":1}}]}}'),
+        (102, '{"WorkReportBuilt":{"submission_or_share_id":7,"outline":{"work_report_hash":[2,0],"erasure_root":[3,10]}}}'),
+        (92, '{"WorkPackageFailed":{"submission_or_share_id":7,"reason":"refine failed"}}'),
+        (113, '{"GuaranteeDiscarded":{"outline":{"work_report_hash":[2,0]},"reason":"Expired"}}'),
+        (124, '{"ShardTransferred":{"request_id":9,"erasure_root":[3,10]}}'),
+        (124, '{"ShardRequestReceived":{"request_id":9,"erasure_root":[3,10]}}'),
+        (105, "no json"),
+        (109, None),
+        (10, '{"Status":{"reason":"none of a package"}}'),
+    ]
+    events = spark.createDataFrame([(datetime(2024, 1, 1), "n", kind, data) for kind, data in bodies], "timestamp timestamp_ntz, node_id string, event_type int, data string")
+    names = (*payload.PACKAGE_COLUMNS, "request")
+    stored = payload.parsed(events)
+    assert stored.columns == ["timestamp", "node_id", "event_type", *names]
+    whole = links.linked(events.where("event_type <> 10")).select(stored.columns)
+    assert sorted(map(repr, stored.collect())) == sorted(map(repr, whole.collect()))
+    assert stored.where("event_type = 94").first()["hash"] == "01ff1012ff"
