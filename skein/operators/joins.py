@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil, sqrt
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +51,75 @@ def range_join(left: DataFrame, right: DataFrame, key: str, ts: str, seconds: in
     return l.join(r, (l[key] == r["_k"]) & (F.col("_b") == F.col("_rb")) & inside).drop("_b", "_k", "_rb").withColumnRenamed("_rts", "right_ts")
 
 
+#: Pairs that a cell of ``range_pair_totals`` is laid out for, and that are spread out at a time.
+CELL_PAIRS = 1_000_000
+
+
+def _pairs(early: np.ndarray, late: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (early, late) of all pairs with early < late < early + width of two sorted arrays, about ``CELL_PAIRS`` at a time."""
+    low, high = np.searchsorted(early, late - width, "right"), np.searchsorted(early, late, "left")
+    n = np.maximum(high - low, 0)
+    upto = np.cumsum(n)
+    at = 0
+    while at < len(late):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CELL_PAIRS, "right")))
+        own = n[at:end]
+        yield np.repeat(low[at:end] - np.cumsum(own) + own, own) + np.arange(own.sum()), np.repeat(np.arange(at, end), own)
+        at = end
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(key, count, sum) of all parts, each key once; exact on integers."""
+    keys, counts, sums = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return (keys[starts], *(np.add.reduceat(c[order], starts) if len(starts) else c for c in (counts, sums)))
+
+
+def range_pair_totals(left: DataFrame, right: DataFrame, key: str, ts: str, seconds: int, left_name: str, right_name: str, value: str) -> DataFrame:
+    """Of all pairs of equal key with left.ts < right.ts < left.ts + seconds, by ``right_name`` and ``left_name``: their number
+    (pairs) and the sum of ``value`` of the right rows (total; nulls are 0).
+
+    There may be as many such groups as pairs, whose number grows with the square of the rows. They are counted by key and time first;
+    the names are then dealt to a grid of cells of about ``CELL_PAIRS`` pairs. A cell is a task's group of rows, no two cells have a group
+    in common, and so no group is shuffled and no task holds more than a cell's.
+    """
+    width = seconds * 1_000_000
+    bucket = F.floor(micros(F.col(ts)) / F.lit(width))
+    l = left.select(F.col(key).alias("k"), micros(F.col(ts)).alias("t"), F.col(left_name).alias("name"), F.col(ts))
+    r = right.select(F.col(key).alias("k"), micros(F.col(ts)).alias("t"), F.col(right_name).alias("name"), F.col(ts), F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("v"))
+    sides = l.select("k", F.explode(F.array(bucket, bucket + 1)).alias("b"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(r.select("k", bucket.alias("b"), F.lit(0).alias("l"), F.lit(1).alias("r")))
+    most = sides.groupBy("k", "b").agg((F.sum("l") * F.sum("r")).cast("double").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
+    side = max(1, ceil(sqrt(most / CELL_PAIRS)))
+    own = F.pmod(F.xxhash64("name"), F.lit(side))
+    others = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    l = l.drop(ts).withColumn("i", own).withColumn("j", others).withColumn("cell", F.col("i") * side + F.col("j")).drop("i", "j")
+    r = r.drop(ts).withColumn("j", own).withColumn("i", others).withColumn("cell", F.col("i") * side + F.col("j")).drop("i", "j")
+
+    def run(early: pd.DataFrame, late: pd.DataFrame) -> pd.DataFrame:
+        lefts, left_names = pd.factorize(early["name"], use_na_sentinel=False)
+        rights, right_names = pd.factorize(late["name"], use_na_sentinel=False)
+        early, late = early.assign(name=lefts).sort_values(["k", "t"]), late.assign(name=rights).sort_values(["k", "t"])
+        early_of = dict(iter(early.groupby("k")))
+        parts, held = [tuple(np.empty(0, np.int64) for _ in range(3))], 0
+        for k, b in late.groupby("k"):
+            if k not in early_of:
+                continue
+            a = early_of[k]
+            a_name, b_name, b_value = a["name"].to_numpy(np.int64), b["name"].to_numpy(np.int64), b["v"].to_numpy(np.int64)
+            for x, y in _pairs(a["t"].to_numpy(np.int64), b["t"].to_numpy(np.int64), width):
+                parts.append((b_name[y] * len(left_names) + a_name[x], np.ones(len(x), np.int64), b_value[y]))
+                held += len(x)
+                if held > 2 * CELL_PAIRS:
+                    parts, held = [_added(parts)], 0
+        keys, counts, sums = _added(parts)
+        return pd.DataFrame({right_name: right_names.take(keys // max(1, len(left_names))), left_name: left_names.take(keys % max(1, len(left_names))), "pairs": counts, "total": sums})
+
+    names = f"`{right_name}` string, `{left_name}` string, pairs long, total long"
+    return l.repartition(side * side, "cell").groupBy("cell").cogroup(r.repartition(side * side, "cell").groupBy("cell")).applyInPandas(run, names)
+
+
 def either_key_join(left: DataFrame, keys: list[str], right: DataFrame, right_key: str) -> DataFrame:
     """left.k1 = right.key OR left.k2 = right.key ...: a row goes to the join under each distinct key that it has.
 

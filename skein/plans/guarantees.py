@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import checked
 from ..functions.columns import at, count_if, ms_between, one_of, ratio
-from ..operators.joins import latest_per_key, range_join
+from ..operators.joins import latest_per_key, range_join, range_pair_totals
 from .registry import query
 
 MONTH = 30 * 1440
@@ -300,5 +300,5 @@ def shard_exchange(t, minutes: int = 60, seconds: int = 10):
     asked = t.linked((121,), "shard").where(F.col("shard").isNotNull()).select("shard", "timestamp", F.col("node_id").alias("receiver"))
     asked = asked.where(F.col("timestamp") > at(t.as_of - timedelta(minutes=minutes, seconds=seconds)))
     sent = t.linked((124,), "shard", "bytes").where(t.within(minutes, "created_at") & F.col("shard").isNotNull())
-    pairs = range_join(asked, sent, "shard", "timestamp", seconds, {"node_id": "sender", "bytes": "bytes"})
-    return pairs.groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("transfers"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_sent"))
+    totals = range_pair_totals(asked, sent.withColumnRenamed("node_id", "sender"), "shard", "timestamp", seconds, "receiver", "sender", "bytes")
+    return totals.select("sender", "receiver", F.col("pairs").alias("transfers"), F.col("total").alias("bytes_sent"))

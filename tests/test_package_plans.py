@@ -39,3 +39,19 @@ def test_links_are_parsed_alike_by_whole_paths_and_stored_without_bodies(spark):
     whole = links.linked(events.where("event_type <> 10")).select(stored.columns)
     assert sorted(map(repr, stored.collect())) == sorted(map(repr, whole.collect()))
     assert stored.where("event_type = 94").first()["hash"] == "01ff1012ff"
+
+
+def test_pair_totals_over_a_grid_of_cells_equal_the_join(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from skein.operators import joins
+
+    monkeypatch.setattr(joins, "CELL_PAIRS", 50)
+    rows = spark.range(300).selectExpr("pmod(xxhash64(id), 3) AS k", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, pmod(xxhash64(id, 1), 900)) AS ts", "IF(id % 10 = 0, NULL, concat('n', id % 13)) AS name", "IF(id % 7 = 0, NULL, id) AS v", "id")
+    left, right = rows.where("id % 2 = 0").withColumnRenamed("name", "a"), rows.where("id % 2 = 1 OR id % 10 = 0").withColumnRenamed("name", "b")
+    want = joins.range_join(left, right, "k", "ts", 60, {"b": "b", "v": "w"}).groupBy("b", "a").agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0)))
+    got = joins.range_pair_totals(left, right, "k", "ts", 60, "a", "b", "v")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert got.columns == ["b", "a", "pairs", "total"]
+    none = joins.range_pair_totals(left.where("false"), right, "k", "ts", 60, "a", "b", "v")
+    assert none.count() == 0
