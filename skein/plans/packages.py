@@ -380,20 +380,34 @@ SELECT package, count(*) AS stage_count, string_agg(stage || ':' || status, '>'
 def batch_journeys(t, packages: DataFrame | list | None = None):
     """The journeys of many packages at once, a row a package: stages with their status in order, errors, and the latest stage."""
     kind = F.col("event_type")
-    stage = _named(kind, BATCH_STAGES, "other")
-    status = F.lit("completed")
-    for name, ids in BATCH_STATUS.items():
-        status = F.when(kind.isin(*ids), name).otherwise(status)
-    rows = journeys(t, packages).where(kind.between(90, 113)).withColumn("_s", F.concat_ws(":", stage, status)).withColumn("stage", stage)
-    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "_s"))), lambda s: s["_s"]), ">")
-    return rows.groupBy("package").agg(
-        F.count(F.lit(1)).alias("stage_count"),
-        path.alias("stages"),
-        F.bool_or(kind.isin(*FAILURES_BATCH)).alias("has_errors"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
-        F.count_distinct("node_id").alias("nodes_involved"),
-        F.max_by("stage", "step").alias("current_stage"),
+
+    def told(event_type):
+        status = F.lit("completed")
+        for name, ids in BATCH_STATUS.items():
+            status = F.when(event_type.isin(*ids), name).otherwise(status)
+        return F.concat_ws(":", _named(event_type, BATCH_STAGES, "other"), status)
+
+    # the pipeline's events lie by package already; the others are few and join them as a row a package
+    def by_package(events: DataFrame, name: str) -> DataFrame:
+        own = chosen(events, packages).where(kind.between(90, 113)).groupBy("package")
+        return own.agg(F.collect_list(F.struct("timestamp", "event_type")).alias(f"_{name}"), F.collect_set("node_id").alias(f"_{name}_nodes"))
+
+    others = t.chain.select("package", "timestamp", "event_type", F.lit(None).cast("string").alias("node_id")).unionByName(t.shards.select("package", "timestamp", "event_type", "node_id"))
+    rows = by_package(t.packages, "own").join(by_package(others, "other"), "package", "full")
+    both = lambda kept, a, b: F.concat(F.coalesce(F.col(a), kept), F.coalesce(F.col(b), kept))
+    # stage and status follow from the type, so the order among equal times and types does not matter
+    steps = F.array_sort(both(F.array().cast("array<struct<timestamp:timestamp_ntz,event_type:int>>"), "_own", "_other"))
+    rows = rows.select("package", steps.alias("_steps"), F.array_distinct(both(F.array().cast("array<string>"), "_own_nodes", "_other_nodes")).alias("_nodes"))
+    last = F.element_at("_steps", -1)
+    return rows.select(
+        "package",
+        F.size("_steps").cast("long").alias("stage_count"),
+        F.array_join(F.transform("_steps", lambda s: told(s["event_type"])), ">").alias("stages"),
+        F.exists("_steps", lambda s: s["event_type"].isin(*FAILURES_BATCH)).alias("has_errors"),
+        F.array_min(F.transform("_steps", lambda s: s["timestamp"])).alias("first_seen"),
+        F.array_max(F.transform("_steps", lambda s: s["timestamp"])).alias("last_seen"),
+        F.size("_nodes").cast("long").alias("nodes_involved"),
+        _named(last["event_type"], BATCH_STAGES, "other").alias("current_stage"),
     )
 
 

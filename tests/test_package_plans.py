@@ -55,3 +55,14 @@ def test_pair_totals_over_a_grid_of_cells_equal_the_join(spark, monkeypatch):
     assert got.columns == ["b", "a", "pairs", "total"]
     none = joins.range_pair_totals(left.where("false"), right, "k", "ts", 60, "a", "b", "v")
     assert none.count() == 0
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_journeys_shuffle_a_row_a_package_beside_their_steps(spark):
+    from skein.sources.adapter import load
+
+    t = load(spark, "/root/testdata/sf0.001")
+    assert "Window" not in _plan(packages.batch_journeys(t))  # no number for steps of which only the order counts
