@@ -313,10 +313,12 @@ def workpackage_journey_enhanced(t, packages: DataFrame | list | None = None):
     steps = journeys(t, packages).withColumns({
         "duration_ms": F.when(~one_of("event_type", _LATER), ms_between(F.col("timestamp"), F.lag("timestamp").over(Window.partitionBy("package", one_of("event_type", _LATER)).orderBy("step")))),
         "_core": F.min(received).over(whole)["core"],
-        "_node": F.min("node_id").over(whole),
     })
     newest = latest_per_key(t.packages.where("event_type = 94"), ["node_id"], [F.col("timestamp"), F.col("package")], ["core"])
-    joined = steps.join(newest.select(F.col("node_id").alias("_node"), F.col("core").alias("_node_core")), "_node", "left")
+    # only packages without a core go to their node's, a row each; the steps stay where they are by package
+    bare = chosen(package_events(t), packages).groupBy("package").agg(F.min("node_id").alias("node_id"), F.min(F.when(kind == 94, F.col("core").isNotNull())).alias("_has")).where("NOT coalesce(_has, false)")
+    cores = bare.join(newest, "node_id").select("package", F.col("core").alias("_node_core"))
+    joined = steps.join(cores, "package", "left")
     stage = stage_name(kind, reason, DETAILED_STAGES)
     status = F.when(stage == "superseded", "superseded").when(one_of("event_type", DETAILED_STATUS["failed"]) | (kind == 113) & ~on_chain, "failed").when(one_of("event_type", DETAILED_STATUS["in_progress"]), "in_progress")
     return joined.select(

@@ -66,3 +66,6 @@ def test_journeys_shuffle_a_row_a_package_beside_their_steps(spark):
 
     t = load(spark, "/root/testdata/sf0.001")
     assert "Window" not in _plan(packages.batch_journeys(t))  # no number for steps of which only the order counts
+    detailed = _plan(packages.workpackage_journey_enhanced(t))
+    top = next(line for line in detailed.splitlines() if "Join LeftOuter" in line)
+    assert "package" in top and "_node" not in top  # steps meet their core where they lie, by package
