@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import exact, neardup, packing, quality
-from skein.llm.common import discard, materialise, table
+from skein.llm.common import discard, materialise, rest, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,4 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if hasattr(docs, "skein_path"):  # a stage's rows go when the next one's are stored
             discard(docs)
         docs = kept
+        rest(spark)
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -118,6 +119,13 @@ def trim() -> None:
         pass
 
 
+def rest(spark: SparkSession) -> None:
+    """Give back what the driver no longer needs between stages of many jobs: a collection there also lets Spark's cleaner drop shuffles and broadcasts of plans that are gone."""
+    gc.collect()  # Python's handles of plans first
+    spark.sparkContext._jvm.System.gc()
+    trim()
+
+
 def trimming(run):
     """``run`` of a task's batches, after which its worker, which Spark keeps for other tasks, is trimmed."""
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, carry, discard, materialise, restored, small, table, trimming
+from .common import BROADCAST_ROWS, carry, discard, materialise, rest, restored, small, table, trimming
 from .components import connected_components
 from .shingles import MinHash, exact_shingles, odd_sketch, shingle_set
 from .tokens import arrow_rows
@@ -219,6 +219,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     first = links_of(members.where("head < rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
     component = materialise(connected_components(first), "components")
+    rest(docs.sparkSession)
 
     # what the first links left apart
     placed = members.join(component, members["rep"] == component["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
